@@ -83,3 +83,149 @@ QUERIES = {
     "od_pairs_unbounded_count": q_od_pairs_unbounded_count,
     "expanding_mean_reference": q_expanding_mean_reference,
 }
+
+
+# ---------------------------------------------------------------------------
+# state carried from train to test (T2 + W5 + J11 + A5 + K3)
+# ---------------------------------------------------------------------------
+def _split_events(spark, sf):
+    from ..operators.splits import split_date
+    from .events_model import SPLIT_CUTOFF
+    ev = split_date(stop_events(spark, sf), "ts", SPLIT_CUTOFF)
+    return ev.where(F.col("split") == "train"), ev.where(F.col("split") == "test")
+
+
+def train_state(spark, sf):
+    """Train pairs (bounded) and their (route, o, d) totals, persisted to the shared
+    checkpoint folder and read back (the hand-off between the two runs)."""
+    from ..sources import sinks
+    tr, _ = _split_events(spark, sf)
+    st = history.build_state(bounded_pairs(tr), HIST_KEYS, "tt_us")
+    return sinks.persist_state(spark, st, "hist_state")
+
+
+def q_expanding_mean_with_state(spark: SparkSession, sf: str) -> DataFrame:
+    _, te = _split_events(spark, sf)
+    st = train_state(spark, sf)
+    p = with_hist(unbounded_pairs(te), state=st)
+    return p.select("o_event_id", "d_event_id", F.col("k").cast("long").alias("k"), r4("hist_avg").alias("hist_avg"))
+
+
+def q_hist_state_merge(spark: SparkSession, sf: str) -> DataFrame:
+    _, te = _split_events(spark, sf)
+    st = train_state(spark, sf)
+    new = history.build_state(unbounded_pairs(te), HIST_KEYS, "tt_us")
+    m = history.merge_state(st, new, HIST_KEYS)
+    return m.select(*HIST_KEYS, F.col("sum_tt").cast("long").alias("sum_tt_us"), F.col("n").cast("long").alias("n"))
+
+
+def q_expanding_mean_strict(spark: SparkSession, sf: str) -> DataFrame:
+    p = with_hist(bounded_pairs(stop_events(spark, sf)), mode="strict")
+    return p.select("o_event_id", "d_event_id", F.col("k").cast("long").alias("k"), r4("hist_avg").alias("hist_avg"))
+
+
+# ---------------------------------------------------------------------------
+# islands, sessions, legs, interpolation, fills
+# ---------------------------------------------------------------------------
+def q_collapse_islands(spark: SparkSession, sf: str) -> DataFrame:
+    ev = stop_events(spark, sf).withColumn("start_us", F.col("t_us")).withColumn("end_us", F.col("t_us"))
+    c = sequence.collapse_islands(ev, ENTITY, ORDER, ["stop_id"], "start_us", "end_us", ["stop_id"])
+    return c.select(ENTITY, F.col("island").cast("long").alias("island"), "stop_id", "start_us", "end_us", "n_rows")
+
+
+SESSION_GAP_S = 12 * 3600
+
+
+def q_sessionize_gap(spark: SparkSession, sf: str) -> DataFrame:
+    ev = stop_events(spark, sf)
+    d = sequence.island_ids(ev, ENTITY, ORDER, gap=("t", SESSION_GAP_S), out="session")
+    return d.groupBy(ENTITY, "session").agg(
+        F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"), F.count(F.lit(1)).alias("n_events")) \
+        .select(ENTITY, F.col("session").cast("long").alias("session"), "start_us", "end_us", "n_events")
+
+
+def q_next_leg(spark: SparkSession, sf: str) -> DataFrame:
+    ev = stop_events(spark, sf)
+    d = sequence.next_leg(ev, ENTITY, ORDER, ["event_id", "stop_id", "t_us"])
+    return d.select("event_id", "next_event_id", F.col("next_stop_id"),
+                    ((F.col("next_t_us") - F.col("t_us")) / 1e6).alias("leg_s"))
+
+
+def _gappy(ev: DataFrame) -> DataFrame:
+    """Every third reading missing (value nulled where event_id % 3 = 0)."""
+    return ev.withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+
+
+def q_interpolate_linear(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _gappy(stop_events(spark, sf))
+    d = sequence.interpolate_linear(ev, ENTITY, ORDER, "v", "value_interp")
+    return d.select("event_id", r4("value_interp").alias("value_interp"))
+
+
+SLOT_US = 600 * 1_000_000
+
+
+def q_ffill_bfill_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """A complete 10-minute grid between the first and last event (A1), the
+    maximum reading per slot, forward- then back-filled where a slot is empty."""
+    ev = stop_events(spark, sf)
+    slot = F.floor(F.col("t_us") / SLOT_US)
+    per = ev.groupBy(slot.alias("slot")).agg(F.max("value").alias("reading"))
+    rng = ev.agg(F.min(slot).alias("lo"), F.max(slot).alias("hi"))
+    grid = rng.select(F.explode(F.sequence("lo", "hi")).alias("slot"))
+    filled = sequence.fill_forward_backward(grid.join(per, "slot", "left"), ["slot"], ["reading"])
+    return filled.select((F.col("slot") * SLOT_US).alias("slot_us"), "reading")
+
+
+def q_downsample_first(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _gappy(stop_events(spark, sf))
+    d = sequence.downsample_first(ev, ENTITY, "ts", "hour", ["v", "stop_id"], tiebreak=["event_id"])
+    return d.select(ENTITY, F.unix_micros("bin_ts").alias("bin_us"), F.col("v").alias("first_value"),
+                    F.col("stop_id").alias("first_stop_id"))
+
+
+def q_keep_first_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    ev = stop_events(spark, sf)
+    d = sequence.keep_first(ev, [ENTITY, "stop_id"], ORDER, ["event_id", "value"])
+    return d.select(ENTITY, "stop_id", "event_id", "value")
+
+
+# ---------------------------------------------------------------------------
+# splits
+# ---------------------------------------------------------------------------
+def q_split_date(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.splits import split_date
+    from .events_model import SPLIT_CUTOFF
+    return split_date(stop_events(spark, sf), "ts", SPLIT_CUTOFF).select("event_id", "split")
+
+
+def q_split_fraction_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.splits import split_fraction
+    from .events_model import TRAIN_FRACTION
+    return split_fraction(stop_events(spark, sf), ORDER, TRAIN_FRACTION).select("event_id", "split")
+
+
+def q_split_fraction_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: a trip is a user-day; trips ordered by first event, 80 % of trips train."""
+    from ..operators.splits import split_fraction_by_entity
+    from .events_model import TRAIN_FRACTION
+    ev = stop_events(spark, sf).withColumn("day", F.to_date(F.col("ts")))
+    d = split_fraction_by_entity(ev, [ENTITY, "day"], "t_us", TRAIN_FRACTION)
+    return d.select("event_id", "split")
+
+
+QUERIES.update({
+    "expanding_mean_with_state": q_expanding_mean_with_state,
+    "hist_state_merge": q_hist_state_merge,
+    "expanding_mean_strict": q_expanding_mean_strict,
+    "collapse_islands": q_collapse_islands,
+    "sessionize_gap": q_sessionize_gap,
+    "next_leg": q_next_leg,
+    "interpolate_linear": q_interpolate_linear,
+    "ffill_bfill_slots": q_ffill_bfill_slots,
+    "downsample_first": q_downsample_first,
+    "keep_first_distinct": q_keep_first_distinct,
+    "split_date": q_split_date,
+    "split_fraction_rows": q_split_fraction_rows,
+    "split_fraction_trips": q_split_fraction_trips,
+})
