@@ -29,7 +29,7 @@ RN = f"""r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_us,
 
 PAIRS_BOUNDED = f"""bp AS (
   SELECT o.event_id AS o_event_id, d.event_id AS d_event_id, d.rn - o.rn AS k,
-         o.route_id, o.stop_id AS o_stop_id, d.stop_id AS d_stop_id, o.t AS o_t, d.t AS d_t,
+         o.route_id, o.stop_id AS o_stop_id, d.stop_id AS d_stop_id, o.t AS o_t, d.t AS d_t, o.t_us AS o_t_us, d.t_us AS d_t_us,
          d.t_us - o.t_us AS tt_us, (d.t_us - o.t_us) / 1e6 AS tt, {hav('o.lat', 'o.lon', 'd.lat', 'd.lon')} AS dist_m
   FROM r o JOIN r d ON o.user_id = d.user_id AND d.rn - o.rn BETWEEN 1 AND {K}
   WHERE d.t_us > o.t_us AND (d.t_us - o.t_us) / 1e6 > 0 AND (d.t_us - o.t_us) / 1e6 <= {MAX_TT})"""
