@@ -10,15 +10,17 @@ one entity holds a large share of all rows. The skew-safe path used by default:
    (60 s of time, or 64 steps of an integer order); block sizes are counted with a
    partial aggregation; an exclusive prefix sum over the (small) block-count table
    gives each block's base; ``row_number`` inside ``(entity, block)`` finishes it.
-2. ``Seq.frames``: rows are cut into chunks of ``chunk_rows`` consecutive positions.
+2. ``Seq.run``: rows of hot entities are cut into chunks of ``chunk_rows`` consecutive positions.
    A row that is within ``back``/``fwd`` positions of a chunk edge is copied into the
    neighbouring chunk as a *halo* row, so bounded lags/leads over
    ``partitionBy(entity, chunk)`` are exact. Halo rows are dropped afterwards.
 3. Running sums and carries (island ids, forward fill) combine an in-chunk window
    with an exclusive prefix over per-chunk totals.
 
-``skew_safe=False`` keeps the single ``partitionBy(entity)`` window (one shuffle),
-which is the right choice when the entity is bounded by construction (trips).
+Only hot entities (more than ``CHUNK_ROWS`` rows, found with one partial count per
+entity and broadcast as a key list of at most rows/CHUNK_ROWS entries) and null keys
+take that path; every other entity uses one ``partitionBy(entity)`` window, i.e. a
+single shuffle. ``skew_safe=False`` skips the hot-key detection entirely.
 """
 
 from __future__ import annotations
@@ -61,16 +63,25 @@ def default_block(df: DataFrame, first_order: str) -> Column:
     return F.coalesce(b.cast("long"), F.lit(_MAXLONG))
 
 
-def positions(df: DataFrame, entity, order, rn: str = "_rn", block: Column | None = None,
-              skew_safe: bool | None = None) -> DataFrame:
-    """Add ``rn``: 0-based position of the row within its entity under ``order``
-    (ascending, nulls last). Rows with a null entity key get a null position (they
-    never take part in a sequence, N5/N6)."""
-    entity, order = _as_list(entity), _as_list(order)
-    skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
-    if not skew_safe:
-        w = Window.partitionBy(*entity).orderBy(*_ord(order))
-        return df.withColumn(rn, F.when(~any_null(entity), F.row_number().over(w) - 1))
+def hot_entities(df: DataFrame, entity, min_rows: int | None = None) -> DataFrame:
+    """Entities with more than ``min_rows`` rows (partial aggregation). The result has at
+    most ``rows / min_rows`` keys, which is the bound that makes broadcasting it safe."""
+    entity = _as_list(entity)
+    min_rows = CHUNK_ROWS if min_rows is None else min_rows
+    return (df.where(~any_null(entity)).groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
+              .where(F.col("_n") > min_rows).select(*entity).withColumn("_hot", F.lit(True)))
+
+
+def split_hot(df: DataFrame, entity, min_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cold rows, hot-or-null-entity rows). Cold entities hold at most ``min_rows``
+    rows, so one window partition per entity is bounded; the rest take the chunked path."""
+    entity = _as_list(entity)
+    d = df.join(F.broadcast(hot_entities(df, entity, min_rows)), entity, "left")
+    hot = F.coalesce(F.col("_hot"), F.lit(False)) | any_null(entity)
+    return d.where(~hot).drop("_hot"), d.where(hot).drop("_hot")
+
+
+def _block_positions(df: DataFrame, entity, order, rn: str, block: Column | None) -> DataFrame:
     blk = block if block is not None else default_block(df, order[0])
     d = df.withColumn("_blk", blk)
     cnt = d.groupBy(*entity, "_blk").agg(F.count(F.lit(1)).alias("_bn"))
@@ -82,64 +93,42 @@ def positions(df: DataFrame, entity, order, rn: str = "_rn", block: Column | Non
     return d.withColumn(rn, F.col("_base") + F.row_number().over(w) - 1).drop("_base")
 
 
-class Seq:
-    """An entity-ordered view of a DataFrame with exact bounded-offset windows."""
+def positions(df: DataFrame, entity, order, rn: str = "_rn", block: Column | None = None,
+              skew_safe: bool | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """Add ``rn``: 0-based position of the row within its entity under ``order``
+    (ascending, nulls last). Rows with a null entity key get a null position (they
+    never take part in a sequence, N5/N6).
 
-    def __init__(self, df: DataFrame, entity, order, skew_safe: bool | None = None,
-                 chunk_rows: int = CHUNK_ROWS, block: Column | None = None):
-        self.entity = _as_list(entity)
-        self.order = _as_list(order)
-        self.skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
-        self.chunk_rows = chunk_rows
-        self.df = df
-        self.block = block
+    Skew-safe: cold entities use one ``row_number`` window per entity; rows of hot
+    entities (and null keys) use block counts + prefix sums + ``row_number`` inside
+    ``(entity, block)``, so no task holds a whole hot entity."""
+    entity, order = _as_list(entity), _as_list(order)
+    skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
+    w = Window.partitionBy(*entity).orderBy(*_ord(order))
+    if not skew_safe:
+        return df.withColumn(rn, F.when(~any_null(entity), F.row_number().over(w) - 1))
+    cold, hot = split_hot(df, entity, chunk_rows)
+    cold = cold.withColumn(rn, F.row_number().over(w) - 1)
+    hot = _block_positions(hot, entity, order, rn, block).drop("_blk")
+    return cold.unionByName(hot)
 
-    # -- frames -------------------------------------------------------------
-    def frames(self, back: int = 0, fwd: int = 0) -> tuple[DataFrame, Window]:
-        """Return (rows with ``_rn``, ``_ck``, ``_halo``; window spec) such that
-        ``lag(c, j)`` for j <= back and ``lead(c, j)`` for j <= fwd over the spec are
-        exact for every non-halo row. The window orders by ``_rn``."""
-        if not self.skew_safe:
-            w = Window.partitionBy(*self.entity).orderBy(*_ord(self.order))
-            d = (self.df.withColumn("_rn", F.when(~any_null(self.entity), F.row_number().over(w) - 1))
-                 .withColumn("_ck", F.lit(0).cast("long")).withColumn("_halo", F.lit(False)))
-            return d, w
-        size = self.chunk_rows
-        if back > size or fwd > size:
-            raise ValueError("halo wider than a chunk")
-        d = positions(self.df, self.entity, self.order, "_rn", self.block, True)
-        rn = F.col("_rn")
-        # null positions (null entity): spread by block, results are nulled anyway
-        ck = F.coalesce(F.floor(rn / size), -1 - F.col("_blk"))
-        pos = F.pmod(rn, F.lit(size))
-        elems = [F.struct(ck.alias("ck"), F.lit(False).alias("halo"))]
-        if back:
-            elems.append(F.when(pos >= size - back, F.struct((ck + 1).alias("ck"), F.lit(True).alias("halo"))))
-        if fwd:
-            elems.append(F.when(pos < fwd, F.struct((ck - 1).alias("ck"), F.lit(True).alias("halo"))))
-        d = d.withColumn("_cp", F.explode(F.filter(F.array(*elems), lambda x: x.isNotNull())))
-        d = d.withColumn("_ck", F.col("_cp.ck")).withColumn("_halo", F.col("_cp.halo")).drop("_cp", "_blk")
-        w = Window.partitionBy(*self.entity, "_ck").orderBy("_rn")
-        return d, w
 
-    @staticmethod
-    def finish(d: DataFrame, keep_rn: bool = False) -> DataFrame:
-        d = d.where(~F.col("_halo"))
-        drop = ["_ck", "_halo"] + ([] if keep_rn else ["_rn"])
-        return d.drop(*[c for c in drop if c in d.columns])
+class Branch:
+    """Window helpers for one branch of a ``Seq`` (single window per entity, or chunked)."""
+
+    def __init__(self, entity: list[str], chunked: bool):
+        self.entity, self.chunked = entity, chunked
 
     def null_if_no_entity(self, c: Column) -> Column:
         return F.when(~any_null(self.entity), c)
 
-    # -- running aggregates across chunks ----------------------------------
     def running_sum(self, d: DataFrame, w: Window, value: str, out: str, inclusive: bool = True) -> DataFrame:
         """``out`` = running sum of ``value`` over the entity in order (non-halo rows).
-
-        Exact across chunks: in-chunk window + exclusive prefix of chunk totals."""
+        Chunked: in-chunk window + exclusive prefix of per-chunk totals."""
         v = F.when(~F.col("_halo"), F.col(value)).otherwise(F.lit(0))
         frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         d = d.withColumn(out, F.coalesce(F.sum(v).over(frame), F.lit(0)))
-        if not self.skew_safe:
+        if not self.chunked:
             return d
         tot = (d.where(~F.col("_halo")).groupBy(*self.entity, "_ck")
                .agg(F.sum(F.col(value)).alias("_ct")))
@@ -164,7 +153,7 @@ class Seq:
             frame = w.rowsBetween(Window.unboundedPreceding, 0)
             d = d.withColumn(out_val, F.last(vv, ignorenulls=True).over(frame)) \
                  .withColumn(out_rn, F.last(rr, ignorenulls=True).over(frame))
-        if not self.skew_safe:
+        if not self.chunked:
             return d
         core = d.where(~F.col("_halo") & F.col(value).isNotNull())
         agg = F.min_by if reverse else F.max_by
@@ -185,6 +174,71 @@ class Seq:
                  .withColumn(out_rn, F.coalesce(F.col(out_rn), F.col("_carry.r"))).drop("_carry"))
 
 
+class Seq:
+    """An entity-ordered view of a DataFrame with exact bounded-offset windows.
+
+    ``run(fn, back, fwd)`` applies ``fn(rows, window, branch)`` to
+    * the cold branch: entities with at most ``chunk_rows`` rows, one
+      ``partitionBy(entity)`` window (a single shuffle), and
+    * the hot branch: rows of larger entities and of null keys, cut into
+      ``(entity, chunk)`` partitions with ``back``/``fwd`` halo rows,
+    and returns the union with halo rows and helper columns removed. In both branches
+    ``_rn`` is the row's position in its entity and the window orders by it, so
+    ``lag(c, j)`` (j <= back) and ``lead(c, j)`` (j <= fwd) are exact.
+    """
+
+    def __init__(self, df: DataFrame, entity, order, skew_safe: bool | None = None,
+                 chunk_rows: int | None = None, block: Column | None = None):
+        self.entity = _as_list(entity)
+        self.order = _as_list(order)
+        self.skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
+        self.chunk_rows = CHUNK_ROWS if chunk_rows is None else chunk_rows
+        self.df = df
+        self.block = block
+
+    def _plain(self, df: DataFrame) -> tuple[DataFrame, Window]:
+        w = Window.partitionBy(*self.entity).orderBy(*_ord(self.order))
+        d = (df.withColumn("_rn", F.when(~any_null(self.entity), F.row_number().over(w) - 1))
+               .withColumn("_ck", F.lit(0).cast("long")).withColumn("_halo", F.lit(False)))
+        return d, w
+
+    def _chunked(self, df: DataFrame, back: int, fwd: int) -> tuple[DataFrame, Window]:
+        size = self.chunk_rows
+        if back > size or fwd > size:
+            raise ValueError("halo wider than a chunk")
+        d = _block_positions(df, self.entity, self.order, "_rn", self.block)
+        rn = F.col("_rn")
+        # null positions (null entity): spread by block, results are nulled anyway
+        ck = F.coalesce(F.floor(rn / size), -1 - F.col("_blk"))
+        pos = F.pmod(rn, F.lit(size))
+        elems = [F.struct(ck.alias("ck"), F.lit(False).alias("halo"))]
+        if back:
+            elems.append(F.when(pos >= size - back, F.struct((ck + 1).alias("ck"), F.lit(True).alias("halo"))))
+        if fwd:
+            elems.append(F.when(pos < fwd, F.struct((ck - 1).alias("ck"), F.lit(True).alias("halo"))))
+        d = d.withColumn("_cp", F.explode(F.filter(F.array(*elems), lambda x: x.isNotNull())))
+        d = d.withColumn("_ck", F.col("_cp.ck")).withColumn("_halo", F.col("_cp.halo")).drop("_cp", "_blk")
+        w = Window.partitionBy(*self.entity, "_ck").orderBy("_rn")
+        return d, w
+
+    def run(self, fn, back: int = 0, fwd: int = 0, keep_rn: bool = False) -> DataFrame:
+        if not self.skew_safe:
+            d, w = self._plain(self.df)
+            return self.finish(fn(d, w, Branch(self.entity, False)), keep_rn)
+        cold, hot = split_hot(self.df, self.entity, self.chunk_rows)
+        dc, wc = self._plain(cold)
+        dh, wh = self._chunked(hot, back, fwd)
+        a = self.finish(fn(dc, wc, Branch(self.entity, False)), keep_rn)
+        b = self.finish(fn(dh, wh, Branch(self.entity, True)), keep_rn)
+        return a.unionByName(b)
+
+    @staticmethod
+    def finish(d: DataFrame, keep_rn: bool = False) -> DataFrame:
+        d = d.where(~F.col("_halo"))
+        drop = ["_ck", "_halo"] + ([] if keep_rn else ["_rn"])
+        return d.drop(*[c for c in drop if c in d.columns])
+
+
 # ---------------------------------------------------------------------------
 # Previous point, leg speed, speed lags
 # ---------------------------------------------------------------------------
@@ -195,32 +249,36 @@ def speed_lags(df: DataFrame, entity, order, lat: str, lon: str, t_seconds: str,
     difference is 0 or a value is missing), then ``vel_lag_1..n`` = speed of the
     previous 1..n legs with missing -> 0.0. A null entity gets zeros (N5)."""
     from ..functions.geo import haversine_m
-    s = Seq(df, entity, order, skew_safe)
-    d, w = s.frames(back=n + 1)
-    prev_lat, prev_lon, prev_t = (F.lag(F.col(c), 1).over(w) for c in (lat, lon, t_seconds))
-    dist = haversine_m(prev_lat, prev_lon, F.col(lat), F.col(lon), float32_coords)
-    dt = F.col(t_seconds).cast("double") - prev_t.cast("double")
-    vel = F.try_divide(dist, dt)
-    d = d.withColumn("_vel", s.null_if_no_entity(F.when(~F.isnan(vel), vel)))
-    if keep_leg:
-        d = d.withColumn("leg_m", s.null_if_no_entity(dist)).withColumn("leg_s", s.null_if_no_entity(dt))
-    for j in range(1, n + 1):
-        d = d.withColumn(f"vel_lag_{j}", F.coalesce(F.lag("_vel", j).over(w), F.lit(0.0)))
-    return s.finish(d.drop("_vel"))
+
+    def fn(d, w, b):
+        prev_lat, prev_lon, prev_t = (F.lag(F.col(c), 1).over(w) for c in (lat, lon, t_seconds))
+        dist = haversine_m(prev_lat, prev_lon, F.col(lat), F.col(lon), float32_coords)
+        dt = F.col(t_seconds).cast("double") - prev_t.cast("double")
+        vel = F.try_divide(dist, dt)
+        d = d.withColumn("_vel", b.null_if_no_entity(F.when(~F.isnan(vel), vel)))
+        if keep_leg:
+            d = d.withColumn("leg_m", b.null_if_no_entity(dist)).withColumn("leg_s", b.null_if_no_entity(dt))
+        for j in range(1, n + 1):
+            d = d.withColumn(f"vel_lag_{j}", F.coalesce(F.lag("_vel", j).over(w), F.lit(0.0)))
+        return d.drop("_vel")
+
+    return Seq(df, entity, order, skew_safe).run(fn, back=n + 1)
 
 
 def row_index(df: DataFrame, entity, order, out: str = "row_in_entity", skew_safe: bool | None = None) -> DataFrame:
     """0-based row number within the entity (cumcount)."""
-    return positions(df, entity, order, out, skew_safe=skew_safe).drop("_blk")
+    return positions(df, entity, order, out, skew_safe=skew_safe)
 
 
 def previous_values(df: DataFrame, entity, order, cols, n: int = 1, skew_safe: bool | None = None) -> DataFrame:
     """``prev_<c>`` = value of the row ``n`` places earlier in the entity."""
-    s = Seq(df, entity, order, skew_safe)
-    d, w = s.frames(back=n)
-    for c in _as_list(cols):
-        d = d.withColumn(f"prev_{c}", s.null_if_no_entity(F.lag(F.col(c), n).over(w)))
-    return s.finish(d)
+
+    def fn(d, w, b):
+        for c in _as_list(cols):
+            d = d.withColumn(f"prev_{c}", b.null_if_no_entity(F.lag(F.col(c), n).over(w)))
+        return d
+
+    return Seq(df, entity, order, skew_safe).run(fn, back=n)
 
 
 # ---------------------------------------------------------------------------
@@ -238,14 +296,16 @@ def lookahead_pairs(df: DataFrame, entity, order, origin_cols, dest_cols, k_max:
     physical hops, as the leg-log feeds label them).
     Halo of k_max rows makes this exact without a per-entity window.
     """
-    s = Seq(df, entity, order, skew_safe)
-    d, w = s.frames(fwd=k_max)
     dcols = _as_list(dest_cols)
     dstruct = F.struct(*[F.col(c).alias(c) for c in dcols])
-    cands = F.array(*[F.struct(F.lit(j).alias("k"), F.lead(dstruct, j).over(w).alias("d"))
-                      for j in range(1, k_max + 1)])
-    d = d.where(~any_null(s.entity)).withColumn("_c", cands)
-    d = d.where(~F.col("_halo"))
+    ent = _as_list(entity)
+
+    def fn(d, w, b):
+        cands = F.array(*[F.struct(F.lit(j).alias("k"), F.lead(dstruct, j).over(w).alias("d"))
+                          for j in range(1, k_max + 1)])
+        return d.withColumn("_c", F.when(~any_null(ent), cands))
+
+    d = Seq(df, entity, order, skew_safe).run(fn, fwd=k_max).where(F.col("_c").isNotNull())
     sel = [*(F.col(c).alias(f"o_{c}") for c in _as_list(origin_cols))]
     d = d.select(*sel, F.explode(F.col("_c")).alias("_p"))
     d = d.where(F.col("_p.d").isNotNull())
@@ -302,24 +362,23 @@ def island_ids(df: DataFrame, entity, order, change_cols=(), gap: tuple[str, flo
     (``t_col`` may be a pair ``(start, prev_end)`` of names), or when
     ``continuity=(origin, destination)`` breaks (origin != previous destination).
     """
-    s = Seq(df, entity, order, skew_safe)
-    d, w = s.frames(back=1)
-    first = F.lag(F.lit(1), 1).over(w).isNull()
-    flag = first
-    for c in _as_list(change_cols):
-        flag = flag | F.coalesce(F.col(c) != F.lag(F.col(c), 1).over(w), F.lit(True))
-    if gap is not None:
-        tcol, secs = gap
-        start, prev_end = (tcol, tcol) if isinstance(tcol, str) else tcol
-        g = F.col(start).cast("double") - F.lag(F.col(prev_end), 1).over(w).cast("double")
-        flag = flag | F.coalesce(g > secs, F.lit(False))
-    if continuity is not None:
-        oc, dc = continuity
-        flag = flag | F.coalesce(F.col(oc) != F.lag(F.col(dc), 1).over(w), F.lit(True))
-    d = d.withColumn("_flag", flag.cast("long"))
-    d = s.running_sum(d, w, "_flag", out)
-    d = d.withColumn(out, s.null_if_no_entity(F.col(out)))
-    return s.finish(d.drop("_flag"))
+
+    def fn(d, w, b):
+        flag = F.lag(F.lit(1), 1).over(w).isNull()
+        for c in _as_list(change_cols):
+            flag = flag | F.coalesce(F.col(c) != F.lag(F.col(c), 1).over(w), F.lit(True))
+        if gap is not None:
+            tcol, secs = gap
+            start, prev_end = (tcol, tcol) if isinstance(tcol, str) else tcol
+            g = F.col(start).cast("double") - F.lag(F.col(prev_end), 1).over(w).cast("double")
+            flag = flag | F.coalesce(g > secs, F.lit(False))
+        if continuity is not None:
+            oc, dc = continuity
+            flag = flag | F.coalesce(F.col(oc) != F.lag(F.col(dc), 1).over(w), F.lit(True))
+        d = b.running_sum(d.withColumn("_flag", flag.cast("long")), w, "_flag", out)
+        return d.withColumn(out, b.null_if_no_entity(F.col(out))).drop("_flag")
+
+    return Seq(df, entity, order, skew_safe).run(fn, back=1)
 
 
 def collapse_islands(df: DataFrame, entity, order, change_cols, start: str, end: str,
@@ -341,13 +400,13 @@ def next_leg(df: DataFrame, entity, order, cols, prefix: str = "next_", keep_las
              skew_safe: bool | None = None) -> DataFrame:
     """Attach the next row's ``cols`` (lead 1); the last row of an entity is
     dropped unless ``keep_last``."""
-    s = Seq(df, entity, order, skew_safe)
-    d, w = s.frames(fwd=1)
-    cols = _as_list(cols)
-    for c in cols:
-        d = d.withColumn(f"{prefix}{c}", s.null_if_no_entity(F.lead(F.col(c), 1).over(w)))
-    d = d.withColumn("_has_next", s.null_if_no_entity(F.lead(F.lit(1), 1).over(w)).isNotNull())
-    d = s.finish(d)
+
+    def fn(d, w, b):
+        for c in _as_list(cols):
+            d = d.withColumn(f"{prefix}{c}", b.null_if_no_entity(F.lead(F.col(c), 1).over(w)))
+        return d.withColumn("_has_next", b.null_if_no_entity(F.lead(F.lit(1), 1).over(w)).isNotNull())
+
+    d = Seq(df, entity, order, skew_safe).run(fn, fwd=1)
     if not keep_last:
         d = d.where(F.col("_has_next"))
     return d.drop("_has_next")
@@ -358,29 +417,32 @@ def interpolate_linear(df: DataFrame, entity, order, col: str, out: str | None =
     """Fill nulls of ``col`` by linear interpolation *by position* inside the
     entity. Leading nulls stay null; trailing nulls take the last value."""
     out = out or col
-    s = Seq(df, entity, order, skew_safe)
-    d, w = s.frames()
-    d = s.carry_last(d, w, col, "_pv", "_pr")
-    d = s.carry_last(d, w, col, "_nv", "_nr", reverse=True)
-    frac = (F.col("_rn") - F.col("_pr")) / (F.col("_nr") - F.col("_pr"))
-    interp = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * frac
-    val = F.coalesce(F.col(col).cast("double"),
-                     F.when(F.col("_nv").isNull(), F.col("_pv")).otherwise(interp))
-    d = d.withColumn(out, s.null_if_no_entity(val) if s.entity else val)
-    return s.finish(d.drop("_pv", "_pr", "_nv", "_nr"))
+
+    def fn(d, w, b):
+        d = b.carry_last(d, w, col, "_pv", "_pr")
+        d = b.carry_last(d, w, col, "_nv", "_nr", reverse=True)
+        frac = (F.col("_rn") - F.col("_pr")) / (F.col("_nr") - F.col("_pr"))
+        interp = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * frac
+        val = F.coalesce(F.col(col).cast("double"),
+                         F.when(F.col("_nv").isNull(), F.col("_pv")).otherwise(interp))
+        return d.withColumn(out, b.null_if_no_entity(val)).drop("_pv", "_pr", "_nv", "_nr")
+
+    return Seq(df, entity, order, skew_safe).run(fn)
 
 
 def fill_forward_backward(df: DataFrame, order, cols, skew_safe: bool | None = None) -> DataFrame:
     """W10 on an ordered (small) series without an entity: forward fill then back fill
     each column. Exact two-pass carry across chunks, no single-partition window over
     the data itself."""
-    s = Seq(df.withColumn("_all", F.lit(0)), ["_all"], order, skew_safe)
-    d, w = s.frames()
-    for c in _as_list(cols):
-        d = s.carry_last(d, w, c, "_fv", "_fr")
-        d = s.carry_last(d, w, c, "_bv", "_br", reverse=True)
-        d = d.withColumn(c, F.coalesce(F.col(c), F.col("_fv"), F.col("_bv"))).drop("_fv", "_fr", "_bv", "_br")
-    return s.finish(d).drop("_all")
+
+    def fn(d, w, b):
+        for c in _as_list(cols):
+            d = b.carry_last(d, w, c, "_fv", "_fr")
+            d = b.carry_last(d, w, c, "_bv", "_br", reverse=True)
+            d = d.withColumn(c, F.coalesce(F.col(c), F.col("_fv"), F.col("_bv"))).drop("_fv", "_fr", "_bv", "_br")
+        return d
+
+    return Seq(df.withColumn("_all", F.lit(0)), ["_all"], order, skew_safe).run(fn).drop("_all")
 
 
 # ---------------------------------------------------------------------------
