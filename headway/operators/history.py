@@ -59,71 +59,74 @@ def expanding_mean(pairs: DataFrame, keys, value: str, fallback: Column, out: st
     if mode == "strict":
         return _expanding_strict(pairs, keys, value, fallback, out, t_col, t_end_col, tiebreak, state,
                                  sum_col, n_col, divide_by)
-    blk_t = F.floor(F.col(t_col) / HIST_BLOCK_SECONDS).cast("long")
-    d = pairs.withColumn("_hb", blk_t)
-    blocks = (d.groupBy(*keys, k_col, "_hb")
-              .agg(F.sum(F.col(value)).alias("_bs"), F.count(F.col(value)).alias("_bc")))
-    wb = Window.partitionBy(*keys).orderBy(F.col(k_col).asc_nulls_last(), F.col("_hb").asc_nulls_last()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, k_col, "_hb",
-                           F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_os"),
+    d = pairs.withColumn("_hb", F.floor(F.col(t_col) / HIST_BLOCK_SECONDS).cast("long"))
+    order = [F.col(c).asc_nulls_last() for c in [t_col, *tiebreak]]
+    d = _running_with_offsets(d, keys, [k_col, "_hb"], order, F.col(value), F.lit(1), value, state, sum_col, n_col)
+    mean = F.col("_s") / F.col("_n") if divide_by is None else (F.col("_s") / F.col("_n")) / F.lit(float(divide_by))
+    res = F.when(any_null(keys), F.lit(None).cast("double")).when(F.col("_n") == 0, fallback.cast("double")) \
+        .otherwise(mean)
+    return d.withColumn(out, res).drop("_hb", "_s", "_n")
+
+
+def _running_with_offsets(d: DataFrame, keys, blk_cols, order, v: Column, c: Column, value: str,
+                          state: DataFrame | None, sum_col: str, n_col: str,
+                          counted: Column | None = None) -> DataFrame:
+    """Exclusive running (sum, count) per key in ``(blk_cols..., order)`` order.
+
+    One window pass over ``partitionBy(key, block)`` gives the in-block running values
+    and the block totals; block offsets come from a window over the (small) block
+    table plus the carried state, joined back on the same partitioning, so the big
+    frame is shuffled once."""
+    counted = F.col(value).isNotNull() if counted is None else counted
+    vv = F.when(counted, v)
+    cc = F.when(counted, c).otherwise(F.lit(0))
+    wblk = Window.partitionBy(*keys, *blk_cols)
+    w_in = wblk.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = (d.withColumn("_is", F.coalesce(F.sum(vv).over(w_in), F.lit(0)))
+          .withColumn("_ic", F.coalesce(F.sum(cc).over(w_in), F.lit(0)))
+          .withColumn("_bs", F.coalesce(F.sum(vv).over(wblk), F.lit(0)))
+          .withColumn("_bc", F.coalesce(F.sum(cc).over(wblk), F.lit(0))))
+    blocks = d.groupBy(*keys, *blk_cols).agg(F.first("_bs").alias("_bs"), F.first("_bc").alias("_bc"))
+    wb = (Window.partitionBy(*keys).orderBy(*[F.col(b).asc_nulls_last() for b in blk_cols])
+          .rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(*keys, *blk_cols, F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_os"),
                            F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_oc"))
     if state is not None:
         blocks = (blocks.join(state.select(*keys, sum_col, n_col), keys, "left")
                   .withColumn("_os", F.col("_os") + F.coalesce(F.col(sum_col), F.lit(0)))
                   .withColumn("_oc", F.col("_oc") + F.coalesce(F.col(n_col), F.lit(0)))
                   .drop(sum_col, n_col))
-    d = d.join(blocks, [*keys, k_col, "_hb"], "left")
-    w = (Window.partitionBy(*keys, k_col, "_hb")
-         .orderBy(*[F.col(c).asc_nulls_last() for c in [t_col, *tiebreak]])
-         .rowsBetween(Window.unboundedPreceding, -1))
-    s = F.col("_os") + F.coalesce(F.sum(F.col(value)).over(w), F.lit(0))
-    n = F.col("_oc") + F.count(F.col(value)).over(w)
-    mean = s / n if divide_by is None else (s / n) / F.lit(float(divide_by))
-    res = F.when(any_null(keys), F.lit(None).cast("double")).when(n == 0, fallback.cast("double")) \
-        .otherwise(mean)
-    return d.withColumn(out, res).drop("_hb", "_os", "_oc")
+    d = d.join(blocks, [*keys, *blk_cols], "left")
+    return (d.withColumn("_s", F.col("_os") + F.col("_is")).withColumn("_n", F.col("_oc") + F.col("_ic"))
+             .drop("_is", "_ic", "_bs", "_bc", "_os", "_oc"))
 
 
 def _expanding_strict(pairs, keys, value, fallback, out, t_col, t_end_col, tiebreak, state, sum_col, n_col,
                       divide_by=None):
-    """Union of query events (at origin time) and completion events (at destination
-    time); a running sum over ``(t, kind)`` with completions after queries at the same
-    instant counts only trips finished strictly before the origin."""
+    """Union of query rows (the pairs themselves, at origin time) and completion events
+    (at destination time); a running sum over ``(t, kind)`` with completions after
+    queries at the same instant counts only trips finished strictly before the origin.
+    Query rows carry all their columns through the union, so no join back is needed."""
     if t_end_col is None or not tiebreak:
         raise ValueError("strict mode needs t_end_col and tiebreak columns that identify a pair")
-    base = pairs.withColumn("_rid", F.struct(*[F.col(c) for c in tiebreak]))
     vtype = pairs.schema[value].dataType
-    q = base.select(*keys, F.col(t_col).alias("_t"), F.lit(0).alias("_kind"), "_rid",
-                    F.lit(0).cast(vtype).alias("_v"), F.lit(0).alias("_c"))
-    c = base.where(F.col(value).isNotNull()).select(*keys, F.col(t_end_col).alias("_t"), F.lit(1).alias("_kind"),
-                                                    "_rid", F.col(value).alias("_v"),
-                                                    F.lit(1).alias("_c"))
-    ev = q.unionByName(c).withColumn("_hb", F.floor(F.col("_t") / HIST_BLOCK_SECONDS).cast("long"))
-    blocks = ev.groupBy(*keys, "_hb").agg(F.sum("_v").alias("_bs"), F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*keys).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "_hb", F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_os"),
-                           F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_oc"))
-    if state is not None:
-        blocks = (blocks.join(state.select(*keys, sum_col, n_col), keys, "left")
-                  .withColumn("_os", F.col("_os") + F.coalesce(F.col(sum_col), F.lit(0)))
-                  .withColumn("_oc", F.col("_oc") + F.coalesce(F.col(n_col), F.lit(0)))
-                  .drop(sum_col, n_col))
-    ev = ev.join(blocks, [*keys, "_hb"], "left")
-    w = (Window.partitionBy(*keys, "_hb").orderBy("_t", "_kind", *[F.col(f"_rid.{c}") for c in tiebreak])
-         .rowsBetween(Window.unboundedPreceding, -1))
-    ev = ev.select(
-        "_rid", "_kind",
-        (F.col("_os") + F.coalesce(F.sum("_v").over(w), F.lit(0))).alias("_s"),
-        (F.col("_oc") + F.coalesce(F.sum("_c").over(w), F.lit(0))).alias("_n")).where(F.col("_kind") == 0)
-    ev = ev.select(*[F.col(f"_rid.{c}").alias(c) for c in tiebreak], "_s", "_n")
-    d = base.drop("_rid").join(ev, tiebreak, "left")
+    q = pairs.withColumn("_t", F.col(t_col)).withColumn("_kind", F.lit(0)) \
+        .withColumn("_v", F.lit(0).cast(vtype)).withColumn("_c", F.lit(0))
+    c = pairs.where(F.col(value).isNotNull()).select(
+        *keys, *[F.col(x) for x in tiebreak], F.col(t_end_col).alias("_t"), F.lit(1).alias("_kind"),
+        F.col(value).alias("_v"), F.lit(1).alias("_c"))
+    ev = q.unionByName(c, allowMissingColumns=True).withColumn(
+        "_hb", F.floor(F.col("_t") / HIST_BLOCK_SECONDS).cast("long"))
+    order = [F.col("_t"), F.col("_kind"), *[F.col(x) for x in tiebreak]]
+    ev = _running_with_offsets(ev, keys, ["_hb"], order, F.col("_v"), F.col("_c"), "_v", state, sum_col, n_col,
+                               counted=F.lit(True))
+    d = ev.where(F.col("_kind") == 0)
     mean = F.col("_s") / F.col("_n")
     if divide_by is not None:
         mean = mean / F.lit(float(divide_by))
     res = F.when(any_null(keys), F.lit(None).cast("double")).when(F.col("_n") == 0, fallback.cast("double")) \
         .otherwise(mean)
-    return d.withColumn(out, res).drop("_s", "_n")
+    return d.withColumn(out, res).drop("_s", "_n", "_t", "_kind", "_v", "_c", "_hb")
 
 
 def lookup_state(df: DataFrame, state: DataFrame, keys, sum_col: str = "sum_tt", n_col: str = "n") -> DataFrame:

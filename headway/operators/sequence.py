@@ -248,6 +248,14 @@ def speed_lags(df: DataFrame, entity, order, lat: str, lon: str, t_seconds: str,
     """Leg speed = haversine(previous point, point) / (t - t_prev) (null when the time
     difference is 0 or a value is missing), then ``vel_lag_1..n`` = speed of the
     previous 1..n legs with missing -> 0.0. A null entity gets zeros (N5)."""
+    fn = speed_lag_step(lat, lon, t_seconds, n, float32_coords, keep_leg)
+    return Seq(df, entity, order, skew_safe).run(fn, back=n + 1)
+
+
+def speed_lag_step(lat: str, lon: str, t_seconds: str, n: int = 3, float32_coords: bool = False,
+                   keep_leg: bool = False):
+    """The W1/W2 computation as a frame step, so it can share one frame (one shuffle)
+    with other window steps such as the lookahead."""
     from ..functions.geo import haversine_m
 
     def fn(d, w, b):
@@ -261,8 +269,7 @@ def speed_lags(df: DataFrame, entity, order, lat: str, lon: str, t_seconds: str,
         for j in range(1, n + 1):
             d = d.withColumn(f"vel_lag_{j}", F.coalesce(F.lag("_vel", j).over(w), F.lit(0.0)))
         return d.drop("_vel")
-
-    return Seq(df, entity, order, skew_safe).run(fn, back=n + 1)
+    return fn
 
 
 def row_index(df: DataFrame, entity, order, out: str = "row_in_entity", skew_safe: bool | None = None) -> DataFrame:
@@ -286,7 +293,8 @@ def previous_values(df: DataFrame, entity, order, cols, n: int = 1, skew_safe: b
 # ---------------------------------------------------------------------------
 def lookahead_pairs(df: DataFrame, entity, order, origin_cols, dest_cols, k_max: int,
                     max_order_gap: tuple[str, int] | None = None, order_col: str | None = None,
-                    leg_input: bool = False, skew_safe: bool | None = None) -> DataFrame:
+                    leg_input: bool = False, skew_safe: bool | None = None, prepare=None,
+                    prepare_back: int = 0) -> DataFrame:
     """W4 bounded: pair each row with the rows 1..k_max places later in its entity.
 
     Output: ``o_<c>`` for origin columns, ``d_<c>`` for destination columns, ``k``.
@@ -295,17 +303,21 @@ def lookahead_pairs(df: DataFrame, entity, order, origin_cols, dest_cols, k_max:
     ``leg_input``: rows are legs; destination columns come from leg ``i+k`` (k=1 is two
     physical hops, as the leg-log feeds label them).
     Halo of k_max rows makes this exact without a per-entity window.
+    ``prepare(d, w, branch)`` (e.g. ``speed_lag_step``) runs first in the same frame
+    (needs ``prepare_back`` rows of look-back), so both share one shuffle.
     """
     dcols = _as_list(dest_cols)
     dstruct = F.struct(*[F.col(c).alias(c) for c in dcols])
     ent = _as_list(entity)
 
     def fn(d, w, b):
+        if prepare is not None:
+            d = prepare(d, w, b)
         cands = F.array(*[F.struct(F.lit(j).alias("k"), F.lead(dstruct, j).over(w).alias("d"))
                           for j in range(1, k_max + 1)])
         return d.withColumn("_c", F.when(~any_null(ent), cands))
 
-    d = Seq(df, entity, order, skew_safe).run(fn, fwd=k_max).where(F.col("_c").isNotNull())
+    d = Seq(df, entity, order, skew_safe).run(fn, back=prepare_back, fwd=k_max).where(F.col("_c").isNotNull())
     sel = [*(F.col(c).alias(f"o_{c}") for c in _as_list(origin_cols))]
     d = d.select(*sel, F.explode(F.col("_c")).alias("_p"))
     d = d.where(F.col("_p.d").isNotNull())
@@ -321,17 +333,21 @@ def lookahead_pairs(df: DataFrame, entity, order, origin_cols, dest_cols, k_max:
 
 
 def band_pairs(df: DataFrame, entity, order, t_seconds: str, max_dt: float, origin_cols, dest_cols,
-               order_col: str | None = None, skew_safe: bool | None = None) -> DataFrame:
+               order_col: str | None = None, skew_safe: bool | None = None, rn_col: str | None = None) -> DataFrame:
     """W4 unbounded / J10: every (origin, destination) of an entity with destination
     later in the sequence and ``0 < t_d - t_o <= max_dt``, labelled ``k`` = position gap.
 
     This is exactly the set the unbounded lookahead keeps after the travel-time filter,
     computed as an equi-join on (entity, time bucket of width max_dt) instead of all
     pairs: each destination is offered to its own bucket and the one before it.
-    Hot buckets are split by AQE's skew-join handling.
+    Hot buckets are split by AQE's skew-join handling. ``rn_col`` reuses positions
+    computed earlier (e.g. by a frame step with ``keep_rn``).
     """
     entity = _as_list(entity)
-    p = positions(df, entity, order, "_rn", skew_safe=skew_safe)
+    if rn_col is not None:
+        p = df.withColumnRenamed(rn_col, "_rn") if rn_col != "_rn" else df
+    else:
+        p = positions(df, entity, order, "_rn", skew_safe=skew_safe)
     p = p.where(~any_null(entity) & F.col(t_seconds).isNotNull())
     bucket = F.floor(F.col(t_seconds) / F.lit(float(max_dt)))
     o = p.select(*entity, F.col("_rn").alias("_rn_o"), F.col(t_seconds).alias("_t_o"),

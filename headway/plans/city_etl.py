@@ -23,6 +23,7 @@ from ..config import OD_FEATURE_COLUMNS, CityConfig
 from ..functions.geo import haversine_m
 from ..functions.timefmt import calendar_features
 from ..operators import enrich, history, sequence
+from ..session import materialize
 
 VISIT_COLS = ["route_id", "direction_id", "stop_id", "seq", "t_us", "lat", "lon"]
 
@@ -31,17 +32,20 @@ def od_pairs(visits: DataFrame, cfg: CityConfig, is_test: bool) -> DataFrame:
     """W2 + W4 + F1 + F2 + P11 on a visits frame; returns one row per O-D pair."""
     ent, order = list(cfg.entity), list(cfg.order)
     v = visits.withColumn("_t", F.col("t_us") / 1e6)
-    v = sequence.speed_lags(v, ent, order, "lat", "lon", "_t", n=3)
+    lags = sequence.speed_lag_step("lat", "lon", "_t", n=3)
     o_cols = [*ent, "route_id", "direction_id", "stop_id", "seq", "t_us", "lat", "lon",
               "vel_lag_1", "vel_lag_2", "vel_lag_3"]
     d_cols = ["stop_id", "seq", "t_us", "lat", "lon"]
     if is_test:
-        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col="seq")
+        # lags and positions from one frame, then the time-band join reuses the positions
+        v = sequence.Seq(v, ent, order).run(lags, back=4, keep_rn=True)
+        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col="seq", rn_col="_rn")
         p = p.drop(*ent)
     else:
+        # lags (look-back 4) and lookahead (K) share one frame: one shuffle for both
         gap = ("seq", cfg.k_train) if cfg.order_gap_cap else None
         p = sequence.lookahead_pairs(v, ent, order, o_cols, d_cols, cfg.k_train, max_order_gap=gap,
-                                     order_col="seq", leg_input=cfg.leg_input)
+                                     order_col="seq", leg_input=cfg.leg_input, prepare=lags, prepare_back=4)
     tt_us = F.col("d_t_us") - F.col("o_t_us")
     p = (p.withColumn("tt_us", tt_us).withColumn("tiempo_viaje_segundos", tt_us / 1e6)
           .where((F.col("tiempo_viaje_segundos") > 0) & (F.col("tiempo_viaje_segundos") <= cfg.max_tt_s))
@@ -63,7 +67,8 @@ def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFram
     """C3 for one split. Returns (D1 features with ``k`` [+ ``extra_cols`` such as the
     origin instant ``t_o_us``], new carried state)."""
     keys = list(cfg.state_keys)
-    p = od_pairs(visits, cfg, is_test)
+    # the pair table feeds the historical mean (twice) and the new state: build it once
+    p = materialize(od_pairs(visits, cfg, is_test))
     p = history.expanding_mean(p, keys, "tt_us", history.fallback_time("distancia_proyectada"),
                                "tiempo_promedio_historico", k_col="k", t_col="t_o",
                                tiebreak=["t_o_us", "seq_o", "stop_id_destino"], state=state, divide_by=1e6)

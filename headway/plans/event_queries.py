@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..operators import history, sequence
+from ..session import materialize
 from .events_model import K_EVENTS, MAX_TT_EVENTS_S, ORDER, r4, stop_events
 
 ENTITY = "user_id"
@@ -40,7 +41,9 @@ def unbounded_pairs(ev: DataFrame) -> DataFrame:
 
 
 def with_hist(p: DataFrame, state: DataFrame | None = None, mode: str = "reference") -> DataFrame:
+    # the pairs feed two consumers (block totals and running sums): build them once;
     # travel times are summed in integer microseconds (exact), the mean is scaled to s
+    p = materialize(p)
     return history.expanding_mean(p, HIST_KEYS, "tt_us", history.fallback_time("dist_m"), "hist_avg",
                                   k_col="k", t_col="o_t", tiebreak=["o_event_id", "d_event_id"],
                                   state=state, mode=mode, t_end_col="d_t", divide_by=1e6)

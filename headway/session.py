@@ -65,3 +65,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for materialised tables."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "headway", f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return a DataFrame that
+    reads it back (reliable ``checkpoint``; never a local one).
+
+    Used where a derived frame (e.g. the O-D pair table) feeds several consumers:
+    without it each consumer would rebuild the frame, because column pruning gives
+    every consumer a different exchange and Spark cannot reuse one shuffle.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
