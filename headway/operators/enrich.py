@@ -19,7 +19,8 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan (no job is run)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v if isinstance(v, int) else v.toString())
     except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Connect)
         return None
 
