@@ -186,3 +186,44 @@ SELECT l_orderkey, l_linenumber, {R4('coalesce(fd.avg_passengers_waiting, 0.0)')
        passengers_waiting, CASE WHEN actual_arrival < TIMESTAMP '2000-01-01' THEN 'train' ELSE 'test' END AS split
 FROM a2 LEFT JOIN fd USING (stop_id, line_id, day_of_week, weather_condition)
 WHERE passengers_waiting IS NOT NULL"""
+
+GTFS = """svc AS (
+  SELECT n_nationkey AS service_id, CAST(DATE '2024-01-01' + CAST(n_nationkey % 10 AS INTEGER) AS DATE) AS s,
+         CAST(DATE '2024-01-01' + CAST(n_nationkey % 10 AS INTEGER) + 20 AS DATE) AS e FROM nation),
+days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-08', INTERVAL 1 DAY)) AS DATE) AS d),
+active AS (SELECT service_id, d FROM svc, days WHERE d BETWEEN s AND e AND (service_id + isodow(d) - 1) % 3 <> 0),
+trips AS (SELECT CAST(o_orderkey AS VARCHAR) AS trip_id, c_nationkey AS service_id
+          FROM orders JOIN customer ON o_custkey = c_custkey),
+st AS (SELECT CAST(l_orderkey AS VARCHAR) AS trip_id, l_linenumber AS seq, CAST(l_suppkey AS VARCHAR) AS stop_id,
+              (20 + l_linenumber) * 3600 + (l_partkey % 60) * 60 AS arr_s FROM lineitem),
+stops AS (SELECT CAST(s_suppkey AS VARCHAR) AS stop_id,
+                 CASE WHEN s_suppkey % 23 <> 0 THEN 40 + s_acctbal / 10000 END AS lat FROM supplier)"""
+
+ORACLES["schedule_legs"] = f"""WITH {GTFS},
+u AS (SELECT t.trip_id || '_' || strftime(a.d, '%Y%m%d') AS trip_date_id, st.seq, st.stop_id,
+             epoch_us(CAST(a.d AS TIMESTAMP)) + (st.arr_s + 30) * 1000000 AS dep_us,
+             epoch_us(CAST(a.d AS TIMESTAMP)) + st.arr_s * 1000000 AS arr_us
+      FROM active a JOIN trips t ON t.service_id = a.service_id JOIN st ON st.trip_id = t.trip_id),
+l AS (SELECT u.*, stops.lat AS lat_o, lead(u.stop_id) OVER w AS stop_id_destino, lead(u.arr_us) OVER w AS next_arr,
+             lead(u.seq) OVER w AS next_seq
+      FROM u LEFT JOIN stops ON u.stop_id = stops.stop_id
+      WINDOW w AS (PARTITION BY trip_date_id ORDER BY seq, dep_us, u.stop_id))
+SELECT trip_date_id, stop_id AS stop_id_origen, stop_id_destino, dep_us, next_arr AS arr_us,
+       (next_arr - dep_us) / 1e6 AS tiempo_viaje_base, lat_o
+FROM l WHERE next_seq IS NOT NULL AND (next_arr - dep_us) / 1e6 > 0"""
+
+ORACLES["schedule_expansion"] = """WITH st AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS trip_id, CAST(l_suppkey AS VARCHAR) AS stop_id,
+         (20 + l_linenumber) * 3600 + (l_partkey % 60) * 60 AS sec FROM lineitem),
+s AS (SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, CASE WHEN s_suppkey % 23 <> 0 THEN 40 + s_acctbal / 10000 END AS lat,
+             -3 - s_nationkey / 100.0 AS lon FROM supplier),
+t AS (SELECT CAST(o_orderkey AS VARCHAR) AS trip_id, o_orderpriority AS route_id,
+             CASE WHEN o_orderstatus <> 'P' THEN '1' ELSE '0' END AS direction_id FROM orders),
+days AS (SELECT unnest(range(0, 3)) AS di)
+SELECT st.trip_id AS vehicle_id, t.route_id, t.direction_id, st.stop_id AS current_stop_id,
+       s.lat AS current_lat, s.lon AS current_lon, CAST(1704672000 + di * 86400 + sec AS BIGINT) AS timestamp
+FROM st JOIN s ON st.stop_id = s.stop_id LEFT JOIN t ON st.trip_id = t.trip_id, days
+WHERE s.lat IS NOT NULL AND s.lon IS NOT NULL"""
+
+ORACLES["row_index"] = f"""WITH {EV}
+SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) - 1 AS row_in_entity FROM ev"""

@@ -343,3 +343,76 @@ QUERIES = {
     "delay_features": q_delay_features,
     "crowd_features": q_crowd_features,
 }
+
+
+# ---------------------------------------------------------------------------
+# GTFS bundle derived from the TPC-H tables; C1 / C2 composites
+# ---------------------------------------------------------------------------
+def tpch_gtfs(spark: SparkSession, sf: str) -> dict:
+    """All-string GTFS tables: nation -> calendar, orders -> trips (route = priority),
+    lineitem -> stop_times (clock 20+line h, partkey%60 min, so some pass 24 h),
+    supplier -> stops (some without latitude)."""
+    cal = _calendar_from_nation(spark, sf).withColumn("service_id", F.col("service_id").cast("string"))
+    trips = (_t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+             .select(F.col("o_orderkey").cast("string").alias("trip_id"),
+                     F.col("c_nationkey").cast("string").alias("service_id"),
+                     F.col("o_orderpriority").alias("route_id"),
+                     F.when(F.col("o_orderstatus") != "P", F.lit("1")).alias("direction_id"),
+                     F.lit(None).cast("string").alias("shape_id")))
+    li = _t(spark, sf, "lineitem")
+    hh = (F.col("l_linenumber") + 20).cast("string")
+    mm = F.lpad((F.col("l_partkey") % 60).cast("string"), 2, "0")
+    st = li.select(F.col("l_orderkey").cast("string").alias("trip_id"),
+                   F.concat_ws(":", hh, mm, F.lit("00")).alias("arrival_time"),
+                   F.concat_ws(":", hh, mm, F.lit("30")).alias("departure_time"),
+                   F.col("l_suppkey").cast("string").alias("stop_id"),
+                   F.col("l_linenumber").cast("string").alias("stop_sequence"))
+    s = _t(spark, sf, "supplier")
+    stops = s.select(F.col("s_suppkey").cast("string").alias("stop_id"), F.col("s_name").alias("stop_name"),
+                     F.when(F.col("s_suppkey") % 23 != 0, F.lit(40) + F.col("s_acctbal") / 10000)
+                     .cast("string").alias("stop_lat"),
+                     (F.lit(-3) - F.col("s_nationkey") / 100.0).cast("string").alias("stop_lon"))
+    return {"calendar": cal, "trips": trips, "stop_times": st, "stops": stops}
+
+
+def q_schedule_legs(spark: SparkSession, sf: str) -> DataFrame:
+    """8 simulated days from the calendar's first start date -> scheduled legs."""
+    from .schedule import unroll_gtfs_legs
+    legs = unroll_gtfs_legs(tpch_gtfs(spark, sf))
+    return legs.select("trip_date_id", "stop_id_origen", "stop_id_destino",
+                       F.unix_micros(F.col("cikis_zaman").cast("timestamp")).alias("dep_us"),
+                       F.unix_micros(F.col("varis_zaman").cast("timestamp")).alias("arr_us"),
+                       "tiempo_viaje_base", "lat_o")
+
+
+def q_schedule_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scheduled stop visit replicated over 3 days as a ping."""
+    from .schedule import expand_schedule
+    return expand_schedule(tpch_gtfs(spark, sf), "2024-01-08", 3)
+
+
+def q_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """5 % of the bounded O-D pairs of every horizon (hash-based, repeatable)."""
+    p = EQ.bounded_pairs(stop_events(spark, sf))
+    return splits.stratified_sample(p, "k", ["o_event_id", "d_event_id"], 0.05).select(
+        "o_event_id", "d_event_id", F.col("k").cast("long").alias("k"))
+
+
+def q_sample_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of 10 users chosen by a seeded hash (the limit is the feature)."""
+    return splits.sample_entities(stop_events(spark, sf), ENTITY, 10).select("event_id", ENTITY)
+
+
+def q_row_index(spark: SparkSession, sf: str) -> DataFrame:
+    """0-based position of every event within its user."""
+    d = sequence.row_index(stop_events(spark, sf), ENTITY, ORDER, "row_in_entity")
+    return d.select("event_id", F.col("row_in_entity").cast("long").alias("row_in_entity"))
+
+
+QUERIES.update({
+    "schedule_legs": q_schedule_legs,
+    "schedule_expansion": q_schedule_expansion,
+    "stratified_sample": q_stratified_sample,
+    "sample_entities": q_sample_entities,
+    "row_index": q_row_index,
+})

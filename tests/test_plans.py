@@ -5,7 +5,8 @@ import __spark_entry__ as E
 
 from .conftest import SF
 
-ROWS_ONLY = {"od_features", "gbt_eta", "feature_importance", "gbt_crowd_chained"}
+ROWS_ONLY = {"od_features", "gbt_eta", "feature_importance", "gbt_crowd_chained", "stratified_sample",
+             "sample_entities"}
 
 
 def test_every_query_has_an_oracle_or_is_model_based():
