@@ -17,10 +17,12 @@ one entity holds a large share of all rows. The skew-safe path used by default:
 3. Running sums and carries (island ids, forward fill) combine an in-chunk window
    with an exclusive prefix over per-chunk totals.
 
-Only hot entities (more than ``CHUNK_ROWS`` rows, found with one partial count per
-entity and broadcast as a key list of at most rows/CHUNK_ROWS entries) and null keys
-take that path; every other entity uses one ``partitionBy(entity)`` window, i.e. a
-single shuffle. ``skew_safe=False`` skips the hot-key detection entirely.
+Only hot entities take that path: entities with more than ``CHUNK_ROWS`` rows are
+found by one small statistics job (a partial count per entity); their keys (at most
+``MAX_HOT_KEYS``, so the broadcast size is known) are broadcast and their rows are
+chunked, while every other entity uses one ``partitionBy(entity)`` window, i.e. a
+single shuffle. With no hot entity the plan is exactly the single-window plan; with
+too many, every row is chunked. ``skew_safe=False`` skips the statistics job.
 """
 
 from __future__ import annotations
@@ -63,21 +65,47 @@ def default_block(df: DataFrame, first_order: str) -> Column:
     return F.coalesce(b.cast("long"), F.lit(_MAXLONG))
 
 
+MAX_HOT_KEYS = 100_000      # above this many hot entities everything takes the chunked path
+
+
 def hot_entities(df: DataFrame, entity, min_rows: int | None = None) -> DataFrame:
-    """Entities with more than ``min_rows`` rows (partial aggregation). The result has at
-    most ``rows / min_rows`` keys, which is the bound that makes broadcasting it safe."""
+    """Entities (a null key counts as one) with more than ``min_rows`` rows, from one
+    partial aggregation. At most ``rows / min_rows`` keys exist."""
     entity = _as_list(entity)
     min_rows = CHUNK_ROWS if min_rows is None else min_rows
-    return (df.where(~any_null(entity)).groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") > min_rows).select(*entity).withColumn("_hot", F.lit(True)))
+    return (df.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
+              .where(F.col("_n") > min_rows).select(*entity))
+
 
+def route_entities(df: DataFrame, entity, min_rows: int | None = None):
+    """Decide the plan from one small statistics job (the hot-key count).
 
-def split_hot(df: DataFrame, entity, min_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot-or-null-entity rows). Cold entities hold at most ``min_rows``
-    rows, so one window partition per entity is bounded; the rest take the chunked path."""
+    Returns ``("plain", None)`` when no entity is hot (the usual case: one window per
+    entity, a single shuffle), ``("split", (hot_keys_df, null_is_hot))`` when a few are
+    (the key list is collected, so its broadcast size is exact and bounded by
+    ``MAX_HOT_KEYS``), or ``("chunk", None)`` when there are too many hot keys to
+    broadcast (every row then takes the chunked path)."""
     entity = _as_list(entity)
-    d = df.join(F.broadcast(hot_entities(df, entity, min_rows)), entity, "left")
-    hot = F.coalesce(F.col("_hot"), F.lit(False)) | any_null(entity)
+    rows = hot_entities(df, entity, min_rows).limit(MAX_HOT_KEYS + 1).collect()
+    if not rows:
+        return "plain", None
+    if len(rows) > MAX_HOT_KEYS:
+        return "chunk", None
+    null_hot = any(any(r[c] is None for c in entity) for r in rows)
+    keys = [tuple(r[c] for c in entity) for r in rows if all(r[c] is not None for c in entity)]
+    schema = df.select(*entity).schema
+    hot = df.sparkSession.createDataFrame(keys, schema).withColumn("_hot", F.lit(True))
+    return "split", (hot, null_hot)
+
+
+def split_hot(df: DataFrame, entity, hot_info) -> tuple[DataFrame, DataFrame]:
+    """(cold rows, hot rows) given ``route_entities``' split info."""
+    entity = _as_list(entity)
+    hot_df, null_hot = hot_info
+    d = df.join(F.broadcast(hot_df), entity, "left")
+    hot = F.coalesce(F.col("_hot"), F.lit(False))
+    if null_hot:
+        hot = hot | any_null(entity)
     return d.where(~hot).drop("_hot"), d.where(hot).drop("_hot")
 
 
@@ -105,12 +133,19 @@ def positions(df: DataFrame, entity, order, rn: str = "_rn", block: Column | Non
     entity, order = _as_list(entity), _as_list(order)
     skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
     w = Window.partitionBy(*entity).orderBy(*_ord(order))
+
+    def plain(x):
+        return x.withColumn(rn, F.when(~any_null(entity), F.row_number().over(w) - 1))
+
     if not skew_safe:
-        return df.withColumn(rn, F.when(~any_null(entity), F.row_number().over(w) - 1))
-    cold, hot = split_hot(df, entity, chunk_rows)
-    cold = cold.withColumn(rn, F.row_number().over(w) - 1)
-    hot = _block_positions(hot, entity, order, rn, block).drop("_blk")
-    return cold.unionByName(hot)
+        return plain(df)
+    how, info = route_entities(df, entity, chunk_rows)
+    if how == "plain":
+        return plain(df)
+    if how == "chunk":
+        return _block_positions(df, entity, order, rn, block).drop("_blk")
+    cold, hot = split_hot(df, entity, info)
+    return plain(cold).unionByName(_block_positions(hot, entity, order, rn, block).drop("_blk"))
 
 
 class Branch:
@@ -220,10 +255,16 @@ class Seq:
         return d, w
 
     def run(self, fn, back: int = 0, fwd: int = 0, keep_rn: bool = False) -> DataFrame:
-        if not self.skew_safe:
+        how = "plain"
+        if self.skew_safe:
+            how, info = route_entities(self.df, self.entity, self.chunk_rows)
+        if how == "plain":
             d, w = self._plain(self.df)
             return self.finish(fn(d, w, Branch(self.entity, False)), keep_rn)
-        cold, hot = split_hot(self.df, self.entity, self.chunk_rows)
+        if how == "chunk":
+            dh, wh = self._chunked(self.df, back, fwd)
+            return self.finish(fn(dh, wh, Branch(self.entity, True)), keep_rn)
+        cold, hot = split_hot(self.df, self.entity, info)
         dc, wc = self._plain(cold)
         dh, wh = self._chunked(hot, back, fwd)
         a = self.finish(fn(dc, wc, Branch(self.entity, False)), keep_rn)

@@ -1,7 +1,7 @@
 """Sequence operators against golden fixtures and independent loop models.
 
-Each test runs twice: the single-window path and the chunked hot-entity path
-(``chunked`` fixture: chunks of 3 rows with halos), which must agree exactly.
+Each test runs on the three plan routes (single window, hot entities split out and
+chunked, everything chunked), which must agree exactly.
 """
 import math
 import random
@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 from headway.operators import sequence
 
 
-def _set(mode):
-    sequence.CHUNK_ROWS = 3 if mode == "chunked" else 1 << 20
-
-
-@pytest.fixture(params=["plain", "chunked"])
+@pytest.fixture(params=["plain", "split", "chunk_all"])
 def path(request):
-    old = sequence.CHUNK_ROWS
-    _set(request.param)
+    """plain: no hot entity; split: hot entities chunked (3-row chunks), the rest in one
+    window each; chunk_all: more hot keys than may be broadcast, every row chunked."""
+    old = sequence.CHUNK_ROWS, sequence.MAX_HOT_KEYS
+    sequence.CHUNK_ROWS = 1 << 20 if request.param == "plain" else 3
+    sequence.MAX_HOT_KEYS = 0 if request.param == "chunk_all" else 100_000
     yield request.param
-    sequence.CHUNK_ROWS = old
+    sequence.CHUNK_ROWS, sequence.MAX_HOT_KEYS = old
 
 
 def rand_events(seed=7, n_ent=4, n=60, null_ent=True):
