@@ -73,20 +73,17 @@ def _running_with_offsets(d: DataFrame, keys, blk_cols, order, v: Column, c: Col
                           counted: Column | None = None) -> DataFrame:
     """Exclusive running (sum, count) per key in ``(blk_cols..., order)`` order.
 
-    One window pass over ``partitionBy(key, block)`` gives the in-block running values
-    and the block totals; block offsets come from a window over the (small) block
-    table plus the carried state, joined back on the same partitioning, so the big
-    frame is shuffled once."""
+    Block totals come from a partial aggregation (only per-block partial sums are
+    shuffled); their exclusive prefix per key (a window over the small block table)
+    plus the carried state gives each block's offset; the offsets are joined to the
+    rows on ``(key, block)`` and the in-block running sum reuses that partitioning, so
+    the rows are shuffled once. A hot key is spread over its blocks. ``d`` should be
+    materialised (it is read twice)."""
     counted = F.col(value).isNotNull() if counted is None else counted
     vv = F.when(counted, v)
     cc = F.when(counted, c).otherwise(F.lit(0))
-    wblk = Window.partitionBy(*keys, *blk_cols)
-    w_in = wblk.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = (d.withColumn("_is", F.coalesce(F.sum(vv).over(w_in), F.lit(0)))
-          .withColumn("_ic", F.coalesce(F.sum(cc).over(w_in), F.lit(0)))
-          .withColumn("_bs", F.coalesce(F.sum(vv).over(wblk), F.lit(0)))
-          .withColumn("_bc", F.coalesce(F.sum(cc).over(wblk), F.lit(0))))
-    blocks = d.groupBy(*keys, *blk_cols).agg(F.first("_bs").alias("_bs"), F.first("_bc").alias("_bc"))
+    blocks = d.groupBy(*keys, *blk_cols).agg(F.coalesce(F.sum(vv), F.lit(0)).alias("_bs"),
+                                            F.coalesce(F.sum(cc), F.lit(0)).alias("_bc"))
     wb = (Window.partitionBy(*keys).orderBy(*[F.col(b).asc_nulls_last() for b in blk_cols])
           .rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select(*keys, *blk_cols, F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_os"),
@@ -97,8 +94,10 @@ def _running_with_offsets(d: DataFrame, keys, blk_cols, order, v: Column, c: Col
                   .withColumn("_oc", F.col("_oc") + F.coalesce(F.col(n_col), F.lit(0)))
                   .drop(sum_col, n_col))
     d = d.join(blocks, [*keys, *blk_cols], "left")
-    return (d.withColumn("_s", F.col("_os") + F.col("_is")).withColumn("_n", F.col("_oc") + F.col("_ic"))
-             .drop("_is", "_ic", "_bs", "_bc", "_os", "_oc"))
+    w_in = Window.partitionBy(*keys, *blk_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.withColumn("_s", F.col("_os") + F.coalesce(F.sum(vv).over(w_in), F.lit(0)))
+             .withColumn("_n", F.col("_oc") + F.coalesce(F.sum(cc).over(w_in), F.lit(0)))
+             .drop("_os", "_oc"))
 
 
 def _expanding_strict(pairs, keys, value, fallback, out, t_col, t_end_col, tiebreak, state, sum_col, n_col,
