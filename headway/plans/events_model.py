@@ -19,6 +19,9 @@ TRAIN_FRACTION = 0.8
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # naive timestamps are read as UTC wall time (as the SQL oracle does): pin the zone
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
