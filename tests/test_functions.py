@@ -108,3 +108,11 @@ def test_epoch1900_clock_dst(spark):
     v = df.select(F.unix_seconds(timefmt.epoch1900_clock_to_instant("d", F.to_timestamp("c"), "America/New_York"))).first()[0]
     # local midnight 2024-03-10 is 05:00 UTC (EST), plus 5 h 10 min of absolute time
     assert v == 1710046800 + 5 * 3600 + 600
+
+
+def test_segments_sum_to_k(spark):
+    df = spark.range(1, 200).withColumnRenamed("id", "k")
+    bad = df.select("k", scalars.segment_sizes("k", 15).alias("s")).where(
+        (F.aggregate("s", F.lit(0), lambda a, x: a + x) != F.col("k"))
+        | (F.array_max("s") > 15) | (F.array_max("s") - F.array_min("s") > 1)).count()
+    assert bad == 0

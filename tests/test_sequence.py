@@ -195,3 +195,11 @@ def test_keep_first_and_polyline(spark):
     pl = {r["k"]: [(p["seq"], p["lat"]) for p in r["points"]] for r in
           sequence.polyline_array(df, ["k"], "seq", "lat", "lon").collect()}
     assert pl == {"s1": [(1, 2.0), (2, 1.0)]}          # null coordinate dropped, ordered by seq
+
+
+def test_interpolation_idempotent(spark, path):
+    rows = rand_events(seed=21, n=40)
+    df = spark.createDataFrame(rows, SCHEMA)
+    once = sequence.interpolate_linear(df, "ent", ["t", "id"], "val")
+    twice = sequence.interpolate_linear(once, "ent", ["t", "id"], "val")
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, twice.collect()), key=repr)
