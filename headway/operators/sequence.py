@@ -377,30 +377,41 @@ def band_pairs(df: DataFrame, entity, order, t_seconds: str, max_dt: float, orig
     later in the sequence and ``0 < t_d - t_o <= max_dt``, labelled ``k`` = position gap.
 
     This is exactly the set the unbounded lookahead keeps after the travel-time filter,
-    computed as an equi-join on (entity, time bucket of width max_dt) instead of all
-    pairs: each destination is offered to its own bucket and the one before it.
-    Hot buckets are split by AQE's skew-join handling. ``rn_col`` reuses positions
-    computed earlier (e.g. by a frame step with ``keep_rn``).
+    without enumerating all pairs of an entity. Rows are bucketed by
+    ``floor(t / max_dt)``; each row is also copied, as a halo row, into the previous
+    bucket. In one ``partitionBy(entity, bucket)`` frame (a single shuffle) a core row's
+    partners are the rows within ``max_dt`` after it (range frame), and because the
+    partition holds two consecutive buckets completely, the difference of the local
+    row numbers is the position gap. The window partitions are bounded by the data of
+    two time buckets of one entity, not by the entity. ``skew_safe`` and ``rn_col`` are
+    accepted for API compatibility; positions are not needed.
     """
     entity = _as_list(entity)
-    if rn_col is not None:
-        p = df.withColumnRenamed(rn_col, "_rn") if rn_col != "_rn" else df
-    else:
-        p = positions(df, entity, order, "_rn", skew_safe=skew_safe)
-    p = p.where(~any_null(entity) & F.col(t_seconds).isNotNull())
-    bucket = F.floor(F.col(t_seconds) / F.lit(float(max_dt)))
-    o = p.select(*entity, F.col("_rn").alias("_rn_o"), F.col(t_seconds).alias("_t_o"),
-                 *[F.col(c).alias(f"o_{c}") for c in _as_list(origin_cols)], bucket.alias("_bk"))
-    d = p.select(*entity, F.col("_rn").alias("_rn_d"), F.col(t_seconds).alias("_t_d"),
-                 *[F.col(c).alias(f"d_{c}") for c in _as_list(dest_cols)],
-                 F.explode(F.array(bucket, bucket - 1)).alias("_bk"))
-    dt = F.col("_t_d") - F.col("_t_o")
-    out = (o.join(d, [*entity, "_bk"])
-           .where((F.col("_rn_d") > F.col("_rn_o")) & (dt > 0) & (dt <= float(max_dt))))
+    order = _as_list(order)
+    ocols, dcols = _as_list(origin_cols), _as_list(dest_cols)
+    t = F.col(t_seconds).cast("double")
+    p = (df.where(~any_null(entity) & F.col(t_seconds).isNotNull()).withColumn("_t", t)
+           .withColumn("_tu", F.round(t * 1e6).cast("long")))
+    bucket = F.floor(F.col("_t") / F.lit(float(max_dt)))
+    p = p.withColumn("_cp", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("core")),
+                                              F.struct((bucket - 1).alias("b"), F.lit(False).alias("core")))))
+    p = p.withColumn("_bk", F.col("_cp.b")).withColumn("_core", F.col("_cp.core")).drop("_cp")
+    part = Window.partitionBy(*entity, "_bk")
+    p = p.withColumn("_prn", F.row_number().over(part.orderBy(*_ord(order))))
+    dstruct = F.struct(F.col("_prn").alias("__prn"), F.col("_t").alias("__t"), *[F.col(c).alias(c) for c in dcols])
+    # integer-microsecond range frame (one extra microsecond; the exact test follows)
+    frame = part.orderBy(F.col("_tu")).rangeBetween(0, int(round(max_dt * 1e6)) + 1)
+    p = p.withColumn("_cand", F.collect_list(dstruct).over(frame))
+    p = p.where(F.col("_core")).select(*entity, F.col("_prn").alias("_prn_o"), F.col("_t").alias("_t_o"),
+                                       *[F.col(c).alias(f"o_{c}") for c in ocols],
+                                       F.explode("_cand").alias("_d"))
+    dt = F.col("_d.__t") - F.col("_t_o")
+    out = p.where((F.col("_d.__prn") > F.col("_prn_o")) & (dt > 0) & (dt <= float(max_dt)))
+    out = out.select(*entity, *[F.col(f"o_{c}") for c in ocols], *[F.col(f"_d.{c}").alias(f"d_{c}") for c in dcols],
+                     (F.col("_d.__prn") - F.col("_prn_o")).cast("int").alias("k"))
     if order_col is not None:
         out = out.where(F.col(f"d_{order_col}") > F.col(f"o_{order_col}"))
-    return out.withColumn("k", (F.col("_rn_d") - F.col("_rn_o")).cast("int")).drop(
-        "_rn_o", "_rn_d", "_t_o", "_t_d", "_bk")
+    return out
 
 
 # ---------------------------------------------------------------------------

@@ -9,9 +9,10 @@ config. The plan is lazy end to end:
     -> leak-free historical mean with carried state (W5, J11) -> calendar (P8, J9)
     -> hourly weather (J5) -> D1 projection (P5) ; new state = merge (A5)
 
-Shuffles: positions by (entity, block) and the halo window by (entity, chunk) (shared
-by lags and pairs), the O-D key for the historical mean, and the hour-key join (the
-weather dimension is broadcast only after a size check).
+Shuffles (no hot entity): train = one by entity (lags and lookahead share the frame);
+test = one by entity (lags) + one by (entity, time bucket) for the band pairs; then one by
+(O-D key, k, hour) for the historical mean over the materialised pairs. Dimensions
+(weather hours, holidays) are broadcast only after a size check.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def od_pairs(visits: DataFrame, cfg: CityConfig, is_test: bool) -> DataFrame:
               "vel_lag_1", "vel_lag_2", "vel_lag_3"]
     d_cols = ["stop_id", "seq", "t_us", "lat", "lon"]
     if is_test:
-        # lags and positions from one frame, then the time-band join reuses the positions
-        v = sequence.Seq(v, ent, order).run(lags, back=4, keep_rn=True)
-        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col="seq", rn_col="_rn")
+        # lags (one frame), then all pairs within max_tt from one (entity, time bucket) frame
+        v = sequence.Seq(v, ent, order).run(lags, back=4)
+        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col="seq")
         p = p.drop(*ent)
     else:
         # lags (look-back 4) and lookahead (K) share one frame: one shuffle for both
