@@ -185,6 +185,3 @@ def local_calendar(df: DataFrame, ts: str, tz: str | None) -> DataFrame:
     from ..functions.timefmt import calendar_features
     return df.select("*", *calendar_features(ts, tz))
 
-
-def any_col(cols) -> Column:
-    return F.coalesce(*[F.col(c) for c in cols])

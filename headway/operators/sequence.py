@@ -339,8 +339,9 @@ def lookahead_pairs(df: DataFrame, entity, order, origin_cols, dest_cols, k_max:
     Output: ``o_<c>`` for origin columns, ``d_<c>`` for destination columns, ``k``.
     ``order_col``: destination must be strictly later in it (F1, null never pairs).
     ``max_order_gap=(col, K)``: also require ``d.col - o.col <= K`` (train rule).
-    ``leg_input``: rows are legs; destination columns come from leg ``i+k`` (k=1 is two
-    physical hops, as the leg-log feeds label them).
+    ``leg_input``: rows are legs and ``dest_cols`` name the leg's destination columns, so
+    k pairs leg i's origin with leg i+k's destination (k=1 is two physical hops, as the
+    leg-log feeds label them); the pairing itself is the same.
     Halo of k_max rows makes this exact without a per-entity window.
     ``prepare(d, w, branch)`` (e.g. ``speed_lag_step``) runs first in the same frame
     (needs ``prepare_back`` rows of look-back), so both share one shuffle.

@@ -90,12 +90,13 @@ def sample_entities(df: DataFrame, entity: str, n: int, seed: int = 42) -> DataF
     return df.join(ids, entity, "left_semi")
 
 
-def representative(df: DataFrame, group_col: str, wanted: DataFrame, id_col: str, ctx_col: str,
+def representative(df: DataFrame, group_col: str, wanted: DataFrame, id_col: str, seed: int = 42,
                    fallback_value=5) -> DataFrame:
-    """One deterministic row per requested group value: ``min_by`` over a hash of
-    (id, request context); a request whose group is absent uses ``fallback_value``."""
+    """One deterministic row per requested group value (``min_by`` over a seeded
+    hash of the id, the same on every run, unlike a per-process string hash); a request
+    whose group is absent gets the representative of ``fallback_value``."""
     reps = df.groupBy(group_col).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]),
-                                              F.xxhash64(F.col(id_col))).alias("_row"))
+                                              F.xxhash64(F.lit(seed), F.col(id_col))).alias("_row"))
     req = wanted.withColumn("_g", F.col(group_col))
     hit = req.join(reps, req["_g"] == reps[group_col], "left").drop(reps[group_col])
     # at most one row: the representative of the fallback group, as a scalar subquery

@@ -52,3 +52,12 @@ def test_hash_sampling_is_repeatable(spark):
     assert ents == 2
     flag = df.select(splits.holdout_flag(["id"], 5.0).alias("f")).where("f").count()
     assert 150 < flag < 350
+
+
+def test_representative_with_fallback(spark):
+    rows = spark.createDataFrame([(i, i % 3 + 4) for i in range(30)], "id long, hops int")
+    wanted = spark.createDataFrame([(1, 4), (2, 9)], "req int, hops int")
+    got = {r["req"]: r["_row"]["hops"] for r in splits.representative(rows, "hops", wanted, "id").collect()}
+    assert got == {1: 4, 2: 5}                       # hop 9 absent -> the hop-5 representative
+    again = {r["req"]: r["_row"]["id"] for r in splits.representative(rows, "hops", wanted, "id").collect()}
+    assert again == {r["req"]: r["_row"]["id"] for r in splits.representative(rows, "hops", wanted, "id").collect()}
