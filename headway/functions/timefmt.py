@@ -83,16 +83,17 @@ def calendar_features(ts, tz: str | None = None, prefix: str = "") -> list[Colum
             F.month(w).cast("int").alias(f"{prefix}mes")]
 
 
-def hour_key(ts, tz: str | None = None, naive_as_utc: bool = False) -> Column:
+def hour_key(ts, wall_tz: str | None = None, naive_as_utc: bool = False) -> Column:
     """UTC hour bucket used to join hourly weather.
 
-    Aware instants are floored in UTC. ``naive_as_utc=True`` reproduces the feeds that
-    relabel local wall time as UTC (the wall value is floored unchanged).
+    ``ts`` is an instant (floored in UTC) unless ``wall_tz`` says it is local wall time
+    of that zone, which is converted to UTC first. ``naive_as_utc=True`` reproduces the
+    feeds that relabel local wall time as UTC (the wall value is floored unchanged).
     """
     c = _c(ts)
-    if naive_as_utc or tz is None:
+    if naive_as_utc or wall_tz is None:
         return F.date_trunc("hour", c.cast("timestamp"))
-    return F.date_trunc("hour", F.to_utc_timestamp(c.cast("timestamp"), tz))
+    return F.date_trunc("hour", F.to_utc_timestamp(c.cast("timestamp"), wall_tz))
 
 
 def hour_of_day_from_seconds(s) -> Column:

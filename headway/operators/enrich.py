@@ -90,13 +90,14 @@ def attach_baseline(df: DataFrame, baseline: DataFrame, keys, value: str, order=
 # ---------------------------------------------------------------------------
 # weather
 # ---------------------------------------------------------------------------
-def attach_weather_hour(df: DataFrame, weather: DataFrame, ts, tz: str | None = None,
+def attach_weather_hour(df: DataFrame, weather: DataFrame, ts, wall_tz: str | None = None,
                         naive_as_utc: bool = False, cols=("temperature_2m", "precipitation", "snowfall"),
                         fill: dict | None = None) -> DataFrame:
-    """Left join on the UTC hour bucket of ``ts`` (P9). ``fill`` gives per-column
-    defaults for hours without weather (``None`` keeps null)."""
+    """Left join on the UTC hour bucket of ``ts`` (P9; ``wall_tz`` only when ``ts``
+    is local wall time). ``fill`` gives per-column defaults for hours without weather
+    (``None`` keeps null)."""
     w = weather.select(F.col("hour_key"), *cols)
-    out = df.withColumn("hour_key", hour_key(ts, tz, naive_as_utc)).join(checked_broadcast(w), "hour_key", "left")
+    out = df.withColumn("hour_key", hour_key(ts, wall_tz, naive_as_utc)).join(checked_broadcast(w), "hour_key", "left")
     for c, v in (fill or {}).items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out

@@ -88,7 +88,9 @@ def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFram
             fill["temperature_2m"] = 0.0
         elif cfg.temperature_fill == "ffill":
             weather = enrich.fill_weather(weather, ["temperature_2m"])
-        p = enrich.attach_weather_hour(p, weather, "_ts", cfg.tz, cfg.naive_as_utc, fill=fill)
+        # _ts is the origin instant: its UTC hour is the key (naive feeds were already
+        # read as UTC wall time, which is the relabelling of P9)
+        p = enrich.attach_weather_hour(p, weather, "_ts", None, cfg.naive_as_utc, fill=fill)
     else:
         p = (p.withColumn("temperature_2m", F.lit(None).cast("double"))
               .withColumn("precipitation", F.lit(0.0)).withColumn("snowfall", F.lit(0.0)))

@@ -227,3 +227,51 @@ WHERE s.lat IS NOT NULL AND s.lon IS NOT NULL"""
 
 ORACLES["row_index"] = f"""WITH {EV}
 SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) - 1 AS row_in_entity FROM ev"""
+
+
+def _split_visits(name: str, cond: str) -> str:
+    """Visits of one split with per-user speed lags (lags never cross the split)."""
+    return f"""{name}_v AS (SELECT * FROM ev WHERE {cond}),
+{name}_l AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS _dist, t - lag(t) OVER w AS _dt
+             FROM {name}_v WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id)),
+{name}_s AS (SELECT *, CASE WHEN _dt <> 0 THEN _dist / _dt END AS _vel FROM {name}_l),
+{name} AS (SELECT *, coalesce(lag(_vel, 1) OVER w, 0) AS vel_lag_1, coalesce(lag(_vel, 2) OVER w, 0) AS vel_lag_2,
+                  coalesce(lag(_vel, 3) OVER w, 0) AS vel_lag_3,
+                  row_number() OVER w - 1 AS rn
+           FROM {name}_s WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id))"""
+
+
+ORACLES["od_features"] = f"""WITH {EV},
+{_split_visits('trv', f"ts < TIMESTAMP '2024-01-21'")},
+{_split_visits('tev', f"ts >= TIMESTAMP '2024-01-21'")},
+ptr AS (SELECT CAST(o.route_id AS VARCHAR) AS route_id, o.stop_id AS o_stop, d.stop_id AS d_stop, d.t_us - o.t_us AS tt_us
+        FROM trv o JOIN trv d ON o.user_id = d.user_id AND d.rn - o.rn BETWEEN 1 AND {K}
+        WHERE d.t_us > o.t_us AND (d.t_us - o.t_us) / 1e6 <= {MAX_TT}),
+st AS (SELECT route_id, o_stop, d_stop, sum(tt_us) AS s0, count(*) AS n0 FROM ptr GROUP BY ALL),
+pte AS (SELECT CAST(o.route_id AS VARCHAR) AS route_id, o.stop_id AS o_stop, d.stop_id AS d_stop, d.rn - o.rn AS k,
+               o.t AS t_o, o.t_us AS t_o_us, o.ts AS ts_o, d.t_us - o.t_us AS tt_us,
+               {hav('o.lat', 'o.lon', 'd.lat', 'd.lon')} AS dist, o.vel_lag_1, o.vel_lag_2, o.vel_lag_3
+        FROM tev o JOIN tev d ON o.user_id = d.user_id AND d.rn > o.rn
+        WHERE d.t_us > o.t_us AND (d.t_us - o.t_us) / 1e6 <= {MAX_TT}),
+h AS (SELECT y.*, coalesce(st.s0, 0) AS s0, coalesce(st.n0, 0) AS n0
+      FROM (SELECT x.*, coalesce(sum(tt_us) OVER w, 0) AS s, count(tt_us) OVER w AS cnt FROM pte x
+            WINDOW w AS (PARTITION BY route_id, o_stop, d_stop ORDER BY k, t_o, t_o_us, d_stop
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) y
+      LEFT JOIN st USING (route_id, o_stop, d_stop)),
+w AS (SELECT date_trunc('hour', ts) AS hour_key, max(value) AS temperature_2m,
+             CAST(count(*) AS DOUBLE) / 10 AS precipitation FROM ev GROUP BY 1),
+f AS (SELECT h.*, timezone('America/New_York', timezone('UTC', ts_o)) AS lt, w.temperature_2m, w.precipitation
+      FROM h LEFT JOIN w ON date_trunc('hour', h.ts_o) = w.hour_key)
+SELECT CAST(tt_us / 1e6 AS FLOAT) AS tiempo_viaje_segundos, CAST(hour(lt) AS TINYINT) AS hora_del_dia,
+       CAST(isodow(lt) - 1 AS TINYINT) AS dia_semana, CAST(month(lt) AS TINYINT) AS mes,
+       CAST(temperature_2m AS FLOAT) AS temperature_2m, CAST(coalesce(precipitation, 0) AS FLOAT) AS precipitation,
+       CAST(0 AS FLOAT) AS snowfall,
+       CAST(CASE WHEN CAST(lt AS DATE) IN {HOLI} THEN 1 ELSE 0 END AS FLOAT) AS is_holiday,
+       route_id, '0' AS direction_id, o_stop AS stop_id_origen, d_stop AS stop_id_destino,
+       CAST(dist AS FLOAT) AS distancia_proyectada, CAST(vel_lag_1 AS FLOAT) AS vel_lag_1,
+       CAST(vel_lag_2 AS FLOAT) AS vel_lag_2, CAST(vel_lag_3 AS FLOAT) AS vel_lag_3,
+       CAST(k AS FLOAT) AS num_paradas_salto,
+       CAST(CASE WHEN n0 + cnt = 0 THEN dist / 5.0 ELSE CAST(s0 + s AS DOUBLE) / (n0 + cnt) / 1e6 END AS FLOAT)
+         AS tiempo_promedio_historico,
+       CAST(k AS INTEGER) AS k
+FROM f"""

@@ -5,7 +5,7 @@ import __spark_entry__ as E
 
 from .conftest import SF
 
-ROWS_ONLY = {"od_features", "gbt_eta", "feature_importance", "gbt_crowd_chained", "stratified_sample",
+ROWS_ONLY = {"gbt_eta", "feature_importance", "gbt_crowd_chained", "stratified_sample",
              "sample_entities"}
 
 
