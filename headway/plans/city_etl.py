@@ -108,3 +108,27 @@ def project_d1(p: DataFrame, extra_cols=()) -> DataFrame:
         col = F.col(c)
         cols.append((col.cast("float") if c in f32 else col.cast("byte") if c in i8 else col.cast("string")).alias(c))
     return p.select(*cols, F.col("k").cast("int").alias("k"), *extra_cols)
+
+
+def split_visits(visits: DataFrame, cfg: CityConfig, cutoff: str | None = None, end: str | None = None,
+                 frac: float = 0.8, year_train: int | None = None) -> DataFrame:
+    """Apply the city's split rule and add ``split``:
+
+    * ``date``  (T2): before ``cutoff`` train, from ``cutoff`` (and before ``end``) test;
+    * ``rows``  (T3): the first ``floor(n * frac)`` visits by time are train;
+    * ``trips`` (T4): entities ordered by first visit, the first ``frac`` of them train;
+    * ``year``  (T5): visits of ``year_train`` are train, later years test.
+    """
+    from ..operators import splits
+    ts = F.timestamp_micros("t_us")
+    if cfg.split == "date":
+        return splits.split_date(visits.withColumn("_ts", ts), "_ts", cutoff, end).drop("_ts")
+    if cfg.split == "rows":
+        return splits.split_fraction(visits, ["t_us", *cfg.entity, *cfg.order], frac)
+    if cfg.split == "trips":
+        return splits.split_fraction_by_entity(visits, list(cfg.entity), "t_us", frac)
+    if cfg.split == "year":
+        yr = F.year(ts)
+        return visits.withColumn("split", F.when(yr == year_train, "train").when(yr > year_train, "test")) \
+                     .where(F.col("split").isNotNull())
+    raise ValueError(f"unknown split rule {cfg.split!r}")

@@ -56,9 +56,8 @@ def event_features(events: DataFrame, weather_row: DataFrame, tz: str = "America
     is a one-row table attached with scalar subqueries (no join)."""
     ids = [F.trim(F.col(c)).alias(c) for c in REQUIRED]
     cal = parse_event_time("actual_ts", tz)
-    wx = [weather_row.select(c).scalar().alias(c if c != "temperature_2m" else "temperature_2m")
-          for c in DEFAULT_WEATHER]
-    return events.select(F.col("event_id"), *ids, *cal, *wx)
+    w = weather_row.select(F.struct(*DEFAULT_WEATHER).alias("w")).scalar()   # one subquery, one row
+    return events.select(F.col("event_id"), *ids, *cal, *[w.getField(c).alias(c) for c in DEFAULT_WEATHER])
 
 
 def closed_form_eta() -> Column:

@@ -51,3 +51,19 @@ def test_od_features_schema(spark):
                                "stop_id_origen", "stop_id_destino", "distancia_proyectada", "vel_lag_1",
                                "vel_lag_2", "vel_lag_3", "num_paradas_salto", "tiempo_promedio_historico"]
     assert df.where("tiempo_viaje_segundos <= 0").count() == 0
+
+
+def test_split_rules(spark):
+    from dataclasses import replace
+
+    from headway.plans.city_etl import split_visits
+    from headway.plans.model_queries import EVENTS_CITY, event_visits
+    v = event_visits(spark, SF)
+    n = v.count()
+    rows = split_visits(v, replace(EVENTS_CITY, split="rows"))
+    assert rows.where("split = 'train'").count() == int(n * 0.8)
+    trips = split_visits(v, replace(EVENTS_CITY, split="trips"))
+    from pyspark.sql import functions as F
+    assert trips.groupBy("user_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    yr = split_visits(v, replace(EVENTS_CITY, split="year"), year_train=2024)
+    assert yr.where("split = 'train'").count() == n
