@@ -135,13 +135,18 @@ def start_scorer(spark: SparkSession, source: DataFrame, table_root: str, checkp
     live = LiveTable(spark, table_root)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("_ok", is_valid(batch))
-        if dead_letter:
-            (b.where(~F.col("_ok")).drop("_ok").withColumn("batch_id", F.lit(batch_id))
-              .write.mode("append").partitionBy("batch_id").json(dead_letter))
-        weather = spark.read.parquet(weather_path) if weather_path else None  # R6: re-read per batch
-        scored = score_batch(b.where(F.col("_ok")).drop("_ok"), current_weather(weather, spark), predict)
-        live.apply(scored, batch_id)
+        # the micro-batch feeds two sinks (dead letters, live table): keep it for the batch
+        # instead of re-reading the source files; a lost block is recomputed from the source
+        b = batch.withColumn("_ok", is_valid(batch)).persist()
+        try:
+            if dead_letter:
+                (b.where(~F.col("_ok")).drop("_ok").withColumn("batch_id", F.lit(batch_id))
+                  .write.mode("append").partitionBy("batch_id").json(dead_letter))
+            weather = spark.read.parquet(weather_path) if weather_path else None  # R6: re-read per batch
+            scored = score_batch(b.where(F.col("_ok")).drop("_ok"), current_weather(weather, spark), predict)
+            live.apply(scored, batch_id)
+        finally:
+            b.unpersist()
 
     w = source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{block_seconds} seconds")
