@@ -67,3 +67,14 @@ def test_split_rules(spark):
     assert trips.groupBy("user_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     yr = split_visits(v, replace(EVENTS_CITY, split="year"), year_train=2024)
     assert yr.where("split = 'train'").count() == n
+
+
+@pytest.mark.parametrize("name", ["speed_lags", "od_pairs_bounded", "next_leg", "collapse_islands"])
+def test_sequence_plans_shuffle_once_by_entity(spark, name):
+    """No hot entity: one hash exchange on the entity, no single-partition exchange."""
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    hashed = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+    assert "SinglePartition" not in plan
+    assert any("user_id" in ln for ln in hashed)
+    # the (user_id, island) aggregation of collapse_islands reuses the user partitioning
+    assert len(hashed) == 1
