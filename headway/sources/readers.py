@@ -74,13 +74,13 @@ def read_gtfs(spark: SparkSession, root: str, tables=None, encoding_fallback: bo
 
     Columns are matched by header name, so files with extra or reordered columns work.
     """
-    import os
     out = {}
     for name in tables or GTFS_COLUMNS:
         path = None
         for ext in (".txt", ".csv"):
-            if os.path.exists(os.path.join(root, name + ext)):
-                path = os.path.join(root, name + ext)
+            candidate = f"{root.rstrip('/')}/{name}{ext}"
+            if path_exists(spark, candidate):
+                path = candidate
                 break
         if path is None:
             continue
@@ -89,6 +89,13 @@ def read_gtfs(spark: SparkSession, root: str, tables=None, encoding_fallback: bo
     return out
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path (local, HDFS, object
+    stores alike), not the driver's local disk."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))
+
+
 def _read_header_csv(spark: SparkSession, path: str, cols, encoding: str | None = None) -> DataFrame:
     r = spark.read.option("header", True).option("inferSchema", False)
     if encoding:
