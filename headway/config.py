@@ -46,16 +46,16 @@ class CityConfig:
 CITIES: dict[str, CityConfig] = {
     "boston": CityConfig("boston", "tiempo_viaje_segundos",
                          ("route_id", "direction_id", "stop_id_origen", "stop_id_destino"),
-                         ("half_trip_id",), ("time_point_order",), 10, 7200.0, order_gap_cap=True,
+                         ("half_trip_id",), ("seq", "t_us"), 10, 7200.0, order_gap_cap=True,
                          tz="America/New_York", split="year", stage_order=("split", "lags", "pairs"),
                          model_name="eta_boston"),
     "toronto": CityConfig("toronto", "tiempo_viaje_segundos",
                           ("route_id", "direction_id", "stop_id_origen", "stop_id_destino"),
-                          ("vehicle_id",), ("timestamp",), 10, 7200.0, tz="America/Toronto", split="rows",
+                          ("vehicle_id",), ("t_us",), 10, 7200.0, tz="America/Toronto", split="rows",
                           stage_order=("split", "downsample", "lags", "pairs"), model_name="eta_toronto"),
     "istanbul": CityConfig("istanbul", "travel_time_seconds", ("stop_id", "route_id", "direction_id"),
-                           ("trip_id",), ("stop_sequence",), MAX_LOOKAHEAD_STOPS, 7200.0,
-                           state_keys=("stop_id", "dest_stop_id"), temperature_fill="zero", split="trips",
+                           ("trip_id",), ("seq",), MAX_LOOKAHEAD_STOPS, 7200.0,
+                           state_keys=("stop_id_origen", "stop_id_destino"), temperature_fill="zero", split="trips",
                            stage_order=("lags", "split", "pairs"), model_name="eta_istanbul"),
     "konya": CityConfig("konya", "tiempo_viaje_segundos", ("route_id", "stop_id_origen", "stop_id_destino"),
                         ("trip_id",), ("departure",), MAX_LOOKAHEAD_STOPS, 9000.0, leg_input=True,
