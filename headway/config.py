@@ -58,12 +58,12 @@ CITIES: dict[str, CityConfig] = {
                            state_keys=("stop_id_origen", "stop_id_destino"), temperature_fill="zero", split="trips",
                            stage_order=("lags", "split", "pairs"), model_name="eta_istanbul"),
     "konya": CityConfig("konya", "tiempo_viaje_segundos", ("route_id", "stop_id_origen", "stop_id_destino"),
-                        ("trip_id",), ("departure",), MAX_LOOKAHEAD_STOPS, 9000.0, leg_input=True,
+                        ("trip_id",), ("seq", "dest_stop_id"), MAX_LOOKAHEAD_STOPS, 9000.0, leg_input=True,
                         naive_as_utc=True, temperature_fill="ffill", split="rows",
                         stage_order=("lags", "split", "pairs"), model_name="eta_konya"),
     "izmir": CityConfig("izmir", "tiempo_viaje_segundos",
                         ("route_id", "direction_id", "stop_id_origen", "stop_id_destino"),
-                        ("trip_date_id",), ("departure",), MAX_LOOKAHEAD_STOPS, 9000.0,
+                        ("trip_id",), ("seq", "dest_stop_id"), MAX_LOOKAHEAD_STOPS, 9000.0,
                         state_keys=("route_id", "direction_id", "stop_id_origen", "stop_id_destino"),
                         leg_input=True, naive_as_utc=True, temperature_fill="ffill", split="rows",
                         stage_order=("lags", "split", "pairs"), model_name="eta_izmir"),

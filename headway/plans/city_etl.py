@@ -37,16 +37,27 @@ def od_pairs(visits: DataFrame, cfg: CityConfig, is_test: bool) -> DataFrame:
     o_cols = [*ent, "route_id", "direction_id", "stop_id", "seq", "t_us", "lat", "lon",
               "vel_lag_1", "vel_lag_2", "vel_lag_3"]
     d_cols = ["stop_id", "seq", "t_us", "lat", "lon"]
+    order_col, back = "seq", 4
+    if cfg.leg_input:
+        # rows are legs (see legs_to_visits): pair k takes the destination of leg i+k, the
+        # leg-speed lags come with the rows, and only the entity is required to match
+        d_cols = ["dest_stop_id", "seq", "dest_t_us", "dest_lat", "dest_lon"]
+        lags, order_col, back = None, None, 0
     if is_test:
         # lags (one frame), then all pairs within max_tt from one (entity, time bucket) frame
-        v = sequence.Seq(v, ent, order).run(lags, back=4)
-        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col="seq")
+        if lags is not None:
+            v = sequence.Seq(v, ent, order).run(lags, back=back)
+        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col=order_col)
         p = p.drop(*ent)
     else:
         # lags (look-back 4) and lookahead (K) share one frame: one shuffle for both
         gap = ("seq", cfg.k_train) if cfg.order_gap_cap else None
         p = sequence.lookahead_pairs(v, ent, order, o_cols, d_cols, cfg.k_train, max_order_gap=gap,
-                                     order_col="seq", leg_input=cfg.leg_input, prepare=lags, prepare_back=4)
+                                     order_col=order_col, leg_input=cfg.leg_input, prepare=lags,
+                                     prepare_back=back)
+    if cfg.leg_input:
+        p = (p.withColumnRenamed("d_dest_stop_id", "d_stop_id").withColumnRenamed("d_dest_t_us", "d_t_us")
+              .withColumnRenamed("d_dest_lat", "d_lat").withColumnRenamed("d_dest_lon", "d_lon"))
     tt_us = F.col("d_t_us") - F.col("o_t_us")
     p = (p.withColumn("tt_us", tt_us).withColumn("tiempo_viaje_segundos", tt_us / 1e6)
           .where((F.col("tiempo_viaje_segundos") > 0) & (F.col("tiempo_viaje_segundos") <= cfg.max_tt_s))

@@ -65,3 +65,25 @@ def stop_times_to_visits(gtfs: dict, service_date: str = "1970-01-01") -> DataFr
     t_us = F.unix_micros(F.to_timestamp(F.lit(service_date))) + F.round(F.col("_sec") * 1e6).cast("long")
     return st.select("trip_id", "route_id", "direction_id", "stop_id", F.col("stop_sequence").cast("long").alias("seq"),
                      t_us.alias("t_us"), "lat", "lon")
+
+
+def legs_to_visits(legs: DataFrame) -> DataFrame:
+    """Leg rows (``leg_logs.leg_features`` + ``rebuild_trips``, or ``schedule.unroll_gtfs_legs``)
+    -> visits for the leg-input cities: origin stop and departure as the visit, the leg's
+    destination stop, arrival and coordinates as ``dest_*``, leg-speed lags carried."""
+    has = set(legs.columns)
+    lat_o = "o_stop_lat" if "o_stop_lat" in has else "lat_o"
+    lon_o = "o_stop_lon" if "o_stop_lon" in has else "lon_o"
+    lat_d = "d_stop_lat" if "d_stop_lat" in has else "lat_d"
+    lon_d = "d_stop_lon" if "d_stop_lon" in has else "lon_d"
+    trip = "trip_id" if "trip_id" in has else "trip_date_id"
+    dep = F.unix_micros(F.col("cikis_zaman").cast("timestamp"))
+    lag_cols = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in has else F.lit(0.0).alias(c)
+                for c in ("vel_lag_1", "vel_lag_2", "vel_lag_3")]
+    return legs.select(F.col(trip).alias("trip_id"), F.col("route_id").cast("string").alias("route_id"),
+                       (F.col("direction_id") if "direction_id" in has else F.lit("0")).alias("direction_id"),
+                       F.col("stop_id_origen").alias("stop_id"), dep.alias("seq"), dep.alias("t_us"),
+                       F.col(lat_o).alias("lat"), F.col(lon_o).alias("lon"),
+                       F.col("stop_id_destino").alias("dest_stop_id"),
+                       F.unix_micros(F.col("varis_zaman").cast("timestamp")).alias("dest_t_us"),
+                       F.col(lat_d).alias("dest_lat"), F.col(lon_d).alias("dest_lon"), *lag_cols)

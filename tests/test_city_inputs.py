@@ -53,3 +53,23 @@ def test_stop_times_interpolated(spark):
     assert abs(v[0]["lat"] - 41.0082) < 1e-5 and v[0]["direction_id"] == "0"
     feats, _ = city_etl.run_split(spark.createDataFrame(v), city("istanbul"), is_test=False)
     assert feats.where(F.col("tiempo_viaje_segundos") > 0).count() == feats.count() > 0
+
+
+def test_leg_input_pairs_off_by_one(spark):
+    """Leg rows: k = 1 pairs leg i's origin with leg i+1's destination (two physical hops)."""
+    from headway.plans import leg_logs
+    cols = "arac_no string, ana_hat_no string, o string, d string, dep string, arr string"
+    t = lambda m: f"2024-05-01 08:{m:02d}:00"
+    raw = spark.createDataFrame([("V", "R", "A", "B", t(0), t(2)), ("V", "R", "B", "C", t(3), t(5)),
+                                 ("V", "R", "C", "D", t(6), t(8))], cols)
+    legs = leg_logs.clean_legs(raw, "arac_no", "ana_hat_no", "o", "d", "dep", "arr")
+    stops = spark.createDataFrame([(s, 37.87, 32.48 + i * 0.01) for i, s in enumerate("ABCD")],
+                                  "stop_id string, stop_lat double, stop_lon double")
+    legs = leg_logs.rebuild_trips(leg_logs.leg_features(leg_logs.collapse_repeats(legs), stops))
+    v = city_inputs.legs_to_visits(legs)
+    feats, _ = city_etl.run_split(v, city("konya"), is_test=False)
+    got = sorted((r["stop_id_origen"], r["stop_id_destino"], r["k"], r["tiempo_viaje_segundos"]) for r in feats.collect())
+    assert got == [("A", "C", 1, 300.0), ("A", "D", 2, 480.0), ("B", "D", 1, 300.0)]
+    test_feats, _ = city_etl.run_split(v, city("konya"), is_test=True)
+    assert sorted((r["stop_id_origen"], r["stop_id_destino"]) for r in test_feats.collect()) == \
+        [("A", "C"), ("A", "D"), ("B", "D")]
