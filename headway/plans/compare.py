@@ -22,3 +22,14 @@ def compare_schedule_model(df: DataFrame, sched_diff_s: str, distance_m: str, ac
              .withColumn("error_model_min", F.abs(F.col("predicted_s") - F.col(actual_s)) / 60.0))
     return (out.withColumn("improvement_pct", improvement_pct("error_sched_min", "error_model_min"))
                .withColumn("model_wins", F.col("error_model_min") < F.col("error_sched_min")))
+
+
+def validate_requests(requests: DataFrame, seq_o: str, seq_d: str) -> DataFrame:
+    """a request is valid when the destination comes strictly after the origin in
+    the trip; invalid ones are kept with a reason. ``intermediate_stops`` is the gap."""
+    o, d = F.col(seq_o), F.col(seq_d)
+    reason = (F.when(o.isNull() | d.isNull(), "unknown_stop")
+               .when(d <= o, "destination_not_after_origin"))
+    return (requests.withColumn("reject_reason", reason)
+                    .withColumn("is_valid", F.col("reject_reason").isNull())
+                    .withColumn("intermediate_stops", F.when(F.col("is_valid"), d - o)))

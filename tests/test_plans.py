@@ -78,3 +78,12 @@ def test_sequence_plans_shuffle_once_by_entity(spark, name):
     assert any("user_id" in ln for ln in hashed)
     # the (user_id, island) aggregation of collapse_islands reuses the user partitioning
     assert len(hashed) == 1
+
+
+def test_validate_requests(spark):
+    from headway.plans.compare import validate_requests
+    df = spark.createDataFrame([(1, 2, 7), (2, 5, 5), (3, None, 4)], "rid int, so int, sd int")
+    got = {r["rid"]: (r["is_valid"], r["reject_reason"], r["intermediate_stops"])
+           for r in validate_requests(df, "so", "sd").collect()}
+    assert got == {1: (True, None, 5), 2: (False, "destination_not_after_origin", None),
+                   3: (False, "unknown_stop", None)}
