@@ -87,3 +87,10 @@ def test_validate_requests(spark):
            for r in validate_requests(df, "so", "sd").collect()}
     assert got == {1: (True, None, 5), 2: (False, "destination_not_after_origin", None),
                    3: (False, "unknown_stop", None)}
+
+
+def test_city_registry():
+    from headway.config import city
+    assert city("Boston").order_gap_cap and city("konya").leg_input
+    with pytest.raises(ValueError):
+        city("atlantis")
