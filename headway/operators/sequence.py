@@ -23,6 +23,10 @@ found by one small statistics job (a partial count per entity); their keys (at m
 chunked, while every other entity uses one ``partitionBy(entity)`` window, i.e. a
 single shuffle. With no hot entity the plan is exactly the single-window plan; with
 too many, every row is chunked. ``skew_safe=False`` skips the statistics job.
+
+Unbounded pairs (``band_pairs``) need no positions: one ``(entity, time bucket)`` frame
+that also holds the next bucket as a halo gives every partner within the time limit and
+the position gap, so its partitions are bounded by time, not by the entity.
 """
 
 from __future__ import annotations
