@@ -50,3 +50,40 @@ def test_band_pairs_match_brute_force(spark, rows, max_dt):
     got = sorted((r["o_id"], r["d_id"], r["k"]) for r in sequence.band_pairs(
         df, "ent", ["t", "id"], "ts", float(max_dt), ["id"], ["id"]).collect())
     assert got == brute(rows, max_dt=max_dt)
+
+
+VALS = st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 300),
+                          st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=40)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=VALS, chunk=st.integers(1, 5))
+def test_islands_and_interpolation_across_chunks(spark, rows, chunk):
+    old = sequence.CHUNK_ROWS
+    sequence.CHUNK_ROWS = chunk
+    try:
+        df = spark.createDataFrame([(i, e, t, v, None if v is None else float(v)) for i, (e, t, v) in enumerate(rows)],
+                                   "id long, ent string, t long, v int, x double")
+        isl = {r["id"]: r["isl"] for r in sequence.island_ids(df, "ent", ["t", "id"], ["v"], out="isl").collect()}
+        itp = {r["id"]: r["xi"] for r in sequence.interpolate_linear(df, "ent", ["t", "id"], "x", "xi").collect()}
+    finally:
+        sequence.CHUNK_ROWS = old
+    g = {}
+    for i, (e, t, v) in enumerate(rows):
+        g.setdefault(e, []).append((t, i, v))
+    for seq in g.values():
+        seq.sort()
+        n = 0
+        for j, (_, i, v) in enumerate(seq):
+            if j == 0 or v is None or seq[j - 1][2] is None or v != seq[j - 1][2]:
+                n += 1                                     # null never equals null (N4)
+            assert isl[i] == n
+            vals = [s[2] for s in seq]
+            if v is not None:
+                assert itp[i] == float(v)
+                continue
+            p = max((q for q in range(j) if vals[q] is not None), default=None)
+            nx = min((q for q in range(j + 1, len(seq)) if vals[q] is not None), default=None)
+            exp = None if p is None else float(vals[p]) if nx is None else \
+                vals[p] + (vals[nx] - vals[p]) * ((j - p) / (nx - p))
+            assert (itp[i] is None and exp is None) or abs(itp[i] - exp) < 1e-9
