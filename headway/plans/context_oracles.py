@@ -275,3 +275,24 @@ SELECT CAST(tt_us / 1e6 AS FLOAT) AS tiempo_viaje_segundos, CAST(hour(lt) AS TIN
          AS tiempo_promedio_historico,
        CAST(k AS INTEGER) AS k
 FROM f"""
+
+ORACLES["leg_log_trips"] = f"""WITH {EV},
+legs AS (SELECT user_id AS vehicle_id, CAST(user_id % 7 AS VARCHAR) AS route_id, stop_id AS o,
+                lead(stop_id) OVER w AS d, t_us AS dep, lead(t_us) OVER w AS arr, lead(event_id) OVER w AS nxt
+         FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id)),
+l2 AS (SELECT * FROM legs WHERE nxt IS NOT NULL),
+f AS (SELECT *, CASE WHEN lag(o) OVER w IS NULL OR route_id <> lag(route_id) OVER w OR o <> lag(o) OVER w
+                          OR d <> lag(d) OVER w THEN 1 ELSE 0 END AS flag
+      FROM l2 WINDOW w AS (PARTITION BY vehicle_id ORDER BY dep, arr, o)),
+i AS (SELECT *, sum(flag) OVER (PARTITION BY vehicle_id ORDER BY dep, arr, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                AS island FROM f),
+c AS (SELECT vehicle_id, island, min(dep) AS dep, max(arr) AS arr, arg_min(route_id, dep) AS route_id,
+             arg_min(o, dep) AS o, arg_min(d, dep) AS d FROM i GROUP BY vehicle_id, island),
+c2 AS (SELECT * FROM c WHERE (arr - dep) / 1e6 >= 30),
+t AS (SELECT *, CASE WHEN lag(dep) OVER w IS NULL OR route_id <> lag(route_id) OVER w
+                          OR dep / 1e6 - lag(arr) OVER w / 1e6 > 900 OR o <> lag(d) OVER w THEN 1 ELSE 0 END AS flag
+      FROM c2 WINDOW w AS (PARTITION BY vehicle_id ORDER BY dep, arr, o))
+SELECT vehicle_id, dep AS dep_us, arr AS arr_us, o AS stop_id_origen, d AS stop_id_destino,
+       CAST(sum(flag) OVER (PARTITION BY vehicle_id ORDER BY dep, arr, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS BIGINT) AS trip_no
+FROM t"""

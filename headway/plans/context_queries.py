@@ -416,3 +416,23 @@ QUERIES.update({
     "sample_entities": q_sample_entities,
     "row_index": q_row_index,
 })
+
+
+def q_leg_log_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """Leg-log composite on the events: each event to the next event of the user is a leg;
+    contiguous repeats collapse (W6/A3), legs under 30 s drop (F4), trips are rebuilt on
+    route change, a stop-over over 15 min or a spatial break (W7)."""
+    from .leg_logs import collapse_repeats, rebuild_trips
+    ev = stop_events(spark, sf)
+    legs = sequence.next_leg(ev, ENTITY, ORDER, ["stop_id", "ts"])
+    legs = legs.select(F.col(ENTITY).alias("vehicle_id"), F.col("route_id").cast("string").alias("route_id"),
+                       F.col("stop_id").alias("stop_id_origen"), F.col("next_stop_id").alias("stop_id_destino"),
+                       F.col("ts").cast("timestamp").alias("cikis_zaman"),
+                       F.col("next_ts").cast("timestamp").alias("varis_zaman"))
+    t = rebuild_trips(collapse_repeats(legs))
+    return t.select("vehicle_id", F.unix_micros("cikis_zaman").alias("dep_us"),
+                    F.unix_micros("varis_zaman").alias("arr_us"), "stop_id_origen", "stop_id_destino",
+                    F.col("trip_no").cast("long").alias("trip_no"))
+
+
+QUERIES["leg_log_trips"] = q_leg_log_trips
