@@ -94,3 +94,12 @@ def test_city_registry():
     assert city("Boston").order_gap_cap and city("konya").leg_input
     with pytest.raises(ValueError):
         city("atlantis")
+
+
+def test_results_do_not_depend_on_the_callers_time_zone(spark):
+    """The driver builds its own session: a non-UTC session zone must not change results."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    a = sorted(map(tuple, E.queries()["calendar_features"](spark, SF).collect()))
+    b = sorted(map(tuple, E.queries()["calendar_features"](other, SF).collect()))
+    assert a == b
