@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package assumes (UTC session, AQE with skew handling,
 # ANSI left on so bad casts fail loudly unless a try_* function is used).
@@ -46,13 +46,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (tests, local runs) a
-    private temporary folder is created and registered.
+    The cluster's setting always wins. A private temporary folder is created only when
+    it is unset on a ``local`` master (tests, local runs): on a cluster such a folder
+    would lie on the driver's disk, where executors cannot reach it, so this raises.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="headway-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     # getCheckpointDir() may return a sub-folder Spark created; register the root once.
@@ -67,13 +69,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "headway", f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and return a DataFrame that
-    reads it back (reliable ``checkpoint``; never a local one).
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Used where a derived frame (e.g. the O-D pair table) feeds several consumers:
     without it each consumer would rebuild the frame, because column pruning gives
-    every consumer a different exchange and Spark cannot reuse one shuffle.
+    every consumer a different exchange and Spark cannot reuse one shuffle. Parquet
+    keeps pruning and pushdown for the consumers, and a lost executor loses nothing.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
