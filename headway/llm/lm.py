@@ -1,29 +1,31 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counting covers every training token: unigrams exactly, bigrams (with a start mark before
-the first word and an end token after the last) by 64-bit hash. Three kinds of entries go
-into one Bloom filter: a word's count, a bigram's count (from ``min_bigram`` up), and a
-context's kept mass, the discounted bigram counts stored for it. A count c is quantised to
-level q = 1 + floor(log c / log BASE), and the entry is inserted at levels 1 .. q. A query
-probes level 1, 2, ... until one is missing: the last hit gives the count.
+Counting covers every training token: words by 64-bit hash, and bigrams (with a start mark
+before the first word and an end token after the last) by a 64-bit key whose upper half
+comes from the context and whose lower half from the pair. Each task sums what it has read
+before the shuffle. Three kinds of entries go into one Bloom filter: a word's count, a
+bigram's count (from ``min_bigram`` up), and a context's kept mass, the discounted bigram
+counts stored for it. A count c is quantised to level q = 1 + floor(log c / log BASE), and
+the entry is inserted at levels 1 .. q. A query probes level 1, 2, ... until one is missing:
+the last hit gives the count.
 
 The smoothed probability interpolates by absolute discounting: with context v and word w,
 
     P(w | v) = max(c(vw) - D, 0) / c(v) + (1 - mass(v) / c(v)) * P1(w),
 
 where mass(v) sums c(vw) - D over stored bigrams, so the weight of the second part is what
-the stored bigrams leave, and P1(w) = (c(w) + 1) / (N + V + 1). Counts of bigrams are what
-remains of the filter's quantisation; unigrams in P1 likewise.
+the stored bigrams leave, and P1(w) = (c(w) + 1) / (N + V + 1). All counts in it are what
+the filter returns.
 
 Bounds: the filter has ``BITS_PER_ENTRY`` bits per insertion, up to ``max_filter_bits``. The
 smallest bigram count that is stored rises until the insertions fit (from the exact
 histogram of all counts); beyond that nothing depends on the size of the corpus. The filter
 is built in segments of SEGMENT_BITS, each by one task, and broadcast whole.
 
-The base score needs exact unigram counts. Words with at least T occurrences in all texts,
-T chosen so that at most ``max_known_words`` qualify, are broadcast (hash and count); the
-tokens of rarer words are joined with the counts by hash, and since a rarer word occurs less
-than T times, no key of that join is hot.
+The base score needs exact word counts. Words with at least T occurrences in all texts, T
+chosen so that about ``max_known_words`` qualify, are broadcast (hash and count); the tokens
+of rarer words are joined with the counts by hash, and since a rarer word occurs less than T
+times, no key of that join is hot.
 
 Defined cases: a null or empty text is its end token; null ids are not held out (their
 bucket is unknown) and train; no training rows give N = V = 0 and a base of 0 per token;
@@ -45,10 +47,13 @@ from headway.session import materialize
 
 BASE = 1.5
 DISCOUNT = 0.75
-BITS_PER_ENTRY = 10
-HASHES = 5
+BITS_PER_ENTRY = 12
+HASHES = 3
+#: A level's mixed key holds the segment position of HASHES hashes of 20 bits.
 SEGMENT_BITS = 1 << 20
 WORD, BIGRAM, MASS = 1, 2, 3
+#: Tokens that a worker handles at once.
+COUNT_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 19
 #: Tokens that no word can equal: words hold no space.
 END, BEGIN = " end", " begin"
 
@@ -57,7 +62,7 @@ END, BEGIN = " end", " begin"
 class LMParams:
     min_bigram: int = 2
     max_filter_bits: int = 1 << 28
-    max_known_words: int = 1 << 20
+    max_known_words: int = 1 << 19
 
 
 def token_hashes(text: Column) -> Column:
@@ -79,10 +84,15 @@ def entry(kind: int, h: np.ndarray) -> np.ndarray:
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit hash of a bigram from the hashes of its words."""
+    """64-bit key of a bigram: the upper 32 bits are the context's, the lower mix both words."""
     with np.errstate(over="ignore"):
-        a = _splitmix(v.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        return _splitmix(a + w.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        low = _splitmix(v.view(np.uint64) + w.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return ((v.view(np.uint64) & np.uint64(0xFFFFFFFF00000000)) | (low >> np.uint64(32))).view(np.int64)
+
+
+def context(key: np.ndarray) -> np.ndarray:
+    """What a bigram key and a word hash have in common: the upper 32 bits of the context."""
+    return key >> 32
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -96,11 +106,11 @@ def count_of(q: np.ndarray) -> np.ndarray:
     return np.where(q <= 0, 0.0, np.where(q == 1, 1.0, BASE ** (q - 0.5)))
 
 
-def _bits(key: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """Bit inside the key's segment of hash ``k`` at level ``q``."""
+def _bits(key: np.ndarray, q) -> list[np.ndarray]:
+    """The HASHES bits inside the key's segment at level ``q``."""
     with np.errstate(over="ignore"):
-        g = _splitmix(key + q.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k) * np.uint64(0x165667B19E3779F9))
-    return (g & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+        g = _splitmix(key + np.asarray(q).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return [((g >> np.uint64(20 * k)) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 def _segment(key: np.ndarray, segments: int) -> np.ndarray:
@@ -113,48 +123,75 @@ class Filter:
     def __init__(self, bits: np.ndarray, segments: int):
         self.bits, self.segments = bits, segments
 
-    def has(self, key: np.ndarray, q: np.ndarray) -> np.ndarray:
-        base = _segment(key, self.segments) * SEGMENT_BITS
-        hit = np.ones(len(key), bool)
-        for k in range(HASHES):
-            at = base + _bits(key, q, k)
-            hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return hit
-
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """Highest level before the first missing one."""
+        """Highest level before the first missing one, for each key."""
         q = np.zeros(len(key), np.int32)
-        live = np.arange(len(key))
+        live, k = np.arange(len(key)), key
+        base = _segment(key, self.segments) * SEGMENT_BITS
+        step = 0
         while len(live):
-            live = live[self.has(key[live], q[live] + 1)]
-            q[live] += 1
+            step += 1
+            hit = np.ones(len(live), bool)
+            for at in _bits(k, step):
+                at += base
+                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
+            live, k, base = live[hit], k[hit], base[hit]
+            q[live] = step
         return q
 
 
-def count_words(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
-    """(h, c, c_all): occurrences of each token in training texts and in all texts, by hash."""
-    d = docs.select((~held_out).cast("long").alias("t"), F.explode(token_hashes(F.col(text))).alias("h"))
-    return d.groupBy("h").agg(F.sum("t").alias("c"), F.count(F.lit(1)).alias("c_all"))
+def count_grams(docs: DataFrame, held_out: Column, p: LMParams, text: str = "text") -> DataFrame:
+    """(kind, h, c, c_all): words with their training and total counts, bigrams (training) from ``min_bigram`` up.
 
-
-def count_bigrams(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
-    """(h, v, c): counts of training bigrams, summed inside each batch before the shuffle."""
+    A task sends one row per distinct word and bigram of a batch, so a hot one costs a row
+    a batch; the rows are summed after the shuffle.
+    """
     begin = np.int64(_begin_hash(docs))
 
-    def run(batches):
-        for b in batches:
-            col = b.column(0)
-            w = np.asarray(col.values)[col.offsets[0].as_py():col.offsets[-1].as_py()]
-            first = np.asarray(col.offsets)[:-1] - col.offsets[0].as_py()
-            v = np.empty_like(w)
-            v[1:] = w[:-1]
-            v[first] = begin
-            h, at, n = np.unique(pair(v, w), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(v[at]), pa.array(n.astype(np.int64))], ["h", "v", "c"])
+    def unique(x):
+        h, n = np.unique(x, return_counts=True)
+        return h, n.astype(np.int64)
 
-    train = docs.where(~held_out).select(token_hashes(F.col(text)).alias("w"))
-    return train.mapInArrow(run, "h long, v long, c long").groupBy("h").agg(
-        F.min("v").alias("v"), F.sum("c").alias("c"))
+    def run(batches):
+        for b in _runs(batches, 1, COUNT_TOKENS):
+            held, w, cut = b.column(0).to_numpy(zero_copy_only=False), *_tokens(b.column(1))
+            train = np.repeat(~held, np.diff(cut))
+            v = _contexts(w, cut, begin)
+            for kind, c, h in ((WORD, True, w[train]), (WORD, False, w[~train]), (BIGRAM, True, pair(v, w)[train])):
+                h, n = unique(h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(n * c), pa.array(n)],
+                    ["kind", "h", "c", "c_all"])
+
+    rows = docs.select(held_out.alias("held"), token_hashes(F.col(text)).alias("w")).mapInArrow(
+        run, "kind int, h long, c long, c_all long")
+    summed = rows.repartition("h", "kind").groupBy("h", "kind").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+    return summed.where((F.col("kind") == WORD) | (F.col("c") >= p.min_bigram))
+
+
+def _runs(batches, column: int, limit: int):
+    """Batches cut into runs of rows of about ``limit`` tokens, which bounds a worker's arrays."""
+    for b in batches:
+        cut = np.asarray(b.column(column).offsets).astype(np.int64)
+        at = 0
+        while at < len(b):
+            stop = max(at + 1, int(np.searchsorted(cut, cut[at] + limit, side="right")) - 1)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def _tokens(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of a batch and the position at which each text starts (and the end)."""
+    cut = np.asarray(col.offsets).astype(np.int64)
+    return np.asarray(col.values)[cut[0]:cut[-1]], cut - cut[0]
+
+
+def _contexts(w: np.ndarray, cut: np.ndarray, begin: np.int64) -> np.ndarray:
+    """The token before each token."""
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[cut[:-1]] = begin
+    return v
 
 
 def _begin_hash(docs: DataFrame) -> int:
@@ -187,10 +224,10 @@ def build_filter(words: DataFrame, bigrams: DataFrame, p: LMParams) -> Filter:
     at, total = stored_from(bigrams, words, p)
     segments = int(max(1, min(-(-total * BITS_PER_ENTRY // SEGMENT_BITS), p.max_filter_bits // SEGMENT_BITS)))
     kept = bigrams.where(F.col("c") >= at)
-    mass = kept.groupBy("v").agg(F.sum(F.col("c") - DISCOUNT).alias("c"))
+    mass = kept.groupBy(F.shiftright("h", 32).alias("h")).agg(F.sum(F.col("c") - DISCOUNT).alias("c"))
     rows = words.where("c > 0").select(F.lit(WORD).alias("kind"), "h", F.col("c").cast("double").alias("c")) \
         .union(kept.select(F.lit(BIGRAM), "h", F.col("c").cast("double"))) \
-        .union(mass.select(F.lit(MASS), F.col("v"), "c"))
+        .union(mass.select(F.lit(MASS), "h", "c"))
 
     def keyed(batches):
         for b in batches:
@@ -213,9 +250,7 @@ def build_filter(words: DataFrame, bigrams: DataFrame, p: LMParams) -> Filter:
                     open_, bits = s, np.zeros(SEGMENT_BITS // 8, np.uint8)
                 k, levels = key[lo:hi].view(np.uint64), q[lo:hi]
                 for l in range(1, int(levels.max(initial=0)) + 1):
-                    here = k[levels >= l]
-                    for j in range(HASHES):
-                        at_ = _bits(here, np.full(len(here), l), j)
+                    for at_ in _bits(k[levels >= l], l):
                         np.bitwise_or.at(bits, at_ >> 3, np.uint8(1) << (at_ & 7).astype(np.uint8))
         if open_ is not None:
             yield _segment_row(open_, bits)
@@ -240,15 +275,30 @@ def _segment_row(s: int, bits: np.ndarray) -> pa.RecordBatch:
                                       ["segment", "bits"])
 
 
-def log_probabilities(f: Filter, v: np.ndarray, w: np.ndarray, n: int, types: int) -> np.ndarray:
-    """log10 P(w | v) from the filter alone."""
-    c_w = count_of(f.levels(entry(WORD, w)))
-    c_v = np.maximum(count_of(f.levels(entry(WORD, v))), 1.0)
-    c_vw = count_of(f.levels(entry(BIGRAM, pair(v, w))))
-    mass = np.minimum(count_of(f.levels(entry(MASS, v))) / c_v, 0.95)
-    seen = np.minimum(np.maximum(c_vw - DISCOUNT, 0.0) / c_v, mass)
-    one = np.minimum((c_w + 1) / (n + types + 1), 1.0)
-    return np.log10(seen + (1 - mass) * one)
+def log_probabilities(f: Filter, words: np.ndarray, v: np.ndarray, w: np.ndarray, key: np.ndarray, n: int,
+                      types: int, min_bigram: int) -> np.ndarray:
+    """log10 P of bigrams ``key`` whose context and word are at ``v`` and ``w`` in ``words``, from the filter alone."""
+    c = count_of(f.levels(entry(WORD, words)))
+    c_v = np.maximum(c, 1.0)
+    mass = np.minimum(count_of(f.levels(entry(MASS, context(words)))) / c_v, 0.95)
+    one = np.minimum((c + 1) / (n + types + 1), 1.0)
+    q = f.levels(entry(BIGRAM, key))
+    c_vw = np.where(q >= level(np.array(float(min_bigram))), count_of(q), 0.0)   # lower levels are false hits
+    seen = np.minimum(np.maximum(c_vw - DISCOUNT, 0.0) / c_v[v], mass[v])
+    return np.log10(seen + (1 - mass[v]) * one[w])
+
+
+def _known(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of a bounded table, sent to the driver as packed columns."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().tobytes()]) for i in (0, 1)], ["h", "c"])
+
+    parts = [(np.frombuffer(r["h"], np.int64), np.frombuffer(r["c"], np.int64))
+             for r in words.select("h", "c").mapInArrow(run, "h binary, c binary").toLocalIterator()]
+    h, c = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    order = np.argsort(h)
+    return h[order], c[order]
 
 
 def score_texts(docs: DataFrame, buckets: int = 7, held_bucket: int = 2, params: LMParams = LMParams(),
@@ -256,47 +306,41 @@ def score_texts(docs: DataFrame, buckets: int = 7, held_bucket: int = 2, params:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
     spark = docs.sparkSession
     held = F.coalesce(id_bucket(F.col("doc_id"), buckets) == held_bucket, F.lit(False))
-    words = materialize(count_words(docs, held, text), "words")
-    bigrams = materialize(count_bigrams(docs, held, text), "bigrams")
+    grams = materialize(count_grams(docs, held, params, text), "grams")
+    words, bigrams = (grams.where(F.col("kind") == k).drop("kind") for k in (WORD, BIGRAM))
     n, types, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
-    # Begin marks are contexts, not tokens: a count of its own is the number of training texts.
+    # Begin marks are contexts, not tokens: their count is the number of training texts.
     n_texts = docs.where(~held).count()
-    begin = _begin_hash(docs)
-    marks = spark.range(1).select(F.lit(begin).alias("h"), F.lit(n_texts).cast("long").alias("c"))
-    known_words = words.select("h", "c").union(marks)
-    filt = spark.sparkContext.broadcast(build_filter(known_words, bigrams, params))
+    begin = np.int64(_begin_hash(docs))
+    marks = spark.range(1).select(F.lit(int(begin)).alias("h"), F.lit(n_texts).cast("long").alias("c"))
+    filt = spark.sparkContext.broadcast(build_filter(words.select("h", "c").union(marks), bigrams, params))
     often = 1
     if distinct > params.max_known_words:
-        # The rank that fits, by an approximate quantile with a small margin; then the exact bound holds below.
-        share = 1 - 0.9 * params.max_known_words / distinct
-        often = int(words.agg(F.percentile_approx("c_all", share, 100_000)).first()[0]) + 1
-    pd = words.where(F.col("c_all") >= often).select("h", "c").toPandas().sort_values("h")
-    known = spark.sparkContext.broadcast((pd["h"].to_numpy(np.int64), pd["c"].to_numpy(np.int64)))
+        share = 1 - params.max_known_words / distinct
+        often = int(words.agg(F.percentile_approx("c_all", share, 10_000)).first()[0]) + 1
+    known = spark.sparkContext.broadcast(_known(words.where(F.col("c_all") >= often)))
 
     def run(batches):
         f, (kh, kc) = filt.value, known.value
-        for b in batches:
-            col = b.column(2)
-            lo = col.offsets[0].as_py()
-            w = np.asarray(col.values)[lo:col.offsets[-1].as_py()]
-            cut = np.asarray(col.offsets).astype(np.int64) - lo
-            v = np.empty_like(w)
-            v[1:] = w[:-1]
-            v[cut[:-1]] = begin
+        for b in _runs(batches, 2, SCORE_TOKENS):
+            w, cut = _tokens(b.column(2))
+            coded = pa.array(np.append(w, begin)).dictionary_encode()
+            uniq, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            mark, code = code[-1], code[:-1]
+            before = np.empty_like(code)
+            before[1:] = code[:-1]
+            before[cut[:-1]] = mark
             total = lambda x: np.add.reduceat(x, cut[:-1]) if len(cut) > 1 else np.zeros(0)
-            uniq, back = np.unique(w, return_inverse=True)
             at = np.minimum(np.searchsorted(kh, uniq), max(len(kh) - 1, 0))
             found = kh[at] == uniq if len(kh) else np.zeros(len(uniq), bool)
             c = np.where(found, kc[at] if len(kh) else 0, 0)
             base = np.where(found, np.log10((c + 1) / (n + types + 1)), 0.0)
-            both = pair(v, w)
-            pairs, first, back2 = np.unique(both, return_index=True, return_inverse=True)
-            score = log_probabilities(f, v[first], w[first], n, types)
-            rare = ~found[back]
+            score = log_probabilities(f, uniq, before, code, pair(uniq[before], w), n, types, params.min_bigram)
+            rare = ~found[code]
             upto = np.append(0, np.cumsum(rare))[cut]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(np.diff(cut)), pa.array(total((c > 0)[back].astype(np.int64))),
-                pa.array(total(base[back])), pa.array(total(score[back2])),
+                b.column(0), b.column(1), pa.array(np.diff(cut)), pa.array(total((c > 0)[code].astype(np.int64))),
+                pa.array(total(base[code])), pa.array(total(score)),
                 pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(w[rare]))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
