@@ -50,7 +50,7 @@ FRESH, LETTERS, NUMBERS, OTHERS, WHITES, JOINED, ONE_LEFT, TWO_LEFT = range(8)
 
 SEGMENT = 1 << 21
 BLOCK = 128
-CACHE = 300_000
+CACHE = 600_000
 _FIELDS = (StructField("n_tokens", LongType()), StructField("ids", BinaryType()))
 
 
@@ -212,7 +212,7 @@ class Encoder:
     """Encodes batches of UTF-8 texts; one per Python worker."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.cache = ranks, {}
+        self.ranks, self.cache = ranks, {}                 # piece -> ids as 32-bit integers
         size = max(ranks.values(), default=-1) + 1
         words = [b""] * size
         for w, i in ranks.items():
@@ -221,13 +221,11 @@ class Encoder:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
 
-    def _ids(self, piece: bytes) -> list[int]:
+    def _ids(self, piece: bytes) -> bytes:
         ids = self.cache.get(piece)
         if ids is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            ids = merge(piece, self.ranks)
-            if len(piece) <= 256:
+            ids = np.array(merge(piece, self.ranks), "<u4").tobytes()
+            if len(piece) <= 64 and len(self.cache) < CACHE:
                 self.cache[piece] = ids
         return ids
 
@@ -247,8 +245,8 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         each = [self._ids(p) for p in coded.dictionary.to_pylist()]
-        n_each = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.uint32, int(n_each.sum()))
+        n_each = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
         which = coded.indices.to_numpy()
         counts = n_each[which]
         ids = flat[ragged((np.cumsum(n_each) - n_each)[which], counts)]
@@ -310,33 +308,56 @@ def _encode_rows(enc: Encoder, texts: list[bytes]):
     return [np.concatenate(done[i]) for i in range(len(texts))]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, ends): ids as little-endian unsigned 32-bit integers; ends as 64-bit byte offsets."""
-    schema = StructType([docs.schema[id_col], *_FIELDS, StructField("ends", BinaryType())])
+def _slices(batches, column: int):
+    """Batches cut into rows of about SEGMENT bytes in all, which bounds a worker's arrays."""
+    for b in batches:
+        size = np.cumsum([len(x or b"") for x in b.column(column).cast(pa.binary()).to_pylist()])
+        at = 0
+        while at < len(b):
+            done = size[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, done + SEGMENT, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
 
+
+def _encoding(path: str, id_col: str):
     def run(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in _slices(batches, 1):
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             ids = _encode_rows(enc, texts)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                pa.array([x.tobytes() for x in ids], pa.binary()),
                 pa.array([enc.ends(x).astype("<i8").tobytes() for x in ids], pa.binary())],
                 [id_col, "n_tokens", "ids", "ends"])
-
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return run
 
 
-def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids, decoded) of rows with ``ids`` as made by ``encode_texts``."""
-    schema = StructType([encoded.schema[id_col], *_FIELDS, StructField("decoded", BinaryType())])
-
+def _decoding(path: str, id_col: str):
     def run(batches):
         enc = encoder(path)
         for b in batches:
             decoded = [enc.decode(np.frombuffer(x, "<u4")) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(decoded, pa.binary())],
                                              [id_col, "n_tokens", "ids", "decoded"])
+    return run
+
+
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, ends): ids as little-endian unsigned 32-bit integers; ends as 64-bit byte offsets."""
+    schema = StructType([docs.schema[id_col], *_FIELDS, StructField("ends", BinaryType())])
+    return docs.select(id_col, text).mapInArrow(_encoding(path, id_col), schema)
+
+
+def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, ids, decoded) of rows with ``ids`` as made by ``encode_texts``."""
+    schema = StructType([encoded.schema[id_col], *_FIELDS, StructField("decoded", BinaryType())])
+    return encoded.select(id_col, "n_tokens", "ids").mapInArrow(_decoding(path, id_col), schema)
+
 
-    return encoded.select(id_col, "n_tokens", "ids").mapInArrow(run, schema)
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode_ids`` of ``encode_texts`` in one worker, batch by batch: (id, n_tokens, ids, decoded)."""
+    encode, decode = _encoding(path, id_col), _decoding(path, id_col)
+    schema = StructType([docs.schema[id_col], *_FIELDS, StructField("decoded", BinaryType())])
+    return docs.select(id_col, text).mapInArrow(lambda batches: decode(encode(batches)), schema)

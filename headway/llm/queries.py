@@ -63,8 +63,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    return bpe.decode_ids(bpe.encode_texts(docs, path), path).select(
+    return bpe.encode_and_decode(docs, public_tokenizers.path(BYTE_BPE)).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
