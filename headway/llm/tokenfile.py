@@ -36,9 +36,9 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
              (3, 20), (2, 30), (1, 60))
 ESCAPE = 0
 BLOCK = 1024
-CHUNK = 1 << 18
-BATCH_BYTES = 1 << 22
-CACHE = 500_000
+CHUNK = 1 << 20
+BATCH_BYTES = 1 << 23
+CACHE = 1_000_000
 FILE = ("part int, chunk int, doc_ids array<long>, lengths array<long>, n_ids long, "
         "block_words binary, words binary")
 
@@ -47,22 +47,28 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block and the number of words) of 64-bit ids."""
     n = len(ids)
     rows = -(-n // BLOCK)
-    padded = np.zeros((rows, BLOCK + 60), np.uint64)       # zeros beyond a block's end fit any word
-    padded[:, :BLOCK].ravel()[:0] = 0
     flat = np.zeros(rows * BLOCK, np.uint64)
     flat[:n] = ids
+    padded = np.zeros((rows, BLOCK + 60), np.uint64)       # zeros beyond a block's end fit any word
     padded[:, :BLOCK] = flat.reshape(rows, BLOCK)
     length = np.full(rows, BLOCK, np.int64)
     if rows:
         length[-1] = n - (rows - 1) * BLOCK
-    # The longest selector that fits from each position on: its ids, and then its number.
-    best = np.zeros((rows, BLOCK), np.int8)
-    columns = np.arange(BLOCK + 60, dtype=np.int32)
+    # The narrowest selector that holds each id (15: none), and its maximum over the next ids:
+    # a selector fits where the maximum over its count of ids is not above its own number.
+    narrow = np.full(padded.shape, len(SELECTORS) + 1, np.uint8)
+    for number in range(len(SELECTORS), 0, -1):
+        np.copyto(narrow, number, where=padded < np.uint64(1 << SELECTORS[number - 1][1]))
+    best = np.zeros((rows, BLOCK), np.uint8)
+    widest, have = narrow, 1
     for number in range(len(SELECTORS), 0, -1):
-        count, bits = SELECTORS[number - 1]
-        wide = np.where(padded >> np.uint64(bits) != 0, columns, np.int32(BLOCK + 60))
-        stop = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
-        np.copyto(best, number, where=stop[:, :BLOCK] - columns[:BLOCK] >= count)
+        count = SELECTORS[number - 1][0]
+        while have < count:                                # maximum over more ids
+            more = min(have, count - have)
+            grown = widest.copy()
+            np.maximum(widest[:, :-more], widest[:, more:], out=grown[:, :-more])
+            widest, have = grown, have + more
+        np.copyto(best, number, where=widest[:, :BLOCK] <= number)
     jump = np.array([1, *(c for c, _ in SELECTORS)])
     at = np.zeros(rows, np.int64)
     live = np.flatnonzero(at < length)
@@ -128,35 +134,48 @@ def unpack(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
 
 
 @lru_cache(4)
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, list[int]]]:
+def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
     return Tokenizer.from_file(path), {}
 
 
+def _encode_words(tok: Tokenizer, words: list[str]) -> list[bytes]:
+    """Ids of each word (no white space inside), as 32-bit integers, from one call on all of them."""
+    e = tok.encode(" ".join(words), add_special_tokens=False)
+    ids = np.array(e.ids, "<u4")
+    first = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.cumsum(size) - size
+    cut = 4 * np.searchsorted(first, np.append(starts, size.sum()))
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, number of ids of each).
 
     The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words between ASCII white space; equal words of a batch are encoded once.
+    of its words between ASCII white space; equal words of a batch are encoded once, and
+    the first CACHE different words of a worker are remembered.
     """
     tok, cache = _tokenizer(path)
     split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-    coded = split.values.slice(0).dictionary_encode()
+    coded = split.values.dictionary_encode()
     words = coded.dictionary.to_pylist()
-    new = [w for w in words if w not in cache]
-    if new:
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = words
-        for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-            cache[w] = e.ids
-    each = [cache[w] for w in words]
-    n_each = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((i for ids in each for i in ids), np.uint64, int(n_each.sum()))
+    each = [cache.get(w) for w in words]
+    new = [i for i, ids in enumerate(each) if ids is None]
+    for lo in range(0, len(new), 20_000):
+        some = new[lo:lo + 20_000]
+        for i, ids in zip(some, _encode_words(tok, [words[i] for i in some])):
+            each[i] = ids
+            if len(cache) < CACHE:
+                cache[words[i]] = ids
+    n_each = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat = np.frombuffer(b"".join(each), "<u4")
     which = coded.indices.to_numpy()
     counts = n_each[which]
     total = np.append(0, np.cumsum(counts))
     ids = flat[ragged((np.cumsum(n_each) - n_each)[which], counts)]
-    return ids, np.diff(total[np.asarray(split.offsets)])
+    return ids.astype(np.uint64), np.diff(total[np.asarray(split.offsets)])
 
 
 def _runs(texts: pa.Array):
