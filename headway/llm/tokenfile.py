@@ -150,6 +150,17 @@ def _encode_words(tok: Tokenizer, words: list[str]) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+def _fewer_words(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids but fewer different words.
+
+    The tokenizer lower-cases, and always splits a letter from a full stop or comma. Texts
+    that may name a special token are left alone: those are matched before lower-casing.
+    """
+    texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy: ascii_lower misreads a slice's offsets
+    plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2")
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, plain)
+
+
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, number of ids of each).
 
@@ -158,7 +169,7 @@ def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     the first CACHE different words of a worker are remembered.
     """
     tok, cache = _tokenizer(path)
-    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    split = pc.ascii_split_whitespace(_fewer_words(texts.cast(pa.large_string())))
     coded = split.values.dictionary_encode()
     words = coded.dictionary.to_pylist()
     each = [cache.get(w) for w in words]
