@@ -29,7 +29,10 @@ RULES_AT_ONCE = 50_000
 
 @dataclass(frozen=True)
 class RuleParams:
+    """A rule needs ``min_support`` of the labelled URLs and at least ``min_rows`` of them."""
+
     min_support: float = 0.001
+    min_rows: int = 10
     min_confidence: float = 0.5
 
 
@@ -97,9 +100,10 @@ def mine_rules(pages: DataFrame, labels: DataFrame, params: RuleParams = RulePar
     t = materialize(t, "transactions")
     schema = "tokens array<string>, confidence double, support double"
     spark = pages.sparkSession
-    if not t.where(F.array_contains("items", BLOCK)).limit(1).count():
+    support = max(params.min_support, params.min_rows / max(1, t.count()))
+    if support > 1 or not t.where(F.array_contains("items", BLOCK)).limit(1).count():
         return spark.createDataFrame([], schema + ", anchor string")
-    model = FPGrowth(itemsCol="items", minSupport=params.min_support, minConfidence=params.min_confidence).fit(t)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=params.min_confidence).fit(t)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
         F.sort_array("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.get("items", 0).alias("token"), "freq")
