@@ -65,7 +65,7 @@ def scheduled_eta(sched_diff_s, distance_m) -> Column:
 
 
 def improvement_pct(err_sched, err_model) -> Column:
-    """(e_sched - e_model) / max(e_sched, 0.01) * 100."""
+    """(e_sched - e_model) / max(e_sched, 0.01) * 100, errors in seconds."""
     es, em = _c(err_sched), _c(err_model)
     return (es - em) / F.greatest(es, F.lit(0.01)) * 100.0
 

@@ -121,7 +121,7 @@ def fill_weather(weather: DataFrame, cols=("temperature_2m",)) -> DataFrame:
 
 
 # Weather presets of the comparison screen -> (temperature C, precipitation mm).
-WEATHER_PRESETS = [("Clear", 20.0, 0.0), ("Rain", 12.0, 8.0), ("Snow", -3.0, 2.0)]
+WEATHER_PRESETS = [("Clear", 25.0, 0.0), ("Rain", 14.0, 12.0), ("Snow", -2.0, 5.0)]
 
 
 def weather_presets(spark) -> DataFrame:

@@ -6,10 +6,12 @@ stop sequence, a vehicle or user ordered by time). A plain
 one entity holds a large share of all rows. The skew-safe path used by default:
 
 1. ``positions``: the position ``_rn`` of each row inside its entity is computed
-   without a per-entity window. Rows are grouped into coarse, order-monotone blocks
-   (60 s of time, or 64 steps of an integer order); block sizes are counted with a
-   partial aggregation; an exclusive prefix sum over the (small) block-count table
-   gives each block's base; ``row_number`` inside ``(entity, block)`` finishes it.
+   without a per-entity window. One range shuffle by (entity, order) cuts the rows into
+   even ranges, written to the shared folder so that the ranges stay fixed. A range
+   holds a stretch of an entity; its rows are counted per (entity, range), an exclusive
+   prefix sum over those counts (at most a row per entity and range, so a hot entity has
+   at most as many as there are partitions) gives each stretch its base, and
+   ``row_number`` inside ``(entity, range)`` finishes it. Any order type is cut evenly.
 2. ``Seq.run``: rows of hot entities are cut into chunks of ``chunk_rows`` consecutive positions.
    A row that is within ``back``/``fwd`` positions of a chunk edge is copied into the
    neighbouring chunk as a *halo* row, so bounded lags/leads over
@@ -18,30 +20,27 @@ one entity holds a large share of all rows. The skew-safe path used by default:
    with an exclusive prefix over per-chunk totals.
 
 Only hot entities take that path: entities with more than ``CHUNK_ROWS`` rows are
-found by one small statistics job (a partial count per entity); their keys (at most
-``MAX_HOT_KEYS``, so the broadcast size is known) are broadcast and their rows are
-chunked, while every other entity uses one ``partitionBy(entity)`` window, i.e. a
-single shuffle. With no hot entity the plan is exactly the single-window plan; with
-too many, every row is chunked. ``skew_safe=False`` skips the statistics job.
-
-Unbounded pairs (``band_pairs``) need no positions: one ``(entity, time bucket)`` frame
-that also holds the next bucket as a halo gives every partner within the time limit and
-the position gap, so its partitions are bounded by time, not by the entity.
+found by one small statistics job (a partial count per entity) and kept as a table; a
+join with it sends their rows to the chunked branch, while every other entity uses one
+``partitionBy(entity)`` window, i.e. a single shuffle. Nothing but "is there any" reaches
+the driver. ``skew_safe=False`` skips the statistics job.
+
+Unbounded pairs (``band_pairs``) take positions first and then one ``(entity, time
+bucket)`` frame that also holds the next bucket as a halo: it gives every partner within
+the time limit, its partitions are bounded by time, not by the entity, and ``k`` is the
+difference of the positions, whatever the order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import any_null
+from ..session import materialize
 
 SKEW_SAFE = True            # default for every operator in this module
 CHUNK_ROWS = 1 << 20        # rows per (entity, chunk) window partition
-BLOCK_SECONDS = 60          # time block for positions on timestamp orders
-BLOCK_STEPS = 64            # block width for numeric orders
-_MAXLONG = (1 << 63) - 1
 
 
 def _as_list(x) -> list:
@@ -54,24 +53,6 @@ def _ord(cols) -> list[Column]:
     return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in cols]
 
 
-def default_block(df: DataFrame, first_order: str) -> Column:
-    """Coarse, order-monotone bucket of the leading order column (nulls last)."""
-    dt = df.schema[first_order].dataType
-    c = F.col(first_order)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        b = F.floor(F.unix_micros(c.cast("timestamp")) / (BLOCK_SECONDS * 1_000_000))
-    elif isinstance(dt, T.DateType):
-        b = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
-    elif isinstance(dt, (T.IntegralType, T.FractionalType, T.DecimalType)):
-        b = F.floor(c / BLOCK_STEPS)
-    else:
-        b = F.lit(0)
-    return F.coalesce(b.cast("long"), F.lit(_MAXLONG))
-
-
-MAX_HOT_KEYS = 100_000      # above this many hot entities everything takes the chunked path
-
-
 def hot_entities(df: DataFrame, entity, min_rows: int | None = None) -> DataFrame:
     """Entities (a null key counts as one) with more than ``min_rows`` rows, from one
     partial aggregation. At most ``rows / min_rows`` keys exist."""
@@ -81,52 +62,40 @@ def hot_entities(df: DataFrame, entity, min_rows: int | None = None) -> DataFram
               .where(F.col("_n") > min_rows).select(*entity))
 
 
-def route_entities(df: DataFrame, entity, min_rows: int | None = None):
-    """Decide the plan from one small statistics job (the hot-key count).
+def route_entities(df: DataFrame, entity, min_rows: int | None = None) -> DataFrame | None:
+    """The hot entities as a table in the shared folder, or None when there is none (the
+    usual case: one window per entity, a single shuffle). At most ``rows / min_rows`` keys
+    exist; Spark broadcasts the table when its size allows and else splits the skew."""
+    hot = materialize(hot_entities(df, entity, min_rows).withColumn("_hot", F.lit(True)), "hot")
+    return hot if hot.limit(1).count() else None
 
-    Returns ``("plain", None)`` when no entity is hot (the usual case: one window per
-    entity, a single shuffle), ``("split", (hot_keys_df, null_is_hot))`` when a few are
-    (the key list is collected, so its broadcast size is exact and bounded by
-    ``MAX_HOT_KEYS``), or ``("chunk", None)`` when there are too many hot keys to
-    broadcast (every row then takes the chunked path)."""
-    entity = _as_list(entity)
-    rows = hot_entities(df, entity, min_rows).limit(MAX_HOT_KEYS + 1).collect()
-    if not rows:
-        return "plain", None
-    if len(rows) > MAX_HOT_KEYS:
-        return "chunk", None
-    null_hot = any(any(r[c] is None for c in entity) for r in rows)
-    keys = [tuple(r[c] for c in entity) for r in rows if all(r[c] is not None for c in entity)]
-    schema = df.select(*entity).schema
-    hot = df.sparkSession.createDataFrame(keys, schema).withColumn("_hot", F.lit(True))
-    return "split", (hot, null_hot)
-
-
-def split_hot(df: DataFrame, entity, hot_info) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot rows) given ``route_entities``' split info."""
-    entity = _as_list(entity)
-    hot_df, null_hot = hot_info
-    d = df.join(F.broadcast(hot_df), entity, "left")
-    hot = F.coalesce(F.col("_hot"), F.lit(False))
-    if null_hot:
-        hot = hot | any_null(entity)
-    return d.where(~hot).drop("_hot"), d.where(hot).drop("_hot")
 
-
-def _block_positions(df: DataFrame, entity, order, rn: str, block: Column | None) -> DataFrame:
-    blk = block if block is not None else default_block(df, order[0])
-    d = df.withColumn("_blk", blk)
+def split_hot(df: DataFrame, entity, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cold rows, hot rows) given ``route_entities``' table; null keys match null keys."""
+    entity = _as_list(entity)
+    h = hot.withColumnsRenamed({c: f"_h_{c}" for c in entity})
+    on = F.lit(True)
+    for c in entity:
+        on = on & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    d = df.join(h, on, "left").drop(*[f"_h_{c}" for c in entity])
+    return d.where(F.col("_hot").isNull()).drop("_hot"), d.where("_hot").drop("_hot")
+
+
+def _range_positions(df: DataFrame, entity, order, rn: str) -> DataFrame:
+    """Positions by ranges of (entity, order); keeps the range number in ``_blk``."""
+    keys = [F.col(c).asc_nulls_last() for c in entity] + _ord(order)
+    d = materialize(df.repartitionByRange(*keys).withColumn("_blk", F.spark_partition_id().cast("long")), "ranges")
     cnt = d.groupBy(*entity, "_blk").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(*entity).orderBy("_blk")
     cnt = cnt.select(*entity, "_blk", (F.sum("_bn").over(wb) - F.col("_bn")).alias("_base"))
-    # Left equi-join: null entities find no block base and keep a null position.
+    # Left equi-join: null entities find no base and keep a null position.
     d = d.join(cnt, [*entity, "_blk"], "left")
     w = Window.partitionBy(*entity, "_blk").orderBy(*_ord(order))
     return d.withColumn(rn, F.col("_base") + F.row_number().over(w) - 1).drop("_base")
 
 
-def positions(df: DataFrame, entity, order, rn: str = "_rn", block: Column | None = None,
-              skew_safe: bool | None = None, chunk_rows: int | None = None) -> DataFrame:
+def positions(df: DataFrame, entity, order, rn: str = "_rn", skew_safe: bool | None = None,
+              chunk_rows: int | None = None) -> DataFrame:
     """Add ``rn``: 0-based position of the row within its entity under ``order``
     (ascending, nulls last). Rows with a null entity key get a null position (they
     never take part in a sequence, N5/N6).
@@ -143,13 +112,11 @@ def positions(df: DataFrame, entity, order, rn: str = "_rn", block: Column | Non
 
     if not skew_safe:
         return plain(df)
-    how, info = route_entities(df, entity, chunk_rows)
-    if how == "plain":
+    hot_keys = route_entities(df, entity, chunk_rows)
+    if hot_keys is None:
         return plain(df)
-    if how == "chunk":
-        return _block_positions(df, entity, order, rn, block).drop("_blk")
-    cold, hot = split_hot(df, entity, info)
-    return plain(cold).unionByName(_block_positions(hot, entity, order, rn, block).drop("_blk"))
+    cold, hot = split_hot(df, entity, hot_keys)
+    return plain(cold).unionByName(_range_positions(hot, entity, order, rn).drop("_blk"))
 
 
 class Branch:
@@ -227,13 +194,12 @@ class Seq:
     """
 
     def __init__(self, df: DataFrame, entity, order, skew_safe: bool | None = None,
-                 chunk_rows: int | None = None, block: Column | None = None):
+                 chunk_rows: int | None = None):
         self.entity = _as_list(entity)
         self.order = _as_list(order)
         self.skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
         self.chunk_rows = CHUNK_ROWS if chunk_rows is None else chunk_rows
         self.df = df
-        self.block = block
 
     def _plain(self, df: DataFrame) -> tuple[DataFrame, Window]:
         w = Window.partitionBy(*self.entity).orderBy(*_ord(self.order))
@@ -242,10 +208,10 @@ class Seq:
         return d, w
 
     def _chunked(self, df: DataFrame, back: int, fwd: int) -> tuple[DataFrame, Window]:
-        size = max(self.chunk_rows, back, fwd)   # a chunk always covers its halo
-        d = _block_positions(df, self.entity, self.order, "_rn", self.block)
+        size = max(self.chunk_rows, back, fwd, 1)   # a chunk always covers its halo
+        d = _range_positions(df, self.entity, self.order, "_rn")
         rn = F.col("_rn")
-        # null positions (null entity): spread by block, results are nulled anyway
+        # null positions (null entity): spread by range, results are nulled anyway
         ck = F.coalesce(F.floor(rn / size), -1 - F.col("_blk"))
         pos = F.pmod(rn, F.lit(size))
         elems = [F.struct(ck.alias("ck"), F.lit(False).alias("halo"))]
@@ -259,16 +225,11 @@ class Seq:
         return d, w
 
     def run(self, fn, back: int = 0, fwd: int = 0, keep_rn: bool = False) -> DataFrame:
-        how = "plain"
-        if self.skew_safe:
-            how, info = route_entities(self.df, self.entity, self.chunk_rows)
-        if how == "plain":
+        keys = route_entities(self.df, self.entity, self.chunk_rows) if self.skew_safe else None
+        if keys is None:
             d, w = self._plain(self.df)
             return self.finish(fn(d, w, Branch(self.entity, False)), keep_rn)
-        if how == "chunk":
-            dh, wh = self._chunked(self.df, back, fwd)
-            return self.finish(fn(dh, wh, Branch(self.entity, True)), keep_rn)
-        cold, hot = split_hot(self.df, self.entity, info)
+        cold, hot = split_hot(self.df, self.entity, keys)
         dc, wc = self._plain(cold)
         dh, wh = self._chunked(hot, back, fwd)
         a = self.finish(fn(dc, wc, Branch(self.entity, False)), keep_rn)
@@ -382,27 +343,27 @@ def band_pairs(df: DataFrame, entity, order, t_seconds: str, max_dt: float, orig
     later in the sequence and ``0 < t_d - t_o <= max_dt``, labelled ``k`` = position gap.
 
     This is exactly the set the unbounded lookahead keeps after the travel-time filter,
-    without enumerating all pairs of an entity. Rows are bucketed by
-    ``floor(t / max_dt)``; each row is also copied, as a halo row, into the previous
-    bucket. In one ``partitionBy(entity, bucket)`` frame (a single shuffle) a core row's
-    partners are the rows within ``max_dt`` after it (range frame), and because the
-    partition holds two consecutive buckets completely, the difference of the local
-    row numbers is the position gap. The window partitions are bounded by the data of
-    two time buckets of one entity, not by the entity. ``skew_safe`` and ``rn_col`` are
-    accepted for API compatibility; positions are not needed.
+    without enumerating all pairs of an entity. Positions come first (all rows count, also
+    those without a time); then rows are bucketed by ``floor(t / max_dt)`` and each is also
+    copied, as a halo row, into the previous bucket. An explicit shuffle by (entity,
+    bucket) bounds a task by the data of two time buckets of one entity; there a row's
+    candidates are the rows within ``max_dt`` after it, in whatever position, and later
+    positions are kept. ``rn_col`` names a position column that exists already.
     """
     entity = _as_list(entity)
     order = _as_list(order)
     ocols, dcols = _as_list(origin_cols), _as_list(dest_cols)
     t = F.col(t_seconds).cast("double")
-    p = (df.where(~any_null(entity) & F.col(t_seconds).isNotNull()).withColumn("_t", t)
+    p = (positions(df, entity, order, "_prn", skew_safe=skew_safe) if rn_col is None
+         else df.withColumn("_prn", F.col(rn_col)))
+    p = (p.where(~any_null(entity) & F.col(t_seconds).isNotNull()).withColumn("_t", t)
            .withColumn("_tu", F.round(t * 1e6).cast("long")))
     bucket = F.floor(F.col("_t") / F.lit(float(max_dt)))
     p = p.withColumn("_cp", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("core")),
                                               F.struct((bucket - 1).alias("b"), F.lit(False).alias("core")))))
     p = p.withColumn("_bk", F.col("_cp.b")).withColumn("_core", F.col("_cp.core")).drop("_cp")
     part = Window.partitionBy(*entity, "_bk")
-    p = p.withColumn("_prn", F.row_number().over(part.orderBy(*_ord(order))))
+    p = p.repartition(*entity, "_bk")
     dstruct = F.struct(F.col("_prn").alias("__prn"), F.col("_t").alias("__t"), *[F.col(c).alias(c) for c in dcols])
     # integer-microsecond range frame (one extra microsecond; the exact test follows)
     frame = part.orderBy(F.col("_tu")).rangeBetween(0, int(round(max_dt * 1e6)) + 1)

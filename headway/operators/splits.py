@@ -1,18 +1,20 @@
 """Out-of-time splits and deterministic sampling.
 
 No operator here uses a global single-partition sort of the data:
-``split_fraction`` counts rows per coarse time block (partial aggregation), finds the
-one block that contains the cut with a scalar subquery over the small block table, and
-ranks only the rows of that block. Sampling is hash-based (repeatable across re-runs
+``split_fraction`` numbers the rows by one range shuffle and the row counts of the ranges.
+Sampling is hash-based (repeatable across re-runs
 and executor loss), never ``rand()`` after a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import _as_list, _ord, default_block
+from ..session import materialize
+from .sequence import _as_list, _ord
 
 
 def split_date(df: DataFrame, ts: str, cutoff: str, end: str | None = None, out: str = "split") -> DataFrame:
@@ -27,30 +29,30 @@ def split_date(df: DataFrame, ts: str, cutoff: str, end: str | None = None, out:
     return df.withColumn(out, lab).where(F.col(out).isNotNull())
 
 
-def split_fraction(df: DataFrame, order, frac: float = 0.8, out: str = "split",
-                   block: Column | None = None) -> DataFrame:
+def global_row_numbers(df: DataFrame, order, out: str = "_row") -> tuple[DataFrame, int]:
+    """Add ``out``: 0 .. n-1 in ``order`` (nulls last), and return n.
+
+    One range shuffle; the sorted rows are written to the shared folder with their place in
+    their range, and the ranges' offsets come from their row counts, a row per range. No
+    task holds more than a range, however many rows share a day or a time block."""
+    keys = _ord(_as_list(order))
+    d = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    d = materialize(d, "ordered")
+    part = F.shiftright("_at", 33)                         # the id is (partition << 33) + place
+    sizes = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rows = d.withColumn("_part", part).join(sizes.drop("_n"), "_part")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(out, F.col("_before") + place).drop("_part", "_before", "_at"), d.count()
+
+
+def split_fraction(df: DataFrame, order, frac: float = 0.8, out: str = "split") -> DataFrame:
     """The first ``floor(n * frac)`` rows by ``order`` are ``train``, the rest
     ``test`` (exactly as a global row number would give, ties broken by ``order``)."""
-    order = _as_list(order)
-    blk = block if block is not None else default_block(df, order[0])
-    d = df.withColumn("_blk", blk)
-    cnt = d.groupBy("_blk").agg(F.count(F.lit(1)).alias("_bn"))
-    # window over the block-count table only (one row per block, not per data row)
-    wcum = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    cum = cnt.select("_blk", "_bn", F.sum("_bn").over(wcum).alias("_cum"),
-                     F.sum("_bn").over(Window.partitionBy()).alias("_tot"))
-    cum = cum.withColumn("_target", F.floor(F.col("_tot") * F.lit(float(frac))))
-    cut = cum.where(F.col("_cum") >= F.col("_target")).agg(
-        F.min_by(F.struct(F.col("_blk").alias("b"), (F.col("_target") - (F.col("_cum") - F.col("_bn"))).alias("need")),
-                 F.col("_blk")).alias("c"))
-    b_star = cut.select(F.col("c.b")).scalar()
-    need = cut.select(F.col("c.need")).scalar()
-    rest = d.where(F.col("_blk") != b_star).withColumn(
-        out, F.when(F.col("_blk") < b_star, "train").otherwise("test"))
-    edge = d.where(F.col("_blk") == b_star)
-    w = Window.partitionBy("_blk").orderBy(*_ord(order))
-    edge = edge.withColumn(out, F.when(F.row_number().over(w) <= need, "train").otherwise("test"))
-    return rest.unionByName(edge).drop("_blk")
+    rows, n = global_row_numbers(df, order)
+    cut = math.floor(n * frac)
+    return rows.withColumn(out, F.when(F.col("_row") < cut, "train").otherwise("test")).drop("_row")
 
 
 def split_fraction_by_entity(df: DataFrame, entity, order_col: str, frac: float = 0.8,

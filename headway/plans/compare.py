@@ -14,14 +14,17 @@ HOPS_MIN, HOPS_MAX = 1, 10
 def compare_schedule_model(df: DataFrame, sched_diff_s: str, distance_m: str, actual_s: str,
                            predicted_s: str, hops: str, min_pred_s: float = 30.0) -> DataFrame:
     """Adds hops (clamped to [1, 10], P19), sched_s (X13), predicted_s (floored at
-    ``min_pred_s``), absolute errors in minutes, improvement % (X14) and model_wins."""
+    ``min_pred_s``), absolute errors in minutes, improvement % (X14, its floor of 0.01 is in
+    seconds) and model_wins (a tie goes to the model)."""
     out = (df.withColumn("hops", clamp(hops, HOPS_MIN, HOPS_MAX))
              .withColumn("sched_s", scheduled_eta(sched_diff_s, distance_m))
              .withColumn("predicted_s", F.greatest(F.lit(float(min_pred_s)), F.col(predicted_s)))
-             .withColumn("error_sched_min", F.abs(F.col("sched_s") - F.col(actual_s)) / 60.0)
-             .withColumn("error_model_min", F.abs(F.col("predicted_s") - F.col(actual_s)) / 60.0))
-    return (out.withColumn("improvement_pct", improvement_pct("error_sched_min", "error_model_min"))
-               .withColumn("model_wins", F.col("error_model_min") < F.col("error_sched_min")))
+             .withColumn("_es", F.abs(F.col("sched_s") - F.col(actual_s)))
+             .withColumn("_em", F.abs(F.col("predicted_s") - F.col(actual_s))))
+    return (out.withColumn("error_sched_min", F.col("_es") / 60.0)
+               .withColumn("error_model_min", F.col("_em") / 60.0)
+               .withColumn("improvement_pct", improvement_pct("_es", "_em"))
+               .withColumn("model_wins", F.col("_em") <= F.col("_es")).drop("_es", "_em"))
 
 
 def validate_requests(requests: DataFrame, seq_o: str, seq_d: str) -> DataFrame:

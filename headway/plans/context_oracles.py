@@ -133,11 +133,11 @@ ORACLES["schedule_vs_model"] = f"""WITH {SCORED_B},
 x AS (SELECT *, (floor(d_t_us / 300000000) * 300000000 - floor(o_t_us / 300000000) * 300000000) / 1e6 AS sdiff FROM h),
 y AS (SELECT *, CASE WHEN sdiff > 0 THEN sdiff ELSE dist_m / (CAST(15000 AS DOUBLE) / 3600) END AS sched_s,
              greatest(CAST(30 AS DOUBLE), hist_avg) AS predicted_s FROM x),
-z AS (SELECT *, abs(sched_s - tt) / 60.0 AS es, abs(predicted_s - tt) / 60.0 AS em FROM y)
+z AS (SELECT *, abs(sched_s - tt) AS es, abs(predicted_s - tt) AS em FROM y)
 SELECT o_event_id, d_event_id, CAST(greatest(1, least(10, k)) AS BIGINT) AS hops,
-  {R4('sched_s')} AS sched_s, {R4('predicted_s')} AS predicted_s, {R4('es')} AS error_sched_min,
-  {R4('em')} AS error_model_min, {R4('(es - em) / greatest(es, 0.01) * 100.0')} AS improvement_pct,
-  em < es AS model_wins
+  {R4('sched_s')} AS sched_s, {R4('predicted_s')} AS predicted_s, {R4('es / 60.0')} AS error_sched_min,
+  {R4('em / 60.0')} AS error_model_min, {R4('(es - em) / greatest(es, 0.01) * 100.0')} AS improvement_pct,
+  em <= es AS model_wins
 FROM z"""
 
 ORACLES["od_pairs_legs"] = f"""WITH {EV},
@@ -177,14 +177,16 @@ WHERE actual_arrival < TIMESTAMP '2001-01-01' AND cumulative_delay_min IS NOT NU
 
 ORACLES["crowd_features"] = f"""WITH {ARRIVALS},
 a2 AS (SELECT * REPLACE (stop_id % 50 AS stop_id) FROM a),
-f AS (SELECT o_custkey % 50 AS stop_id, o_orderkey % 10 AS line_id, isodow(o_orderdate) - 1 AS day_of_week,
+f AS (SELECT o_custkey % 50 AS stop_id, o_orderkey % 10 AS line_id, o_custkey % 3 AS hour_of_day, isodow(o_orderdate) - 1 AS day_of_week,
              CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS weather_condition,
              o_totalprice / 1000.0 AS v, o_orderkey FROM orders),
-fd AS (SELECT stop_id, line_id, day_of_week, weather_condition, arg_min(v, o_orderkey) AS avg_passengers_waiting
+fd AS (SELECT stop_id, line_id, hour_of_day, day_of_week, weather_condition, arg_min(v, o_orderkey) AS avg_passengers_waiting
        FROM f GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, {R4('coalesce(fd.avg_passengers_waiting, 0.0)')} AS avg_passengers_waiting,
-       passengers_waiting, CASE WHEN actual_arrival < TIMESTAMP '2000-01-01' THEN 'train' ELSE 'test' END AS split
-FROM a2 LEFT JOIN fd USING (stop_id, line_id, day_of_week, weather_condition)
+       hour_of_day, stop_type, passengers_waiting,
+       CASE WHEN actual_arrival < TIMESTAMP '2000-01-01' THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, l_linenumber % 3 AS hour_of_day, weather_condition || traffic_level AS stop_type FROM a2)
+LEFT JOIN fd USING (stop_id, line_id, hour_of_day, day_of_week, weather_condition)
 WHERE passengers_waiting IS NOT NULL"""
 
 GTFS = """svc AS (

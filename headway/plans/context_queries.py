@@ -289,6 +289,7 @@ def _arrivals(spark, sf) -> DataFrame:
         F.weekday("l_shipdate").alias("day_of_week"), F.col("l_shipdate").alias("actual_arrival"),
         (F.col("l_tax") * 100).alias("cumulative_delay_min"), (F.col("l_discount") * 100).alias("delay_min"),
         F.col("l_quantity").alias("passengers_waiting"),
+        (F.col("l_linenumber") % 3).alias("hour_of_day"), F.concat("l_linestatus", "l_returnflag").alias("stop_type"),
         # leakage columns present in the raw feed
         F.col("l_extendedprice").alias("passengers_boarding"), F.col("l_discount").alias("dwell_time_min"))
 
@@ -309,14 +310,15 @@ def q_crowd_features(spark: SparkSession, sf: str) -> DataFrame:
     from .flat_etl import crowd_features
     o = _t(spark, sf, "orders")
     flow = o.select((F.col("o_custkey") % 50).alias("stop_id"), (F.col("o_orderkey") % 10).alias("line_id"),
+                    (F.col("o_custkey") % 3).alias("hour_of_day"),
                     F.weekday("o_orderdate").alias("day_of_week"),
                     F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("weather_condition"),
                     (F.col("o_totalprice") / 1000.0).alias("avg_passengers_waiting"), "o_orderkey")
     arr = _arrivals(spark, sf).withColumn("stop_id", F.col("stop_id") % 50)
-    d = crowd_features(arr, flow, ["stop_id", "line_id", "day_of_week", "weather_condition"], ["o_orderkey"],
-                       "actual_arrival", "2000-01-01")
+    d = crowd_features(arr, flow, ["stop_id", "line_id", "hour_of_day", "day_of_week", "weather_condition"],
+                       ["o_orderkey"], "actual_arrival", "2000-01-01")
     return d.select("l_orderkey", "l_linenumber", r4("avg_passengers_waiting").alias("avg_passengers_waiting"),
-                    "passengers_waiting", "split")
+                    "hour_of_day", "stop_type", "passengers_waiting", "split")
 
 
 QUERIES = {

@@ -65,7 +65,7 @@ def land_stop_events(spark: SparkSession, sf: str) -> str:
         F.col("user_id").cast("string").alias("half_trip_id"),
         F.when(F.col("event_id") % 4 == 0, F.concat(wall, F.lit("+03:00"))).otherwise(wall).alias("actual_ts"))
     path = scratch_path(spark, "stop-events")
-    msg.repartition(4, "event_id").write.json(path)
+    msg.write.json(path)
     return path
 
 
@@ -86,7 +86,7 @@ def q_eta_latest_stream(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(*live_eta.KEY, "direction_id", "eta_segundos", "nivel_confianza",
                     F.col("hora_del_dia").cast("long").alias("hora_del_dia"),
                     F.col("dia_semana").cast("long").alias("dia_semana"), F.col("mes").cast("long").alias("mes"),
-                    "event_id", F.unix_micros("ultima_actualizacion").alias("updated_us"))
+                    F.col("event_id").cast("long").alias("event_id"), F.unix_micros("ultima_actualizacion").alias("updated_us"))
 
 
 def q_eta_lookup(spark: SparkSession, sf: str) -> DataFrame:

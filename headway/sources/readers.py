@@ -6,6 +6,8 @@ numbers are parsed with ``try_cast`` so a bad value becomes null instead of fail
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,32 +25,41 @@ ARRIVAL_USE = ["service_date", "route_id", "direction_id", "half_trip_id", "stop
 
 def read_arrivals(spark: SparkSession, paths, header_cols=ARRIVAL_COLS) -> DataFrame:
     """S1 + U1: multi-file CSV (glob or list), declared string schema, used columns."""
-    df = (spark.read.schema(string_schema(header_cols)).option("header", True)
-          .option("mode", "PERMISSIVE").csv(paths))
-    return df.select(*[c for c in ARRIVAL_USE if c in header_cols]).withColumn(
-        "time_point_order", F.col("time_point_order").try_cast("int"))
+    df = read_csv(spark, paths, [c for c in ARRIVAL_USE if c in header_cols])
+    return df.withColumn("time_point_order", F.col("time_point_order").try_cast("int"))
 
 
 # --- S2 / S3 ------------------------------------------------------------------------
 def read_csv(spark: SparkSession, paths, cols, sep: str = ",", header: bool = True,
              encoding: str | None = None) -> DataFrame:
-    """Generic all-string CSV read (S3: ``sep=';'`` leg logs with string ids)."""
-    r = spark.read.schema(string_schema(cols)).option("header", header).option("sep", sep)
+    """Generic all-string CSV read (S3: ``sep=';'`` leg logs with string ids).
+
+    Columns are taken by header name (files may hold more, in another order); a missing
+    one raises. Files of one call share a header. Without a header they go by position."""
+    r = spark.read.option("sep", sep).option("mode", "PERMISSIVE")
     if encoding:
         r = r.option("encoding", encoding)
-    return r.csv(paths)
+    if not header:
+        return r.schema(string_schema(cols)).csv(paths)
+    df = r.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(paths)
+    by_name = {c.strip().lstrip("\ufeff"): c for c in df.columns}
+    missing = [c for c in cols if c not in by_name]
+    if missing:
+        raise ValueError(f"missing columns {missing} in {paths}")
+    return df.select(*[F.col(f"`{by_name[c]}`").alias(c) for c in cols])
 
 
 def with_source_order(df: DataFrame, col: str = "_src_order") -> DataFrame:
-    """Source order (file, position) for keep-first semantics on raw files."""
+    """Source order (file, split, position) for keep-first semantics on raw files."""
     return df.withColumn(col, F.struct(F.col("_metadata.file_path").alias("f"),
+                                       F.col("_metadata.file_block_start").alias("b"),
                                        F.monotonically_increasing_id().alias("i")))
 
 
 def read_stops(spark: SparkSession, path: str, dedupe: bool = True) -> DataFrame:
     """Stop dimension (stop_id, stop_lat, stop_lon); first row per stop_id kept."""
     from ..operators.sequence import keep_first
-    raw = read_csv(spark, path, ["stop_id", "stop_name", "stop_lat", "stop_lon"])
+    raw = read_csv(spark, path, ["stop_id", "stop_lat", "stop_lon"])
     df = with_source_order(raw.select(
         "stop_id", F.col("stop_lat").try_cast("double").alias("stop_lat"),
         F.col("stop_lon").try_cast("double").alias("stop_lon")))
@@ -69,6 +80,10 @@ GTFS_COLUMNS = {
 }
 
 
+#: Tables that a feed may leave out; the others must exist.
+OPTIONAL_GTFS = ("routes", "shapes")
+
+
 def read_gtfs(spark: SparkSession, root: str, tables=None, encoding_fallback: bool = False) -> dict[str, DataFrame]:
     """Every GTFS table as an all-string DataFrame (``.txt``; ``.csv`` accepted).
 
@@ -83,7 +98,9 @@ def read_gtfs(spark: SparkSession, root: str, tables=None, encoding_fallback: bo
                 path = candidate
                 break
         if path is None:
-            continue
+            if tables is None and name in OPTIONAL_GTFS:
+                continue
+            raise FileNotFoundError(f"{name}.txt is missing in {root}")
         reader = read_csv_fallback if encoding_fallback else _read_header_csv
         out[name] = reader(spark, path, GTFS_COLUMNS[name])
     return out
@@ -109,6 +126,10 @@ def _read_header_csv(spark: SparkSession, path: str, cols, encoding: str | None
 ENCODINGS = ["utf-8", "iso-8859-9", "windows-1254", "latin-1"]
 
 
+def _known_charset(spark: SparkSession, name: str) -> bool:
+    return bool(spark._jvm.java.nio.charset.Charset.isSupported(name))
+
+
 def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS) -> DataFrame:
     """Read as UTF-8; files where decoding produced U+FFFD are re-read with the
     next encoding. The check is a distributed count per file, not a driver loop over
@@ -127,12 +148,10 @@ def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS) ->
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         except Exception:  # noqa: BLE001 - setting absent in older versions
             pass
-        for enc in encodings[1:]:
-            try:
-                parts.append(_read_header_csv(spark, bad_files, cols, enc))
-                break
-            except Exception:  # noqa: BLE001 - try the next encoding
-                continue
+        # A single-byte code page maps every byte, so the first one decodes all of them; reading
+        # is lazy and never raises here, so an unknown code page is asked for up front.
+        enc = next(e for e in encodings[1:] if _known_charset(spark, e))
+        parts.append(_read_header_csv(spark, bad_files, cols, enc))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -140,11 +159,12 @@ def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS) ->
 
 
 # --- S7 / S15 -------------------------------------------------------------------------------
-def read_features(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame:
-    """Feature parts; ``k`` comes from the partition directory. Unreadable parts
-    are skipped (``ignoreCorruptFiles``)."""
+def read_features(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """Feature parts; ``k`` comes from the partition directory. An unreadable part
+    fails the read; with ``tolerant`` it is skipped with a warning (``ignoreCorruptFiles``)."""
     r = spark.read
     if tolerant:
+        warnings.warn(f"unreadable parts of {path} will be skipped", stacklevel=2)
         r = r.option("ignoreCorruptFiles", True)
     return r.parquet(path)
 

@@ -77,7 +77,8 @@ def retain_newest(log: DataFrame, keep: int, ts_col: str = "timestamp") -> DataF
     """The newest ``keep`` records of the log (the retention is the feature here).
     Uses a global top-k (``orderBy().limit()``), which Spark runs as per-partition
     top-k plus a final merge of ``keep`` rows per partition."""
-    return log.orderBy(F.col(ts_col).cast("long").desc()).limit(keep)
+    rest = [c for c in sorted(log.columns) if c != ts_col]     # ties: any fixed order
+    return log.orderBy(F.col(ts_col).cast("long").desc(), *rest).limit(keep)
 
 
 def drop_old_partitions(log: DataFrame, min_date: str) -> DataFrame:
@@ -89,5 +90,5 @@ def latest_position(log: DataFrame) -> DataFrame:
     """Newest position per vehicle (pre-aggregated ``max_by``)."""
     cols = [c for c in log.columns if c != "vehicle_id"]
     return log.groupBy("vehicle_id").agg(
-        F.max_by(F.struct(*cols), F.col("timestamp").cast("long")).alias("_r")).select("vehicle_id", "_r.*")
+        F.max_by(F.struct(*cols), F.struct(F.col("timestamp").cast("long").alias("t"), *cols)).alias("_r")).select("vehicle_id", "_r.*")
 

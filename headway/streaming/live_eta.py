@@ -78,13 +78,17 @@ def score_batch(batch: DataFrame, weather_row: DataFrame,
         "hora_del_dia", "dia_semana", "mes",
         F.col("temperature_2m").alias("temperatura_actual_c"), F.col("precipitation").alias("precipitacion_mm"),
         F.col("snowfall").alias("nieve_cm"), F.col("event_ts").alias("ultima_actualizacion"),
-        F.col("event_id").cast("long").alias("event_id"))
+        F.col("event_id"))
 
 
 def newest_per_key(df: DataFrame) -> DataFrame:
-    """Latest-wins by event order (time, then id), pre-aggregated with ``max_by``."""
+    """Latest-wins by event order (time, then id), pre-aggregated with ``max_by``.
+
+    Ids are text such as ``1700000000-0``: the number before the dash and the one after it
+    order them, then the text itself."""
     cols = [c for c in df.columns if c not in KEY]
-    order = F.struct(F.col("ultima_actualizacion"), F.col("event_id"))
+    part = lambda i: F.split_part(F.col("event_id"), F.lit("-"), F.lit(i)).try_cast("long")
+    order = F.struct(F.col("ultima_actualizacion"), part(1).alias("a"), part(2).alias("b"), F.col("event_id"))
     return df.groupBy(*KEY).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(*KEY, "_r.*")
 
 
@@ -140,8 +144,9 @@ def start_scorer(spark: SparkSession, source: DataFrame, table_root: str, checkp
         b = batch.withColumn("_ok", is_valid(batch)).persist()
         try:
             if dead_letter:
-                (b.where(~F.col("_ok")).drop("_ok").withColumn("batch_id", F.lit(batch_id))
-                  .write.mode("append").partitionBy("batch_id").json(dead_letter))
+                # a replayed batch overwrites its own folder
+                (b.where(~F.col("_ok")).drop("_ok")
+                  .write.mode("overwrite").json(f"{dead_letter.rstrip('/')}/batch_id={batch_id}"))
             weather = spark.read.parquet(weather_path) if weather_path else None  # R6: re-read per batch
             scored = score_batch(b.where(F.col("_ok")).drop("_ok"), current_weather(weather, spark), predict)
             live.apply(scored, batch_id)

@@ -15,12 +15,11 @@ from headway.operators import sequence
 @pytest.fixture(params=["plain", "split", "chunk_all"])
 def path(request):
     """plain: no hot entity; split: hot entities chunked (3-row chunks), the rest in one
-    window each; chunk_all: more hot keys than may be broadcast, every row chunked."""
-    old = sequence.CHUNK_ROWS, sequence.MAX_HOT_KEYS
-    sequence.CHUNK_ROWS = 1 << 20 if request.param == "plain" else 3
-    sequence.MAX_HOT_KEYS = 0 if request.param == "chunk_all" else 100_000
+    window each; chunk_all: every entity is hot."""
+    old = sequence.CHUNK_ROWS
+    sequence.CHUNK_ROWS = {"plain": 1 << 20, "split": 3, "chunk_all": 0}[request.param]
     yield request.param
-    sequence.CHUNK_ROWS, sequence.MAX_HOT_KEYS = old
+    sequence.CHUNK_ROWS = old
 
 
 def rand_events(seed=7, n_ent=4, n=60, null_ent=True):

@@ -71,7 +71,7 @@ def test_scorer_stream_end_to_end(spark):
                               available_now=True)
     q.awaitTermination()
     out = live_eta.LiveTable(spark, root).read().collect()
-    assert len(out) == 1 and out[0]["route_id"] == "39" and out[0]["event_id"] == 1
+    assert len(out) == 1 and out[0]["route_id"] == "39" and out[0]["event_id"] == "1"
     assert out[0]["eta_segundos"] == 80.0 and out[0]["nivel_confianza"] == 0.63   # 40 + 5*8, rush hour
     assert spark.read.json(dl).count() == 1
 
@@ -81,5 +81,5 @@ def test_retention_and_presets(spark):
     log = spark.createDataFrame([(str(i), str(1000 + i)) for i in range(50)], "vehicle_id string, timestamp string")
     kept = sorted(int(r["timestamp"]) for r in feed.retain_newest(log, 5).collect())
     assert kept == [1045, 1046, 1047, 1048, 1049]
-    assert {r["preset"]: r["precipitation"] for r in weather_presets(spark).collect()}["Rain"] == 8.0
+    assert {r["preset"]: r["precipitation"] for r in weather_presets(spark).collect()}["Rain"] == 12.0
     assert feed.latest_position(log.withColumn("vehicle_id", F.lit("v"))).first()["timestamp"] == "1049"
