@@ -103,11 +103,21 @@ class LiveTable:
         p = jvm.org.apache.hadoop.fs.Path(self.root)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def current_version(self) -> int | None:
+    def versions(self) -> list[int]:
+        """Complete snapshots, oldest first."""
         fs, jvm = self._fs()
         st = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/v=*/_SUCCESS"))
-        vs = [int(s.getPath().getParent().getName().split("=", 1)[1]) for s in (st or [])]
-        return max(vs) if vs else None
+        return sorted(int(s.getPath().getParent().getName().split("=", 1)[1]) for s in (st or []))
+
+    def current_version(self) -> int | None:
+        vs = self.versions()
+        return vs[-1] if vs else None
+
+    def drop_old(self, keep: int = 2) -> None:
+        """Remove all but the newest snapshots; a reader may still be on the one before the last."""
+        fs, jvm = self._fs()
+        for v in self.versions()[:-keep]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/v={v}"), True)
 
     def read(self) -> DataFrame | None:
         v = self.current_version()
@@ -122,6 +132,7 @@ class LiveTable:
         cur = self.read()
         merged = new if cur is None else newest_per_key(cur.unionByName(new.select(*cur.columns)))
         merged.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+        self.drop_old()
         return True
 
 
