@@ -68,8 +68,8 @@ def stop_times_to_visits(gtfs: dict, service_date: str = "1970-01-01") -> DataFr
 
 
 def legs_to_visits(legs: DataFrame) -> DataFrame:
-    """Leg rows (``leg_logs.leg_features`` + ``rebuild_trips``, or ``schedule.unroll_gtfs_legs``)
-    -> visits for the leg-input cities: origin stop and departure as the visit, the leg's
+    """Leg rows (``leg_logs.leg_features`` + ``rebuild_trips``, or ``schedule.unroll_gtfs_legs``
+    + ``scheduled_speed_lags``) -> visits for the leg-input cities: origin stop and departure as the visit, the leg's
     destination stop, arrival and coordinates as ``dest_*``, leg-speed lags carried."""
     has = set(legs.columns)
     lat_o = "o_stop_lat" if "o_stop_lat" in has else "lat_o"
@@ -78,8 +78,10 @@ def legs_to_visits(legs: DataFrame) -> DataFrame:
     lon_d = "d_stop_lon" if "d_stop_lon" in has else "lon_d"
     trip = "trip_id" if "trip_id" in has else "trip_date_id"
     dep = F.unix_micros(F.col("cikis_zaman").cast("timestamp"))
-    lag_cols = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in has else F.lit(0.0).alias(c)
-                for c in ("vel_lag_1", "vel_lag_2", "vel_lag_3")]
+    lags = ("vel_lag_1", "vel_lag_2", "vel_lag_3")
+    if not has.issuperset(lags):
+        raise ValueError("legs carry no speed lags; see leg_logs.leg_features or schedule.scheduled_speed_lags")
+    lag_cols = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in lags]
     return legs.select(F.col(trip).alias("trip_id"), F.col("route_id").cast("string").alias("route_id"),
                        (F.col("direction_id") if "direction_id" in has else F.lit("0")).alias("direction_id"),
                        F.col("stop_id_origen").alias("stop_id"), dep.alias("seq"), dep.alias("t_us"),

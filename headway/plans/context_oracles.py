@@ -298,3 +298,23 @@ SELECT vehicle_id, dep AS dep_us, arr AS arr_us, o AS stop_id_origen, d AS stop_
        CAST(sum(flag) OVER (PARTITION BY vehicle_id ORDER BY dep, arr, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
             AS BIGINT) AS trip_no
 FROM t"""
+
+
+ORACLES["schedule_leg_lags"] = f"""WITH {GTFS},
+pos AS (SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, CASE WHEN s_suppkey % 23 <> 0 THEN 40 + s_acctbal / 10000 END AS lat,
+               -3 - s_nationkey / 100.0 AS lon FROM supplier),
+u AS (SELECT t.trip_id || '_' || strftime(a.d, '%Y%m%d') AS trip_date_id, st.seq, st.stop_id,
+             epoch_us(CAST(a.d AS TIMESTAMP)) + (st.arr_s + 30) * 1000000 AS dep_us,
+             epoch_us(CAST(a.d AS TIMESTAMP)) + st.arr_s * 1000000 AS arr_us
+      FROM active a JOIN trips t ON t.service_id = a.service_id JOIN st ON st.trip_id = t.trip_id),
+l AS (SELECT trip_date_id, stop_id AS stop_id_origen, dep_us, seq, lead(stop_id) OVER w AS stop_id_destino,
+             lead(arr_us) OVER w AS arr_us, lead(seq) OVER w AS next_seq
+      FROM u WINDOW w AS (PARTITION BY trip_date_id ORDER BY seq, dep_us, stop_id)),
+g AS (SELECT l.*, CAST(CAST({hav('o.lat', 'o.lon', 'd.lat', 'd.lon')} AS FLOAT) AS DOUBLE) / ((arr_us - dep_us) / 1e6) AS speed
+      FROM l JOIN pos o ON o.stop_id = stop_id_origen JOIN pos d ON d.stop_id = stop_id_destino
+      WHERE next_seq IS NOT NULL AND arr_us > dep_us AND o.lat IS NOT NULL AND d.lat IS NOT NULL)
+SELECT trip_date_id, stop_id_origen, stop_id_destino, dep_us,
+       round(CAST(coalesce(CAST(lag(speed, 1) OVER w AS FLOAT), 0) AS DOUBLE), 2) AS vel_lag_1,
+       round(CAST(coalesce(CAST(lag(speed, 2) OVER w AS FLOAT), 0) AS DOUBLE), 2) AS vel_lag_2,
+       round(CAST(coalesce(CAST(lag(speed, 3) OVER w AS FLOAT), 0) AS DOUBLE), 2) AS vel_lag_3
+FROM g WINDOW w AS (PARTITION BY trip_date_id ORDER BY dep_us, arr_us, stop_id_origen, stop_id_destino)"""

@@ -387,6 +387,15 @@ def q_schedule_legs(spark: SparkSession, sf: str) -> DataFrame:
                        "tiempo_viaje_base", "lat_o")
 
 
+def q_schedule_leg_lags(spark: SparkSession, sf: str) -> DataFrame:
+    """C1 + W2: scheduled legs with the speeds of the three previous legs of the simulated trip."""
+    from .schedule import scheduled_speed_lags, unroll_gtfs_legs
+    legs = scheduled_speed_lags(unroll_gtfs_legs(tpch_gtfs(spark, sf)))
+    return legs.select("trip_date_id", "stop_id_origen", "stop_id_destino",
+                       F.unix_micros(F.col("cikis_zaman").cast("timestamp")).alias("dep_us"),
+                       *[F.round(f"vel_lag_{j}", 2).alias(f"vel_lag_{j}") for j in (1, 2, 3)])
+
+
 def q_schedule_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """Every scheduled stop visit replicated over 3 days as a ping."""
     from .schedule import expand_schedule
@@ -413,6 +422,7 @@ def q_row_index(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES.update({
     "schedule_legs": q_schedule_legs,
+    "schedule_leg_lags": q_schedule_leg_lags,
     "schedule_expansion": q_schedule_expansion,
     "stratified_sample": q_stratified_sample,
     "sample_entities": q_sample_entities,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_m
 from ..functions.timefmt import clock_to_seconds, date_plus_clock, parse_yyyymmdd
 from ..operators import enrich, sequence, splits
 
@@ -48,6 +49,24 @@ def unroll_gtfs_legs(gtfs: dict[str, DataFrame], start: str | Column | None = No
                        "tiempo_viaje_base")
 
 
+def scheduled_speed_lags(legs: DataFrame, n: int = 3) -> DataFrame:
+    """Legs of ``unroll_gtfs_legs`` with ``vel_lag_1..n``: the scheduled speeds (distance /
+    leg time) of the 1..n previous legs of the simulated trip in order of departure, 0.0
+    where there is none. Legs without a distance are dropped first; a speed over a zero
+    leg time counts as missing. Equal departures are ordered by arrival and stops."""
+    dist = haversine_m("lat_o", "lon_o", "lat_d", "lon_d").cast("float").cast("double")
+    d = legs.withColumn("distancia_base", dist).where(F.col("distancia_base").isNotNull())
+    d = d.withColumn("_speed", F.try_divide("distancia_base", "tiempo_viaje_base"))
+
+    def fn(rows, w, branch):
+        for j in range(1, n + 1):
+            rows = rows.withColumn(f"vel_lag_{j}", F.coalesce(F.lag("_speed", j).over(w).cast("float").cast("double"), F.lit(0.0)))
+        return rows
+
+    order = ["cikis_zaman", "varis_zaman", "stop_id_origen", "stop_id_destino"]
+    return sequence.Seq(d, ["trip_date_id"], order).run(fn, back=n).drop("_speed")
+
+
 def _active(cal: DataFrame, start: str | Column, days: int) -> DataFrame:
     if isinstance(start, str):
         return enrich.active_service_days(cal, start, days)
