@@ -39,7 +39,7 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 class ToxicityParams:
     features: int = 1 << 18
     kept: int = 2048
-    min_chi: float = 20.0
+    min_chi: float = 27.0                                  # 5 % error over 2^18 buckets (Bonferroni)
     factors: int = 4
     max_rows: int = 32_000
     iterations: int = 60
