@@ -113,6 +113,17 @@ def attach_weather_profile(df: DataFrame, profile: DataFrame, hour_col: str = "h
     return out
 
 
+def every_hour(weather: DataFrame, facts: DataFrame, ts: str) -> DataFrame:
+    """The weather with a row for each hour of its own range and that of ``facts.ts`` (values
+    null in added hours); the hours come from one small aggregation, a row per hour."""
+    hour = F.date_trunc("hour", F.col(ts).cast("timestamp"))
+    spans = facts.agg(F.min(hour).alias("a"), F.max(hour).alias("b")).unionByName(
+        weather.agg(F.min("hour_key").alias("a"), F.max("hour_key").alias("b")))
+    hours = spans.agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a IS NOT NULL").select(
+        F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("hour_key"))
+    return hours.join(weather, "hour_key", "left")
+
+
 def fill_weather(weather: DataFrame, cols=("temperature_2m",)) -> DataFrame:
     """W10 re-aimed: forward- then back-fill on the hourly weather dimension before the
     join (the source fills the joined fact frame, crossing vehicles; equal whenever the

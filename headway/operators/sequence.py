@@ -338,7 +338,8 @@ def lookahead_pairs(df: DataFrame, entity, order, origin_cols, dest_cols, k_max:
 
 
 def band_pairs(df: DataFrame, entity, order, t_seconds: str, max_dt: float, origin_cols, dest_cols,
-               order_col: str | None = None, skew_safe: bool | None = None, rn_col: str | None = None) -> DataFrame:
+               order_col: str | None = None, skew_safe: bool | None = None, rn_col: str | None = None,
+               same_time: bool = False) -> DataFrame:
     """W4 unbounded / J10: every (origin, destination) of an entity with destination
     later in the sequence and ``0 < t_d - t_o <= max_dt``, labelled ``k`` = position gap.
 
@@ -349,6 +350,7 @@ def band_pairs(df: DataFrame, entity, order, t_seconds: str, max_dt: float, orig
     bucket) bounds a task by the data of two time buckets of one entity; there a row's
     candidates are the rows within ``max_dt`` after it, in whatever position, and later
     positions are kept. ``rn_col`` names a position column that exists already.
+    ``same_time`` also keeps ``t_d = t_o`` (leg rows, whose travel time ends at an arrival).
     """
     entity = _as_list(entity)
     order = _as_list(order)
@@ -372,7 +374,8 @@ def band_pairs(df: DataFrame, entity, order, t_seconds: str, max_dt: float, orig
                                        *[F.col(c).alias(f"o_{c}") for c in ocols],
                                        F.explode("_cand").alias("_d"))
     dt = F.col("_d.__t") - F.col("_t_o")
-    out = p.where((F.col("_d.__prn") > F.col("_prn_o")) & (dt > 0) & (dt <= float(max_dt)))
+    apart = dt >= 0 if same_time else dt > 0
+    out = p.where((F.col("_d.__prn") > F.col("_prn_o")) & apart & (dt <= float(max_dt)))
     out = out.select(*entity, *[F.col(f"o_{c}") for c in ocols], *[F.col(f"_d.{c}").alias(f"d_{c}") for c in dcols],
                      (F.col("_d.__prn") - F.col("_prn_o")).cast("int").alias("k"))
     if order_col is not None:

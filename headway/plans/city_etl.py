@@ -20,9 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import OD_FEATURE_COLUMNS, CityConfig
+from collections.abc import Callable
+
+from ..config import CLOCK_FEATURE_COLUMNS, OD_FEATURE_COLUMNS, CityConfig
 from ..functions.geo import haversine_m
-from ..functions.timefmt import calendar_features
+from ..functions.scalars import safe_ratio
+from ..functions.timefmt import calendar_features, hour_of_day_from_seconds
 from ..operators import enrich, history, sequence
 from ..session import materialize
 
@@ -47,7 +50,8 @@ def od_pairs(visits: DataFrame, cfg: CityConfig, is_test: bool) -> DataFrame:
         # lags (one frame), then all pairs within max_tt from one (entity, time bucket) frame
         if lags is not None:
             v = sequence.Seq(v, ent, order).run(lags, back=back)
-        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col=order_col)
+        p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col=order_col,
+                                same_time=cfg.leg_input)
         p = p.drop(*ent)
     else:
         # lags (look-back 4) and lookahead (K) share one frame: one shuffle for both
@@ -64,13 +68,15 @@ def od_pairs(visits: DataFrame, cfg: CityConfig, is_test: bool) -> DataFrame:
           .withColumn("distancia_proyectada", haversine_m("o_lat", "o_lon", "d_lat", "d_lon"))
           .where(F.col("distancia_proyectada").isNotNull()))
     hops = (F.col("d_seq") - F.col("o_seq")) if cfg.order_gap_cap else F.col("k")
+    places = ["o_lat", "o_lon", "d_lat", "d_lon"] if cfg.row == "clock" else []
     return p.select(
         F.col("o_route_id").alias("route_id"), F.col("o_direction_id").alias("direction_id"),
         F.col("o_stop_id").alias("stop_id_origen"), F.col("d_stop_id").alias("stop_id_destino"),
         "k", hops.cast("double").alias("num_paradas_salto"), "tt_us", "tiempo_viaje_segundos",
         "distancia_proyectada", F.col("o_t_us").alias("t_o_us"), (F.col("o_t_us") / 1e6).alias("t_o"),
         F.col("o_seq").alias("seq_o"), F.col("o_vel_lag_1").alias("vel_lag_1"),
-        F.col("o_vel_lag_2").alias("vel_lag_2"), F.col("o_vel_lag_3").alias("vel_lag_3"))
+        F.col("o_vel_lag_2").alias("vel_lag_2"), F.col("o_vel_lag_3").alias("vel_lag_3"), *places,
+        *[F.col(f"o_{c}") for c in ent])
 
 
 def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFrame | None = None,
@@ -83,10 +89,13 @@ def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFram
     p = materialize(od_pairs(visits, cfg, is_test))
     p = history.expanding_mean(p, keys, "tt_us", history.fallback_time("distancia_proyectada"),
                                "tiempo_promedio_historico", k_col="k", t_col="t_o",
-                               tiebreak=["t_o_us", "seq_o", "stop_id_destino"], state=state, divide_by=1e6)
+                               tiebreak=["t_o_us", "seq_o", "stop_id_destino", *(f"o_{c}" for c in cfg.entity), "tt_us"],
+                               state=state, divide_by=1e6)
     new_state = history.build_state(p, keys, "tt_us")
     if state is not None:
         new_state = history.merge_state(state, new_state, keys)
+    if cfg.row == "clock":
+        return project_clock(p, weather, extra_cols), new_state
     p = p.withColumn("_ts", F.timestamp_micros("t_o_us"))
     p = p.select("*", *calendar_features("_ts", cfg.tz))
     if holidays is not None:
@@ -98,7 +107,7 @@ def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFram
         if cfg.temperature_fill == "zero":
             fill["temperature_2m"] = 0.0
         elif cfg.temperature_fill == "ffill":
-            weather = enrich.fill_weather(weather, ["temperature_2m"])
+            weather = enrich.fill_weather(enrich.every_hour(weather, p, "_ts"), ["temperature_2m"])
         # _ts is the origin instant: its UTC hour is the key (naive feeds were already
         # read as UTC wall time, which is the relabelling of P9)
         p = enrich.attach_weather_hour(p, weather, "_ts", None, cfg.naive_as_utc, fill=fill)
@@ -121,6 +130,41 @@ def project_d1(p: DataFrame, extra_cols=()) -> DataFrame:
     return p.select(*cols, F.col("k").cast("int").alias("k"), *extra_cols)
 
 
+def project_clock(p: DataFrame, profile: DataFrame | None, extra_cols=()) -> DataFrame:
+    """P5/P6 for the city without dates: hour from the clock (P10), the weather of one day by
+    hour of day (J6; 0.0 where missing), leg speed (P12), coordinates of both stops, + k."""
+    p = p.withColumn("hora_del_dia", hour_of_day_from_seconds("t_o"))
+    if profile is None:
+        p = p.withColumns({"temperature_2m": F.lit(0.0), "precipitation": F.lit(0.0)})
+    else:
+        p = enrich.attach_weather_profile(p, profile)
+    p = p.withColumns({"velocidad_tramo_m_s": safe_ratio(F.col("distancia_proyectada"), F.col("tiempo_viaje_segundos")),
+                       "num_paradas_salto": F.col("k")})
+    p = p.withColumnsRenamed({"tiempo_viaje_segundos": "travel_time_seconds", "stop_id_origen": "stop_id",
+                              "stop_id_destino": "dest_stop_id", "o_lat": "stop_lat", "o_lon": "stop_lon",
+                              "d_lat": "dest_lat", "d_lon": "dest_lon", "t_o": "arrival_seconds"})
+    kinds = {"stop_id": "string", "dest_stop_id": "string", "route_id": "string", "direction_id": "string",
+             "hora_del_dia": "byte", "num_paradas_salto": "byte"}
+    return p.select(*[F.col(c).cast(kinds.get(c, "float")).alias(c) for c in CLOCK_FEATURE_COLUMNS],
+                    F.col("k").cast("int").alias("k"), *extra_cols)
+
+
+def visits_by_split(raw: DataFrame, cfg: CityConfig, to_visits: Callable[[DataFrame], DataFrame],
+                    raw_order=(), **rule) -> tuple[DataFrame, DataFrame]:
+    """(train, test) visits in the city's ``stage_order``: a city that splits before it
+    downsamples cuts its raw rows by ``raw_order`` (T3), so that no bin mixes the splits;
+    the others cut visits (``split_visits`` with ``rule``)."""
+    from ..operators import splits
+    order = cfg.stage_order
+    if "downsample" in order and order.index("split") < order.index("downsample"):
+        if cfg.split != "rows" or not raw_order:
+            raise ValueError("raw rows are split by their share in raw_order")
+        d = splits.split_fraction(raw, list(raw_order), rule.get("frac", 0.8))
+        return tuple(to_visits(d.where(F.col("split") == s).drop("split")) for s in ("train", "test"))
+    v = split_visits(to_visits(raw), cfg, **rule)
+    return tuple(v.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+
+
 def split_visits(visits: DataFrame, cfg: CityConfig, cutoff: str | None = None, end: str | None = None,
                  frac: float = 0.8, year_train: int | None = None) -> DataFrame:
     """Apply the city's split rule and add ``split``:

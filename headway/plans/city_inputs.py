@@ -6,7 +6,8 @@
 * ``arrivals_to_visits``: arrival CSV rows with 1900-epoch clocks (X5) joined to stop
   coordinates (J1).
 * ``stop_times_to_visits``: GTFS stop_times with missing clocks interpolated by position
-  (X3, W9), repaired stop coordinates (X6) and route/direction from trips (J2).
+  (X3, W9), repaired stop coordinates (X6; a stop without them is no visit) and
+  route/direction from trips (J2).
 """
 
 from __future__ import annotations
@@ -55,12 +56,12 @@ def arrivals_to_visits(arrivals: DataFrame, stops: DataFrame, tz: str = "America
 
 def stop_times_to_visits(gtfs: dict, service_date: str = "1970-01-01") -> DataFrame:
     st = gtfs["stop_times"].select("trip_id", "stop_id", F.col("stop_sequence").try_cast("int").alias("stop_sequence"),
-                                   clock_to_seconds("arrival_time").cast("double").alias("_sec"))
-    st = sequence.interpolate_linear(st, "trip_id", ["stop_sequence", "stop_id"], "_sec")
+                                   "arrival_time", clock_to_seconds("arrival_time").cast("double").alias("_sec"))
+    st = sequence.interpolate_linear(st, "trip_id", ["stop_sequence", "stop_id", "arrival_time"], "_sec")
     st = st.where(F.col("_sec").isNotNull())
     stops = gtfs["stops"].select("stop_id", repair_coord("stop_lat").cast("float").cast("double").alias("lat"),
                                  repair_coord("stop_lon").cast("float").cast("double").alias("lon"))
-    st = enrich.attach_stops(st, stops)
+    st = enrich.attach_stops(st, stops).dropna(subset=["lat", "lon"])
     st = enrich.attach_trips(st, gtfs["trips"])
     t_us = F.unix_micros(F.to_timestamp(F.lit(service_date))) + F.round(F.col("_sec") * 1e6).cast("long")
     return st.select("trip_id", "route_id", "direction_id", "stop_id", F.col("stop_sequence").cast("long").alias("seq"),
