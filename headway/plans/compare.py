@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_m
 from ..functions.scalars import clamp, improvement_pct, scheduled_eta
+from ..functions.timefmt import clock_to_seconds
+from ..operators import enrich, sequence, splits
 
 # Fixed values of the comparison screen: hop clamp and minimum model time.
 HOPS_MIN, HOPS_MAX = 1, 10
+# Route types of road transit (F6), and the hop count that stands in for one without history.
+ROAD_ROUTE_TYPES = ("9", "10")
+HOPS_FALLBACK = 5
+#: Known trips kept per hop count for requests to draw from.
+SAMPLE_SLOTS = 64
 
 
 def compare_schedule_model(df: DataFrame, sched_diff_s: str, distance_m: str, actual_s: str,
@@ -36,3 +46,66 @@ def validate_requests(requests: DataFrame, seq_o: str, seq_d: str) -> DataFrame:
     return (requests.withColumn("reject_reason", reason)
                     .withColumn("is_valid", F.col("reject_reason").isNull())
                     .withColumn("intermediate_stops", F.when(F.col("is_valid"), d - o)))
+
+
+def trip_stop_list(trips: DataFrame, stop_times: DataFrame, stops: DataFrame,
+                   routes: DataFrame | None = None) -> DataFrame:
+    """J13 + T13: the stops of each route's first trip (smallest trip id) with name, place in the
+    trip, scheduled second and coordinates. ``routes`` limits it to road routes (F6)."""
+    if routes is not None:
+        road = routes.where(F.trim(F.col("route_type").cast("string")).isin(*ROAD_ROUTE_TYPES))
+        trips = enrich.keep_members(trips, road, "route_id")
+    first = splits.first_by(trips, ["route_id"], ["trip_id"], ["trip_id"])
+    st = stop_times.select("trip_id", "stop_id", F.col("stop_sequence").try_cast("int").alias("stop_sequence"),
+                           clock_to_seconds("arrival_time").alias("sched_s"))
+    s = stops.select("stop_id", "stop_name", F.col("stop_lat").try_cast("double").alias("lat"),
+                     F.col("stop_lon").try_cast("double").alias("lon"))
+    return st.join(first, "trip_id").join(s, "stop_id")
+
+
+def _draw(text: Column) -> Column:
+    """A number from the first 32 bits of the text's MD5, the same on every run."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def known_trips(history: DataFrame, hops: str, seconds: str, distance_m: str, key: Column) -> DataFrame:
+    """(hops, known): per hop count up to ``SAMPLE_SLOTS`` trips (tt, dist), one for each slot that
+    the hash of ``key`` falls into; partial aggregation, so a frequent hop count is no hot group."""
+    h = history.select(F.col(hops).cast("int").alias("hops"), F.md5(key.cast("binary")).alias("m"),
+                       F.pmod(_draw(key), F.lit(SAMPLE_SLOTS)).alias("slot"),
+                       F.struct(F.col(seconds).alias("tt"), F.col(distance_m).alias("dist")).alias("trip"))
+    one = h.groupBy("hops", "slot").agg(F.min_by("trip", "m").alias("trip"))
+    return one.groupBy("hops").agg(F.sort_array(F.collect_list(F.struct("slot", "trip"))).alias("known"))
+
+
+def compare_requests(requests: DataFrame, trip_stops: DataFrame, history: DataFrame,
+                     predict: Callable[[DataFrame], DataFrame], presets: DataFrame) -> DataFrame:
+    """M9 for a table of requests (request_id, route_id, origin_name, dest_name, hora_del_dia, weather).
+
+    Both stops are looked up on the route's trip (its first stop of that name); F10 rejects
+    requests whose destination does not follow, and they stay with the reason. A valid one
+    draws a known trip of its hop count (``known_trips``; T10: the draw depends on the request
+    alone; hop count 5 where there is none), scales its time to the real distance (P19), takes
+    the preset weather (P20), and compares timetable and ``predict`` (adds ``prediction``)."""
+    at = sequence.keep_first(trip_stops, ["route_id", "stop_name"], ["stop_sequence", "sched_s", "stop_id"],
+                             ["stop_id", "stop_sequence", "sched_s", "lat", "lon"])
+    ends = {side: at.select("route_id", F.col("stop_name").alias(name), *[
+        F.col(c).alias(f"{side}_{c}") for c in ("stop_id", "stop_sequence", "sched_s", "lat", "lon")])
+        for side, name in (("o", "origin_name"), ("d", "dest_name"))}
+    r = requests.join(ends["o"], ["route_id", "origin_name"], "left").join(ends["d"], ["route_id", "dest_name"], "left")
+    r = validate_requests(r, "o_stop_sequence", "d_stop_sequence")
+    ok = r.where("is_valid").withColumn("dist_m", haversine_m("o_lat", "o_lon", "d_lat", "d_lon")).withColumn(
+        "model_hops", clamp(F.col("intermediate_stops"), HOPS_MIN, HOPS_MAX))
+    ok = ok.join(presets.withColumnRenamed("preset", "weather"), "weather", "left")
+    known = known_trips(history, "hops", "tt", "dist_m", F.col("id"))
+    spare = known.where(F.col("hops") == HOPS_FALLBACK).select("known").scalar()
+    ok = ok.join(known.withColumnRenamed("hops", "model_hops"), "model_hops", "left")
+    ok = ok.withColumn("known", F.coalesce("known", spare))
+    asked = F.concat_ws("|", "route_id", "origin_name", "dest_name", F.col("hora_del_dia").cast("string"), "weather")
+    trip = F.get("known", F.pmod(_draw(asked), F.size("known")).cast("int"))["trip"]
+    ok = ok.withColumn("_trip", trip).withColumn(
+        "actual_s", F.col("_trip.tt") * (F.col("dist_m") / F.greatest(F.col("_trip.dist"), F.lit(1.0))))
+    ok = ok.withColumn("velocity_m_s", F.col("dist_m") / F.greatest("actual_s", F.lit(1.0))).withColumn(
+        "sched_diff_s", F.col("d_sched_s") - F.col("o_sched_s"))
+    done = compare_schedule_model(predict(ok), "sched_diff_s", "dist_m", "actual_s", "prediction", "intermediate_stops")
+    return done.drop("known", "_trip").unionByName(r.where(~F.col("is_valid")), allowMissingColumns=True)

@@ -318,3 +318,43 @@ SELECT trip_date_id, stop_id_origen, stop_id_destino, dep_us,
        round(CAST(coalesce(CAST(lag(speed, 2) OVER w AS FLOAT), 0) AS DOUBLE), 2) AS vel_lag_2,
        round(CAST(coalesce(CAST(lag(speed, 3) OVER w AS FLOAT), 0) AS DOUBLE), 2) AS vel_lag_3
 FROM g WINDOW w AS (PARTITION BY trip_date_id ORDER BY dep_us, arr_us, stop_id_origen, stop_id_destino)"""
+
+ORACLES["route_requests"] = f"""WITH {EV}, {RN}, {PAIRS_BOUNDED},
+tp AS (SELECT o_orderpriority AS route_id, min(CAST(o_orderkey AS VARCHAR)) AS trip_id
+       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+onr AS (SELECT tp.route_id, l_linenumber AS seq, (20 + l_linenumber) * 3600 + (l_partkey % 60) * 60 AS sched,
+               CAST(s_suppkey AS VARCHAR) AS stop_id, s_name AS name,
+               CASE WHEN s_suppkey % 23 <> 0 THEN 40 + s_acctbal / 10000 END AS lat, -3 - s_nationkey / 100.0 AS lon
+        FROM tp JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = tp.trip_id JOIN supplier ON s_suppkey = l_suppkey),
+pl AS (SELECT route_id, seq, name FROM (SELECT *, row_number() OVER (PARTITION BY route_id, seq ORDER BY stop_id) AS i FROM onr)
+       WHERE i = 1),
+att AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id, name ORDER BY seq, sched, stop_id) AS i FROM onr) WHERE i = 1),
+ask AS (SELECT event_id AS request_id, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][user_id % 5 + 1] AS route_id,
+               event_id % 3 + 1 AS op, event_id % 7 + 1 AS dp, hour(ts) AS h, ['Clear', 'Rain', 'Snow'][event_id % 3 + 1] AS weather,
+               [0.0, 12.0, 5.0][event_id % 3 + 1] AS prec FROM ev),
+rq AS (SELECT ask.*, a.name AS o_name, b.name AS d_name FROM ask LEFT JOIN pl a ON ask.route_id = a.route_id AND op = a.seq
+       LEFT JOIN pl b ON ask.route_id = b.route_id AND dp = b.seq),
+ends AS (SELECT rq.*, o.seq AS o_seq, d.seq AS d_seq, d.sched - o.sched AS sdiff, {hav('o.lat', 'o.lon', 'd.lat', 'd.lon')} AS dist
+         FROM rq LEFT JOIN att o ON o.route_id = rq.route_id AND o.name = o_name
+         LEFT JOIN att d ON d.route_id = rq.route_id AND d.name = d_name),
+v AS (SELECT *, CASE WHEN o_seq IS NULL OR d_seq IS NULL THEN 'unknown_stop' WHEN d_seq <= o_seq THEN 'destination_not_after_origin' END
+             AS reject_reason FROM ends),
+kt AS (SELECT k, tt, dist_m, md5(o_event_id || '-' || d_event_id) AS m FROM bp),
+ks AS (SELECT k, CAST('0x' || substr(m, 1, 8) AS BIGINT) % 64 AS slot, arg_min(tt, m) AS tt, arg_min(dist_m, m) AS dist_m
+       FROM kt GROUP BY ALL),
+kn AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM ks),
+sz AS (SELECT k, max(n) AS n FROM kn GROUP BY k),
+w AS (SELECT v.*, coalesce(sz.k, 5) AS hop,
+             CAST('0x' || substr(md5(v.route_id || '|' || o_name || '|' || d_name || '|' || h || '|' || weather), 1, 8) AS BIGINT)
+             % coalesce(sz.n, (SELECT n FROM sz WHERE k = 5)) AS i
+      FROM v LEFT JOIN sz ON sz.k = greatest(1, least(10, d_seq - o_seq)) WHERE reject_reason IS NULL),
+x AS (SELECT w.*, kn.tt * (dist / greatest(kn.dist_m, 1.0)) AS actual_s,
+             CASE WHEN sdiff > 0 THEN CAST(sdiff AS DOUBLE) ELSE dist / (CAST(15000 AS DOUBLE) / 3600) END AS sched_s,
+             CASE WHEN dist IS NOT NULL THEN greatest(30.0, dist / 6.0 + 20.0 * prec) ELSE 30.0 END AS predicted_s
+      FROM w JOIN kn ON kn.k = w.hop AND kn.i = w.i),
+z AS (SELECT *, abs(sched_s - actual_s) AS es, abs(predicted_s - actual_s) AS em FROM x)
+SELECT request_id, TRUE AS is_valid, CAST(NULL AS VARCHAR) AS reject_reason, CAST(d_seq - o_seq AS BIGINT) AS stops,
+       {R4('actual_s')} AS actual_s, {R4('dist / greatest(actual_s, 1.0)')} AS velocity_m_s, {R4('sched_s')} AS sched_s,
+       {R4('CAST(predicted_s AS DOUBLE)')} AS predicted_s, {R4('(es - em) / greatest(es, 0.01) * 100.0')} AS improvement_pct,
+       em <= es AS model_wins FROM z
+UNION ALL SELECT request_id, FALSE, reject_reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM v WHERE reject_reason IS NOT NULL"""

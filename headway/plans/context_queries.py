@@ -402,6 +402,34 @@ def q_schedule_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return expand_schedule(tpch_gtfs(spark, sf), "2024-01-08", 3)
 
 
+ROUTES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PRESETS = ["Clear", "Rain", "Snow"]
+
+
+def q_route_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """J13 + T13 + F10 + T10 + P19 + P20 + M9: every event asks for a trip between two stops of a
+    route's first trip; pairs of events are the known trips."""
+    from .compare import compare_requests, trip_stop_list
+    gtfs = tpch_gtfs(spark, sf)
+    on_trip = trip_stop_list(gtfs["trips"], gtfs["stop_times"], gtfs["stops"])
+    by_place = sequence.keep_first(on_trip, ["route_id", "stop_sequence"], ["stop_id"], ["stop_name"])
+    pick = lambda names, c: F.element_at(F.array(*[F.lit(x) for x in names]), (c % len(names) + 1).cast("int"))
+    ev = stop_events(spark, sf)
+    ask = ev.select(F.col("event_id").alias("request_id"), pick(ROUTES, F.col("user_id")).alias("route_id"),
+                    (F.col("event_id") % 3 + 1).cast("int").alias("_o"), (F.col("event_id") % 7 + 1).cast("int").alias("_d"),
+                    F.hour("ts").alias("hora_del_dia"), pick(PRESETS, F.col("event_id")).alias("weather"))
+    for place, name in (("_o", "origin_name"), ("_d", "dest_name")):
+        ask = ask.join(by_place.select("route_id", F.col("stop_sequence").alias(place), F.col("stop_name").alias(name)),
+                       ["route_id", place], "left")
+    pairs = _scored_pairs(spark, sf).select(
+        F.concat_ws("-", "o_event_id", "d_event_id").alias("id"), F.col("k").alias("hops"), "tt", "dist_m")
+    model = lambda d: d.withColumn("prediction", F.col("dist_m") / 6.0 + 20.0 * F.col("precipitation"))
+    c = compare_requests(ask.drop("_o", "_d"), on_trip, pairs, model, enrich.weather_presets(spark))
+    return c.select("request_id", "is_valid", "reject_reason", F.col("intermediate_stops").cast("long").alias("stops"),
+                    r4("actual_s").alias("actual_s"), r4("velocity_m_s").alias("velocity_m_s"), r4("sched_s").alias("sched_s"),
+                    r4("predicted_s").alias("predicted_s"), r4("improvement_pct").alias("improvement_pct"), "model_wins")
+
+
 def q_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     """5 % of the bounded O-D pairs of every horizon (hash-based, repeatable)."""
     p = EQ.bounded_pairs(stop_events(spark, sf))
@@ -424,6 +452,7 @@ QUERIES.update({
     "schedule_legs": q_schedule_legs,
     "schedule_leg_lags": q_schedule_leg_lags,
     "schedule_expansion": q_schedule_expansion,
+    "route_requests": q_route_requests,
     "stratified_sample": q_stratified_sample,
     "sample_entities": q_sample_entities,
     "row_index": q_row_index,

@@ -52,3 +52,7 @@ SELECT req.request_id,
        CASE WHEN live.route_id IS NOT NULL AND live.inst > nowv.now - 300000000 THEN live.eta
             ELSE CAST(0 AS DOUBLE) END AS eta_segundos
 FROM req LEFT JOIN live USING (route_id, stop_id, next_stop_id), nowv"""
+
+ORACLES["scorer_totals"] = """SELECT count(*) AS received, count(*) FILTER (WHERE event_id % 23 <> 0
+  AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL) AS accepted, count(*) - count(*) FILTER (
+  WHERE event_id % 23 <> 0 AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL) AS rejected FROM events"""

@@ -33,7 +33,7 @@ def land_positions(spark: SparkSession, sf: str) -> str:
     ent = ev.select(F.col("event_id").cast("string").alias("id"),
                     F.when(F.col("event_id") % 19 != 0, veh).alias("vehicle"))
     path = scratch_path(spark, "feed-landing")
-    ent.repartition(4, "id").write.json(path)
+    ent.write.json(path)
     return path
 
 
@@ -69,13 +69,14 @@ def land_stop_events(spark: SparkSession, sf: str) -> str:
     return path
 
 
-def live_table(spark: SparkSession, sf: str) -> DataFrame:
+def live_table(spark: SparkSession, sf: str, totals: str | None = None) -> DataFrame:
     landing = land_stop_events(spark, sf)
     wpath = scratch_path(spark, "weather")
     _hourly_weather(stop_events(spark, sf)).withColumn("snowfall", F.lit(0.0)).write.parquet(wpath)
     root, ck, dl = (scratch_path(spark, n) for n in ("eta-live", "eta-live-ck", "eta-dead-letter"))
     src = live_eta.read_stop_events(spark, landing, max_files_per_trigger=1)
-    q = live_eta.start_scorer(spark, src, root, ck, weather_path=wpath, dead_letter=dl, available_now=True)
+    q = live_eta.start_scorer(spark, src, root, ck, weather_path=wpath, dead_letter=dl, available_now=True,
+                              totals=totals)
     q.awaitTermination()
     return live_eta.LiveTable(spark, root).read()
 
@@ -103,7 +104,15 @@ def q_eta_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("request_id", "status", "eta_segundos")
 
 
+def q_scorer_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """How many stop events the scorer received, accepted and rejected."""
+    totals = scratch_path(spark, "eta-totals")
+    live_table(spark, sf, totals)
+    return live_eta.scorer_totals(spark, totals)
+
+
 QUERIES = {
+    "scorer_totals": q_scorer_totals,
     "ingest_positions": q_ingest_positions,
     "eta_latest_stream": q_eta_latest_stream,
     "eta_lookup": q_eta_lookup,

@@ -93,10 +93,13 @@ def newest_per_key(df: DataFrame) -> DataFrame:
 
 
 class LiveTable:
-    """Versioned snapshot store for the keyed ETA table."""
+    """Versioned snapshot store for the keyed ETA table.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    With ``retain_s``, keys not updated within so many seconds before the newest update are
+    left out of the next snapshot, so the table holds live keys only."""
+
+    def __init__(self, spark: SparkSession, root: str, retain_s: int | None = None):
+        self.spark, self.root, self.retain_s = spark, root.rstrip("/"), retain_s
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -131,6 +134,9 @@ class LiveTable:
         new = newest_per_key(scored)
         cur = self.read()
         merged = new if cur is None else newest_per_key(cur.unionByName(new.select(*cur.columns)))
+        if self.retain_s is not None:                      # K5: keys this far behind the newest one go
+            newest = merged.agg(F.max("ultima_actualizacion")).scalar()
+            merged = live_view(merged, newest, self.retain_s)
         merged.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
         self.drop_old()
         return True
@@ -145,9 +151,13 @@ def live_view(table: DataFrame, now: Column | str | None = None, ttl_s: int = TT
 def start_scorer(spark: SparkSession, source: DataFrame, table_root: str, checkpoint: str,
                  weather_path: str | None = None, dead_letter: str | None = None,
                  predict: Callable[[DataFrame], DataFrame] | None = None,
-                 block_seconds: int = 5, available_now: bool = False) -> StreamingQuery:
-    """``foreachBatch`` scorer over a checkpointed stream of stop events."""
-    live = LiveTable(spark, table_root)
+                 block_seconds: int = 5, available_now: bool = False, totals: str | None = None,
+                 retain_s: int | None = None) -> StreamingQuery:
+    """``foreachBatch`` scorer over a checkpointed stream of stop events.
+
+    ``predict`` is for example ``PipelineModel.transform`` of a model on the columns of
+    ``event_features``; ``totals`` is a folder for each batch's counts (see ``scorer_totals``)."""
+    live = LiveTable(spark, table_root, retain_s)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the micro-batch feeds two sinks (dead letters, live table): keep it for the batch
@@ -158,6 +168,11 @@ def start_scorer(spark: SparkSession, source: DataFrame, table_root: str, checkp
                 # a replayed batch overwrites its own folder
                 (b.where(~F.col("_ok")).drop("_ok")
                   .write.mode("overwrite").json(f"{dead_letter.rstrip('/')}/batch_id={batch_id}"))
+            if totals:
+                ok = F.col("_ok")
+                (b.agg(F.count(F.lit(1)).alias("received"), F.count_if(ok).alias("accepted"),
+                       F.count_if(~ok).alias("rejected"))
+                  .write.mode("overwrite").json(f"{totals.rstrip('/')}/batch_id={batch_id}"))
             weather = spark.read.parquet(weather_path) if weather_path else None  # R6: re-read per batch
             scored = score_batch(b.where(F.col("_ok")).drop("_ok"), current_weather(weather, spark), predict)
             live.apply(scored, batch_id)
@@ -169,6 +184,12 @@ def start_scorer(spark: SparkSession, source: DataFrame, table_root: str, checkp
     return w.start()
 
 
+def scorer_totals(spark: SparkSession, totals: str) -> DataFrame:
+    """Events received, accepted and rejected over all batches; a replayed batch counts once."""
+    t = spark.read.schema("received long, accepted long, rejected long").json(f"{totals.rstrip('/')}/batch_id=*")
+    return t.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in t.columns])
+
+
 def read_stop_events(spark: SparkSession, path: str, max_files_per_trigger: int = 50) -> DataFrame:
     """Stop-event JSON stream, bounded batch size."""
     return (spark.readStream.schema(STOP_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)

@@ -73,3 +73,23 @@ def test_leg_input_pairs_off_by_one(spark):
     test_feats, _ = city_etl.run_split(v, city("konya"), is_test=True)
     assert sorted((r["stop_id_origen"], r["stop_id_destino"]) for r in test_feats.collect()) == \
         [("A", "C"), ("A", "D"), ("B", "D")]
+
+
+def test_raw_rows_split_before_bins(spark):
+    """A minute cut by the split gives a visit in each split; the others cut visits."""
+    base = 1704103200
+    rows = [(i, "bus", "R", f"S{i}", 43.65, -79.38, base + i * 20) for i in range(10)]      # 80 % ends inside a minute
+    df = spark.createDataFrame(rows, "id long, vehicle_id string, route_id string, current_stop_id string, "
+                                     "current_lat double, current_lon double, timestamp long")
+    train, test = city_etl.visits_by_split(df, city("toronto"), city_inputs.pings_to_visits, ["timestamp", "id"])
+    stops = lambda d: [r["stop_id"] for r in d.orderBy("t_us").collect()]
+    assert stops(train) == ["S0", "S3", "S6"] and stops(test) == ["S8", "S9"]
+
+
+def test_every_hour_is_filled(spark):
+    from headway.operators import enrich
+    w = spark.sql("SELECT timestamp'2024-01-01 03:00' AS hour_key, 5.0D AS temperature_2m")
+    facts = spark.sql("SELECT timestamp'2024-01-01 01:30' AS ts UNION ALL SELECT timestamp'2024-01-01 05:10'")
+    got = enrich.fill_weather(enrich.every_hour(w, facts, "ts")).orderBy("hour_key").collect()
+    assert [(r["hour_key"].hour, r["temperature_2m"]) for r in got] == [(h, 5.0) for h in range(1, 6)]
+    assert enrich.every_hour(w.limit(0), facts.limit(0), "ts").count() == 0

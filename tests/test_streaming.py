@@ -83,3 +83,38 @@ def test_retention_and_presets(spark):
     assert kept == [1045, 1046, 1047, 1048, 1049]
     assert {r["preset"]: r["precipitation"] for r in weather_presets(spark).collect()}["Rain"] == 12.0
     assert feed.latest_position(log.withColumn("vehicle_id", F.lit("v"))).first()["timestamp"] == "1049"
+
+
+def test_fitted_model_scores_the_stream_and_totals(spark):
+    from headway.ml import models
+    base = spark.range(300).select(
+        (F.col("id") % 24).cast("double").alias("hora_del_dia"), (F.col("id") % 7).cast("double").alias("dia_semana"),
+        F.lit(1.0).alias("mes"), F.lit(10.0).alias("temperature_2m"), F.lit(0.0).alias("precipitation"),
+        F.lit(0.0).alias("snowfall"), F.lit("39").alias("route_id"), F.lit("0").alias("direction_id"),
+        F.lit("s1").alias("stop_id"), F.lit("s2").alias("next_stop_id"))
+    train = base.withColumn("eta", 100 + 10 * F.col("hora_del_dia"))
+    numeric = ["hora_del_dia", "dia_semana", "mes", "temperature_2m", "precipitation", "snowfall"]
+    model = models.regressor_pipeline(numeric, ["route_id", "direction_id", "stop_id", "next_stop_id"], "eta",
+                                      dict(models.ETA_PARAMS, maxIter=30, minInstancesPerNode=2)).fit(train)
+    path = scratch_path(spark, "stream-model")
+    models.save_model(model, path)
+    landing, totals = scratch_path(spark, "model-events"), scratch_path(spark, "totals")
+    spark.createDataFrame([
+        ("1700000000-0", "39", "0", "s1", "s2", "h", "2024-01-01T08:00:00"),
+        ("1700000000-1", "39", "0", "new", "s2", "h", "2024-01-01T20:00:00"),      # a stop that training lacks
+        ("1700000000-2", "39", "0", None, "s2", "h", "2024-01-01T08:00:00"),       # rejected
+    ], live_eta.STOP_EVENT_SCHEMA).write.json(landing)
+    root, ck = scratch_path(spark, "live-model"), scratch_path(spark, "live-model-ck")
+    live_eta.start_scorer(spark, live_eta.read_stop_events(spark, landing), root, ck, available_now=True, totals=totals,
+                          predict=models.load_model(path).transform).awaitTermination()
+    got = {r["stop_id"]: r["eta_segundos"] for r in live_eta.LiveTable(spark, root).read().collect()}
+    assert abs(got["s1"] - 180) < 20 and abs(got["new"] - 300) < 30
+    assert live_eta.scorer_totals(spark, totals).first().asDict() == {"received": 3, "accepted": 2, "rejected": 1}
+
+
+def test_retained_keys(spark):
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    t = live_eta.LiveTable(spark, scratch_path(spark, "live-retain"), retain_s=300)
+    t.apply(_scored(spark, [row(60.0, t0, 1), row(61.0, t0, 2, ("39", "a", "b"))]), 0)
+    t.apply(_scored(spark, [row(62.0, t0 + dt.timedelta(seconds=301), 3)]), 1)
+    assert [(r["stop_id"], r["event_id"]) for r in t.read().collect()] == [("s1", 3)]
