@@ -64,11 +64,6 @@ def weekday_name(d) -> Column:
     return F.lower(F.date_format(_c(d), "EEEE"))
 
 
-def monday0_weekday(ts) -> Column:
-    """Monday = 0 ... Sunday = 6."""
-    return F.weekday(_c(ts))
-
-
 def local_wall(ts, tz: str | None) -> Column:
     """Local wall time of an instant (``tz=None`` keeps the value as is)."""
     c = _c(ts)

@@ -190,10 +190,3 @@ def replicate_days(df: DataFrame, start: str, days: int, out: str = "service_dat
     """One copy of each row per simulated day (``explode(sequence)``, no cross join)."""
     d0 = F.to_date(F.lit(start))
     return df.withColumn(out, F.explode(F.sequence(d0, F.date_add(d0, days - 1))))
-
-
-def local_calendar(df: DataFrame, ts: str, tz: str | None) -> DataFrame:
-    """P8 as columns on a frame."""
-    from ..functions.timefmt import calendar_features
-    return df.select("*", *calendar_features(ts, tz))
-

@@ -95,7 +95,7 @@ ORACLES["od_features_istanbul"] = f"""WITH {EV}, {STOPS},
 g AS (SELECT CAST(l_orderkey AS VARCHAR) AS ent, l_linenumber AS seq, CAST(l_suppkey AS VARCHAR) AS stop_id,
              CASE WHEN l_partkey % 7 <> 0 THEN CAST((20 + l_linenumber) * 3600 + (l_partkey % 60) * 60 AS DOUBLE) END AS sec,
              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_suppkey AS VARCHAR),
-                                sec NULLS FIRST) AS rn0 FROM lineitem),
+                                sec NULLS LAST) AS rn0 FROM lineitem),
 n AS (SELECT *,
   last_value(sec IGNORE NULLS) OVER a AS pv, last_value(CASE WHEN sec IS NOT NULL THEN rn0 END IGNORE NULLS) OVER a AS pr,
   first_value(sec IGNORE NULLS) OVER z AS nv, first_value(CASE WHEN sec IS NOT NULL THEN rn0 END IGNORE NULLS) OVER z AS nr

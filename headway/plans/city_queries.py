@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import city
-from ..sources.readers import holidays_table
+from ..session import scratch_path
+from ..sources.readers import holidays_table, read_arrivals, read_gtfs, read_stops
 from . import city_inputs
 from .city_etl import run_split, split_visits, visits_by_split
 from .context_queries import HOLIDAYS_US_MA_2024_01, _hourly_weather, _t, tpch_gtfs
@@ -74,18 +75,29 @@ def _stops(spark: SparkSession, sf: str) -> DataFrame:
                     F.concat(F.lit("28"), F.lpad((k * 53 % 9967).cast("string"), 4, "0")).alias("stop_lon"))
 
 
+def _land(df: DataFrame, folder: str, sep: str = ",") -> str:
+    df.write.option("header", True).option("sep", sep).csv(folder)
+    return folder
+
+
 def q_od_features_boston(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrivals with 1900-epoch clocks, split by year; the train lookahead is capped by order gap."""
-    stops = _stops(spark, sf).select(
-        "stop_id", *[(F.col(c).cast("double") / 10000).alias(c) for c in ("stop_lat", "stop_lon")])
-    v = city_inputs.arrivals_to_visits(arrivals(spark, sf), stops)
+    """CSV files with more columns than are used, in another order: arrivals with 1900-epoch
+    clocks, split by year; the train lookahead is capped by order gap."""
+    root = scratch_path(spark, "boston")
+    late = _land(arrivals(spark, sf).select(F.lit("1900-01-01T00:00:00Z").alias("scheduled"), "actual", "stop_id",
+                                            F.lit("Midpoint").alias("point_type"), "time_point_order", "half_trip_id",
+                                            "direction_id", "route_id", "service_date"), f"{root}/arrivals")
+    places = _land(_stops(spark, sf).select(
+        "stop_id", F.lit("c").alias("stop_code"),
+        *[(F.col(c).cast("double") / 10000).alias(c) for c in ("stop_lat", "stop_lon")]), f"{root}/stops")
+    v = city_inputs.arrivals_to_visits(read_arrivals(spark, late), read_stops(spark, places))
     train, test = visits_by_split(v, city("boston"), lambda d: d, year_train=2023)
     return both_splits(train, test, "boston", _weather(spark, sf), holidays_table(spark, HOLIDAYS_US_MA_2024_01))
 
 
 def q_od_features_istanbul(spark: SparkSession, sf: str) -> DataFrame:
-    """GTFS with missing clocks and repaired coordinates, split by trips; the 20-column row
-    with the weather of one day by hour."""
+    """GTFS files with missing clocks and repaired coordinates, split by trips; the 20-column
+    row with the weather of one day by hour."""
     gtfs = tpch_gtfs(spark, sf)
     li = _t(spark, sf, "lineitem")
     gap = li.select(F.col("l_orderkey").cast("string").alias("trip_id"), F.col("l_suppkey").cast("string").alias("stop_id"),
@@ -96,7 +108,12 @@ def q_od_features_istanbul(spark: SparkSession, sf: str) -> DataFrame:
                     .alias("arrival_time"))
     profile = stop_events(spark, sf).where(F.hour("ts") != 23).groupBy(F.hour("ts").alias("hora_del_dia")).agg(
         F.max("value").alias("temperature_2m"), (F.count(F.lit(1)) / 10.0).alias("precipitation"))
-    v = city_inputs.stop_times_to_visits({"stop_times": gap, "stops": _stops(spark, sf), "trips": gtfs["trips"]})
+    root = scratch_path(spark, "gtfs")
+    _land(gap, f"{root}/stop_times.txt")
+    _land(_stops(spark, sf), f"{root}/stops.csv", ";")
+    _land(gtfs["trips"], f"{root}/trips.csv", ";")
+    v = city_inputs.stop_times_to_visits(read_gtfs(spark, root, ["stop_times", "stops", "trips"],
+                                                   seps={"stops": ";", "trips": ";"}))
     train, test = visits_by_split(v, city("istanbul"), lambda d: d)
     return both_splits(train, test, "istanbul", profile)
 

@@ -358,3 +358,25 @@ SELECT request_id, TRUE AS is_valid, CAST(NULL AS VARCHAR) AS reject_reason, CAS
        {R4('CAST(predicted_s AS DOUBLE)')} AS predicted_s, {R4('(es - em) / greatest(es, 0.01) * 100.0')} AS improvement_pct,
        em <= es AS model_wins FROM z
 UNION ALL SELECT request_id, FALSE, reject_reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM v WHERE reject_reason IS NOT NULL"""
+
+ORACLES["quality_by_split"] = f"""WITH {EV}, {GAPPY},
+legs AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS dist, t - lag(t) OVER w AS dt
+         FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id)),
+s AS (SELECT *, CASE WHEN dt <> 0 THEN dist / dt END AS vel FROM legs),
+f AS (SELECT *, coalesce(lag(vel, 1) OVER w, 0) AS l1, coalesce(lag(vel, 3) OVER w, 0) AS l3 FROM s
+      WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id))
+SELECT CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows,
+       count(*) FILTER (WHERE v IS NULL) AS null_v, count(*) FILTER (WHERE stop_id IS NULL) AS null_stop_id,
+       count(*) FILTER (WHERE l1 <> 0) AS nonzero_vel_lag_1, count(*) FILTER (WHERE l3 <> 0) AS nonzero_vel_lag_3
+FROM f GROUP BY 1"""
+
+ORACLES["ids_and_clocks"] = f"""WITH {EV},
+l AS (SELECT *, timezone('America/New_York', timezone('UTC', make_timestamp(CAST(floor(t_us / 1e6) AS BIGINT) * 1000000))) AS lt
+      FROM ev)
+SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END AS vehicle_id,
+       CAST(route_id AS VARCHAR) || ' | ' || stop_id AS label, strftime(lt, '%Y-%m-%d %H:%M:%S') AS local_time,
+       CAST(hour(lt) * 3600 + minute(lt) * 60 + second(lt) AS BIGINT) AS second_of_day FROM l"""
+
+ORACLES["tables_on_disk"] = f"""WITH {EV}
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS event_date, CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'train' ELSE 'test' END AS split
+FROM ev WHERE ts >= TIMESTAMP '2024-01-08'"""

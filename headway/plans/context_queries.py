@@ -269,6 +269,40 @@ def q_quality_report(spark: SparkSession, sf: str) -> DataFrame:
         "column_name", F.col("n_null").cast("long").alias("n_null"))
 
 
+def q_quality_by_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, missing readings and non-zero speed lags of both date splits."""
+    from .events_model import SPLIT_CUTOFF
+    d = sequence.speed_lags(EQ._gappy(stop_events(spark, sf)), ENTITY, ORDER, "lat", "lon", "t")
+    return metrics.quality_by_split(splits.split_date(d, "ts", SPLIT_CUTOFF), ["v", "stop_id"], ["vel_lag_1", "vel_lag_3"])
+
+
+def q_ids_and_clocks(spark: SparkSession, sf: str) -> DataFrame:
+    """X7 + X9 + X16 + X17: trimmed ids (blank is null), labels, local wall time and second of the day."""
+    ev = stop_events(spark, sf)
+    raw = F.when(F.col("event_id") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string")))
+    local = timefmt.epoch_seconds_to_local(F.floor(F.col("t_us") / 1e6).cast("long"), LOCAL_TZ)
+    return ev.select("event_id", scalars.clean_id(raw).alias("vehicle_id"),
+                     scalars.route_label(F.col("route_id").cast("string"), F.col("stop_id")).alias("label"),
+                     F.date_format(local, "yyyy-MM-dd HH:mm:ss").alias("local_time"),
+                     timefmt.seconds_of_day(local).cast("long").alias("second_of_day"))
+
+
+def q_tables_on_disk(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 + K7 + R7: events appended to a dated table in two halves, old dates dropped on reading,
+    and the rest written and read by split."""
+    from ..session import scratch_path
+    from ..sources import sinks
+    from ..streaming.feed import drop_old_partitions
+    log, by_split = scratch_path(spark, "pings"), scratch_path(spark, "splits")
+    ev = stop_events(spark, sf).select("event_id", "ts", F.to_date("ts").alias("event_date"))
+    for half in splits.complement(ev.withColumn("_late", F.col("event_id") % 2 == 1), "_late"):
+        sinks.append_table(half.drop("_late"), log, ["event_date"])
+    kept = drop_old_partitions(spark.read.parquet(log), "2024-01-08")
+    sinks.write_splits(splits.split_date(kept, "ts", "2024-01-21"), by_split)
+    return spark.read.parquet(by_split).select("event_id", F.col("event_date").cast("string").alias("event_date"),
+                                               F.col("split").cast("string").alias("split"))
+
+
 def q_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
     """A9 + A1: distinct entities, stops and user-days; time range."""
     ev = stop_events(spark, sf)
@@ -341,6 +375,9 @@ QUERIES = {
     "schedule_vs_model": q_schedule_vs_model,
     "od_pairs_legs": q_od_pairs_legs,
     "quality_report": q_quality_report,
+    "quality_by_split": q_quality_by_split,
+    "ids_and_clocks": q_ids_and_clocks,
+    "tables_on_disk": q_tables_on_disk,
     "distinct_counts": q_distinct_counts,
     "delay_features": q_delay_features,
     "crowd_features": q_crowd_features,

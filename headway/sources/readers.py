@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,11 @@ def read_arrivals(spark: SparkSession, paths, header_cols=ARRIVAL_COLS) -> DataF
 
 # --- S2 / S3 ------------------------------------------------------------------------
 def read_csv(spark: SparkSession, paths, cols, sep: str = ",", header: bool = True,
-             encoding: str | None = None) -> DataFrame:
+             encoding: str | None = None, optional=()) -> DataFrame:
     """Generic all-string CSV read (S3: ``sep=';'`` leg logs with string ids).
 
     Columns are taken by header name (files may hold more, in another order); a missing
-    one raises. Files of one call share a header. Without a header they go by position."""
+    one raises, or is null if it is ``optional``. Files of one call share a header. Without a header they go by position."""
     r = spark.read.option("sep", sep).option("mode", "PERMISSIVE")
     if encoding:
         r = r.option("encoding", encoding)
@@ -43,10 +43,10 @@ def read_csv(spark: SparkSession, paths, cols, sep: str = ",", header: bool = Tr
         return r.schema(string_schema(cols)).csv(paths)
     df = r.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(paths)
     by_name = {c.strip().lstrip("\ufeff"): c for c in df.columns}
-    missing = [c for c in cols if c not in by_name]
+    missing = [c for c in cols if c not in by_name and c not in optional]
     if missing:
         raise ValueError(f"missing columns {missing} in {paths}")
-    return df.select(*[F.col(f"`{by_name[c]}`").alias(c) for c in cols])
+    return df.select(*[(F.col(f"`{by_name[c]}`") if c in by_name else F.lit(None).cast("string")).alias(c) for c in cols])
 
 
 def with_source_order(df: DataFrame, col: str = "_src_order") -> DataFrame:
@@ -80,14 +80,19 @@ GTFS_COLUMNS = {
 }
 
 
-#: Tables that a feed may leave out; the others must exist.
+#: Tables and columns that a feed may leave out; the others must exist.
 OPTIONAL_GTFS = ("routes", "shapes")
+OPTIONAL_COLUMNS = ("direction_id", "shape_id", "departure_time", "service_id", "stop_name", "route_short_name",
+                    "route_long_name", "route_type")
 
 
-def read_gtfs(spark: SparkSession, root: str, tables=None, encoding_fallback: bool = False) -> dict[str, DataFrame]:
+def read_gtfs(spark: SparkSession, root: str, tables=None, encoding_fallback: bool = False,
+              seps: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Every GTFS table as an all-string DataFrame (``.txt``; ``.csv`` accepted).
 
-    Columns are matched by header name, so files with extra or reordered columns work.
+    Columns are matched by header name, so files with extra or reordered columns work; a
+    missing column raises unless it is optional (then null). ``seps`` names the separator of
+    tables that don't use a comma.
     """
     out = {}
     for name in tables or GTFS_COLUMNS:
@@ -102,7 +107,7 @@ def read_gtfs(spark: SparkSession, root: str, tables=None, encoding_fallback: bo
                 continue
             raise FileNotFoundError(f"{name}.txt is missing in {root}")
         reader = read_csv_fallback if encoding_fallback else _read_header_csv
-        out[name] = reader(spark, path, GTFS_COLUMNS[name])
+        out[name] = reader(spark, path, GTFS_COLUMNS[name], sep=(seps or {}).get(name, ","))
     return out
 
 
@@ -113,12 +118,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))
 
 
-def _read_header_csv(spark: SparkSession, path: str, cols, encoding: str | None = None) -> DataFrame:
-    r = spark.read.option("header", True).option("inferSchema", False)
-    if encoding:
-        r = r.option("encoding", encoding)
-    df = r.csv(path)
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in cols])
+def _read_header_csv(spark: SparkSession, path: str, cols, encoding: str | None = None, sep: str = ",") -> DataFrame:
+    return read_csv(spark, path, cols, sep, encoding=encoding, optional=OPTIONAL_COLUMNS)
 
 
 # --- S5: encoding fallback ----------------------------------------------------------------
@@ -130,13 +131,13 @@ def _known_charset(spark: SparkSession, name: str) -> bool:
     return bool(spark._jvm.java.nio.charset.Charset.isSupported(name))
 
 
-def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS) -> DataFrame:
+def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS, sep: str = ",") -> DataFrame:
     """Read as UTF-8; files where decoding produced U+FFFD are re-read with the
     next encoding. The check is a distributed count per file, not a driver loop over
     content. Turkish code pages need ``spark.sql.legacy.javaCharsets=true``."""
     if isinstance(paths, str):
         paths = [paths]
-    first = _read_header_csv(spark, paths, cols, encodings[0]).withColumn("_f", F.col("_metadata.file_path"))
+    first = _read_header_csv(spark, paths, cols, encodings[0], sep).withColumn("_f", F.col("_metadata.file_path"))
     bad_expr = F.lit(False)
     for c in cols:
         bad_expr = bad_expr | F.coalesce(F.col(c).contains("�"), F.lit(False))
@@ -151,7 +152,7 @@ def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS) ->
         # A single-byte code page maps every byte, so the first one decodes all of them; reading
         # is lazy and never raises here, so an unknown code page is asked for up front.
         enc = next(e for e in encodings[1:] if _known_charset(spark, e))
-        parts.append(_read_header_csv(spark, bad_files, cols, enc))
+        parts.append(_read_header_csv(spark, bad_files, cols, enc, sep))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -206,8 +207,3 @@ def holidays_table(spark: SparkSession, rows) -> DataFrame:
     """(region, date) table built from a list of (region, 'yyyy-MM-dd')."""
     return spark.createDataFrame(rows, "region string, date string").select(
         "region", F.to_date("date").alias("date"))
-
-
-def coerce_float(c) -> Column:
-    """64-bit numbers to float32 at the edge."""
-    return (F.col(c) if isinstance(c, str) else c).cast("float")

@@ -62,3 +62,13 @@ def test_arrivals_csv(spark):
     df = readers.read_arrivals(spark, d + "/*2024*.csv")
     rows = df.orderBy("stop_id").collect()
     assert [r["time_point_order"] for r in rows] == [1, None]
+
+
+def test_gtfs_separator_and_missing_columns(spark, tmp_path):
+    import pytest
+    (tmp_path / "trips.csv").write_text("trip_id;route_id;extra\nT1;R1;x\n")
+    (tmp_path / "stops.txt").write_text("stop_id,stop_name\ns1,A\n")
+    g = readers.read_gtfs(spark, str(tmp_path), ["trips"], seps={"trips": ";"})["trips"].first()
+    assert (g["trip_id"], g["route_id"], g["direction_id"]) == ("T1", "R1", None)
+    with pytest.raises(ValueError, match="stop_lat"):
+        readers.read_gtfs(spark, str(tmp_path), ["stops"])

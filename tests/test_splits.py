@@ -61,3 +61,12 @@ def test_representative_with_fallback(spark):
     assert got == {1: 4, 2: 5}                       # hop 9 absent -> the hop-5 representative
     again = {r["req"]: r["_row"]["id"] for r in splits.representative(rows, "hops", wanted, "id").collect()}
     assert again == {r["req"]: r["_row"]["id"] for r in splits.representative(rows, "hops", wanted, "id").collect()}
+
+
+def test_hash_sample_repeats_and_complements(spark):
+    df = spark.range(4000)
+    a = {r["id"] for r in splits.hash_sample(df.repartition(3), "id", 0.25).collect()}
+    b = {r["id"] for r in splits.hash_sample(df.repartition(7), "id", 0.25).collect()}
+    assert a == b and 850 < len(a) < 1150
+    yes, no = splits.complement(df.withColumn("f", F.when(F.col("id") % 3 == 0, True).when(F.col("id") % 3 == 1, False)), "f")
+    assert (yes.count(), no.count()) == (1334, 2666)          # a null flag is not set
