@@ -1,7 +1,9 @@
 """URL filtering: fixed host and path rules first, then association rules mined by FP-growth.
 
 The labelled URLs' tokens (host labels, host words, path words, query keys) plus the label
-itself are the transactions of Spark's FP-growth. Rules ``tokens -> block`` are kept if their
+itself are the transactions of Spark's FP-growth. Of tokens that occur in exactly the same
+labelled URLs only the first is mined: the others add no rule that pruning would keep, but each
+would double the itemsets of a long URL with many copies. Rules ``tokens -> block`` are kept if their
 support and confidence reach the thresholds and no rule on a subset of their tokens does as
 well. A rule is indexed under its rarest token (an inverted index); a URL fetches rules by
 its tokens, and a fetched rule fires if the URL has all of its tokens.
@@ -90,19 +92,35 @@ def url_tokens(url: Column) -> Column:
         tag("q:", F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)))))
 
 
+def distinct_tokens(rows: DataFrame, least: float) -> DataFrame:
+    """(token) of ``rows`` (row, tokens): those in at least ``least`` rows, one of each set that has
+    the same rows, told apart by their number and the sums of two 31-bit halves of a hash of each."""
+    h = F.xxhash64("row")
+    t = rows.select(F.explode("tokens").alias("token"), h.bitwiseAND(F.lit((1 << 31) - 1)).alias("a"),
+                    F.shiftrightunsigned(h, 33).alias("b"))
+    found = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return found.where(F.col("n") >= least).groupBy("n", "a", "b").agg(F.min("token").alias("token")).select("token")
+
+
 def mine_rules(pages: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """(tokens, anchor, confidence, support) of the pruned rules, written to the shared folder."""
     l = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"))
     t = pages.select("page_id", url_tokens(F.col("url")).alias("tokens")).join(
         l, F.col("page_id") == F.col("doc_id")).where(F.size("tokens") > 0).select(
-        F.when(F.col("quality") == 0, F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    t = materialize(t, "transactions")
+        F.monotonically_increasing_id().alias("row"), "tokens", (F.col("quality") == 0).alias("bad"))
+    t = materialize(t, "labelled")
     schema = "tokens array<string>, confidence double, support double"
-    spark = pages.sparkSession
-    support = max(params.min_support, params.min_rows / max(1, t.count()))
-    if support > 1 or not t.where(F.array_contains("items", BLOCK)).limit(1).count():
+    spark, n = pages.sparkSession, t.count()
+    support = max(params.min_support, params.min_rows / max(1, n))
+    if support > 1 or not t.where("bad").limit(1).count():
         return spark.createDataFrame([], schema + ", anchor string")
+    # Written, so that Spark knows the size of the small side.
+    mined = materialize(distinct_tokens(t, support * n), "tokens").withColumn("kept", F.col("token"))
+    t = t.select("row", "bad", F.explode("tokens").alias("token")).join(mined, "token", "left").groupBy("row", "bad").agg(
+        F.collect_list("kept").alias("tokens"))
+    t = materialize(t.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
+                             .alias("items")), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=params.min_confidence).fit(t)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
         F.sort_array("antecedent").alias("tokens"), "confidence", "support")

@@ -127,6 +127,20 @@ def test_urls(spark, dirs):
         (6, "xnet", "/fr/1", None, "allow"), (7, "example.com", "", None, "allow")], key=str)
 
 
+def test_tokens_of_the_same_urls_are_mined_once(spark):
+    """Copies of a URL with thirty tokens of their own would have 2^30 itemsets."""
+    from headway.llm import urlrules
+    long = "/".join(f"w{i}" for i in range(30))
+    urls = [(i, f"http://a.org/{long}/{i}" if i < 60 else f"http://a.org/x/{i}") for i in range(120)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i, _ in urls], "doc_id long, quality int")
+    params = urlrules.RuleParams(0.05, 10, 0.9)
+    found = [r.tokens for r in urlrules.mine_rules(pages, labels, params).collect()]
+    assert found == [["p:w0"]]
+    judged = urlrules.judge_urls(pages, labels, rules=(), params=params).collect()
+    assert {r.page_id for r in judged if r.verdict == "block"} == set(range(60))
+
+
 def test_mined_url_rules(spark):
     """Bad only where two tokens meet: the pair is mined, its parts are not."""
     from headway.llm import urlrules
