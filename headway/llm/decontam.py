@@ -102,13 +102,18 @@ def build_index(docs: DataFrame, anchors: DataFrame, reach: int, text: str = "te
     return materialize(out, "postings")
 
 
+def _wanted_blocks(wanted: DataFrame):
+    """Anchored phrases in blocks small enough to broadcast."""
+    blocks = _blocks(wanted, F.octet_length(F.array_join("phrase", " ")) + 400)
+    for b in range(blocks):
+        yield F.broadcast(wanted.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b))
+
+
 def phrase_matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """Distinct (k1, k2, start, length, pid): exact occurrences of anchored phrases."""
-    blocks = _blocks(wanted, F.octet_length(F.array_join("phrase", " ")) + 400)
     begin, out = F.col("at") - F.col("off"), None
-    for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b)
-        m = index.join(F.broadcast(part), index["term"] == part["anchor"])
+    for part in _wanted_blocks(wanted):
+        m = index.join(part, F.col("term") == F.col("anchor"))
         m = m.where(begin >= 0)
         # The posting list intersected with the next rarest terms, then with the whole phrase.
         m = m.where(F.forall("next", lambda x: F.get("around", begin + x["off"]).eqNullSafe(x["term"])))
@@ -123,12 +128,15 @@ def proximity_matches(index: DataFrame, wanted: DataFrame, slop: int) -> DataFra
 
     ``index`` must reach ``width - 1 + slop`` words; ``pos`` is the anchor's position.
     """
-    m = index.join(F.broadcast(wanted), index["term"] == wanted["anchor"])
-    span = F.size("phrase") + slop
+    span, out = F.size("phrase") + slop, None
     near = lambda i: F.slice("around", i + 1, span)
     first = F.greatest(F.col("at") - span + 1, F.lit(0))
-    m = m.where(F.exists(F.sequence(first, F.col("at")), lambda i: F.size(F.array_except("phrase", near(i))) == 0))
-    return m.select("k1", "k2", "pos", "pid").distinct()
+    for part in _wanted_blocks(wanted):
+        m = index.join(part, F.col("term") == F.col("anchor"))
+        m = m.where(F.exists(F.sequence(first, F.col("at")), lambda i: F.size(F.array_except("phrase", near(i))) == 0))
+        m = m.select("k1", "k2", "pos", "pid")
+        out = m if out is None else out.unionByName(m)
+    return out.distinct()
 
 
 def text_hits(docs: DataFrame, items: DataFrame, width: int = 13, text: str = "text") -> DataFrame:
