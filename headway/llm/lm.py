@@ -4,8 +4,8 @@ Counting covers every training token: words by 64-bit hash, and bigrams (with a
 before the first word and an end token after the last) by a 64-bit key whose upper half
 comes from the context and whose lower half from the pair. Each task sums what it has read
 before the shuffle. Three kinds of entries go into one Bloom filter: a word's count, a
-bigram's count (from ``min_bigram`` up), and a context's kept mass, the discounted bigram
-counts stored for it. A count c is quantised to level q = 1 + floor(log c / log BASE), and
+bigram's count (from ``min_bigram`` up: all of them), and a context's mass, the discounted
+bigram counts stored for it. A count c is quantised to level q = 1 + floor(log c / log BASE), and
 the entry is inserted at levels 1 .. q. A query probes level 1, 2, ... until one is missing:
 the last hit gives the count.
 
@@ -17,10 +17,11 @@ where mass(v) sums c(vw) - D over stored bigrams, so the weight of the second pa
 the stored bigrams leave, and P1(w) = (c(w) + 1) / (N + V + 1). All counts in it are what
 the filter returns.
 
-Bounds: the filter has ``BITS_PER_ENTRY`` bits per insertion, up to ``max_filter_bits``. The
-smallest bigram count that is stored rises until the insertions fit (from the exact
-histogram of all counts); beyond that nothing depends on the size of the corpus. The filter
-is built in segments of SEGMENT_BITS, each by one task, and broadcast whole.
+Size: the filter has ``BITS_PER_ENTRY`` bits per insertion, in segments of SEGMENT_BITS whose
+number follows the counted entries, so nothing is thinned out. Up to ``max_filter_bits`` it is
+broadcast whole. A larger one stays spread out: GROUP segments at a time lie in one task, to
+which a shuffle brings their entries and then the probes, the different ones of each run of
+texts, packed; the levels found go back to the runs.
 
 The base score needs exact word counts. Words with at least T occurrences in all texts, T
 chosen so that about ``max_known_words`` qualify, are broadcast (hash and count); the tokens
@@ -51,6 +52,8 @@ BITS_PER_ENTRY = 12
 HASHES = 3
 #: A level's mixed key holds the segment position of HASHES hashes of 20 bits.
 SEGMENT_BITS = 1 << 20
+#: Segments of a filter too large to broadcast that one task holds at a time (8 MB).
+GROUP = 64
 WORD, BIGRAM, MASS = 1, 2, 3
 #: Tokens that a worker handles at once.
 COUNT_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 19
@@ -60,7 +63,9 @@ END, BEGIN = " end", " begin"
 
 @dataclass(frozen=True)
 class LMParams:
-    min_bigram: int = 2
+    """Bigrams are stored from ``min_bigram`` up; a filter above ``max_filter_bits`` is not broadcast."""
+
+    min_bigram: int = 1
     max_filter_bits: int = 1 << 28
     max_known_words: int = 1 << 19
 
@@ -107,14 +112,30 @@ def count_of(q: np.ndarray) -> np.ndarray:
 
 
 def _bits(key: np.ndarray, q) -> list[np.ndarray]:
-    """The HASHES bits inside the key's segment at level ``q``."""
+    """The HASHES bits inside the key's segment at level ``q``, from the key's lower 32 bits."""
     with np.errstate(over="ignore"):
-        g = _splitmix(key + np.asarray(q).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        g = _splitmix((key & np.uint64(0xFFFFFFFF)) + np.asarray(q).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return [((g >> np.uint64(20 * k)) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 def _segment(key: np.ndarray, segments: int) -> np.ndarray:
-    return ((key >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
+    """The key's segment, from its upper 32 bits."""
+    return ((key >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+
+
+def _levels(bits: np.ndarray, base: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Highest level before the first missing one, for each key, in the segments that start at bit ``base``."""
+    q = np.zeros(len(key), np.int32)
+    live, k, step = np.arange(len(key)), key, 0
+    while len(live):
+        step += 1
+        hit = np.ones(len(live), bool)
+        for at in _bits(k, step):
+            at += base
+            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
+        live, k, base = live[hit], k[hit], base[hit]
+        q[live] = step
+    return q
 
 
 class Filter:
@@ -124,20 +145,7 @@ class Filter:
         self.bits, self.segments = bits, segments
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """Highest level before the first missing one, for each key."""
-        q = np.zeros(len(key), np.int32)
-        live, k = np.arange(len(key)), key
-        base = _segment(key, self.segments) * SEGMENT_BITS
-        step = 0
-        while len(live):
-            step += 1
-            hit = np.ones(len(live), bool)
-            for at in _bits(k, step):
-                at += base
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
-            live, k, base = live[hit], k[hit], base[hit]
-            q[live] = step
-        return q
+        return _levels(self.bits, _segment(key, self.segments) * SEGMENT_BITS, key)
 
 
 def count_grams(docs: DataFrame, held_out: Column, p: LMParams, text: str = "text") -> DataFrame:
@@ -198,45 +206,45 @@ def _begin_hash(docs: DataFrame) -> int:
     return docs.sparkSession.range(1).select(F.xxhash64(F.lit(BEGIN))).first()[0]
 
 
-def stored_from(bigrams: DataFrame, words: DataFrame, p: LMParams) -> tuple[int, int]:
-    """(smallest bigram count stored, insertions in all) from the histogram of levels.
+def filter_entries(words: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """(kind, h, c) of all entries; masses in units of the least one, so that none is below 1."""
+    mass = bigrams.groupBy(F.shiftright("h", 32).alias("h")).agg(
+        F.sum((F.col("c") - DISCOUNT) / (1 - DISCOUNT)).alias("c"))
+    return words.where("c > 0").select(F.lit(WORD).alias("kind"), "h", F.col("c").cast("double").alias("c")) \
+        .union(bigrams.select(F.lit(BIGRAM), "h", F.col("c").cast("double"))) \
+        .union(materialize(mass, "mass").select(F.lit(MASS), "h", "c"))
+
+
+def insertions(rows: DataFrame) -> int:
+    """Sum of the levels of all entries."""
+    return rows.agg(F.coalesce(F.sum(1 + F.floor(F.log("c") / log(BASE) + 1e-9)), F.lit(0))).first()[0]
 
-    ``levels`` is a row per distinct level (at most about 150 for 64-bit counts).
-    """
-    q = lambda c: (1 + F.floor(F.log(F.col(c).cast("double")) / log(BASE) + 1e-9))
-    big = bigrams.where(F.col("c") >= p.min_bigram).groupBy(q("c").alias("q")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy("q").collect()
-    one = words.where("c > 0").groupBy(q("c").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()
-    fixed = sum(2 * r["q"] * r["n"] for r in one)          # words, and at most as many contexts
-    total = fixed + sum(r["q"] * r["n"] for r in big)
-    at, room = p.min_bigram, p.max_filter_bits // BITS_PER_ENTRY
-    for r in big:
-        if total <= room:
-            break
-        total -= r["q"] * r["n"]
-        at = r["c"] + 1
-    later = [r["c"] for r in big if r["c"] >= at]
-    return (min(later) if later else at), total
-
-
-def build_filter(words: DataFrame, bigrams: DataFrame, p: LMParams) -> Filter:
-    """Insert all entries and collect the segments (at most ``max_filter_bits`` in all)."""
-    at, total = stored_from(bigrams, words, p)
-    segments = int(max(1, min(-(-total * BITS_PER_ENTRY // SEGMENT_BITS), p.max_filter_bits // SEGMENT_BITS)))
-    kept = bigrams.where(F.col("c") >= at)
-    mass = kept.groupBy(F.shiftright("h", 32).alias("h")).agg(F.sum(F.col("c") - DISCOUNT).alias("c"))
-    rows = words.where("c > 0").select(F.lit(WORD).alias("kind"), "h", F.col("c").cast("double").alias("c")) \
-        .union(kept.select(F.lit(BIGRAM), "h", F.col("c").cast("double"))) \
-        .union(mass.select(F.lit(MASS), "h", "c"))
 
+def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Key and level of each of ``filter_entries``."""
+    kind, h, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    key = np.zeros(len(h), np.uint64)
+    for k in (WORD, BIGRAM, MASS):
+        key[kind == k] = entry(k, h[kind == k])
+    return key, level(c)
+
+
+def _insert(bits: np.ndarray, base: np.ndarray, key: np.ndarray, q: np.ndarray) -> None:
+    """Insert keys at levels 1 .. q into the segments that start at bit ``base``."""
+    for l in range(1, int(q.max(initial=0)) + 1):
+        on = q >= l
+        for at in _bits(key[on], l):
+            at += base[on]
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+
+def build_filter(rows: DataFrame, segments: int) -> Filter:
+    """Insert all entries and collect the segments, which fit a broadcast."""
     def keyed(batches):
         for b in batches:
-            kind, h, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            key = np.zeros(len(h), np.uint64)
-            for k in (WORD, BIGRAM, MASS):
-                key[kind == k] = entry(k, h[kind == k])
+            key, q = _keys(b)
             yield pa.RecordBatch.from_arrays([pa.array(_segment(key, segments)), pa.array(key.view(np.int64)),
-                                              pa.array(level(c))], ["segment", "key", "q"])
+                                              pa.array(q)], ["segment", "key", "q"])
 
     def fill(batches):
         """Rows come sorted by segment; a bitmap is kept only for the open one."""
@@ -248,10 +256,7 @@ def build_filter(words: DataFrame, bigrams: DataFrame, p: LMParams) -> Filter:
                     if open_ is not None:
                         yield _segment_row(open_, bits)
                     open_, bits = s, np.zeros(SEGMENT_BITS // 8, np.uint8)
-                k, levels = key[lo:hi].view(np.uint64), q[lo:hi]
-                for l in range(1, int(levels.max(initial=0)) + 1):
-                    for at_ in _bits(k[levels >= l], l):
-                        np.bitwise_or.at(bits, at_ >> 3, np.uint8(1) << (at_ & 7).astype(np.uint8))
+                _insert(bits, np.zeros(hi - lo, np.int64), key[lo:hi].view(np.uint64), q[lo:hi])
         if open_ is not None:
             yield _segment_row(open_, bits)
 
@@ -275,19 +280,112 @@ def _segment_row(s: int, bits: np.ndarray) -> pa.RecordBatch:
                                       ["segment", "bits"])
 
 
-def log_probabilities(f: Filter, words: np.ndarray, v: np.ndarray, w: np.ndarray, key: np.ndarray, n: int,
+def log_probabilities(words: np.ndarray, masses: np.ndarray, pairs: np.ndarray, v: np.ndarray, w: np.ndarray, n: int,
                       types: int, min_bigram: int) -> np.ndarray:
-    """log10 P of bigrams ``key`` whose context and word are at ``v`` and ``w`` in ``words``, from the filter alone."""
-    c = count_of(f.levels(entry(WORD, words)))
+    """log10 P of bigrams from the filter's levels alone: of different words, of the words' masses as
+    contexts, and of each bigram, whose context and word are at ``v`` and ``w`` of the first two."""
+    c = count_of(words)
     c_v = np.maximum(c, 1.0)
-    mass = np.minimum(count_of(f.levels(entry(MASS, context(words)))) / c_v, 0.95)
+    mass = np.minimum(count_of(masses) * (1 - DISCOUNT) / c_v, 0.95)
     one = np.minimum((c + 1) / (n + types + 1), 1.0)
-    q = f.levels(entry(BIGRAM, key))
-    c_vw = np.where(q >= level(np.array(float(min_bigram))), count_of(q), 0.0)   # lower levels are false hits
+    c_vw = np.where(pairs >= level(np.array(float(min_bigram))), count_of(pairs), 0.0)   # lower levels are false hits
     seen = np.minimum(np.maximum(c_vw - DISCOUNT, 0.0) / c_v[v], mass[v])
     return np.log10(seen + (1 - mass[v]) * one[w])
 
 
+def _total(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums over each text's tokens (every text has one at least)."""
+    return np.add.reduceat(x, cut[:-1]) if len(cut) > 1 else np.zeros(0)
+
+
+def _before(code: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the tokens and of the token before each; ``code`` has the begin mark's last."""
+    mark, code = code[-1], code[:-1]
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    before[cut[:-1]] = mark
+    return code, before
+
+
+def probed_scores(first: DataFrame, rows: DataFrame, segments: int, n: int, types: int, min_bigram: int) -> DataFrame:
+    """(row, score) of the texts of ``first`` by a filter that is never in one place.
+
+    A run's first row holds its different words, its tokens as codes of them, and where its
+    texts start. Entries and probes are sent as packed keys, a row for each group of segments;
+    sorting brings a group's entries (no run) first. A run's levels come back a row a group.
+    """
+    def placed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order that sorts the keys by segment, segments in that order)."""
+        seg = _segment(key, segments).astype(np.min_scalar_type(segments))
+        order = np.argsort(seg, kind="stable")
+        return order, seg[order].astype(np.int64)
+
+    def send(run: int | None, key: np.ndarray, q: np.ndarray | None):
+        """Rows of a segment's number in its group, the lower 32 bits of a key, and the level of an entry."""
+        order, seg = placed(key)
+        groups, lows, highs = _spans(seg // GROUP)
+        blobs = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip(lows, highs)], pa.binary())
+        return pa.RecordBatch.from_arrays([
+            pa.array(groups, pa.int64()), pa.array([run] * len(groups), pa.int64()),
+            blobs((seg % GROUP).astype(np.uint8)), blobs(key[order].astype("<u4")),
+            pa.nulls(len(groups), pa.binary()) if q is None else blobs(q[order].astype(np.uint8))],
+            ["group", "run", "segs", "keys", "q"])
+
+    def asked(r: dict):
+        """Keys that a run probes (words, their masses, its different bigrams), each token's place among the bigrams,
+        and codes and starts of the tokens."""
+        words, cut = np.frombuffer(r["words"], np.int64), np.frombuffer(r["cut"], np.int32)
+        code, before = _before(np.frombuffer(r["code"], np.int32), cut)
+        grams, at = np.unique(pair(words[before], words[code]), return_inverse=True)
+        return np.concatenate([entry(WORD, words), entry(MASS, context(words)), entry(BIGRAM, grams)]), at, \
+            len(words), code, before, cut
+
+    def entries(batches):
+        for b in batches:
+            yield send(None, *_keys(b))
+
+    def probes(batches):
+        for b in batches:
+            for i in range(len(b)):
+                r = b.slice(i, 1).to_pylist()[0]
+                yield send(r["run"], asked(r)[0], None)
+
+    def look_up(batches):
+        """Rows come sorted by group, entries first; only the open group's segments are kept."""
+        open_, bits = None, None
+        for b in batches:
+            for i in range(len(b)):
+                group, run, seg, keys, q = (b.column(j)[i].as_py() for j in range(5))
+                if group != open_:
+                    open_, bits = group, np.zeros(GROUP * SEGMENT_BITS // 8, np.uint8)
+                base = np.frombuffer(seg, np.uint8).astype(np.int64) * SEGMENT_BITS
+                key = np.frombuffer(keys, "<u4").astype(np.uint64)
+                if run is None:
+                    _insert(bits, base, key, np.frombuffer(q, np.uint8))
+                    continue
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([run], pa.int64()), pa.array([group], pa.int64()),
+                    pa.array([_levels(bits, base, key).astype(np.uint8).tobytes()], pa.binary())],
+                    ["run", "group", "levels"])
+
+    def score(run: pa.Table, found: pa.Table) -> pa.Table:
+        r = run.to_pylist()[0]
+        key, at, n_words, code, before, cut = asked(r)
+        got = found.sort_by("group").column("levels").to_pylist()
+        q = np.zeros(len(key), np.int32)
+        q[placed(key)[0]] = np.frombuffer(b"".join(got), np.uint8)
+        lp = log_probabilities(q[:n_words], q[n_words:2 * n_words], q[2 * n_words:][at], before, code, n, types,
+                               min_bigram)
+        return pa.table({"row": r["run"] + np.arange(len(cut) - 1), "score": _total(lp, cut)})
+
+    packed = "group long, run long, segs binary, keys binary, q binary"
+    runs = first.where(F.col("words").isNotNull()).select(F.col("row").alias("run"), "words", "code", "cut")
+    sent = rows.mapInArrow(entries, packed).union(runs.mapInArrow(probes, packed))
+    found = sent.repartition("group").sortWithinPartitions("group", F.col("run").asc_nulls_first()).mapInArrow(
+        look_up, "run long, group long, levels binary")
+    return runs.groupBy("run").cogroup(found.groupBy("run")).applyInArrow(score, "row long, score double")
+
+
 def _known(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of a bounded table, sent to the driver as packed columns."""
     def run(batches):
@@ -313,7 +411,10 @@ def score_texts(docs: DataFrame, buckets: int = 7, held_bucket: int = 2, params:
     n_texts = docs.where(~held).count()
     begin = np.int64(_begin_hash(docs))
     marks = spark.range(1).select(F.lit(int(begin)).alias("h"), F.lit(n_texts).cast("long").alias("c"))
-    filt = spark.sparkContext.broadcast(build_filter(words.select("h", "c").union(marks), bigrams, params))
+    rows = filter_entries(words.select("h", "c").union(marks), bigrams)
+    segments = max(1, -(-insertions(rows) * BITS_PER_ENTRY // SEGMENT_BITS))
+    whole = segments * SEGMENT_BITS <= params.max_filter_bits
+    filt = spark.sparkContext.broadcast(build_filter(rows, segments)) if whole else None
     often = 1
     if distinct > params.max_known_words:
         share = 1 - params.max_known_words / distinct
@@ -321,32 +422,39 @@ def score_texts(docs: DataFrame, buckets: int = 7, held_bucket: int = 2, params:
     known = spark.sparkContext.broadcast(_known(words.where(F.col("c_all") >= often)))
 
     def run(batches):
-        f, (kh, kc) = filt.value, known.value
+        kh, kc = known.value
         for b in _runs(batches, 2, SCORE_TOKENS):
             w, cut = _tokens(b.column(2))
             coded = pa.array(np.append(w, begin)).dictionary_encode()
             uniq, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            mark, code = code[-1], code[:-1]
-            before = np.empty_like(code)
-            before[1:] = code[:-1]
-            before[cut[:-1]] = mark
-            total = lambda x: np.add.reduceat(x, cut[:-1]) if len(cut) > 1 else np.zeros(0)
+            held_back = [uniq.tobytes(), code.astype(np.int32).tobytes(), cut.astype(np.int32).tobytes()]
+            code, before = _before(code, cut)
             at = np.minimum(np.searchsorted(kh, uniq), max(len(kh) - 1, 0))
             found = kh[at] == uniq if len(kh) else np.zeros(len(uniq), bool)
             c = np.where(found, kc[at] if len(kh) else 0, 0)
             base = np.where(found, np.log10((c + 1) / (n + types + 1)), 0.0)
-            score = log_probabilities(f, uniq, before, code, pair(uniq[before], w), n, types, params.min_bigram)
+            if whole:
+                f = filt.value
+                score = pa.array(_total(log_probabilities(
+                    f.levels(entry(WORD, uniq)), f.levels(entry(MASS, context(uniq))),
+                    f.levels(entry(BIGRAM, pair(uniq[before], w))), before, code, n, types, params.min_bigram), cut))
+                held_back = [None] * 3
+            else:
+                score = pa.nulls(len(b), pa.float64())
             rare = ~found[code]
             upto = np.append(0, np.cumsum(rare))[cut]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(np.diff(cut)), pa.array(total((c > 0)[code].astype(np.int64))),
-                pa.array(total(base[code])), pa.array(total(score)),
-                pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(w[rare]))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                b.column(0), b.column(1), pa.array(np.diff(cut)), pa.array(_total((c > 0)[code].astype(np.int64), cut)),
+                pa.array(_total(base[code], cut)), score,
+                pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(w[rare])),
+                *[pa.array([x] + [None] * (len(b) - 1), pa.binary()) for x in held_back]],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "words", "code", "cut"])
 
     first = docs.select("doc_id", held.alias("held_out"), token_hashes(F.col(text)).alias("w")).mapInArrow(
         run, StructType([docs.schema["doc_id"], *StructType.fromDDL(
-            "held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")]))
+            "held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, "
+            "words binary, code binary, cut binary")]))
+    # Consecutive within a task, so a run's texts are numbered from its first row on.
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     miss = F.log10(F.lit(1.0 / (n + types + 1)))
     tail = words.where((F.col("c_all") < often) & (F.col("c") > 0)).select("h", "c")
@@ -354,7 +462,9 @@ def score_texts(docs: DataFrame, buckets: int = 7, held_bucket: int = 2, params:
         F.count("c").alias("more"),
         F.sum(F.when(F.col("c").isNull(), miss).otherwise(F.log10((F.col("c") + 1) / F.lit(float(n + types + 1)))))
         .alias("rest"))
-    out = first.drop("rare").join(rest, "row", "left")
+    out = first.drop("rare", "words", "code", "cut").join(rest, "row", "left")
+    if not whole:
+        out = out.drop("score").join(probed_scores(first, rows, segments, n, types, params.min_bigram), "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
