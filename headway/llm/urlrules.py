@@ -1,9 +1,11 @@
 """URL filtering: fixed host and path rules first, then association rules mined by FP-growth.
 
 The labelled URLs' tokens (host labels, host words, path words, query keys) plus the label
-itself are the transactions of Spark's FP-growth. Of tokens that occur in exactly the same
-labelled URLs only the first is mined: the others add no rule that pruning would keep, but each
-would double the itemsets of a long URL with many copies. Rules ``tokens -> block`` are kept if their
+itself are the transactions of Spark's FP-growth. Tokens that occur in exactly the same labelled
+URLs form a class, and only the first of a class is mined, since each other one would double
+the itemsets of a long URL with many copies. A rule holds as well with any other member in the
+first one's place, so a judged URL's tokens are replaced by the first ones of their classes.
+Rules ``tokens -> block`` are kept if their
 support and confidence reach the thresholds and no rule on a subset of their tokens does as
 well. A rule is indexed under its rarest token (an inverted index); a URL fetches rules by
 its tokens, and a fetched rule fires if the URL has all of its tokens.
@@ -92,18 +94,24 @@ def url_tokens(url: Column) -> Column:
         tag("q:", F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)))))
 
 
-def distinct_tokens(rows: DataFrame, least: float) -> DataFrame:
-    """(token) of ``rows`` (row, tokens): those in at least ``least`` rows, one of each set that has
-    the same rows, told apart by their number and the sums of two 31-bit halves of a hash of each."""
+def token_classes(rows: DataFrame, least: float) -> DataFrame:
+    """(token, kept) of ``rows`` (row, tokens): tokens in at least ``least`` rows, each with the first token that
+    has the same rows, told apart by their number and the sums of two 31-bit halves of a hash of each."""
     h = F.xxhash64("row")
     t = rows.select(F.explode("tokens").alias("token"), h.bitwiseAND(F.lit((1 << 31) - 1)).alias("a"),
                     F.shiftrightunsigned(h, 33).alias("b"))
     found = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return found.where(F.col("n") >= least).groupBy("n", "a", "b").agg(F.min("token").alias("token")).select("token")
+    return found.where(F.col("n") >= least).groupBy("n", "a", "b").agg(
+        F.min("token").alias("kept"), F.collect_list("token").alias("all")).select(F.explode("all").alias("token"), "kept")
 
 
 def mine_rules(pages: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """(tokens, anchor, confidence, support) of the pruned rules, written to the shared folder."""
+    """(tokens, anchor, confidence, support) of the pruned rules on the first tokens of classes."""
+    return rules_and_classes(pages, labels, params)[0]
+
+
+def rules_and_classes(pages: DataFrame, labels: DataFrame, params: RuleParams) -> tuple[DataFrame, DataFrame]:
+    """The rules of ``mine_rules`` and ``token_classes``, written to the shared folder."""
     l = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"))
     t = pages.select("page_id", url_tokens(F.col("url")).alias("tokens")).join(
@@ -114,9 +122,10 @@ def mine_rules(pages: DataFrame, labels: DataFrame, params: RuleParams = RulePar
     spark, n = pages.sparkSession, t.count()
     support = max(params.min_support, params.min_rows / max(1, n))
     if support > 1 or not t.where("bad").limit(1).count():
-        return spark.createDataFrame([], schema + ", anchor string")
+        return spark.createDataFrame([], schema + ", anchor string"), spark.createDataFrame([], "token string, kept string")
     # Written, so that Spark knows the size of the small side.
-    mined = materialize(distinct_tokens(t, support * n), "tokens").withColumn("kept", F.col("token"))
+    classes = materialize(token_classes(t, support * n), "tokens")
+    mined = classes.where(F.col("token") == F.col("kept"))
     t = t.select("row", "bad", F.explode("tokens").alias("token")).join(mined, "token", "left").groupBy("row", "bad").agg(
         F.collect_list("kept").alias("tokens"))
     t = materialize(t.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
@@ -134,14 +143,18 @@ def mine_rules(pages: DataFrame, labels: DataFrame, params: RuleParams = RulePar
     kept = rules.join(weaker, "tokens", "left_anti")
     by_token = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(
         F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return materialize(kept.join(by_token, "tokens"), "pruned")
+    return materialize(kept.join(by_token, "tokens"), "pruned"), classes
+
 
+def blocked_urls(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Keys (k1, k2) of URLs on which a rule fires; the index side is broadcast in bounded blocks.
 
-def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Keys (k1, k2) of URLs on which a rule fires; the index side is broadcast in bounded blocks."""
+    Tokens in no rule's class are left out, the others replaced by the first of their class."""
     n = rules.count()
     blocks = max(1, -(-n // RULES_AT_ONCE))
-    tokens = urls.select(*text_key(F.col("url")), url_tokens(F.col("url")).alias("have"))
+    used = classes.join(rules.select(F.explode("tokens").alias("kept")).distinct(), "kept", "left_semi")
+    tokens = urls.select(*text_key(F.col("url")), F.explode(url_tokens(F.col("url"))).alias("token")).join(
+        F.broadcast(used), "token").groupBy("k1", "k2").agg(F.collect_set("kept").alias("have"))
     posted = tokens.select("k1", "k2", "have", F.explode("have").alias("anchor"))
     out = None
     for b in range(blocks):
@@ -156,7 +169,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[HostRule, ...]
                params: RuleParams = RuleParams()) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages``."""
     p = pages.select("page_id", "url")
-    found = blocked_urls(p, mine_rules(p, labels, params)).withColumn("_bad", F.lit(True))
+    found = blocked_urls(p, *rules_and_classes(p, labels, params)).withColumn("_bad", F.lit(True))
     d = p.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),
                  F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), *text_key(F.col("url")))
     d = d.withColumn("rule", rule_name(F.col("host"), F.col("path"), rules)).join(found, ["k1", "k2"], "left")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from headway.llm import lm
+from headway.llm import lm, urlrules
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +29,27 @@ def test_bigrams_seen_once_are_stored(spark):
     got, two = (by_id(lm.score_texts(d, params=p)) for p in (lm.LMParams(), lm.LMParams(min_bigram=2)))
     trained = [k for k in got if not got[k]["held_out"]]
     assert trained and all(got[k]["score"] > two[k]["score"] + 5 for k in trained)
+
+
+def test_a_rule_holds_for_every_token_of_the_same_labelled_urls(spark):
+    """Labelled URLs have the twins together; others have the host alone, the path alone, or neither."""
+    urls = [(i, f"http://casino.example/bonus/{i}" if i < 60 else f"http://a.org/x/{i}") for i in range(120)]
+    more = [(1000, "http://other.example/bonus/y"), (1001, "http://casino.test/z"), (1002, "http://other.example/y")]
+    pages = spark.createDataFrame(urls + more, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i, _ in urls], "doc_id long, quality int")
+    judged = urlrules.judge_urls(pages, labels, rules=(), params=urlrules.RuleParams(0.05, 10, 0.9)).collect()
+    blocked = {r.page_id for r in judged if r.verdict == "block"}
+    assert len(judged) == 123 and blocked >= set(range(60)) | {1000, 1001}
+    assert not blocked & set(range(60, 120))
+
+
+def test_every_token_of_a_rule_may_be_a_twin(spark):
+    """Bad only where two classes meet; the unlabelled URL has the second member of each."""
+    part = lambda i: ("spam/deal" if i % 2 else "good/news") + "/" + ("win/prize" if i % 4 < 2 else "lose/none")
+    urls = [(i, f"http://a.org/{part(i)}/{i}") for i in range(200)]
+    more = [(1000, "http://b.org/spam/win"), (1001, "http://b.org/deal/prize"), (1002, "http://b.org/spam/deal")]
+    pages = spark.createDataFrame(urls + more, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not (i % 2 and i % 4 < 2))) for i, _ in urls], "doc_id long, quality int")
+    judged = urlrules.judge_urls(pages, labels, rules=(), params=urlrules.RuleParams(0.05, 10, 0.9)).collect()
+    assert {r.page_id for r in judged if r.verdict == "block"} == {
+        i for i in range(200) if i % 2 and i % 4 < 2} | {1000, 1001}
