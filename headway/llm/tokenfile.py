@@ -154,11 +154,13 @@ def _fewer_words(texts: pa.Array) -> pa.Array:
     """Texts with the same ids but fewer different words.
 
     The tokenizer lower-cases, and always splits a letter from a full stop or comma. Texts
-    that may name a special token are left alone: those are matched before lower-casing.
+    that may name a special token are left alone: those are matched before lower-casing. So are
+    texts with a combining mark: the tokenizer composes first, and some capitals have no
+    composed form although their small letters do (J with U+030C).
     """
     texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy: ascii_lower misreads a slice's offsets
     plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2")
-    return pc.if_else(pc.match_substring(texts, "<|"), texts, plain)
+    return pc.if_else(pc.match_substring_regex(texts, r"<\||[\x{0300}-\x{036F}]"), texts, plain)
 
 
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:

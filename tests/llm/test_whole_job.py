@@ -1,8 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from headway.llm import lm, urlrules
+from headway.llm import lm, tokenfile, urlrules
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +57,13 @@ def test_every_token_of_a_rule_may_be_a_twin(spark):
     judged = urlrules.judge_urls(pages, labels, rules=(), params=urlrules.RuleParams(0.05, 10, 0.9)).collect()
     assert {r.page_id for r in judged if r.verdict == "block"} == {
         i for i in range(200) if i % 2 and i % 4 < 2} | {1000, 1001}
+
+
+@pytest.mark.parametrize("pair", ["J̌", "H̱", "T̈", "W̊", "Y̊"])
+def test_capitals_composed_in_lower_case_only(pair):
+    path = P.path("word_bpe_49k.json")
+    texts = [pair, f"Plain text. Then {pair}an, and More.", "Plain text. Then more"]
+    ids, counts = tokenfile.encode_batch(pa.array(texts), path)
+    tok = Tokenizer.from_file(path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [
+        tok.encode(t, add_special_tokens=False).ids for t in texts]
