@@ -29,8 +29,8 @@ def split_date(df: DataFrame, ts: str, cutoff: str, end: str | None = None, out:
     return df.withColumn(out, lab).where(F.col(out).isNotNull())
 
 
-def global_row_numbers(df: DataFrame, order, out: str = "_row") -> tuple[DataFrame, int]:
-    """Add ``out``: 0 .. n-1 in ``order`` (nulls last), and return n.
+def global_row_numbers(df: DataFrame, order, out: str = "_row", part: str | None = None) -> tuple[DataFrame, int]:
+    """Add ``out``: 0 .. n-1 in ``order`` (nulls last), and return n. ``part`` keeps the number of the row's range.
 
     One range shuffle; the sorted rows are written to the shared folder with their place in
     their range, and the ranges' offsets come from their row counts, a row per range. No
@@ -38,13 +38,15 @@ def global_row_numbers(df: DataFrame, order, out: str = "_row") -> tuple[DataFra
     keys = _ord(_as_list(order))
     d = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     d = materialize(d, "ordered")
-    part = F.shiftright("_at", 33)                         # the id is (partition << 33) + place
-    sizes = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    at = F.shiftright("_at", 33)                           # the id is (partition << 33) + place
+    sizes = d.groupBy(at.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    rows = d.withColumn("_part", part).join(sizes.drop("_n"), "_part")
+    rows = d.withColumn("_part", at).join(sizes.drop("_n"), "_part")
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn(out, F.col("_before") + place).drop("_part", "_before", "_at"), d.count()
+    rows = rows.withColumn(out, F.col("_before") + place)
+    rows = rows.withColumnRenamed("_part", part) if part else rows.drop("_part")
+    return rows.drop("_before", "_at"), d.count()
 
 
 def split_fraction(df: DataFrame, order, frac: float = 0.8, out: str = "split") -> DataFrame:
