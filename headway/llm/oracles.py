@@ -46,4 +46,42 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op2_decontam_index": OP2, "op3_chat_format": OP3}
+# Unsigned CRC-32 of a short ASCII text (3988292384 is its reversed polynomial).
+CRC32 = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)), "
+         "lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), "
+         "4294967295::BIGINT)")
+
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, h, least(h, coalesce(n, 0)) AS m, conv_id - conv_id % 20 AS base
+  FROM (SELECT conv_id, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t))
+  LEFT JOIN (SELECT conv_id AS b, count(*) AS n FROM t GROUP BY b) ON b = conv_id - conv_id % 20),
+r AS (
+  SELECT c.conv_id, pos AS d, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, pos - h + m, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+turns AS (
+  SELECT conv_id, d, md5(string_agg(length(role) || ':' || role || text, chr(0)) OVER (PARTITION BY conv_id ORDER BY d)) AS node,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+paths AS (SELECT conv_id, 0 AS d, 'root' AS node, 0 AS words FROM c UNION ALL SELECT conv_id, d, node, words FROM turns),
+size AS (SELECT conv_id, max(d) AS d FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT p.d, node, min(p.conv_id) AS owner, count(*) AS n, max(words) AS words,
+         coalesce(string_agg(p.conv_id, ',' ORDER BY p.conv_id) FILTER (WHERE p.d = size.d), '') AS ends
+  FROM paths p JOIN size USING (conv_id) GROUP BY p.d, node),
+up AS (SELECT v.d, v.node, v.owner, p.node AS above FROM nodes v JOIN paths p ON p.conv_id = v.owner AND p.d = v.d - 1),
+kids AS (SELECT d - 1 AS d, above AS node, count(*) AS n_children FROM up GROUP BY d, above),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, node)),
+sums AS (
+  SELECT p.d, p.node, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n - 1) * u.words) AS saved
+  FROM full_nodes u JOIN paths p ON p.conv_id = u.owner AND p.d <= u.d GROUP BY p.d, p.node)
+SELECT v.owner AS conv_id, CAST(v.d AS BIGINT) AS depth, pv.owner AS parent_conv_id, v.n AS n_convs,
+       CAST(v.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM full_nodes v JOIN sums USING (d, node) LEFT JOIN up USING (d, node) LEFT JOIN nodes pv ON pv.d = v.d - 1 AND pv.node = up.above
+"""
+
+ORACLES = {"op2_decontam_index": OP2, "op3_chat_format": OP3, "op11_prefix_trie": OP11}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import bpe, chat, decontam, lm, quality, sharding, simhash, tokenfile, toxicity, urlrules
+from headway.llm import bpe, chat, decontam, lm, quality, sharding, simhash, tokenfile, toxicity, trie, urlrules
 from headway.llm.common import id_bucket, table
 from headway.llm.oracles import ORACLES  # noqa: F401
 from headway.session import materialize, scratch_path, ship_package
@@ -90,6 +90,11 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_fm, op2_decontam_index, op3_chat_format, op4_url_rules, op5_token_file, op6_byte_bpe,
-    op7_quality_rules, op8_bloom_lm, op9_simhash, op10_feistel_shards)}
+    op7_quality_rules, op8_bloom_lm, op9_simhash, op10_feistel_shards, op11_prefix_trie)}
