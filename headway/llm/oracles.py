@@ -84,4 +84,16 @@ SELECT v.owner AS conv_id, CAST(v.d AS BIGINT) AS depth, pv.owner AS parent_conv
 FROM full_nodes v JOIN sums USING (d, node) LEFT JOIN up USING (d, node) LEFT JOIN nodes pv ON pv.d = v.d - 1 AND pv.node = up.above
 """
 
-ORACLES = {"op2_decontam_index": OP2, "op3_chat_format": OP3, "op11_prefix_trie": OP11}
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc,
+                  string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key
+      FROM (SELECT r, doc, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)),
+shared AS (SELECT key, min(doc) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc) > 1),
+marked AS (SELECT l.*, first IS NOT NULL AND first <> doc AS gone FROM l LEFT JOIN shared USING (key))
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked JOIN d USING (r) GROUP BY r
+"""
+
+ORACLES = {"op2_decontam_index": OP2, "op3_chat_format": OP3, "op11_prefix_trie": OP11, "op12_line_dedup": OP12}
