@@ -33,7 +33,8 @@ def global_row_numbers(df: DataFrame, order, out: str = "_row", part: str | None
     """Add ``out``: 0 .. n-1 in ``order`` (nulls last), and return n. ``part`` keeps the number of the row's range.
 
     One range shuffle; the sorted rows are written to the shared folder with their place in
-    their range, and the ranges' offsets come from their row counts, a row per range. No
+    their range, and the ranges' offsets come from their row counts, a row per range (so the
+    broadcast is bounded by the number of shuffle partitions). No
     task holds more than a range, however many rows share a day or a time block."""
     keys = _ord(_as_list(order))
     d = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
@@ -42,7 +43,7 @@ def global_row_numbers(df: DataFrame, order, out: str = "_row", part: str | None
     sizes = d.groupBy(at.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    rows = d.withColumn("_part", at).join(sizes.drop("_n"), "_part")
+    rows = d.withColumn("_part", at).join(F.broadcast(sizes.drop("_n")), "_part")
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     rows = rows.withColumn(out, F.col("_before") + place)
     rows = rows.withColumnRenamed("_part", part) if part else rows.drop("_part")
