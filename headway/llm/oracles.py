@@ -96,4 +96,74 @@ SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone)
 FROM marked JOIN d USING (r) GROUP BY r
 """
 
-ORACLES = {"op2_decontam_index": OP2, "op3_chat_format": OP3, "op11_prefix_trie": OP11, "op12_line_dedup": OP12}
+
+def _edit(state: str, cost: str, letter: str, piece: str) -> str:
+    """The state's best (cost, audit, repaired text) after one more edit."""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {piece}}}"
+
+
+def _insert(state: str, role: str) -> str:
+    return _edit(state, "3", "I", f"chr(10) || '{role}:'")
+
+
+def _row_edits(state: int) -> str:
+    """The least of the ways to reach a state over one row (0 none, 1 after system, 2 user, 3 assistant)."""
+    ways = [_edit(f"i{state}", "4", "D", "''")]
+    keep = {1: ("s", [0]), 2: ("u", [0, 1, 3]), 3: ("a", [2])}
+    if state in keep:
+        initial, before = keep[state]
+        for q in before:
+            kept = _edit(f"i{q}", "late", "K", "chr(10) || role || ':' || text")
+            ways.append(f"CASE WHEN NOT must_go AND initial = '{initial}' THEN {kept} END")
+            if state > 1:
+                new = "user" if state == 2 else "assistant"
+                ways.append("CASE WHEN NOT must_go THEN " + _edit(f"i{q}", "3 + late", "R", f"chr(10) || '{new}:' || text") + " END")
+    return f"list_min([{', '.join(ways)}])"
+
+
+# Places with their insertions: a user after states 0, 1 and 3, an assistant after state 2.
+_PLACES = (f"SELECT conv_id, i, s0 AS i0, s1 AS i1, i2, list_min([s3, {_insert('i2', 'assistant')}]) AS i3 FROM ("
+           f"SELECT *, list_min([s2, {_insert('s0', 'user')}, {_insert('s1', 'user')}, {_insert('s3', 'user')}]) AS i2 FROM paths)")
+_FAR = "{'c': 1000000000, 'a': '', 'r': ''}"
+
+OP13 = rf"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32.format("CAST(conv_id AS VARCHAR) || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations WHERE conv_id IS NOT NULL),
+rows_left AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM damaged WHERE kind <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, left(role, 1) AS initial
+  FROM rows_left),
+marked AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late
+  FROM (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                       WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+               initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM numbered)),
+totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, max(i) AS n,
+         count(*) FILTER (WHERE last_row = 0 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, CASE WHEN i = max(i) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS last_row FROM marked) GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'r': ''}} AS s0, {_FAR} AS s1, {_FAR} AS s2, {_FAR} AS s3 FROM totals
+  UNION ALL
+  SELECT places.conv_id, places.i + 1, {", ".join(_row_edits(q) for q in range(4))}
+  FROM ({_PLACES}) places JOIN marked ON marked.conv_id = places.conv_id AND marked.i = places.i + 1),
+ends AS (
+  SELECT totals.*, list_min([i0, i3]) AS best FROM ({_PLACES}) p JOIN totals ON totals.conv_id = p.conv_id AND totals.n = p.i)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) c LEFT JOIN ends USING (conv_id)
+"""
+
+ORACLES = {"op2_decontam_index": OP2, "op3_chat_format": OP3, "op11_prefix_trie": OP11, "op12_line_dedup": OP12,
+           "op13_conversation_repair": OP13}

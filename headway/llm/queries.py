@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headway.llm import bpe, chat, decontam, linededup, lm, quality, sharding, simhash, tokenfile, toxicity, trie, urlrules
+from headway.llm import bpe, chat, decontam, linededup, lm, quality, repair, sharding, simhash, tokenfile, toxicity, trie, urlrules
 from headway.llm.common import id_bucket, table
 from headway.llm.oracles import ORACLES  # noqa: F401
 from headway.session import materialize, scratch_path, ship_package
@@ -100,7 +100,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return repair.repair_damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_fm, op2_decontam_index, op3_chat_format, op4_url_rules, op5_token_file, op6_byte_bpe,
     op7_quality_rules, op8_bloom_lm, op9_simhash, op10_feistel_shards, op11_prefix_trie,
-    op12_line_dedup)}
+    op12_line_dedup, op13_conversation_repair)}
