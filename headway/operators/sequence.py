@@ -25,10 +25,11 @@ join with it sends their rows to the chunked branch, while every other entity us
 ``partitionBy(entity)`` window, i.e. a single shuffle. Nothing but "is there any" reaches
 the driver. ``skew_safe=False`` skips the statistics job.
 
-Unbounded pairs (``band_pairs``) take positions first and then one ``(entity, time
-bucket)`` frame that also holds the next bucket as a halo: it gives every partner within
-the time limit, its partitions are bounded by time, not by the entity, and ``k`` is the
-difference of the positions, whatever the order.
+Unbounded pairs (``band_pairs``) take positions first. An entity of few rows gets its
+partners from a time frame in the same exchange; a larger one is cut into stretches of
+even numbers of rows, which meet in pairs when their time spans are near enough. So no task
+and no list grows with one entity's density, and ``k`` is the difference of the positions,
+whatever the order.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from ..session import materialize
 
 SKEW_SAFE = True            # default for every operator in this module
 CHUNK_ROWS = 1 << 20        # rows per (entity, chunk) window partition
+PAIR_ROWS = 4096            # rows of an entity whose pairs come from one window
+PAIR_STRETCH = 1024         # rows of a stretch of a larger entity
 
 
 def _as_list(x) -> list:
@@ -344,45 +347,81 @@ def band_pairs(df: DataFrame, entity, order, t_seconds: str, max_dt: float, orig
     later in the sequence and ``0 < t_d - t_o <= max_dt``, labelled ``k`` = position gap.
 
     This is exactly the set the unbounded lookahead keeps after the travel-time filter,
-    without enumerating all pairs of an entity. Positions come first (all rows count, also
-    those without a time); then rows are bucketed by ``floor(t / max_dt)`` and each is also
-    copied, as a halo row, into the previous bucket. An explicit shuffle by (entity,
-    bucket) bounds a task by the data of two time buckets of one entity; there a row's
-    candidates are the rows within ``max_dt`` after it, in whatever position, and later
-    positions are kept. ``rn_col`` names a position column that exists already.
-    ``same_time`` also keeps ``t_d = t_o`` (leg rows, whose travel time ends at an arrival).
+    without enumerating all pairs of an entity. ``rn_col`` names a position column that exists
+    already. ``same_time`` also keeps ``t_d = t_o`` (leg rows, whose travel time ends at an
+    arrival). Entities of at most ``PAIR_ROWS`` rows take one window (``_pairs_in_window``); the
+    rows of larger ones are cut into stretches that meet in pairs (``_pairs_of_stretches``).
     """
-    entity = _as_list(entity)
-    order = _as_list(order)
+    entity, order = _as_list(entity), _as_list(order)
     ocols, dcols = _as_list(origin_cols), _as_list(dest_cols)
-    t = F.col(t_seconds).cast("double")
-    p = (positions(df, entity, order, "_prn", skew_safe=skew_safe) if rn_col is None
-         else df.withColumn("_prn", F.col(rn_col)))
-    p = (p.where(~any_null(entity) & F.col(t_seconds).isNotNull()).withColumn("_t", t)
-           .withColumn("_tu", F.round(t * 1e6).cast("long")))
-    bucket = F.floor(F.col("_t") / F.lit(float(max_dt)))
-    p = p.withColumn("_cp", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("core")),
-                                              F.struct((bucket - 1).alias("b"), F.lit(False).alias("core")))))
-    p = p.withColumn("_bk", F.col("_cp.b")).withColumn("_core", F.col("_cp.core")).drop("_cp")
-    part = Window.partitionBy(*entity, "_bk")
-    p = p.repartition(*entity, "_bk")
-    dstruct = F.struct(F.col("_prn").alias("__prn"), F.col("_t").alias("__t"), *[F.col(c).alias(c) for c in dcols])
-    # integer-microsecond range frame (one extra microsecond; the exact test follows)
-    frame = part.orderBy(F.col("_tu")).rangeBetween(0, int(round(max_dt * 1e6)) + 1)
-    p = p.withColumn("_cand", F.collect_list(dstruct).over(frame))
-    p = p.where(F.col("_core")).select(*entity, F.col("_prn").alias("_prn_o"), F.col("_t").alias("_t_o"),
-                                       *[F.col(c).alias(f"o_{c}") for c in ocols],
-                                       F.explode("_cand").alias("_d"))
-    dt = F.col("_d.__t") - F.col("_t_o")
+    skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
+
+    def timed(d):
+        return (d.where(~any_null(entity) & F.col(t_seconds).isNotNull()).withColumn("_t", F.col(t_seconds).cast("double"))
+                 .withColumn("_tu", F.round(F.col("_t") * 1e6).cast("long")))
+
+    def few(d):
+        w = Window.partitionBy(*entity).orderBy(*_ord(order))
+        p = d.withColumn("_prn", F.col(rn_col) if rn_col else F.row_number().over(w) - 1)
+        return _pairs_in_window(timed(p), entity, max_dt, ocols, dcols)
+
+    def many(d):
+        p = d.withColumn("_prn", F.col(rn_col)) if rn_col else positions(d, entity, order, "_prn")
+        return _pairs_of_stretches(timed(p), entity, max_dt, ocols, dcols)
+
+    hot = route_entities(df, entity, PAIR_ROWS) if skew_safe else None
+    if hot is None:
+        p = few(df)
+    else:
+        cold, crowded = split_hot(df, entity, hot)
+        p = few(cold).unionByName(many(crowded))
+    dt = F.col("_td") - F.col("_to")
     apart = dt >= 0 if same_time else dt > 0
-    out = p.where((F.col("_d.__prn") > F.col("_prn_o")) & apart & (dt <= float(max_dt)))
-    out = out.select(*entity, *[F.col(f"o_{c}") for c in ocols], *[F.col(f"_d.{c}").alias(f"d_{c}") for c in dcols],
-                     (F.col("_d.__prn") - F.col("_prn_o")).cast("int").alias("k"))
+    out = p.where((F.col("_rd") > F.col("_ro")) & apart & (dt <= float(max_dt)))
+    out = out.select(*entity, *[f"o_{c}" for c in ocols], *[f"d_{c}" for c in dcols],
+                     (F.col("_rd") - F.col("_ro")).cast("int").alias("k"))
     if order_col is not None:
         out = out.where(F.col(f"d_{order_col}") > F.col(f"o_{order_col}"))
     return out
 
 
+def _pairs_in_window(p: DataFrame, entity, max_dt: float, ocols, dcols) -> DataFrame:
+    """Candidate pairs of small entities: the rows within ``max_dt`` after a row, in the exchange that
+    numbered them. A list holds at most ``PAIR_ROWS`` rows."""
+    dest = F.struct(F.col("_prn").alias("_rd"), F.col("_t").alias("_td"), *[F.col(c).alias(f"d_{c}") for c in dcols])
+    # integer-microsecond range frame (one extra microsecond; the exact test follows)
+    frame = Window.partitionBy(*entity).orderBy("_tu").rangeBetween(0, int(round(max_dt * 1e6)) + 1)
+    p = p.withColumn("_cand", F.collect_list(dest).over(frame))
+    return p.select(*entity, F.col("_prn").alias("_ro"), F.col("_t").alias("_to"),
+                    *[F.col(c).alias(f"o_{c}") for c in ocols], F.inline("_cand"))
+
+
+def _pairs_of_stretches(p: DataFrame, entity, max_dt: float, ocols, dcols) -> DataFrame:
+    """Candidate pairs of crowded entities. Rows are cut into stretches of ``PAIR_STRETCH`` positions, so
+    stretches are even however dense a time is. Of each stretch its time span is known (one row); two
+    stretches meet when the spans are within ``max_dt``, found by the time buckets they touch. Rows
+    follow their stretch, and the join is on the pair of stretches: a group holds at most
+    ``PAIR_STRETCH`` rows of either side, and no list is collected."""
+    p = materialize(p.withColumn("_st", F.floor(F.col("_prn") / PAIR_STRETCH)).select(
+        *entity, "_st", "_prn", "_t", *[c for c in dict.fromkeys([*ocols, *dcols]) if c not in entity]), "stretches")
+    spans = p.groupBy(*entity, "_st").agg(F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
+    bucket = lambda t: F.floor(t / F.lit(float(max_dt)))
+    touch = lambda lo, hi: F.explode(F.sequence(bucket(lo), bucket(hi)))
+    first = spans.select(*entity, F.col("_st").alias("_so"), F.col("_t0").alias("_a0"), F.col("_t1").alias("_a1"),
+                         touch(F.col("_t0"), F.col("_t1") + max_dt).alias("_bk"))
+    then = spans.select(*entity, F.col("_st").alias("_sd"), F.col("_t0").alias("_b0"), F.col("_t1").alias("_b1"),
+                        touch(F.col("_t0"), F.col("_t1")).alias("_bk"))
+    near = ((F.col("_sd") >= F.col("_so")) & (F.col("_b1") >= F.col("_a0")) & (F.col("_b0") <= F.col("_a1") + max_dt)
+            # of the buckets that both touch, the first one counts
+            & (F.col("_bk") == F.greatest(bucket(F.col("_a0")), bucket(F.col("_b0")))))
+    meet = materialize(first.join(then, [*entity, "_bk"]).where(near).select(*entity, "_so", "_sd"), "meetings")
+    origins = p.select(*entity, F.col("_st").alias("_so"), F.col("_prn").alias("_ro"), F.col("_t").alias("_to"),
+                       *[F.col(c).alias(f"o_{c}") for c in ocols]).join(meet, [*entity, "_so"])
+    dests = p.select(*entity, F.col("_st").alias("_sd"), F.col("_prn").alias("_rd"), F.col("_t").alias("_td"),
+                     *[F.col(c).alias(f"d_{c}") for c in dcols]).join(meet, [*entity, "_sd"])
+    return origins.join(dests, [*entity, "_so", "_sd"]).drop("_so", "_sd")
+
+
 # ---------------------------------------------------------------------------
 # Islands and sessions
 # ---------------------------------------------------------------------------

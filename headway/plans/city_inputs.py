@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import repair_coord
 from ..functions.timefmt import clock_to_seconds, epoch1900_clock_to_instant
 from ..operators import enrich, sequence
+from ..operators.snap import snap_to_stops
 
 # Fixed value: stop id used when a ping has none (the source's sentinel).
 UNKNOWN_STOP = "SNAPPED_UNKNOWN"
@@ -27,7 +28,10 @@ def _f32(c):
     return F.col(c).cast("float").cast("double")
 
 
-def pings_to_visits(pings: DataFrame, unit: str = "minute") -> DataFrame:
+def pings_to_visits(pings: DataFrame, unit: str = "minute", stops: DataFrame | None = None,
+                    snap_m: float = 100.0) -> DataFrame:
+    """A4 + P7: the first ping of each vehicle and minute. A missing stop id is the nearest of ``stops``
+    (stop_id, stop_lat, stop_lon) within ``snap_m`` metres (W13), else the sentinel."""
     p = pings.withColumn("_ts", F.timestamp_seconds(F.col("timestamp").cast("long")))
     if "direction_id" not in p.columns:
         p = p.withColumn("direction_id", F.lit("0"))
@@ -35,6 +39,9 @@ def pings_to_visits(pings: DataFrame, unit: str = "minute") -> DataFrame:
     cols = ["route_id", "direction_id", "current_stop_id", "current_lat", "current_lon"]
     d = sequence.downsample_first(p, ["vehicle_id"], "_ts", unit, cols, tie)
     d = d.dropna(subset=["current_lat", "current_lon"])
+    if stops is not None:
+        d = snap_to_stops(d, stops, snap_m, "current_lat", "current_lon")
+        d = d.withColumn("current_stop_id", F.coalesce(F.col("current_stop_id").cast("string"), "snapped_stop_id"))
     t_us = F.unix_micros("bin_ts")
     return d.select("vehicle_id", F.col("route_id").cast("string").alias("route_id"),
                     F.coalesce(F.col("direction_id").cast("string"), F.lit("0")).alias("direction_id"),

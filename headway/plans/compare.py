@@ -17,8 +17,6 @@ HOPS_MIN, HOPS_MAX = 1, 10
 # Route types of road transit (F6), and the hop count that stands in for one without history.
 ROAD_ROUTE_TYPES = ("9", "10")
 HOPS_FALLBACK = 5
-#: Known trips kept per hop count for requests to draw from.
-SAMPLE_SLOTS = 64
 
 
 def compare_schedule_model(df: DataFrame, sched_diff_s: str, distance_m: str, actual_s: str,
@@ -68,14 +66,18 @@ def _draw(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def known_trips(history: DataFrame, hops: str, seconds: str, distance_m: str, key: Column) -> DataFrame:
-    """(hops, known): per hop count up to ``SAMPLE_SLOTS`` trips (tt, dist), one for each slot that
-    the hash of ``key`` falls into; partial aggregation, so a frequent hop count is no hot group."""
-    h = history.select(F.col(hops).cast("int").alias("hops"), F.md5(key.cast("binary")).alias("m"),
-                       F.pmod(_draw(key), F.lit(SAMPLE_SLOTS)).alias("slot"),
-                       F.struct(F.col(seconds).alias("tt"), F.col(distance_m).alias("dist")).alias("trip"))
-    one = h.groupBy("hops", "slot").agg(F.min_by("trip", "m").alias("trip"))
-    return one.groupBy("hops").agg(F.sort_array(F.collect_list(F.struct("slot", "trip"))).alias("known"))
+def known_trips(history: DataFrame, hops: str, seconds: str, distance_m: str, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Every trip of the history, numbered so that a hop count's trips follow each other.
+
+    Returns (trips: place, tt, dist; counts: hops, first, n). Trips of a hop count come in
+    the order of the hash of ``key``: one range shuffle, so a frequent hop count is spread
+    over tasks. ``counts`` has a row for each hop count from ``HOPS_MIN`` to ``HOPS_MAX`` at most."""
+    h = history.select(F.col(hops).cast("int").alias("hops"), F.md5(key.cast("binary")).alias("m"), key.alias("id"),
+                       F.col(seconds).alias("tt"), F.col(distance_m).alias("dist"))
+    h, _ = splits.global_row_numbers(h.where(F.col("hops").between(HOPS_MIN, HOPS_MAX)), ["hops", "m", "id", "tt", "dist"],
+                                     "place")
+    counts = h.groupBy("hops").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    return h.select("place", "tt", "dist"), counts
 
 
 def compare_requests(requests: DataFrame, trip_stops: DataFrame, history: DataFrame,
@@ -84,9 +86,10 @@ def compare_requests(requests: DataFrame, trip_stops: DataFrame, history: DataFr
 
     Both stops are looked up on the route's trip (its first stop of that name); F10 rejects
     requests whose destination does not follow, and they stay with the reason. A valid one
-    draws a known trip of its hop count (``known_trips``; T10: the draw depends on the request
-    alone; hop count 5 where there is none), scales its time to the real distance (P19), takes
-    the preset weather (P20), and compares timetable and ``predict`` (adds ``prediction``)."""
+    draws one of all known trips of its hop count (``known_trips``; T10: the draw depends on the
+    request alone; hop count 5 where there is none) by an equi-join on the trip's place, scales its
+    time to the real distance (P19), takes the preset weather (P20), and compares timetable and
+    ``predict`` (adds ``prediction``)."""
     at = sequence.keep_first(trip_stops, ["route_id", "stop_name"], ["stop_sequence", "sched_s", "stop_id"],
                              ["stop_id", "stop_sequence", "sched_s", "lat", "lon"])
     ends = {side: at.select("route_id", F.col("stop_name").alias(name), *[
@@ -97,15 +100,14 @@ def compare_requests(requests: DataFrame, trip_stops: DataFrame, history: DataFr
     ok = r.where("is_valid").withColumn("dist_m", haversine_m("o_lat", "o_lon", "d_lat", "d_lon")).withColumn(
         "model_hops", clamp(F.col("intermediate_stops"), HOPS_MIN, HOPS_MAX))
     ok = ok.join(presets.withColumnRenamed("preset", "weather"), "weather", "left")
-    known = known_trips(history, "hops", "tt", "dist_m", F.col("id"))
-    spare = known.where(F.col("hops") == HOPS_FALLBACK).select("known").scalar()
-    ok = ok.join(known.withColumnRenamed("hops", "model_hops"), "model_hops", "left")
-    ok = ok.withColumn("known", F.coalesce("known", spare))
+    trips, counts = known_trips(history, "hops", "tt", "dist_m", F.col("id"))
+    spare = counts.where(F.col("hops") == HOPS_FALLBACK).select(F.struct("first", "n")).scalar()
+    ok = ok.join(F.broadcast(counts.select(F.col("hops").alias("model_hops"), F.struct("first", "n").alias("_of"))),
+                 "model_hops", "left").withColumn("_of", F.coalesce("_of", spare))
     asked = F.concat_ws("|", "route_id", "origin_name", "dest_name", F.col("hora_del_dia").cast("string"), "weather")
-    trip = F.get("known", F.pmod(_draw(asked), F.size("known")).cast("int"))["trip"]
-    ok = ok.withColumn("_trip", trip).withColumn(
-        "actual_s", F.col("_trip.tt") * (F.col("dist_m") / F.greatest(F.col("_trip.dist"), F.lit(1.0))))
+    ok = ok.withColumn("place", F.col("_of.first") + F.pmod(_draw(asked), F.col("_of.n"))).join(trips, "place", "left")
+    ok = ok.withColumn("actual_s", F.col("tt") * (F.col("dist_m") / F.greatest(F.col("dist"), F.lit(1.0))))
     ok = ok.withColumn("velocity_m_s", F.col("dist_m") / F.greatest("actual_s", F.lit(1.0))).withColumn(
         "sched_diff_s", F.col("d_sched_s") - F.col("o_sched_s"))
     done = compare_schedule_model(predict(ok), "sched_diff_s", "dist_m", "actual_s", "prediction", "intermediate_stops")
-    return done.drop("known", "_trip").unionByName(r.where(~F.col("is_valid")), allowMissingColumns=True)
+    return done.drop("place", "tt", "dist", "_of").unionByName(r.where(~F.col("is_valid")), allowMissingColumns=True)

@@ -339,10 +339,8 @@ ends AS (SELECT rq.*, o.seq AS o_seq, d.seq AS d_seq, d.sched - o.sched AS sdiff
          LEFT JOIN att d ON d.route_id = rq.route_id AND d.name = d_name),
 v AS (SELECT *, CASE WHEN o_seq IS NULL OR d_seq IS NULL THEN 'unknown_stop' WHEN d_seq <= o_seq THEN 'destination_not_after_origin' END
              AS reject_reason FROM ends),
-kt AS (SELECT k, tt, dist_m, md5(o_event_id || '-' || d_event_id) AS m FROM bp),
-ks AS (SELECT k, CAST('0x' || substr(m, 1, 8) AS BIGINT) % 64 AS slot, arg_min(tt, m) AS tt, arg_min(dist_m, m) AS dist_m
-       FROM kt GROUP BY ALL),
-kn AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM ks),
+kn AS (SELECT k, tt, dist_m, row_number() OVER (PARTITION BY k ORDER BY md5(o_event_id || '-' || d_event_id)) - 1 AS i,
+              count(*) OVER (PARTITION BY k) AS n FROM bp),
 sz AS (SELECT k, max(n) AS n FROM kn GROUP BY k),
 w AS (SELECT v.*, coalesce(sz.k, 5) AS hop,
              CAST('0x' || substr(md5(v.route_id || '|' || o_name || '|' || d_name || '|' || h || '|' || weather), 1, 8) AS BIGINT)
@@ -380,3 +378,27 @@ SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END A
 ORACLES["tables_on_disk"] = f"""WITH {EV}
 SELECT event_id, strftime(ts, '%Y-%m-%d') AS event_date, CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'train' ELSE 'test' END AS split
 FROM ev WHERE ts >= TIMESTAMP '2024-01-08'"""
+
+
+ORACLES["snap_stops"] = f"""WITH {EV},
+st AS (SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, 41 + CAST(s_suppkey * 7919 % 9973 AS DOUBLE) / 99730.0 AS slat,
+              28.9 + CAST(s_suppkey * 104729 % 9967 AS DOUBLE) / 99670.0 AS slon FROM supplier),
+near AS (SELECT event_id, stop_id, m FROM (SELECT event_id, st.stop_id, {hav('lat', 'lon', 'slat', 'slon')} AS m FROM ev, st)
+         WHERE m <= 400 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY m, stop_id) = 1)
+SELECT ev.event_id, coalesce(near.stop_id, 'SNAPPED_UNKNOWN') AS stop_id, CAST(floor(m * 100 + 0.5) AS BIGINT) AS snap_cm
+FROM ev LEFT JOIN near ON near.event_id = ev.event_id"""
+
+_PARTS = f"""WITH {EV}, {RN}, {PAIRS_BOUNDED}"""
+ORACLES["horizon_parts"] = f"""{_PARTS}
+SELECT k, count(*) AS n, {R4('sum(tt)')} AS tt FROM bp GROUP BY k"""
+
+ORACLES["tolerant_parts"] = f"""{_PARTS},
+per AS (SELECT k, count(*) AS n FROM bp GROUP BY k)
+SELECT CAST(k AS VARCHAR) AS part, CAST(NULL AS VARCHAR) AS reason, n FROM per
+UNION ALL SELECT '11', 'no readable footer, or no rows', 1
+UNION ALL SELECT 'eleven', 'part name', 1
+UNION ALL SELECT '12', 'too short', 1"""
+
+ORACLES["stops_by_encoding"] = """SELECT CAST(s_suppkey AS VARCHAR) AS stop_id,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Kızılay Şubesi ' WHEN 1 THEN 'Çayırbaşı İğde ' WHEN 2 THEN 'Ümraniye Göztepe ' ELSE 'Şişli � Ğ ' END
+  || s_suppkey AS stop_name, CASE s_suppkey % 4 WHEN 3 THEN 'utf-8' WHEN 2 THEN 'utf-8' ELSE 'iso-8859-9' END AS encoding FROM supplier"""

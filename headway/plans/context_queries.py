@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalars, timefmt
 from ..operators import enrich, metrics, sequence, splits
+from ..session import scratch_path
 from . import event_queries as EQ
+from .city_inputs import UNKNOWN_STOP
 from .events_model import ORDER, r4, read_table, stop_events
 
 ENTITY = "user_id"
@@ -485,7 +487,74 @@ def q_row_index(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("event_id", F.col("row_in_entity").cast("long").alias("row_in_entity"))
 
 
+def q_snap_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event's position to the nearest stop within 400 m, the sentinel without one."""
+    from ..operators.snap import snap_to_stops
+    key = F.col("s_suppkey")
+    stops = _t(spark, sf, "supplier").select(key.cast("string").alias("stop_id"),
+                                             (F.lit(41) + (key * 7919 % 9973) / 99730.0).alias("stop_lat"),
+                                             (F.lit(28.9) + (key * 104729 % 9967) / 99670.0).alias("stop_lon"))
+    d = snap_to_stops(stop_events(spark, sf).select("event_id", "lat", "lon"), stops, 400.0)
+    return d.select("event_id", F.coalesce("snapped_stop_id", F.lit(UNKNOWN_STOP)).alias("stop_id"),
+                    F.floor(F.col("snap_m") * 100 + 0.5).cast("long").alias("snap_cm"))
+
+
+def _horizon_parts(spark: SparkSession, sf: str) -> str:
+    from ..sources.sinks import write_by_horizon
+    path = scratch_path(spark, "horizons")
+    write_by_horizon(_scored_pairs(spark, sf).select("o_event_id", "d_event_id", "tt", "k"), path)
+    return path
+
+
+def q_horizon_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 + S7: the bounded pairs written as one part per horizon, read back and added up."""
+    from ..sources.readers import read_features
+    d = read_features(spark, _horizon_parts(spark, sf))
+    return d.groupBy(F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), r4(F.sum("tt")).alias("tt"))
+
+
+def q_tolerant_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Horizon parts among which are a text file, a file of a few bytes and a part named without a number:
+    the rows of the good parts, and the skipped files with the reason."""
+    from ..sources.readers import read_features_tolerant
+    path = _horizon_parts(spark, sf)
+    one = read_table(spark, sf, "region").limit(1)
+    one.select(F.repeat(F.lit("not Parquet "), 9).alias("t")).coalesce(1).write.text(f"{path}/k=11")
+    one.select(F.lit("cut").alias("t")).coalesce(1).write.text(f"{path}/k=12")
+    one.select(F.lit(1).cast("long").alias("o_event_id")).coalesce(1).write.parquet(f"{path}/k=eleven")
+    good, skipped = read_features_tolerant(spark, path)
+    n = F.count(F.lit(1)).alias("n")
+    return good.groupBy(F.col("k").cast("string").alias("part"), F.lit(None).cast("string").alias("reason")).agg(n).unionByName(
+        skipped.groupBy("part", "reason").agg(n))
+
+
+# Names with letters that the Turkish code pages have and Latin-1 lacks.
+STOP_NAMES = ("Kızılay Şubesi ", "Çayırbaşı İğde ", "Ümraniye Göztepe ", "Şişli � Ğ ")
+
+
+def q_stops_by_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops landed as CSV files in iso-8859-9, windows-1254 and utf-8 (one holds U+FFFD), read together."""
+    from ..sources.readers import read_csv_fallback
+    s = read_table(spark, sf, "supplier").select("s_suppkey")
+    root = scratch_path(spark, "encoded-stops")
+    turkish, latin = "ĞİŞğış", "ÐÝÞðýþ"                      # the same bytes in iso-8859-9 and windows-1254
+    for i, name in enumerate(STOP_NAMES):
+        key = F.col("s_suppkey").cast("string")
+        line = F.concat(key, F.lit(',"'), F.lit(name), key, F.lit('"'))
+        rows = s.where(F.col("s_suppkey") % 4 == i).select(line.alias("t"), F.lit(1).alias("at"))
+        head = read_table(spark, sf, "region").limit(1).select(F.lit("stop_id,stop_name").alias("t"), F.lit(0).alias("at"))
+        d = head.unionByName(rows).repartition(1).sortWithinPartitions("at").select("t")
+        if i < 2:
+            d = d.select(F.encode(F.translate("t", turkish, latin), "ISO-8859-1").cast("string").alias("t"))
+        d.write.text(f"{root}/{i}")
+    return read_csv_fallback(spark, [f"{root}/{i}" for i in range(len(STOP_NAMES))], ["stop_id", "stop_name"], with_encoding=True)
+
+
 QUERIES.update({
+    "horizon_parts": q_horizon_parts,
+    "tolerant_parts": q_tolerant_parts,
+    "stops_by_encoding": q_stops_by_encoding,
+    "snap_stops": q_snap_stops,
     "schedule_legs": q_schedule_legs,
     "schedule_leg_lags": q_schedule_leg_lags,
     "schedule_expansion": q_schedule_expansion,

@@ -6,14 +6,20 @@ from .event_oracles import EV
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["ingest_positions"] = f"""WITH {EV}
-SELECT CASE WHEN event_id % 17 = 0 THEN CAST(event_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS vehicle_id,
+_POSITIONS = """SELECT CASE WHEN event_id % 17 = 0 THEN CAST(event_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS vehicle_id,
        CAST(user_id % 7 AS VARCHAR) AS route_id, lat AS latitude, lon AS longitude,
        CAST(floor(t_us / 1e6) AS BIGINT) AS timestamp,
        CASE event_id % 5 WHEN 0 THEN 'INCOMING_AT' WHEN 1 THEN 'STOPPED_AT' WHEN 2 THEN 'IN_TRANSIT_TO'
                          WHEN 3 THEN 'STOPPED_AT' ELSE 'IN_TRANSIT_TO' END AS current_status
 FROM ev WHERE event_id % 19 <> 0"""
 
+ORACLES["ingest_positions"] = f"WITH {EV} {_POSITIONS}"
+
+ORACLES["position_log_capped"] = f"""WITH {EV}, p AS ({_POSITIONS})
+SELECT * FROM p ORDER BY timestamp DESC, vehicle_id LIMIT 2000"""
+
+ORACLES["positions_deduplicated"] = f"""WITH {EV}, p AS ({_POSITIONS}) SELECT DISTINCT * FROM p"""
+
 LIVE = f"""{EV},
 w AS (SELECT date_trunc('hour', ts) AS hour_key, max(value) AS temperature_2m,
              CAST(count(*) AS DOUBLE) / 10 AS precipitation FROM ev GROUP BY 1),
@@ -41,6 +47,10 @@ SELECT route_id, stop_id, next_stop_id, direction_id, eta AS eta_segundos, conf
        CAST(hora AS BIGINT) AS hora_del_dia, CAST(dia AS BIGINT) AS dia_semana, CAST(mes AS BIGINT) AS mes,
        event_id, inst AS updated_us FROM live"""
 
+ORACLES["eta_live_keys"] = f"""WITH {LIVE}
+SELECT route_id, stop_id, next_stop_id, eta AS eta_segundos, inst AS updated_us FROM live
+WHERE inst > (SELECT max(inst) FROM live) - 43200000000"""
+
 ORACLES["eta_lookup"] = f"""WITH {LIVE},
 nowv AS (SELECT max(inst) AS now FROM live),
 req AS (SELECT event_id AS request_id, CAST(user_id % 7 AS VARCHAR) AS route_id, event_type AS stop_id,

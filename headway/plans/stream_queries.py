@@ -15,12 +15,14 @@ from ..streaming import feed, live_eta, lookup
 from .context_queries import _hourly_weather
 from .events_model import stop_events
 
+LOG_CAP = 2000
+RETAINED_S = 12 * 3600
 STATUS_CYCLE = ["0", "1", "2", "STOPPED_AT", "bogus"]
 
 
-def land_positions(spark: SparkSession, sf: str) -> str:
+def land_positions(spark: SparkSession, sf: str, files: int | None = None, repeated: bool = False) -> str:
     """Events as GTFS-rt-like JSON entities; some lack a vehicle, some have an empty
-    vehicle id, the status comes as a code, a name or garbage."""
+    vehicle id, the status comes as a code, a name or garbage. ``repeated`` delivers every third one twice."""
     ev = stop_events(spark, sf)
     status = F.element_at(F.array(*[F.lit(s) for s in STATUS_CYCLE]), (F.col("event_id") % 5 + 1).cast("int"))
     veh = F.struct(
@@ -32,6 +34,10 @@ def land_positions(spark: SparkSession, sf: str) -> str:
         status.alias("current_status"))
     ent = ev.select(F.col("event_id").cast("string").alias("id"),
                     F.when(F.col("event_id") % 19 != 0, veh).alias("vehicle"))
+    if repeated:
+        ent = ent.unionByName(ent.where(F.col("id").cast("long") % 3 == 0))
+    if files:
+        ent = ent.repartition(files, F.xxhash64("id"))
     path = scratch_path(spark, "feed-landing")
     ent.write.json(path)
     return path
@@ -43,12 +49,33 @@ def q_ingest_positions(spark: SparkSession, sf: str) -> DataFrame:
     log, ck = scratch_path(spark, "position-log"), scratch_path(spark, "position-log-ck")
     q = feed.start_ingest(spark, landing, log, ck, available_now=True)
     q.awaitTermination()
-    out = spark.read.parquet(log)
-    return out.select("vehicle_id", "route_id", F.col("latitude").cast("double").alias("latitude"),
+    return _position_rows(spark.read.parquet(log))
+
+
+def _position_rows(log: DataFrame) -> DataFrame:
+    return log.select("vehicle_id", "route_id", F.col("latitude").cast("double").alias("latitude"),
                       F.col("longitude").cast("double").alias("longitude"),
                       F.col("timestamp").cast("long").alias("timestamp"), "current_status")
 
 
+def q_position_log_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """R7 + K4: all events streamed in six batches into a log capped at its newest 2,000 records."""
+    landing = land_positions(spark, sf, files=6)
+    log, ck = scratch_path(spark, "capped-log"), scratch_path(spark, "capped-log-ck")
+    feed.start_ingest(spark, landing, log, ck, available_now=True, max_files_per_trigger=1,
+                      keep=LOG_CAP).awaitTermination()
+    return _position_rows(feed.CappedLog(spark, log, LOG_CAP).read())
+
+
+def q_positions_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    """Re-polled positions: every third event comes twice, in any order and batch; one of each stays."""
+    landing = land_positions(spark, sf, files=4, repeated=True)
+    log, ck = scratch_path(spark, "dedup-log"), scratch_path(spark, "dedup-log-ck")
+    feed.start_ingest(spark, landing, log, ck, available_now=True, max_files_per_trigger=2,
+                      repeats_within="60 days").awaitTermination()
+    return _position_rows(spark.read.parquet(log))
+
+
 def land_stop_events(spark: SparkSession, sf: str) -> str:
     """Events as stop-event messages: padded route ids, a missing stop id (rejected),
     naive times (New York wall clock) and times with a +03:00 offset."""
@@ -69,16 +96,16 @@ def land_stop_events(spark: SparkSession, sf: str) -> str:
     return path
 
 
-def live_table(spark: SparkSession, sf: str, totals: str | None = None) -> DataFrame:
+def live_table(spark: SparkSession, sf: str, totals: str | None = None, retain_s: int | None = None) -> DataFrame:
     landing = land_stop_events(spark, sf)
     wpath = scratch_path(spark, "weather")
     _hourly_weather(stop_events(spark, sf)).withColumn("snowfall", F.lit(0.0)).write.parquet(wpath)
     root, ck, dl = (scratch_path(spark, n) for n in ("eta-live", "eta-live-ck", "eta-dead-letter"))
     src = live_eta.read_stop_events(spark, landing, max_files_per_trigger=1)
     q = live_eta.start_scorer(spark, src, root, ck, weather_path=wpath, dead_letter=dl, available_now=True,
-                              totals=totals)
+                              totals=totals, retain_s=retain_s)
     q.awaitTermination()
-    return live_eta.LiveTable(spark, root).read()
+    return live_eta.LiveTable(spark, root, retain_s).read()
 
 
 def q_eta_latest_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,6 +131,12 @@ def q_eta_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("request_id", "status", "eta_segundos")
 
 
+def q_eta_live_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: the keys updated within twelve hours before the newest update; the others have expired."""
+    t = live_table(spark, sf, retain_s=RETAINED_S)
+    return t.select(*live_eta.KEY, "eta_segundos", F.unix_micros("ultima_actualizacion").alias("updated_us"))
+
+
 def q_scorer_totals(spark: SparkSession, sf: str) -> DataFrame:
     """How many stop events the scorer received, accepted and rejected."""
     totals = scratch_path(spark, "eta-totals")
@@ -113,6 +146,9 @@ def q_scorer_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "scorer_totals": q_scorer_totals,
+    "position_log_capped": q_position_log_capped,
+    "positions_deduplicated": q_positions_deduplicated,
+    "eta_live_keys": q_eta_live_keys,
     "ingest_positions": q_ingest_positions,
     "eta_latest_stream": q_eta_latest_stream,
     "eta_lookup": q_eta_lookup,

@@ -6,12 +6,15 @@ numbers are parsed with ``try_cast`` so a bad value becomes null instead of fail
 
 from __future__ import annotations
 
+import csv
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 
 def string_schema(cols) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
@@ -127,47 +130,106 @@ def _read_header_csv(spark: SparkSession, path: str, cols, encoding: str | None
 ENCODINGS = ["utf-8", "iso-8859-9", "windows-1254", "latin-1"]
 
 
-def _known_charset(spark: SparkSession, name: str) -> bool:
-    return bool(spark._jvm.java.nio.charset.Charset.isSupported(name))
-
-
-def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS, sep: str = ",") -> DataFrame:
-    """Read as UTF-8; files where decoding produced U+FFFD are re-read with the
-    next encoding. The check is a distributed count per file, not a driver loop over
-    content. Turkish code pages need ``spark.sql.legacy.javaCharsets=true``."""
-    if isinstance(paths, str):
-        paths = [paths]
-    first = _read_header_csv(spark, paths, cols, encodings[0], sep).withColumn("_f", F.col("_metadata.file_path"))
-    bad_expr = F.lit(False)
-    for c in cols:
-        bad_expr = bad_expr | F.coalesce(F.col(c).contains("�"), F.lit(False))
-    bad_files = [r["_f"] for r in first.where(bad_expr).select("_f").distinct().collect()]  # one row per file
-    good = first.where(~F.col("_f").isin(bad_files)) if bad_files else first
-    parts = [good.drop("_f")]
-    if bad_files:
+def _code_page(name: str) -> tuple[str, str, str]:
+    """A single-byte code page as (Latin-1 characters, its characters for the same bytes, Latin-1
+    characters of bytes it lacks)."""
+    same, own, lacks = "", "", ""
+    for b in range(128, 256):
         try:
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        except Exception:  # noqa: BLE001 - setting absent in older versions
-            pass
-        # A single-byte code page maps every byte, so the first one decodes all of them; reading
-        # is lazy and never raises here, so an unknown code page is asked for up front.
-        enc = next(e for e in encodings[1:] if _known_charset(spark, e))
-        parts.append(_read_header_csv(spark, bad_files, cols, enc, sep))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            c = bytes([b]).decode(name)
+        except UnicodeDecodeError:
+            lacks += chr(b)
+            continue
+        if c != chr(b):
+            same, own = same + chr(b), own + c
+    return same, own, lacks
+
+
+def _latin1(line: Column) -> Column:
+    return F.decode(line.cast("binary"), "ISO-8859-1")
+
+
+def file_encodings(spark: SparkSession, paths, encodings=ENCODINGS) -> DataFrame:
+    """(file, encoding): the first of ``encodings`` in which all bytes of the file are valid (the last one
+    when none is). Lines are read as raw bytes and judged in tasks, one row a file comes out; a
+    valid file that holds U+FFFD is valid. Apart from utf-8 only single-byte code pages are known."""
+    line = F.col("value")
+    valid = []
+    for e in encodings:
+        lacks = None if e.lower() == "utf-8" else _code_page(e)[2]
+        ok = F.is_valid_utf8(line) if lacks is None else (
+            ~_latin1(line).rlike("[" + "".join(f"\\x{ord(c):02x}" for c in lacks) + "]") if lacks else F.lit(True))
+        valid.append(F.bool_and(ok).alias(f"v{len(valid)}"))
+    per_file = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(*valid)
+    choice = F.lit(encodings[-1])
+    for i in reversed(range(len(encodings))):
+        choice = F.when(F.col(f"v{i}"), encodings[i]).otherwise(choice)
+    return per_file.select("file", choice.alias("encoding"))
+
+
+def read_csv_fallback(spark: SparkSession, paths, cols, encodings=ENCODINGS, sep: str = ",",
+                      with_encoding: bool = False) -> DataFrame:
+    """CSV files of mixed encodings, each decoded in the encoding that ``file_encodings`` chose.
+
+    The choices are joined to the files' lines (a row a file), so no file list goes through the
+    driver and no session option changes. Columns go by the header of the first file, which every
+    file starts with; lines equal to it are headers. ``with_encoding`` adds the choice."""
+    from ..operators.enrich import checked_broadcast
+    choice = file_encodings(spark, paths, encodings)
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value",
+                                          F.col("_metadata.file_block_start").alias("at"))
+    decoded = F.col("value")
+    for e in encodings:
+        if e.lower() != "utf-8":
+            same, own, _ = _code_page(e)
+            decoded = F.when(F.col("encoding") == e, F.translate(_latin1(F.col("value")), same, own)).otherwise(decoded)
+    text = F.rtrim(F.ltrim(decoded, F.lit("\ufeff")), F.lit("\r"))
+    rows = lines.join(checked_broadcast(choice), "file").select("encoding", "at", text.alias("line")).where("line <> ''")
+    head = rows.where("at = 0").select("line").first()
+    if head is None:
+        return spark.createDataFrame([], string_schema([*cols, *(["encoding"] if with_encoding else [])]))
+    names = [c.strip() for c in next(csv.reader([head.line], delimiter=sep))]
+    missing = [c for c in cols if c not in names and c not in OPTIONAL_COLUMNS]
+    if missing:
+        raise ValueError(f"missing columns {missing} in {paths}")
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = rows.where(F.col("line") != F.lit(head.line)).select(
+        F.from_csv("line", fields, {"sep": sep, "mode": "PERMISSIVE"}).alias("r"), "encoding")
+    out = [(F.col(f"r.c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in cols]
+    return parsed.select(*out, *(["encoding"] if with_encoding else []))
 
 
 # --- S7 / S15 -------------------------------------------------------------------------------
-def read_features(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """Feature parts; ``k`` comes from the partition directory. An unreadable part
-    fails the read; with ``tolerant`` it is skipped with a warning (``ignoreCorruptFiles``)."""
-    r = spark.read
-    if tolerant:
-        warnings.warn(f"unreadable parts of {path} will be skipped", stacklevel=2)
-        r = r.option("ignoreCorruptFiles", True)
-    return r.parquet(path)
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Feature parts; ``k`` comes from the partition directory. An unreadable part fails the read."""
+    return spark.read.parquet(path)
+
+
+def read_features_tolerant(spark: SparkSession, path: str, k_col: str = "k") -> tuple[DataFrame, DataFrame]:
+    """(features, skipped): the parts that can be read, and (file, part, reason) of the others.
+
+    A listing pass comes first: the files (names and sizes, no content) against those whose
+    footers open, which a scan without columns finds in its tasks. Skipped are parts whose
+    directory names no number, files too short for Parquet and files without a readable footer
+    (or without rows). The scan then leaves these files out by name and reads the others
+    strictly, so a damaged page still fails; the skipped names are in a warning."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+              .select(F.col("_metadata.file_path").alias("file"), "length"))
+    part = F.regexp_extract("file", f"/{k_col}=([^/]*)/", 1)
+    listed = listed.withColumn("part", F.when(part != "", part))
+    lenient = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(path)
+    opened = lenient.select(F.col("_metadata.file_path").alias("file")).distinct().withColumn("opened", F.lit(True))
+    reason = (F.when(F.col("part").isNotNull() & F.col("part").try_cast("int").isNull(), "part name")
+               .when(F.col("length") < 12, "too short").when(F.col("opened").isNull(), "no readable footer, or no rows"))
+    skipped = materialize(listed.join(opened, "file", "left").withColumn("reason", reason).where("reason IS NOT NULL")
+                          .select("file", "part", "reason"), "skipped")
+    names = [r.file for r in skipped.select("file").collect()]          # the names to warn of
+    if names:
+        warnings.warn(f"{len(names)} unreadable parts of {path} are skipped: {', '.join(names[:5])}", stacklevel=2)
+    rows = spark.read.schema(lenient.schema).parquet(path).where(~F.col("_metadata.file_path").isin(names))
+    if k_col in rows.columns:
+        rows = rows.withColumn(k_col, F.col(k_col).try_cast("int"))
+    return rows, skipped
 
 
 # --- S8 / S9: weather -------------------------------------------------------------------------

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-SPREAD = 16                 # tasks (and files at least) per horizon
-
 
 def write_by_horizon(df: DataFrame, path: str, k_col: str = "k") -> None:
     """K1: snappy Parquet, one directory per horizon ``k``; the target is replaced.
-    Rows are clustered by ``k`` and a hash of the row, so every task writes, and a horizon
-    is spread over ``SPREAD`` tasks."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))
-    (df.repartition(F.col(k_col), spread).write.mode("overwrite").partitionBy(k_col)
+
+    Rows are rebalanced by ``k``: adaptive execution sees each horizon's real size and cuts a large one
+    into several tasks, while small ones share a task, whatever the spread of the horizons."""
+    (df.hint("rebalance", k_col).write.mode("overwrite").partitionBy(k_col)
        .option("compression", "snappy").parquet(path))
 
 

@@ -81,6 +81,12 @@ def score_batch(batch: DataFrame, weather_row: DataFrame,
         F.col("event_id"))
 
 
+#: The columns of ``score_batch``, for a table whose batches were all empty.
+LIVE_SCHEMA = ("route_id string, stop_id string, next_stop_id string, direction_id string, eta_segundos double, "
+               "nivel_confianza double, hora_del_dia int, dia_semana int, mes int, temperatura_actual_c double, "
+               "precipitacion_mm double, nieve_cm double, ultima_actualizacion timestamp, event_id string")
+
+
 def newest_per_key(df: DataFrame) -> DataFrame:
     """Latest-wins by event order (time, then id), pre-aggregated with ``max_by``.
 
@@ -92,55 +98,113 @@ def newest_per_key(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEY).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(*KEY, "_r.*")
 
 
-class LiveTable:
-    """Versioned snapshot store for the keyed ETA table.
-
-    With ``retain_s``, keys not updated within so many seconds before the newest update are
-    left out of the next snapshot, so the table holds live keys only."""
+class Folder:
+    """Numbered folders (``<name>=<number>``) below a root, on any file system that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str, retain_s: int | None = None):
-        self.spark, self.root, self.retain_s = spark, root.rstrip("/"), retain_s
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.root)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def versions(self) -> list[int]:
-        """Complete snapshots, oldest first."""
+    def numbers(self, *pattern: str) -> list[tuple[int, ...]]:
+        """The numbers in the names on the paths that match, e.g. ("delta", "batch_id=*", "_SUCCESS"), sorted."""
         fs, jvm = self._fs()
-        st = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/v=*/_SUCCESS"))
-        return sorted(int(s.getPath().getParent().getName().split("=", 1)[1]) for s in (st or []))
+        st = fs.globStatus(jvm.org.apache.hadoop.fs.Path("/".join([self.root, *pattern])))
+        found = []
+        for s in st or []:
+            names = s.getPath().toString().split("/")[-len(pattern):]
+            found.append(tuple(int(n.split("=", 1)[1]) for n in names if "=" in n))
+        return sorted(found)
+
+    def remove(self, path: str) -> None:
+        fs, jvm = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}"), True)
 
-    def current_version(self) -> int | None:
-        vs = self.versions()
-        return vs[-1] if vs else None
 
-    def drop_old(self, keep: int = 2) -> None:
-        """Remove all but the newest snapshots; a reader may still be on the one before the last."""
-        fs, jvm = self._fs()
-        for v in self.versions()[:-keep]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/v={v}"), True)
+class LiveTable(Folder):
+    """Keyed ETA table without rewriting it (R5/K5): key buckets, delta files and compacted buckets.
+
+    A batch writes its newest row of each key to ``delta/batch_id=B``, in folders of the keys' hash
+    buckets, so it writes the buckets of its keys and no others; the folder counts once its
+    ``_SUCCESS`` is there, and a replayed batch is skipped. A reader merges each bucket's newest
+    compacted version with the later deltas (latest wins). A bucket with ``compact_after`` deltas
+    is merged into ``base/bucket=K/v=B``, at most ``COMPACT_AT_ONCE`` buckets a batch; what a
+    compaction replaces stays until the next one of that bucket, for readers on it.
+
+    With ``retain_s``, keys not updated within so many seconds before the newest update are
+    not shown, and leave the table when their bucket is compacted."""
+
+    COMPACT_AT_ONCE = 2
+
+    def __init__(self, spark: SparkSession, root: str, retain_s: int | None = None, buckets: int = 16,
+                 compact_after: int = 8):
+        super().__init__(spark, root)
+        self.retain_s, self.buckets, self.compact_after = retain_s, buckets, compact_after
+
+    def current_version(self) -> int | None:
+        """The newest batch that was applied."""
+        done = self.numbers("delta", "batch_id=*", "_SUCCESS")
+        return done[-1][0] if done else None
+
+    def layout(self) -> dict[int, tuple[list[int], list[int]]]:
+        """Per bucket: its compacted versions and its deltas (batch ids) after the newest of them."""
+        committed = {b for b, in self.numbers("delta", "batch_id=*", "_SUCCESS")}
+        found: dict[int, tuple[list[int], list[int]]] = {}
+        for k, v in self.numbers("base", "bucket=*", "v=*", "_SUCCESS"):
+            found.setdefault(k, ([], []))[0].append(v)
+        for b, k in self.numbers("delta", "batch_id=*", "bucket=*"):
+            versions, deltas = found.setdefault(k, ([], []))
+            if b in committed and b > max(versions, default=-1):
+                deltas.append(b)
+        return found
+
+    def _paths(self, bucket: int, versions: list[int], deltas: list[int]) -> list[str]:
+        base = [f"{self.root}/base/bucket={bucket}/v={max(versions)}"] if versions else []
+        return base + [f"{self.root}/delta/batch_id={b}/bucket={bucket}" for b in deltas]
 
     def read(self) -> DataFrame | None:
-        v = self.current_version()
-        return None if v is None else self.spark.read.parquet(f"{self.root}/v={v}")
+        paths = [p for k, (v, d) in self.layout().items() for p in self._paths(k, v, d)]
+        if not paths:
+            return None if self.current_version() is None else self.spark.createDataFrame([], LIVE_SCHEMA)
+        t = newest_per_key(self.spark.read.parquet(*paths))
+        return t if self.retain_s is None else live_view(t, t.agg(F.max("ultima_actualizacion")).scalar(), self.retain_s)
 
     def apply(self, scored: DataFrame, batch_id: int) -> bool:
         """Merge a scored batch; returns False when the batch was already applied."""
-        cur_v = self.current_version()
-        if cur_v is not None and batch_id <= cur_v:
+        last = self.current_version()
+        if last is not None and batch_id <= last:
             return False
-        new = newest_per_key(scored)
-        cur = self.read()
-        merged = new if cur is None else newest_per_key(cur.unionByName(new.select(*cur.columns)))
-        if self.retain_s is not None:                      # K5: keys this far behind the newest one go
-            newest = merged.agg(F.max("ultima_actualizacion")).scalar()
-            merged = live_view(merged, newest, self.retain_s)
-        merged.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
-        self.drop_old()
+        new = newest_per_key(scored).withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)))
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.root}/delta/batch_id={batch_id}")
+        due = [(len(d), k) for k, (_, d) in self.layout().items() if len(d) >= self.compact_after]
+        for _, bucket in sorted(due, reverse=True)[:self.COMPACT_AT_ONCE]:
+            self.compact(bucket)
         return True
 
+    def compact(self, bucket: int) -> None:
+        """Merge a bucket's deltas into its next version; expired keys go."""
+        versions, deltas = self.layout()[bucket]
+        if not deltas:
+            return
+        t = newest_per_key(self.spark.read.parquet(*self._paths(bucket, versions, deltas)))
+        if self.retain_s is not None:
+            t = live_view(t, t.agg(F.max("ultima_actualizacion")).scalar(), self.retain_s)
+        t.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/base/bucket={bucket}/v={max(deltas)}")
+        if versions:                                       # what the version before this one had replaced
+            for v in sorted(versions)[:-1]:
+                self.remove(f"base/bucket={bucket}/v={v}")
+            for b, k in self.numbers("delta", "batch_id=*", f"bucket={bucket}"):
+                if b <= max(versions):
+                    self.remove(f"delta/batch_id={b}/bucket={k}")
+        pending = {b for b, _ in self.numbers("delta", "batch_id=*", "bucket=*")}
+        for b, in self.numbers("delta", "batch_id=*", "_SUCCESS")[:-1]:
+            if b not in pending:                           # all of it is compacted
+                self.remove(f"delta/batch_id={b}")
+
 
 def live_view(table: DataFrame, now: Column | str | None = None, ttl_s: int = TTL_SECONDS) -> DataFrame:
     """R5 expiry: rows updated within ``ttl_s`` of ``now`` (a parameter for tests)."""

@@ -21,10 +21,11 @@ def spark():
 def chunked():
     """Force every entity with more than 3 rows through the hot (chunked) path."""
     from headway.operators import sequence
-    old = sequence.CHUNK_ROWS
-    sequence.CHUNK_ROWS = 3
+    old = sequence.CHUNK_ROWS, sequence.PAIR_ROWS, sequence.PAIR_STRETCH
+    sequence.CHUNK_ROWS = sequence.PAIR_ROWS = 3
+    sequence.PAIR_STRETCH = 2
     yield
-    sequence.CHUNK_ROWS = old
+    sequence.CHUNK_ROWS, sequence.PAIR_ROWS, sequence.PAIR_STRETCH = old
 
 
 SF = "/root/testdata/sf0.001"
