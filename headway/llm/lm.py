@@ -1,13 +1,26 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counting covers every training token: words by 64-bit hash, and bigrams (with a start mark
-before the first word and an end token after the last) by a 64-bit key whose upper half
-comes from the context and whose lower half from the pair. Each task sums what it has read
-before the shuffle. Three kinds of entries go into one Bloom filter: a word's count, a
-bigram's count (from ``min_bigram`` up: all of them), and a context's mass, the discounted
-bigram counts stored for it. A count c is quantised to level q = 1 + floor(log c / log BASE), and
-the entry is inserted at levels 1 .. q. A query probes level 1, 2, ... until one is missing:
-the last hit gives the count.
+Tokenising happens once: a task turns about RUN_TOKENS tokens into a *run*, a row with its
+documents, its different words (64-bit hashes) and its tokens as codes of them. One shuffle
+then counts, inserts and asks: a run sends every *group* its words and different bigrams,
+with their training counts, packed. A bigram (with a start mark before the first word and an
+end token after the last) goes to the group of its context; the bigrams of frequent contexts,
+fewer than 2 / share of them, are dealt by both words, so no context is one group's burden. A
+group's task adds up the counts, inserts the entries into its part of the filter, and
+answers the same runs. Nothing is stored but the answers.
+
+The filter holds three kinds of entries: a word's count, a bigram's count (from
+``min_bigram`` up: all of them), and a context's mass, the discounted bigram counts stored for
+it. A count c is quantised to level q = 1 + floor(log c / log BASE), and the entry is inserted at
+levels 1 .. q. A query probes level 1, 2, ... until one is missing: the last hit gives the
+count. Each group has ``BITS_PER_ENTRY`` bits per insertion, so the filter grows with the
+counted entries and nothing is thinned out.
+
+Where the filter is probed: when it is sure to fit ``max_filter_bits`` (36 bits a training token
+suffice), its parts are broadcast to the workers, which probe them for their runs. A larger one
+is never in one place: a group's task probes its own part for the runs and sends the levels
+back. Both give the same levels. The masses of frequent contexts, which several groups add to,
+form a small part of their own that is broadcast in either case.
 
 The smoothed probability interpolates by absolute discounting: with context v and word w,
 
@@ -15,18 +28,10 @@ The smoothed probability interpolates by absolute discounting: with context v an
 
 where mass(v) sums c(vw) - D over stored bigrams, so the weight of the second part is what
 the stored bigrams leave, and P1(w) = (c(w) + 1) / (N + V + 1). All counts in it are what
-the filter returns.
+the filter returns. The base score takes the exact word counts, which the groups answer as well.
 
-Size: the filter has ``BITS_PER_ENTRY`` bits per insertion, in segments of SEGMENT_BITS whose
-number follows the counted entries, so nothing is thinned out. Up to ``max_filter_bits`` it is
-broadcast whole. A larger one stays spread out: GROUP segments at a time lie in one task, to
-which a shuffle brings their entries and then the probes, the different ones of each run of
-texts, packed; the levels found go back to the runs.
-
-The base score needs exact word counts. Words with at least T occurrences in all texts, T
-chosen so that about ``max_known_words`` qualify, are broadcast (hash and count); the tokens
-of rarer words are joined with the counts by hash, and since a rarer word occurs less than T
-times, no key of that join is hot.
+Words and contexts are known by 64 bits of a hash, the second word of a bigram by 40 bits
+within its context: of n different followers about n^2 / 2^41 pairs are taken for one.
 
 Defined cases: a null or empty text is its end token; null ids are not held out (their
 bucket is unknown) and train; no training rows give N = V = 0 and a base of 0 per token;
@@ -50,26 +55,27 @@ BASE = 1.5
 DISCOUNT = 0.75
 BITS_PER_ENTRY = 12
 HASHES = 3
-#: A level's mixed key holds the segment position of HASHES hashes of 20 bits.
-SEGMENT_BITS = 1 << 20
-#: Segments of a filter too large to broadcast that one task holds at a time (8 MB).
-GROUP = 64
 WORD, BIGRAM, MASS = 1, 2, 3
-#: Tokens that a worker handles at once.
-COUNT_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 19
+#: Contexts with more than this share of the training tokens are always dealt by both words.
+LEAST_SHARE = 2.0 ** -16
+#: Most bits that a training token can need: a word, a context and a bigram insertion.
+BITS_PER_TOKEN = 3 * BITS_PER_ENTRY
 #: Tokens that no word can equal: words hold no space.
 END, BEGIN = " end", " begin"
 
 
 @dataclass(frozen=True)
 class LMParams:
-    """Bigrams are stored from ``min_bigram`` up; a filter above ``max_filter_bits`` is not broadcast."""
+    """Bigrams are stored from ``min_bigram`` up; a filter that may need more than ``max_filter_bits`` is
+    not broadcast; tokens of a run and (on average) of a group."""
 
     min_bigram: int = 1
     max_filter_bits: int = 1 << 28
-    max_known_words: int = 1 << 19
+    run_tokens: int = 1 << 21
+    group_tokens: int = 1 << 21
 
 
+# ---------------------------------------------------------------- hashes and levels
 def token_hashes(text: Column) -> Column:
     """Hashes of the lower-cased words and the end token."""
     words = split_words(ascii_lower(F.coalesce(text, F.lit(""))))
@@ -77,9 +83,10 @@ def token_hashes(text: Column) -> Column:
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def entry(kind: int, h: np.ndarray) -> np.ndarray:
@@ -88,16 +95,19 @@ def entry(kind: int, h: np.ndarray) -> np.ndarray:
         return _splitmix(h.astype(np.int64).view(np.uint64) + np.uint64(kind) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit key of a bigram: the upper 32 bits are the context's, the lower mix both words."""
+def follower(w: np.ndarray) -> np.ndarray:
+    """40 bits of a word that follows a context."""
+    return _splitmix(w.view(np.uint64)) >> np.uint64(24)
+
+
+def pair_key(v: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """64-bit hash of a context and a ``follower``, as int64."""
     with np.errstate(over="ignore"):
-        low = _splitmix(v.view(np.uint64) + w.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return ((v.view(np.uint64) & np.uint64(0xFFFFFFFF00000000)) | (low >> np.uint64(32))).view(np.int64)
+        return _splitmix(v.view(np.uint64) + low * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def context(key: np.ndarray) -> np.ndarray:
-    """What a bigram key and a word hash have in common: the upper 32 bits of the context."""
-    return key >> 32
+def group_of(h: np.ndarray, groups: int) -> np.ndarray:
+    return ((_splitmix(h.view(np.uint64)) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -111,73 +121,63 @@ def count_of(q: np.ndarray) -> np.ndarray:
     return np.where(q <= 0, 0.0, np.where(q == 1, 1.0, BASE ** (q - 0.5)))
 
 
-def _bits(key: np.ndarray, q) -> list[np.ndarray]:
-    """The HASHES bits inside the key's segment at level ``q``, from the key's lower 32 bits."""
-    with np.errstate(over="ignore"):
-        g = _splitmix((key & np.uint64(0xFFFFFFFF)) + np.asarray(q).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return [((g >> np.uint64(20 * k)) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for k in range(HASHES)]
-
-
-def _segment(key: np.ndarray, segments: int) -> np.ndarray:
-    """The key's segment, from its upper 32 bits."""
-    return ((key >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-
+class Filter:
+    """One part of the filter, and its repeated membership probes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits                                   # a byte a bit while in use
+
+    @staticmethod
+    def _places(key: np.ndarray, q: int, size: int) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            g = _splitmix(key + np.uint64(q) * np.uint64(0xC2B2AE3D27D4EB4F))
+            low, step = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+            return [((((low + np.uint64(k) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+                    for k in range(HASHES)]
+
+    @classmethod
+    def build(cls, key: np.ndarray, q: np.ndarray) -> "Filter":
+        """Insert keys at levels 1 .. q."""
+        f = cls(np.zeros(max(64, BITS_PER_ENTRY * int(q.sum())), bool))
+        for step in range(1, int(q.max(initial=0)) + 1):
+            for at in cls._places(key[q >= step], step, len(f.bits)):
+                f.bits[at] = True
+        return f
 
-def _levels(bits: np.ndarray, base: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Highest level before the first missing one, for each key, in the segments that start at bit ``base``."""
-    q = np.zeros(len(key), np.int32)
-    live, k, step = np.arange(len(key)), key, 0
-    while len(live):
-        step += 1
-        hit = np.ones(len(live), bool)
-        for at in _bits(k, step):
-            at += base
-            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
-        live, k, base = live[hit], k[hit], base[hit]
-        q[live] = step
-    return q
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """Highest level before the first missing one, for each key."""
+        q = np.zeros(len(key), np.uint8)
+        live, k, step = np.arange(len(key)), key, 0
+        while len(live):
+            step += 1
+            hit = np.ones(len(live), bool)
+            for at in self._places(k, step, len(self.bits)):
+                hit &= self.bits[at]
+            live, k = live[hit], k[hit]
+            q[live] = step
+        return q
 
+    def pack(self) -> bytes:
+        return len(self.bits).to_bytes(8, "little") + np.packbits(self.bits).tobytes()
 
-class Filter:
-    """The broadcast filter and its repeated membership probes."""
+    @classmethod
+    def unpack(cls, raw: bytes) -> "Filter":
+        n = int.from_bytes(raw[:8], "little")
+        return cls(np.unpackbits(np.frombuffer(raw, np.uint8, offset=8), count=n).astype(bool))
 
-    def __init__(self, bits: np.ndarray, segments: int):
-        self.bits, self.segments = bits, segments
 
-    def levels(self, key: np.ndarray) -> np.ndarray:
-        return _levels(self.bits, _segment(key, self.segments) * SEGMENT_BITS, key)
+# ---------------------------------------------------------------- runs
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit integers as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
 
-def count_grams(docs: DataFrame, held_out: Column, p: LMParams, text: str = "text") -> DataFrame:
-    """(kind, h, c, c_all): words with their training and total counts, bigrams (training) from ``min_bigram`` up.
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(n).astype(np.int64)
 
-    A task sends one row per distinct word and bigram of a batch, so a hot one costs a row
-    a batch; the rows are summed after the shuffle.
-    """
-    begin = np.int64(_begin_hash(docs))
 
-    def unique(x):
-        h, n = np.unique(x, return_counts=True)
-        return h, n.astype(np.int64)
-
-    def run(batches):
-        for b in _runs(batches, 1, COUNT_TOKENS):
-            held, w, cut = b.column(0).to_numpy(zero_copy_only=False), *_tokens(b.column(1))
-            train = np.repeat(~held, np.diff(cut))
-            v = _contexts(w, cut, begin)
-            for kind, c, h in ((WORD, True, w[train]), (WORD, False, w[~train]), (BIGRAM, True, pair(v, w)[train])):
-                h, n = unique(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(n * c), pa.array(n)],
-                    ["kind", "h", "c", "c_all"])
-
-    rows = docs.select(held_out.alias("held"), token_hashes(F.col(text)).alias("w")).mapInArrow(
-        run, "kind int, h long, c long, c_all long")
-    summed = rows.repartition("h", "kind").groupBy("h", "kind").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
-    return summed.where((F.col("kind") == WORD) | (F.col("c") >= p.min_bigram))
-
-
-def _runs(batches, column: int, limit: int):
+def _cut_runs(batches, column: int, limit: int):
     """Batches cut into runs of rows of about ``limit`` tokens, which bounds a worker's arrays."""
     for b in batches:
         cut = np.asarray(b.column(column).offsets).astype(np.int64)
@@ -188,98 +188,199 @@ def _runs(batches, column: int, limit: int):
             at = stop
 
 
-def _tokens(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of a batch and the position at which each text starts (and the end)."""
-    cut = np.asarray(col.offsets).astype(np.int64)
-    return np.asarray(col.values)[cut[0]:cut[-1]], cut - cut[0]
-
+def token_runs(docs: DataFrame, held_out: Column, p: LMParams, text: str = "text") -> DataFrame:
+    """A row a run: run, ids, held (of its documents), cut (first token of each), words, codes, n_tokens, n_train, n_texts."""
+    id_type = docs.schema["doc_id"].dataType
 
-def _contexts(w: np.ndarray, cut: np.ndarray, begin: np.int64) -> np.ndarray:
-    """The token before each token."""
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[cut[:-1]] = begin
-    return v
-
-
-def _begin_hash(docs: DataFrame) -> int:
-    return docs.sparkSession.range(1).select(F.xxhash64(F.lit(BEGIN))).first()[0]
-
-
-def filter_entries(words: DataFrame, bigrams: DataFrame) -> DataFrame:
-    """(kind, h, c) of all entries; masses in units of the least one, so that none is below 1."""
-    mass = bigrams.groupBy(F.shiftright("h", 32).alias("h")).agg(
-        F.sum((F.col("c") - DISCOUNT) / (1 - DISCOUNT)).alias("c"))
-    return words.where("c > 0").select(F.lit(WORD).alias("kind"), "h", F.col("c").cast("double").alias("c")) \
-        .union(bigrams.select(F.lit(BIGRAM), "h", F.col("c").cast("double"))) \
-        .union(materialize(mass, "mass").select(F.lit(MASS), "h", "c"))
-
-
-def insertions(rows: DataFrame) -> int:
-    """Sum of the levels of all entries."""
-    return rows.agg(F.coalesce(F.sum(1 + F.floor(F.log("c") / log(BASE) + 1e-9)), F.lit(0))).first()[0]
-
-
-def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Key and level of each of ``filter_entries``."""
-    kind, h, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-    key = np.zeros(len(h), np.uint64)
-    for k in (WORD, BIGRAM, MASS):
-        key[kind == k] = entry(k, h[kind == k])
-    return key, level(c)
-
-
-def _insert(bits: np.ndarray, base: np.ndarray, key: np.ndarray, q: np.ndarray) -> None:
-    """Insert keys at levels 1 .. q into the segments that start at bit ``base``."""
-    for l in range(1, int(q.max(initial=0)) + 1):
-        on = q >= l
-        for at in _bits(key[on], l):
-            at += base[on]
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-
-
-def build_filter(rows: DataFrame, segments: int) -> Filter:
-    """Insert all entries and collect the segments, which fit a broadcast."""
-    def keyed(batches):
+    def run(batches):
+        for b in _cut_runs(batches, 2, p.run_tokens):
+            col = b.column(2)
+            cut = np.asarray(col.offsets).astype(np.int64)
+            coded = pa.array(np.asarray(col.values)[cut[0]:cut[-1]]).dictionary_encode()
+            held = b.column(1).to_numpy(zero_copy_only=False)
+            sizes = np.diff(cut)
+            yield pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), b.column(0)),
+                pa.array([held.tolist()], pa.list_(pa.bool_())),
+                pa.array([(cut - cut[0]).astype("<i8").tobytes()], pa.binary()),
+                pa.array([coded.dictionary.to_numpy().astype("<i8").tobytes()], pa.binary()),
+                pa.array([_planes(coded.indices.to_numpy())], pa.binary()),
+                *[pa.array([int(x)]) for x in (sizes.sum(), sizes[~held].sum(), (~held).sum())]],
+                ["ids", "held", "cut", "words", "codes", "n_tokens", "n_train", "n_texts"])
+
+    rows = docs.select("doc_id", held_out.alias("held"), token_hashes(F.col(text)).alias("w")).mapInArrow(
+        run, f"ids array<{id_type.simpleString()}>, held array<boolean>, cut binary, words binary, codes binary, "
+             "n_tokens long, n_train long, n_texts long")
+    return materialize(rows.withColumn("run", F.monotonically_increasing_id()), "runs")
+
+
+class Run:
+    """A run's tokens. ``hashes`` are its words and, last, the start mark."""
+
+    def __init__(self, r: dict, begin: int):
+        self.cut = np.frombuffer(r["cut"], "<i8")
+        self.hashes = np.append(np.frombuffer(r["words"], "<i8"), np.int64(begin))
+        self.code = _from_planes(r["codes"], int(self.cut[-1]))
+        self.before = np.empty_like(self.code)
+        self.before[1:] = self.code[:-1]
+        self.before[self.cut[:-1]] = len(self.hashes) - 1
+        self.train_text = ~np.asarray(r["held"], bool)
+        self.train = np.repeat(self.train_text, np.diff(self.cut))
+
+    def word_counts(self) -> np.ndarray:
+        """Training counts of the hashes; the start mark counts once a text."""
+        n = np.bincount(self.code[self.train], minlength=len(self.hashes))
+        n[-1] = self.train_text.sum()
+        return n
+
+
+class Sending:
+    """What a run sends to the groups, in sending order: entries (words at home, and frequent contexts where
+    they have bigrams), and different bigrams in the order of their entries."""
+
+    def __init__(self, run: Run, hot: np.ndarray, groups: int):
+        n = len(run.hashes)
+        pairs, self.token_pair = np.unique(run.before * n + run.code, return_inverse=True)
+        v, w = pairs // n, pairs % n
+        home = group_of(run.hashes, groups)
+        low = follower(run.hashes)[w]
+        spread = np.isin(run.hashes, hot)[v]
+        where = home[v]
+        where[spread] = group_of(pair_key(run.hashes[v[spread]], low[spread]), groups)
+        at = where * n + v
+        self.order = np.argsort(at, kind="stable")
+        keys = np.unique(np.concatenate([home * n + np.arange(n), at]))
+        self.entry_group, self.entry = keys // n, keys % n
+        self.at_home = home[self.entry] == self.entry_group
+        self.n_pairs = np.diff(np.append(np.searchsorted(at[self.order], keys), len(at)))
+        self.low, self.v = low[self.order], v[self.order]
+        self.pair_group = where[self.order]
+        self.pair_train = np.bincount(self.token_pair[run.train], minlength=len(pairs))[self.order]
+
+    def spans(self):
+        """(group, entries from, to, bigrams from, to)."""
+        groups = np.unique(self.entry_group)
+        e = np.searchsorted(self.entry_group, np.append(groups, groups[-1:] + 1))
+        p = np.searchsorted(self.pair_group, np.append(groups, groups[-1:] + 1))
+        return zip(groups.tolist(), e[:-1].tolist(), e[1:].tolist(), p[:-1].tolist(), p[1:].tolist())
+
+
+SENT = "group long, run long, hashes binary, n_pairs binary, counts binary, low binary, train binary"
+
+
+def _five(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def _send(begin: int, hot, groups: int):
+    def run(batches):
         for b in batches:
-            key, q = _keys(b)
-            yield pa.RecordBatch.from_arrays([pa.array(_segment(key, segments)), pa.array(key.view(np.int64)),
-                                              pa.array(q)], ["segment", "key", "q"])
+            for i in range(len(b)):
+                r = b.slice(i, 1).to_pylist()[0]
+                x = Run(r, begin)
+                s, counts = Sending(x, hot.value, groups), x.word_counts()
+                counts = np.where(s.at_home, counts[s.entry], 0)
+                for g, e0, e1, p0, p1 in s.spans():
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([g]), pa.array([r["run"]]),
+                        *[pa.array([y], pa.binary()) for y in (
+                            run_bytes(x.hashes[s.entry[e0:e1]], "<i8"), run_bytes(s.n_pairs[e0:e1], "<u4"),
+                            run_bytes(counts[e0:e1], "<u4"), _five(s.low[p0:p1]), run_bytes(s.pair_train[p0:p1], "<u4"))]],
+                        ["group", "run", "hashes", "n_pairs", "counts", "low", "train"])
+    return run
+
+
+def run_bytes(x: np.ndarray, kind: str) -> bytes:
+    return x.astype(kind).tobytes()
+
+
+# ---------------------------------------------------------------- groups
+FOUND = "run long, group long, counts binary, words binary, masses binary, pairs binary, filter binary, types long"
+
+
+def _count_and_answer(begin: int, hot, groups: int, p: LMParams, whole: bool):
+    """Rows sorted by group: a group's rows are counted, inserted and answered together.
+
+    Each run gets its entries' exact training counts and, if the filter is not broadcast, the levels
+    that the probes find. A row without a run has the group's part of the filter, its number of
+    training words, and what it adds to frequent contexts' masses (as hashes and sums)."""
+    def answer(group: int, rows: list[dict]):
+        parts = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+        hashes = parts("hashes", "<i8")
+        each = np.cumsum([len(h) for h in hashes])[:-1]
+        known, entry_at = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.bincount(entry_at, weights=np.concatenate(parts("counts", "<u4")), minlength=len(known)).astype(np.int64)
+        low = [_from_five(r["low"]) for r in rows]
+        of = np.repeat(entry_at, np.concatenate(parts("n_pairs", "<u4")).astype(np.int64))
+        both = (of.astype(np.uint64) << np.uint64(40)) | np.concatenate(low)
+        pairs, pair_at = np.unique(both, return_inverse=True)
+        c = np.bincount(pair_at, weights=np.concatenate(parts("train", "<u4")), minlength=len(pairs))
+        v, stored = (pairs >> np.uint64(40)).astype(np.int64), c >= p.min_bigram
+        # Masses in units of the least one, so that none is below 1.
+        mass = np.bincount(v[stored], weights=(c[stored] - DISCOUNT) / (1 - DISCOUNT), minlength=len(known))
+        home, frequent = group_of(known, groups) == group, np.isin(known, hot.value)
+        word_key, mass_key = entry(WORD, known), entry(MASS, known)
+        pair_keys = entry(BIGRAM, pair_key(known[v], pairs & np.uint64((1 << 40) - 1)))
+        insert = [(word_key[home], counts[home]), (mass_key[~frequent], mass[~frequent]), (pair_keys[stored], c[stored])]
+        f = Filter.build(np.concatenate([k for k, _ in insert]), np.concatenate([level(x.astype(float)) for _, x in insert]))
+        types = int((home & (counts > 0) & (known != begin)).sum())
+        yield (None, group, run_bytes(known[frequent], "<i8"), None, run_bytes(mass[frequent], "<f8"), None,
+               f.pack() if whole else None, types)
+        if whole:
+            levels = [[None] * len(rows)] * 3
+        else:
+            levels = [np.split(f.levels(k)[at], cut) for k, at, cut in (
+                (word_key, entry_at, each), (mass_key, entry_at, each),
+                (pair_keys, pair_at, np.cumsum([len(x) for x in low])[:-1]))]
+        for r, n, *found in zip(rows, np.split(counts[entry_at], each), *levels):
+            yield (r["run"], group, run_bytes(n, "<i8"), *[None if q is None else q.tobytes() for q in found], None, None)
+
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64()]
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def batch(row):
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
-    def fill(batches):
-        """Rows come sorted by segment; a bitmap is kept only for the open one."""
-        open_, bits = None, None
+    def run(batches):
+        at, rows = None, []
         for b in batches:
-            seg, key, q = (b.column(i).to_numpy() for i in range(3))
-            for s, lo, hi in zip(*_spans(seg)):
-                if s != open_:
-                    if open_ is not None:
-                        yield _segment_row(open_, bits)
-                    open_, bits = s, np.zeros(SEGMENT_BITS // 8, np.uint8)
-                _insert(bits, np.zeros(hi - lo, np.int64), key[lo:hi].view(np.uint64), q[lo:hi])
-        if open_ is not None:
-            yield _segment_row(open_, bits)
-
-    built = rows.mapInArrow(keyed, "segment long, key long, q int").repartition("segment").sortWithinPartitions(
-        "segment").mapInArrow(fill, "segment long, bits binary")
-    out = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for r in materialize(built, "filter").toLocalIterator():
-        lo = r["segment"] * SEGMENT_BITS // 8
-        out[lo:lo + SEGMENT_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(out, segments)
-
-
-def _spans(seg: np.ndarray):
-    cut = np.flatnonzero(np.diff(seg)) + 1
-    lo = np.append(0, cut) if len(seg) else cut
-    return seg[lo].tolist(), lo.tolist(), np.append(lo[1:], len(seg)).tolist()
-
+            for i in range(len(b)):
+                r = b.slice(i, 1).to_pylist()[0]
+                if r["group"] != at and rows:
+                    yield from map(batch, answer(at, rows))
+                    rows = []
+                at = r["group"]
+                rows.append(r)
+        if rows:
+            yield from map(batch, answer(at, rows))
+    return run
+
+
+def frequent_contexts(runs: DataFrame, begin: int, share: float) -> np.ndarray:
+    """Hashes of the contexts with at least ``share`` of the training tokens (and of some with half of it), fewer
+    than 2 / share. A run leaves out what is below half that share of its tokens, which takes off half at most."""
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                r = b.slice(i, 1).to_pylist()[0]
+                x = Run(r, begin)
+                n = x.word_counts()
+                some = n > r["n_train"] * share / 2
+                yield pa.RecordBatch.from_arrays([pa.array(x.hashes[some]), pa.array(n[some])], ["h", "n"])
 
-def _segment_row(s: int, bits: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([bits.tobytes()], pa.binary())],
-                                      ["segment", "bits"])
+    total = runs.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
+    found = runs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(
+        F.col("n") > F.lit(total * share / 2))
+    return np.array(sorted(r.h for r in found.select("h").collect()), np.int64)
 
 
+# ---------------------------------------------------------------- scores
 def log_probabilities(words: np.ndarray, masses: np.ndarray, pairs: np.ndarray, v: np.ndarray, w: np.ndarray, n: int,
                       types: int, min_bigram: int) -> np.ndarray:
     """log10 P of bigrams from the filter's levels alone: of different words, of the words' masses as
@@ -298,174 +399,69 @@ def _total(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, cut[:-1]) if len(cut) > 1 else np.zeros(0)
 
 
-def _before(code: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the tokens and of the token before each; ``code`` has the begin mark's last."""
-    mark, code = code[-1], code[:-1]
-    before = np.empty_like(code)
-    before[1:] = code[:-1]
-    before[cut[:-1]] = mark
-    return code, before
-
-
-def probed_scores(first: DataFrame, rows: DataFrame, segments: int, n: int, types: int, min_bigram: int) -> DataFrame:
-    """(row, score) of the texts of ``first`` by a filter that is never in one place.
-
-    A run's first row holds its different words, its tokens as codes of them, and where its
-    texts start. Entries and probes are sent as packed keys, a row for each group of segments;
-    sorting brings a group's entries (no run) first. A run's levels come back a row a group.
-    """
-    def placed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order that sorts the keys by segment, segments in that order)."""
-        seg = _segment(key, segments).astype(np.min_scalar_type(segments))
-        order = np.argsort(seg, kind="stable")
-        return order, seg[order].astype(np.int64)
-
-    def send(run: int | None, key: np.ndarray, q: np.ndarray | None):
-        """Rows of a segment's number in its group, the lower 32 bits of a key, and the level of an entry."""
-        order, seg = placed(key)
-        groups, lows, highs = _spans(seg // GROUP)
-        blobs = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip(lows, highs)], pa.binary())
-        return pa.RecordBatch.from_arrays([
-            pa.array(groups, pa.int64()), pa.array([run] * len(groups), pa.int64()),
-            blobs((seg % GROUP).astype(np.uint8)), blobs(key[order].astype("<u4")),
-            pa.nulls(len(groups), pa.binary()) if q is None else blobs(q[order].astype(np.uint8))],
-            ["group", "run", "segs", "keys", "q"])
-
-    def asked(r: dict):
-        """Keys that a run probes (words, their masses, its different bigrams), each token's place among the bigrams,
-        and codes and starts of the tokens."""
-        words, cut = np.frombuffer(r["words"], np.int64), np.frombuffer(r["cut"], np.int32)
-        code, before = _before(np.frombuffer(r["code"], np.int32), cut)
-        grams, at = np.unique(pair(words[before], words[code]), return_inverse=True)
-        return np.concatenate([entry(WORD, words), entry(MASS, context(words)), entry(BIGRAM, grams)]), at, \
-            len(words), code, before, cut
-
-    def entries(batches):
-        for b in batches:
-            yield send(None, *_keys(b))
-
-    def probes(batches):
-        for b in batches:
-            for i in range(len(b)):
-                r = b.slice(i, 1).to_pylist()[0]
-                yield send(r["run"], asked(r)[0], None)
-
-    def look_up(batches):
-        """Rows come sorted by group, entries first; only the open group's segments are kept."""
-        open_, bits = None, None
-        for b in batches:
-            for i in range(len(b)):
-                group, run, seg, keys, q = (b.column(j)[i].as_py() for j in range(5))
-                if group != open_:
-                    open_, bits = group, np.zeros(GROUP * SEGMENT_BITS // 8, np.uint8)
-                base = np.frombuffer(seg, np.uint8).astype(np.int64) * SEGMENT_BITS
-                key = np.frombuffer(keys, "<u4").astype(np.uint64)
-                if run is None:
-                    _insert(bits, base, key, np.frombuffer(q, np.uint8))
-                    continue
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([run], pa.int64()), pa.array([group], pa.int64()),
-                    pa.array([_levels(bits, base, key).astype(np.uint8).tobytes()], pa.binary())],
-                    ["run", "group", "levels"])
-
-    def score(run: pa.Table, found: pa.Table) -> pa.Table:
-        r = run.to_pylist()[0]
-        key, at, n_words, code, before, cut = asked(r)
-        got = found.sort_by("group").column("levels").to_pylist()
-        q = np.zeros(len(key), np.int32)
-        q[placed(key)[0]] = np.frombuffer(b"".join(got), np.uint8)
-        lp = log_probabilities(q[:n_words], q[n_words:2 * n_words], q[2 * n_words:][at], before, code, n, types,
-                               min_bigram)
-        return pa.table({"row": r["run"] + np.arange(len(cut) - 1), "score": _total(lp, cut)})
-
-    packed = "group long, run long, segs binary, keys binary, q binary"
-    runs = first.where(F.col("words").isNotNull()).select(F.col("row").alias("run"), "words", "code", "cut")
-    sent = rows.mapInArrow(entries, packed).union(runs.mapInArrow(probes, packed))
-    found = sent.repartition("group").sortWithinPartitions("group", F.col("run").asc_nulls_first()).mapInArrow(
-        look_up, "run long, group long, levels binary")
-    return runs.groupBy("run").cogroup(found.groupBy("run")).applyInArrow(score, "row long, score double")
-
-
-def _known(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of a bounded table, sent to the driver as packed columns."""
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().tobytes()]) for i in (0, 1)], ["h", "c"])
-
-    parts = [(np.frombuffer(r["h"], np.int64), np.frombuffer(r["c"], np.int64))
-             for r in words.select("h", "c").mapInArrow(run, "h binary, c binary").toLocalIterator()]
-    h, c = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
 def score_texts(docs: DataFrame, buckets: int = 7, held_bucket: int = 2, params: LMParams = LMParams(),
                 text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
-    spark = docs.sparkSession
+    spark, p = docs.sparkSession, params
     held = F.coalesce(id_bucket(F.col("doc_id"), buckets) == held_bucket, F.lit(False))
-    grams = materialize(count_grams(docs, held, params, text), "grams")
-    words, bigrams = (grams.where(F.col("kind") == k).drop("kind") for k in (WORD, BIGRAM))
-    n, types, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
-    # Begin marks are contexts, not tokens: their count is the number of training texts.
-    n_texts = docs.where(~held).count()
-    begin = np.int64(_begin_hash(docs))
-    marks = spark.range(1).select(F.lit(int(begin)).alias("h"), F.lit(n_texts).cast("long").alias("c"))
-    rows = filter_entries(words.select("h", "c").union(marks), bigrams)
-    segments = max(1, -(-insertions(rows) * BITS_PER_ENTRY // SEGMENT_BITS))
-    whole = segments * SEGMENT_BITS <= params.max_filter_bits
-    filt = spark.sparkContext.broadcast(build_filter(rows, segments)) if whole else None
-    often = 1
-    if distinct > params.max_known_words:
-        share = 1 - params.max_known_words / distinct
-        often = int(words.agg(F.percentile_approx("c_all", share, 10_000)).first()[0]) + 1
-    known = spark.sparkContext.broadcast(_known(words.where(F.col("c_all") >= often)))
-
-    def run(batches):
-        kh, kc = known.value
-        for b in _runs(batches, 2, SCORE_TOKENS):
-            w, cut = _tokens(b.column(2))
-            coded = pa.array(np.append(w, begin)).dictionary_encode()
-            uniq, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            held_back = [uniq.tobytes(), code.astype(np.int32).tobytes(), cut.astype(np.int32).tobytes()]
-            code, before = _before(code, cut)
-            at = np.minimum(np.searchsorted(kh, uniq), max(len(kh) - 1, 0))
-            found = kh[at] == uniq if len(kh) else np.zeros(len(uniq), bool)
-            c = np.where(found, kc[at] if len(kh) else 0, 0)
-            base = np.where(found, np.log10((c + 1) / (n + types + 1)), 0.0)
+    begin = int(spark.range(1).select(F.xxhash64(F.lit(BEGIN))).first()[0])
+    runs = token_runs(docs, held, p, text)
+    tokens, n = runs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_train")]).first()
+    groups = max(1, -(-tokens // p.group_tokens))
+    hot = spark.sparkContext.broadcast(frequent_contexts(runs, begin, max(1 / (2 * groups), LEAST_SHARE)))
+    whole = n * BITS_PER_TOKEN <= p.max_filter_bits
+    sent = runs.mapInArrow(_send(begin, hot, groups), SENT).repartition("group").sortWithinPartitions("group")
+    found = materialize(sent.mapInArrow(_count_and_answer(begin, hot, groups, p, whole), FOUND), "found")
+
+    parts = found.where("run IS NULL")
+    types = parts.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    # Frequent contexts: a sum and a hash from each group that has some, added up on the way.
+    masses: dict[int, float] = dict.fromkeys(hot.value.tolist(), 0.0)
+    for r in parts.where(F.octet_length("counts") > 0).select("counts", "masses").toLocalIterator():
+        for h, m in zip(np.frombuffer(r["counts"], "<i8").tolist(), np.frombuffer(r["masses"], "<f8").tolist()):
+            masses[h] += m
+    hot_part = Filter.build(entry(MASS, hot.value), level(np.array([masses[h] for h in hot.value.tolist()])))
+    filters = {-1: hot_part.pack()}
+    if whole:                                              # at most max_filter_bits
+        filters |= {r["group"]: bytes(r["filter"]) for r in parts.select("group", "filter").toLocalIterator()}
+    shared = spark.sparkContext.broadcast(filters)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        x = Run(r, begin)
+        s = Sending(x, hot.value, groups)
+        size = len(x.hashes)
+        exact, words, mass = np.zeros(size, np.int64), np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        pairs = np.zeros(len(s.low), np.uint8)
+        answers = {a["group"]: a for a in right.to_pylist()}
+        for g, e0, e1, p0, p1 in s.spans():
+            a, home = answers[g], s.at_home[e0:e1]
+            at = s.entry[e0:e1][home]
+            exact[at] = np.frombuffer(a["counts"], "<i8")[home]
             if whole:
-                f = filt.value
-                score = pa.array(_total(log_probabilities(
-                    f.levels(entry(WORD, uniq)), f.levels(entry(MASS, context(uniq))),
-                    f.levels(entry(BIGRAM, pair(uniq[before], w))), before, code, n, types, params.min_bigram), cut))
-                held_back = [None] * 3
+                f = Filter.unpack(shared.value[g])
+                words[at] = f.levels(entry(WORD, x.hashes[at]))
+                mass[at] = f.levels(entry(MASS, x.hashes[at]))
+                pairs[p0:p1] = f.levels(entry(BIGRAM, pair_key(x.hashes[s.v[p0:p1]], s.low[p0:p1])))
             else:
-                score = pa.nulls(len(b), pa.float64())
-            rare = ~found[code]
-            upto = np.append(0, np.cumsum(rare))[cut]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(np.diff(cut)), pa.array(_total((c > 0)[code].astype(np.int64), cut)),
-                pa.array(_total(base[code], cut)), score,
-                pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(w[rare])),
-                *[pa.array([x] + [None] * (len(b) - 1), pa.binary()) for x in held_back]],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "words", "code", "cut"])
-
-    first = docs.select("doc_id", held.alias("held_out"), token_hashes(F.col(text)).alias("w")).mapInArrow(
-        run, StructType([docs.schema["doc_id"], *StructType.fromDDL(
-            "held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, "
-            "words binary, code binary, cut binary")]))
-    # Consecutive within a task, so a run's texts are numbered from its first row on.
-    first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "scored")
-    miss = F.log10(F.lit(1.0 / (n + types + 1)))
-    tail = words.where((F.col("c_all") < often) & (F.col("c") > 0)).select("h", "c")
-    rest = first.select("row", F.explode("rare").alias("h")).join(tail, "h", "left").groupBy("row").agg(
-        F.count("c").alias("more"),
-        F.sum(F.when(F.col("c").isNull(), miss).otherwise(F.log10((F.col("c") + 1) / F.lit(float(n + types + 1)))))
-        .alias("rest"))
-    out = first.drop("rare", "words", "code", "cut").join(rest, "row", "left")
-    if not whole:
-        out = out.drop("score").join(probed_scores(first, rows, segments, n, types, params.min_bigram), "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+                words[at], mass[at] = (np.frombuffer(a[c], np.uint8)[home] for c in ("words", "masses"))
+                pairs[p0:p1] = np.frombuffer(a["pairs"], np.uint8)
+        often = np.isin(x.hashes, hot.value)
+        mass[often] = Filter.unpack(shared.value[-1]).levels(entry(MASS, x.hashes[often]))
+        token_level = np.empty(len(pairs), np.uint8)
+        token_level[s.order] = pairs                        # back to the order of the different bigrams
+        lp = log_probabilities(words.astype(np.int32), mass.astype(np.int32), token_level[s.token_pair].astype(np.int32),
+                               x.before, x.code, n, types, p.min_bigram)
+        base = np.log10((exact + 1) / (n + types + 1))
+        return pa.table({
+            "doc_id": left.column("ids").combine_chunks().flatten(), "held_out": pa.array(~x.train_text),
+            "n_tokens": pa.array(np.diff(x.cut)), "n_known": pa.array(_total((exact > 0)[x.code].astype(np.int64), x.cut)),
+            "base_score": pa.array(_total(base[x.code], x.cut)), "score": pa.array(_total(lp, x.cut))})
+
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(
+        "held_out boolean, n_tokens long, n_known long, base_score double, score double")])
+    told = found.where("run IS NOT NULL").select("run", "group", "counts", "words", "masses", "pairs")
+    scored = runs.select("run", "ids", "held", "cut", "words", "codes").groupBy("run").cogroup(
+        told.groupBy("run")).applyInArrow(score, schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+                         "base_score", "score")

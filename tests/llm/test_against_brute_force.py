@@ -90,15 +90,43 @@ def test_base_score_and_counts(spark, docs):
     assert better > 0
 
 
-def test_base_score_with_rare_words_joined(spark, docs):
-    """Few broadcast words: most tokens take the join, with equal results."""
+@pytest.mark.parametrize("bits", [1 << 28, 1])
+def test_counts_are_exact_however_tokens_are_dealt(spark, bits):
+    """Small runs and groups, with contexts that several groups share: counts and base stay exact."""
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     a = rows(lm.score_texts(d))
-    b = rows(lm.score_texts(d, params=lm.LMParams(max_known_words=100)))
+    b = rows(lm.score_texts(d, params=lm.LMParams(max_filter_bits=bits, run_tokens=3000, group_tokens=4000)))
+    apart = [b[k]["score"] - a[k]["score"] for k in a]
     for k in a:
         assert a[k]["n_known"] == b[k]["n_known"]
         assert a[k]["base_score"] == pytest.approx(b[k]["base_score"], rel=1e-9)
-        assert a[k]["score"] == pytest.approx(b[k]["score"], rel=1e-9)
+    assert abs(sum(apart)) < 0.01 * sum(x["n_tokens"] for x in a.values())
+
+
+def test_score_is_near_the_exact_interpolated_model(spark, docs):
+    """Against exact counts: within 0.02 log10 a token over all texts, and 0.1 for a text of 100 tokens or more."""
+    got = rows(lm.score_texts(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")))
+    tokens = {d: SPACE_WORDS.findall(t.translate(UP)) + [None] for d, t, _ in docs}
+    one, two, followers = Counter(), Counter(), Counter()
+    for d, ws in tokens.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            one.update(ws)
+            two.update(zip(["begin mark"] + ws[:-1], ws))
+    texts = sum(zlib.crc32(str(d).encode()) % 7 != 2 for d in tokens)
+    followers.update(v for v, _ in two)
+    n, types = sum(one.values()), len(one)
+
+    def exact(ws):
+        total = 0.0
+        for v, w in zip(["begin mark"] + ws[:-1], ws):
+            c_v = max(texts if v == "begin mark" else one[v], 1)
+            mass = min((c_v - lm.DISCOUNT * followers[v]) / c_v if followers[v] else 0.0, 0.95)
+            seen = min(max(two[v, w] - lm.DISCOUNT, 0) / c_v, mass)
+            total += log10(seen + (1 - mass) * min((one[w] + 1) / (n + types + 1), 1.0))
+        return total
+    apart = {d: (got[d]["score"] - exact(ws), len(ws)) for d, ws in tokens.items()}
+    assert abs(sum(x for x, _ in apart.values())) < 0.02 * sum(k for _, k in apart.values())
+    assert all(abs(x) < 0.1 * k for x, k in apart.values() if k >= 100)
 
 
 def plain_fingerprint(text):

@@ -16,10 +16,10 @@ def by_id(df):
 
 
 @pytest.mark.parametrize("bits", [1, 1 << 22])
-def test_filter_above_the_broadcast_size_keeps_every_bigram(spark, bits, monkeypatch):
+def test_filter_above_the_broadcast_size_keeps_every_bigram(spark, bits):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    monkeypatch.setattr(lm, "GROUP", 2)
-    a, b = by_id(lm.score_texts(d)), by_id(lm.score_texts(d, params=lm.LMParams(max_filter_bits=bits)))
+    a, b = (by_id(lm.score_texts(d, params=lm.LMParams(max_filter_bits=x, run_tokens=5000, group_tokens=9000)))
+            for x in (1 << 28, bits))
     assert a.keys() == b.keys()
     for k in a:
         assert {**b[k], "score": 0, "base_score": 0} == {**a[k], "score": 0, "base_score": 0}
