@@ -80,14 +80,15 @@ def rule_name(host: Column, path: Column, rules: tuple[HostRule, ...] = HOST_RUL
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens: ``h:`` host labels and their words, ``p:`` path words, ``q:`` query keys."""
+    """Distinct tokens: ``h:`` host labels and their words, ``p:`` path words, ``q:`` query keys. Numbers are
+    tokens like others: page numbers fall to the least support, a section such as /888/ does not."""
     u = ascii_lower(F.coalesce(url, F.lit("")))
     rest = _rest(u)
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(rest, r"\?([^#]*)", 1)
     tag = lambda prefix, xs: F.transform(
-        F.filter(xs, lambda x: (x != "") & ~x.rlike("^[0-9]+$")), lambda x: F.concat(F.lit(prefix), x))
+        F.filter(xs, lambda x: x != ""), lambda x: F.concat(F.lit(prefix), x))
     return F.array_distinct(F.concat(
         tag("h:", F.split(host, r"\.")), tag("h:", F.split(host, r"[.-]")),
         tag("p:", F.split(path, r"[/._-]")),

@@ -47,6 +47,15 @@ def test_a_rule_holds_for_every_token_of_the_same_labelled_urls(spark):
     assert not blocked & set(range(60, 120))
 
 
+def test_numbers_are_tokens(spark):
+    """Bad URLs marked by a section of digits alone; page numbers are too rare for rules."""
+    urls = [(i, f"http://a.org/888/{i}" if i < 100 else f"http://a.org/{i}/x") for i in range(300)]
+    pages = spark.createDataFrame(urls + [(1000, "http://b.net/888/q"), (1001, "http://b.net/7/q")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in urls], "doc_id long, quality int")
+    judged = urlrules.judge_urls(pages, labels, rules=()).collect()
+    assert {r.page_id for r in judged if r.verdict == "block"} == {*range(100), 1000}
+
+
 def test_every_token_of_a_rule_may_be_a_twin(spark):
     """Bad only where two classes meet; the unlabelled URL has the second member of each."""
     part = lambda i: ("spam/deal" if i % 2 else "good/news") + "/" + ("win/prize" if i % 4 < 2 else "lose/none")
