@@ -8,13 +8,14 @@ block, and the file keeps the offset of each block's first word, so blocks are e
 decoded side by side with array operations.
 
 The file is a Parquet table written by Spark, a row a chunk (about CHUNK ids of whole
-documents): part, chunk, doc_ids, lengths, n_ids, block_words (first word of each block and
-the number of words), words. Documents of a range follow one another by (part, chunk), and a
+documents): part, chunk, first (ids before it in its part), doc_ids, lengths, n_ids, block_words
+(first word of each block and the number of words), words. Documents of a range follow one another by (part, chunk), and a
 chunk never needs more than its own documents in memory.
 
 Defined cases: a null or empty text is its end id alone; null ids sort first; repeated ids
 follow one another in the order of their texts' hashes, repeated rows adjacent; other
-columns are left out; an empty table gives an empty file and no rows.
+columns are left out; an empty table gives an empty file and no rows. Ids are 64-bit integers; a
+text id that is not one raises.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ BLOCK = 1024
 CHUNK = 1 << 20
 BATCH_BYTES = 1 << 23
 CACHE = 1_000_000
-FILE = ("part int, chunk int, doc_ids array<long>, lengths array<long>, n_ids long, "
+FILE = ("part int, chunk int, first long, doc_ids array<long>, lengths array<long>, n_ids long, "
         "block_words binary, words binary")
 
 
@@ -204,22 +205,23 @@ def _runs(texts: pa.Array):
         yield at, len(size)
 
 
-def _row(part: int, chunk: int, doc_ids: list, lengths: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+def _row(part: int, chunk: int, first: int, doc_ids: list, lengths: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
     stream = np.concatenate(ids)
     words, block_words = pack(stream)
     return pa.RecordBatch.from_arrays([
-        pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())),
+        pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()),
+        pa.array([doc_ids], pa.list_(pa.int64())),
         pa.array([lengths], pa.list_(pa.int64())), pa.array([len(stream)], pa.int64()),
         pa.array([block_words.astype("<i8").tobytes()], pa.binary()),
         pa.array([words.astype("<u8").tobytes()], pa.binary())],
-        ["part", "chunk", "doc_ids", "lengths", "n_ids", "block_words", "words"])
+        ["part", "chunk", "first", "doc_ids", "lengths", "n_ids", "block_words", "words"])
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, id_col: str = "doc_id",
                  text: str = "text") -> None:
     """Encode ``docs`` with the tokenizer file ``path`` and write the token file ``out``."""
     def run(batches):
-        part, chunk = TaskContext.get().partitionId(), 0
+        part, chunk, first = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held, size = [], [], [], 0
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
@@ -240,10 +242,11 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, id_col:
                     size += len(held[-1])
                     i = j
                     if size >= CHUNK:
-                        yield _row(part, chunk, doc_ids, lengths, held)
-                        chunk, doc_ids, lengths, held, size = chunk + 1, [], [], [], 0
+                        yield _row(part, chunk, first, doc_ids, lengths, held)
+                        chunk, first = chunk + 1, first + size
+                        doc_ids, lengths, held, size = [], [], [], 0
         if doc_ids:
-            yield _row(part, chunk, doc_ids, lengths, held)
+            yield _row(part, chunk, first, doc_ids, lengths, held)
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"),
@@ -255,17 +258,13 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, id_col:
 def read_tokens(spark: SparkSession, file: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): the documents of a token file; ids as little-endian unsigned 32-bit integers.
 
-    A chunk's first position is the sum over earlier parts (a row a part, so a window over
-    few rows) and over earlier chunks of its part.
+    A chunk's first position is its place in its part, which the file holds, and the sum over
+    earlier parts: a row a part, as many as there were write tasks, is broadcast.
     """
     f = spark.read.schema(FILE).parquet(file)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = f.groupBy("part").agg(F.sum("n_ids").alias("_n")).withColumn(
-        "_parts", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = f.select("part", "chunk", "n_ids").withColumn(
-        "_chunks", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part").select(
-        "part", "chunk", (F.col("_parts") + F.col("_chunks")).alias("first"))
+    parts = f.groupBy("part").agg(F.sum("n_ids").alias("_n")).select(
+        "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
     def run(batches):
         for b in batches:
@@ -281,7 +280,7 @@ def read_tokens(spark: SparkSession, file: str) -> DataFrame:
                         pa.array([ids[cut[i]:cut[i + 1]].tobytes() for i in range(lo, hi)], pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"])
 
-    return f.join(F.broadcast(chunks), ["part", "chunk"]).mapInArrow(
+    return f.join(F.broadcast(parts), "part").withColumn("first", F.col("first") + F.col("_before")).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids binary")
 
 
