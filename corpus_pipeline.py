@@ -47,13 +47,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = simhash.near_duplicates(keys, keep=("doc_id", "k1", "k2"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "k1", "k2"))
                                       .alias("_first"))
-    stay = first.select(*[F.col(f"_first.{c}").alias(f"_{c}") for c in ("doc_id", "k1", "k2")])
-    k1, k2 = text_key(F.col("text"))
-    rows = docs.select(_row(), F.col("doc_id").alias("_d"), k1.alias("_a"), k2.alias("_b"))
-    kept = rows.join(stay, F.col("_d").eqNullSafe(F.col("_doc_id")) & (F.col("_a") == F.col("_k1"))
-                     & (F.col("_b") == F.col("_k2")), "left_semi")
-    # Repeated rows of the document that stays: same id and text, so the same partition already.
-    return kept.dropDuplicates(["_d", "_a", "_b"]).select("_row.*")
+    # The join and dropDuplicates deal rows by the same four columns, so a text is shuffled once.
+    names = ["_id", "_none", "_k1", "_k2"]
+    stay = first.select(*[c.alias(n) for c, n in zip(_key(F.col("_first.doc_id"), F.col("_first.k1"), F.col("_first.k2")), names)])
+    rows = docs.select(_row(), *[c.alias(n) for c, n in zip(_key(F.col("doc_id"), *text_key(F.col("text"))), names)])
+    return rows.join(stay, names, "left_semi").dropDuplicates(names).select("_row.*")
+
+
+def _key(doc_id: Column, *text: Column) -> list[Column]:
+    """Columns without nulls that name a document's id and text."""
+    return [F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull(), *text]
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
