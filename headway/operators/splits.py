@@ -68,31 +68,54 @@ def split_fraction_by_entity(df: DataFrame, entity, order_col: str, frac: float
     return df.join(lab.select(*entity, out), entity, "left")
 
 
+def unit_hash(key_cols, seed: int = 42) -> Column:
+    """A number in [0, 1) from the MD5 of the seed and the keys (as text, ``|`` between, a null is empty): the
+    same on every run and in any system that has MD5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _as_list(key_cols)])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
+
+
 def holdout_flag(key_cols, pct: float, seed: int = 42) -> Column:
-    """Stable hold-out membership, ``pmod(xxhash64(seed, key), 10000) < pct*100``."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in _as_list(key_cols)]), F.lit(10000))
-    return h < F.lit(int(round(pct * 100)))
+    """Stable hold-out membership of about ``pct`` per cent of the keys."""
+    return unit_hash(key_cols, seed) < F.lit(pct / 100.0)
 
 
 def hash_sample(df: DataFrame, key_cols, fraction: float, seed: int = 42) -> DataFrame:
     """Repeatable sample of about ``fraction`` of the rows."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in _as_list(key_cols)]), F.lit(1_000_000)) / 1e6
-    return df.where(u < F.lit(float(fraction)))
+    return df.where(unit_hash(key_cols, seed) < F.lit(float(fraction)))
+
+
+def row_cap(df: DataFrame, key_cols, n: int, seed: int = 42) -> DataFrame:
+    """Exactly ``n`` rows (all if fewer), those with the smallest hashes, ties by the keys.
+
+    One partial count over hash ranges finds the range in which the n-th row lies; only that range is
+    ordered (by ``global_row_numbers``), the ranges before it are taken whole."""
+    keys = _as_list(key_cols)
+    d = df.withColumn("_u", unit_hash(keys, seed))
+    cells = 1 << 12
+    cell = F.floor(F.col("_u") * cells)
+    upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = d.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    edge = counts.where(F.col("_upto") >= n).orderBy("_cell").select("_cell", (F.lit(n) - F.col("_upto") + F.col("_n")).alias("_rest")).first()
+    if edge is None:
+        return df
+    last, _ = global_row_numbers(d.where(cell == edge["_cell"]), ["_u", *keys])
+    return d.where(cell < edge["_cell"]).drop("_u").unionByName(last.where(F.col("_row") < edge["_rest"]).drop("_u", "_row"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, key_cols, fraction: float, seed: int = 42) -> DataFrame:
-    """The same fraction from every stratum (e.g. every horizon ``k``), hash-based."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(stratum), *[F.col(c) for c in _as_list(key_cols)]),
-               F.lit(1_000_000)) / 1e6
-    return df.where(u < F.lit(float(fraction)))
+    """The same fraction from every stratum (e.g. every horizon ``k``), hash-based. A smaller fraction of
+    the same seed is a part of a larger one."""
+    return df.where(unit_hash([stratum, *_as_list(key_cols)], seed) < F.lit(float(fraction)))
 
 
 def sample_entities(df: DataFrame, entity: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` distinct entities chosen by a seeded hash order (the limit is the
-    feature), then every row of those entities (left-semi join)."""
-    ids = (df.select(entity).distinct()
-             .orderBy(F.xxhash64(F.lit(seed), F.col(entity)), F.col(entity)).limit(n))
-    return df.join(ids, entity, "left_semi")
+    feature; a top-k per task, then one merge), then every row of those entities (J15)."""
+    from .enrich import keep_members
+    ids = df.select(entity).where(F.col(entity).isNotNull()).distinct()
+    ids = ids.orderBy(unit_hash([entity], seed), F.col(entity)).limit(n)
+    return keep_members(df, ids, entity)
 
 
 def representative(df: DataFrame, group_col: str, wanted: DataFrame, id_col: str, seed: int = 42,

@@ -127,6 +127,18 @@ SELECT CAST(tt_us / 1e6 AS FLOAT) AS travel_time_seconds, CAST(t_o_us // 3600000
        CAST(hist AS FLOAT) AS tiempo_promedio_historico, CAST(k AS INTEGER) AS k, split
 FROM f LEFT JOIN w ON t_o_us // 3600000000 % 24 = w.h"""
 
+FILLED_WEATHER = """w0 AS (SELECT date_trunc('hour', ts) AS hour_key, CASE WHEN hour(any_value(ts)) % 4 <> 0 THEN max(value) END AS temperature_2m,
+              CAST(count(*) AS DOUBLE) / 10 AS precipitation FROM ev WHERE hour(ts) <> 22 GROUP BY 1),
+hs AS (SELECT split, min(date_trunc('hour', make_timestamp(t_o_us))) AS a, max(date_trunc('hour', make_timestamp(t_o_us))) AS b
+       FROM f GROUP BY split),
+hr AS (SELECT split, unnest(generate_series(least(a, (SELECT min(hour_key) FROM w0)),
+                                            greatest(b, (SELECT max(hour_key) FROM w0)), INTERVAL 1 HOUR)) AS hour_key FROM hs),
+w1 AS (SELECT hr.split AS ws, hr.hour_key, w0.temperature_2m AS t0, w0.precipitation FROM hr LEFT JOIN w0 USING (hour_key)),
+w AS (SELECT ws, hour_key, precipitation, coalesce(t0,
+        last_value(t0 IGNORE NULLS) OVER (PARTITION BY ws ORDER BY hour_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(t0 IGNORE NULLS) OVER (PARTITION BY ws ORDER BY hour_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        AS temperature_2m FROM w1)"""
+
 ORACLES["od_features_izmir"] = f"""WITH {EV}, {GTFS},
 pos AS (SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, CASE WHEN s_suppkey % 23 <> 0 THEN 40 + s_acctbal / 10000 END AS lat,
                -3 - s_nationkey / 100.0 AS lon FROM supplier),
@@ -152,15 +164,40 @@ v AS (SELECT gl.*, t_us AS seq, tp.route_id, tp.direction_id,
       FROM gl JOIN tp USING (trip_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY split, ent ORDER BY seq, d_stop_id, stop_id) - 1 AS rn FROM v),
 {_pairs('d.rn - o.rn <= 15', 9000.0, 'route_id, direction_id, o_stop, d_stop', 'd_', 'TRUE')},
-w0 AS (SELECT date_trunc('hour', ts) AS hour_key, CASE WHEN hour(any_value(ts)) % 4 <> 0 THEN max(value) END AS temperature_2m,
-              CAST(count(*) AS DOUBLE) / 10 AS precipitation FROM ev WHERE hour(ts) <> 22 GROUP BY 1),
-hs AS (SELECT split, min(date_trunc('hour', make_timestamp(t_o_us))) AS a, max(date_trunc('hour', make_timestamp(t_o_us))) AS b
-       FROM f GROUP BY split),
-hr AS (SELECT split, unnest(generate_series(least(a, (SELECT min(hour_key) FROM w0)),
-                                            greatest(b, (SELECT max(hour_key) FROM w0)), INTERVAL 1 HOUR)) AS hour_key FROM hs),
-w1 AS (SELECT hr.split AS ws, hr.hour_key, w0.temperature_2m AS t0, w0.precipitation FROM hr LEFT JOIN w0 USING (hour_key)),
-w AS (SELECT ws, hour_key, precipitation, coalesce(t0,
-        last_value(t0 IGNORE NULLS) OVER (PARTITION BY ws ORDER BY hour_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-        first_value(t0 IGNORE NULLS) OVER (PARTITION BY ws ORDER BY hour_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-        AS temperature_2m FROM w1)
+{FILLED_WEATHER}
+{_calendar_row(None)} AND w.ws = f.split"""
+
+ORACLES["od_features_konya"] = f"""WITH {EV}, {STOPS},
+tk AS (SELECT *, CAST(1704067200 + floor((t_us / 1e6 - 1704067200) / 60) AS BIGINT) AS s FROM ev),
+nx AS (SELECT user_id, event_id, s, lead(s) OVER w AS s2, lead(event_id) OVER w AS e2 FROM tk
+       WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id)),
+lg AS (SELECT CAST(user_id AS VARCHAR) AS vehicle, CAST(user_id % 7 AS VARCHAR) AS route, CAST(event_id % 97 + 1 AS VARCHAR) AS o,
+              CAST(e2 % 97 + 1 AS VARCHAR) AS d, event_id, s AS dep,
+              CASE WHEN event_id % 4 = 1 THEN s + (s2 - s) * 3 // 5 ELSE s2 END AS arr
+       FROM nx WHERE e2 IS NOT NULL AND event_id % 29 <> 0 AND event_id % 31 <> 0),
+rw AS (SELECT vehicle, route, o, d, dep, CASE WHEN event_id % 3 = 0 THEN dep + (arr - dep) // 2 ELSE arr END AS arr FROM lg
+       UNION ALL SELECT vehicle, route, o, d, dep + (arr - dep) // 2, arr FROM lg WHERE event_id % 3 = 0),
+fl AS (SELECT *, CASE WHEN lag(o) OVER w IS NULL OR route <> lag(route) OVER w OR o <> lag(o) OVER w OR d <> lag(d) OVER w
+                      THEN 1 ELSE 0 END AS flag FROM rw WINDOW w AS (PARTITION BY vehicle ORDER BY dep, arr, o)),
+il AS (SELECT *, sum(flag) OVER (PARTITION BY vehicle ORDER BY dep, arr, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 AS island FROM fl),
+cl AS (SELECT vehicle, island, min(dep) AS dep, max(arr) AS arr, min(route) AS route, min(o) AS o, min(d) AS d
+       FROM il GROUP BY vehicle, island HAVING max(arr) - min(dep) >= 30),
+st AS (SELECT cl.*, a.lat, a.lon, e.lat AS d_lat, e.lon AS d_lon, {hav('a.lat', 'a.lon', 'e.lat', 'e.lon')} AS dist0
+       FROM cl JOIN (SELECT stop_id, CAST(CAST(lat AS VARCHAR) AS DOUBLE) AS lat, CAST(CAST(lon AS VARCHAR) AS DOUBLE) AS lon FROM sp) a ON a.stop_id = o
+       JOIN (SELECT stop_id, CAST(CAST(lat AS VARCHAR) AS DOUBLE) AS lat, CAST(CAST(lon AS VARCHAR) AS DOUBLE) AS lon FROM sp) e ON e.stop_id = d
+       WHERE a.lat IS NOT NULL AND e.lat IS NOT NULL),
+sl AS (SELECT *, coalesce(lag(dist0 / (arr - dep), 1) OVER w, 0) AS vel_lag_1, coalesce(lag(dist0 / (arr - dep), 2) OVER w, 0) AS vel_lag_2,
+              coalesce(lag(dist0 / (arr - dep), 3) OVER w, 0) AS vel_lag_3,
+              CASE WHEN lag(dep) OVER w IS NULL OR route <> lag(route) OVER w OR dep - lag(arr) OVER w > 900 OR o <> lag(d) OVER w
+                   THEN 1 ELSE 0 END AS flag FROM st WINDOW w AS (PARTITION BY vehicle ORDER BY dep, arr, o)),
+tr AS (SELECT *, vehicle || '_' || sum(flag) OVER (PARTITION BY vehicle ORDER BY dep, arr, o
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ent FROM sl),
+v AS (SELECT ent, route AS route_id, '0' AS direction_id, o AS stop_id, dep * 1000000 AS seq, dep * 1000000 AS t_us, lat, lon,
+             d AS d_stop_id, arr * 1000000 AS d_t_us, d_lat, d_lon, vel_lag_1, vel_lag_2, vel_lag_3,
+             CASE WHEN row_number() OVER (ORDER BY dep, ent, d, o) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split
+      FROM tr),
+b AS (SELECT *, row_number() OVER (PARTITION BY split, ent ORDER BY seq, d_stop_id, stop_id) - 1 AS rn FROM v),
+{_pairs('d.rn - o.rn <= 15', 9000.0, 'route_id, o_stop, d_stop', 'd_', 'TRUE')},
+{FILLED_WEATHER}
 {_calendar_row(None)} AND w.ws = f.split"""

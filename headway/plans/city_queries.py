@@ -1,8 +1,8 @@
-"""The feature ETL (C3) of four cities, from raw inputs to feature rows of both splits.
+"""The feature ETL (C3) of five cities, from raw inputs to feature rows of both splits.
 
 The driver's tables stand in for the cities' feeds: ``events`` for vehicle pings (Toronto),
 ``lineitem`` / ``orders`` / ``supplier`` for arrivals (Boston), a GTFS bundle with gaps and
-malformed coordinates (Istanbul) and a calendar of scheduled trips (Izmir). Each query runs
+malformed coordinates (Istanbul), a calendar of scheduled trips (Izmir) and leg logs (Konya). Each query runs
 the registered ``CityConfig`` as it is, with the history of the train split carried to test.
 """
 
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import city
 from ..session import scratch_path
-from ..sources.readers import holidays_table, read_arrivals, read_gtfs, read_stops
-from . import city_inputs
+from ..operators import sequence
+from ..sources.readers import holidays_table, read_arrivals, read_csv, read_gtfs, read_stops
+from . import city_inputs, leg_logs
 from .city_etl import run_split, split_visits, visits_by_split
 from .context_queries import HOLIDAYS_US_MA_2024_01, _hourly_weather, _t, tpch_gtfs
 from .events_model import stop_events
@@ -37,6 +38,12 @@ def _weather(spark: SparkSession, sf: str) -> DataFrame:
     return _hourly_weather(stop_events(spark, sf)).withColumn("snowfall", F.lit(0.0))
 
 
+def _gappy_weather(spark: SparkSession, sf: str) -> DataFrame:
+    """One hour of the day is missing, every fourth hour has no temperature."""
+    return _weather(spark, sf).where(F.hour("hour_key") != 22).withColumn(
+        "temperature_2m", F.when(F.hour("hour_key") % 4 != 0, F.col("temperature_2m")))
+
+
 def pings(spark: SparkSession, sf: str) -> DataFrame:
     ev = stop_events(spark, sf)
     at = F.lit(DAY_START_S) + F.floor((F.col("t_us") / 1e6 - DAY_START_S) / TIME_SCALE)
@@ -124,12 +131,54 @@ def q_od_features_izmir(spark: SparkSession, sf: str) -> DataFrame:
     legs = scheduled_speed_lags(unroll_gtfs_legs(tpch_gtfs(spark, sf)))
     cfg = city("izmir")
     v = split_visits(city_inputs.legs_to_visits(legs), cfg)
-    w = _weather(spark, sf).where(F.hour("hour_key") != 22).withColumn(
-        "temperature_2m", F.when(F.hour("hour_key") % 4 != 0, F.col("temperature_2m")))
-    return both_splits(v.where("split = 'train'").drop("split"), v.where("split = 'test'").drop("split"), "izmir", w)
+    return both_splits(v.where("split = 'train'").drop("split"), v.where("split = 'test'").drop("split"), "izmir",
+                       _gappy_weather(spark, sf))
+
+
+#: Columns of the leg logs, with one that is not used.
+LEG_LOG_COLUMNS = ("arac_no", "ana_hat_no", "baslangic_durak_no", "bitis_durak_no", "cikis_zaman", "varis_zaman")
+
+
+def leg_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event to the vehicle's next one is a leg, reported once or in two halves; some rows have padded
+    or blank stops or a time that is none, and some vehicles wait before the next leg."""
+    at = (F.lit(DAY_START_S) + F.floor((F.col("t_us") / 1e6 - DAY_START_S) / TIME_SCALE)).cast("long")
+    ev = stop_events(spark, sf).withColumn("s", at)
+    d = sequence.next_leg(ev, "user_id", ["t_us", "event_id"], ["s", "event_id"])
+    e = F.col("event_id")
+    wait = (F.col("next_s") - F.col("s")) * 3
+    d = d.withColumn("arr", F.when(e % 4 == 1, F.col("s") + F.floor(wait / 5)).otherwise(F.col("next_s")).cast("long"))
+    half = (F.col("s") + F.floor((F.col("arr") - F.col("s")) / 2)).cast("long")
+    part = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    d = d.withColumn("p", F.explode(F.when(e % 3 == 0, F.array(part(F.col("s"), half), part(half, F.col("arr"))))
+                                    .otherwise(F.array(part(F.col("s"), F.col("arr"))))))
+    clock = lambda c: F.date_format(F.timestamp_seconds(F.col(c)), "yyyy-MM-dd HH:mm:ss")
+    stop = lambda c: (F.col(c) % 97 + 1).cast("string")
+    return d.select(
+        F.lit("x").alias("aciklama"), clock("p.b").alias("varis_zaman"),
+        F.when(e % 29 == 0, "yok").otherwise(clock("p.a")).alias("cikis_zaman"), stop("next_event_id").alias("bitis_durak_no"),
+        F.when(e % 31 == 0, "  ").when(e % 5 == 0, F.concat(F.lit(" "), stop("event_id"), F.lit(" "))).otherwise(stop("event_id"))
+        .alias("baslangic_durak_no"), (F.col("user_id") % 7).cast("string").alias("ana_hat_no"),
+        F.col("user_id").cast("string").alias("arac_no"))
+
+
+def q_od_features_konya(spark: SparkSession, sf: str) -> DataFrame:
+    """Leg logs in CSV files with semicolons: cleaned, repeated legs collapsed, stops in both roles, leg-speed
+    lags, trips rebuilt, split by rows; the temperature is filled over every hour."""
+    root = scratch_path(spark, "konya")
+    log = leg_log(spark, sf)
+    files = [_land(log.where(F.crc32(F.col("arac_no").cast("binary")) % 2 == i), f"{root}/log{i}", ";") for i in (0, 1)]
+    places = _land(_stops(spark, sf).select("stop_id", *[(F.col(c).cast("double") / 10000).alias(c)
+                                                         for c in ("stop_lat", "stop_lon")]), f"{root}/stops")
+    legs = leg_logs.clean_legs(read_csv(spark, files, LEG_LOG_COLUMNS, sep=";"), *LEG_LOG_COLUMNS)
+    legs = leg_logs.leg_features(leg_logs.collapse_repeats(legs), read_stops(spark, places))
+    v = split_visits(city_inputs.legs_to_visits(leg_logs.rebuild_trips(legs)), city("konya"))
+    return both_splits(v.where("split = 'train'").drop("split"), v.where("split = 'test'").drop("split"), "konya",
+                       _gappy_weather(spark, sf))
 
 
 QUERIES = {
+    "od_features_konya": q_od_features_konya,
     "od_features_toronto": q_od_features_toronto,
     "od_features_boston": q_od_features_boston,
     "od_features_istanbul": q_od_features_istanbul,

@@ -328,7 +328,8 @@ onr AS (SELECT tp.route_id, l_linenumber AS seq, (20 + l_linenumber) * 3600 + (l
         FROM tp JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = tp.trip_id JOIN supplier ON s_suppkey = l_suppkey),
 pl AS (SELECT route_id, seq, name FROM (SELECT *, row_number() OVER (PARTITION BY route_id, seq ORDER BY stop_id) AS i FROM onr)
        WHERE i = 1),
-att AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id, name ORDER BY seq, sched, stop_id) AS i FROM onr) WHERE i = 1),
+att AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id, name ORDER BY seq, sched, stop_id) AS i FROM onr
+                       WHERE substr(route_id, 1, 1) IN ('1', '3', '5')) WHERE i = 1),
 ask AS (SELECT event_id AS request_id, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][user_id % 5 + 1] AS route_id,
                event_id % 3 + 1 AS op, event_id % 7 + 1 AS dp, hour(ts) AS h, ['Clear', 'Rain', 'Snow'][event_id % 3 + 1] AS weather,
                [0.0, 12.0, 5.0][event_id % 3 + 1] AS prec FROM ev),
@@ -402,3 +403,24 @@ UNION ALL SELECT '12', 'too short', 1"""
 ORACLES["stops_by_encoding"] = """SELECT CAST(s_suppkey AS VARCHAR) AS stop_id,
   CASE s_suppkey % 4 WHEN 0 THEN 'Kızılay Şubesi ' WHEN 1 THEN 'Çayırbaşı İğde ' WHEN 2 THEN 'Ümraniye Göztepe ' ELSE 'Şişli � Ğ ' END
   || s_suppkey AS stop_name, CASE s_suppkey % 4 WHEN 3 THEN 'utf-8' WHEN 2 THEN 'utf-8' ELSE 'iso-8859-9' END AS encoding FROM supplier"""
+
+
+def unit_hash(*keys: str) -> str:
+    """The number in [0, 1) of ``splits.unit_hash`` with its default seed."""
+    text = " || '|' || ".join(["'42'", *[f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]])
+    return f"(CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT) / 281474976710656.0)"
+
+
+ORACLES["stratified_sample"] = f"""{_PARTS}
+SELECT o_event_id, d_event_id, k FROM bp WHERE {unit_hash('k', 'o_event_id', 'd_event_id')} < 0.05"""
+
+ORACLES["sample_entities"] = f"""WITH {EV},
+chosen AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM ev WHERE user_id IS NOT NULL)
+           ORDER BY {unit_hash('user_id')}, user_id LIMIT 10)
+SELECT event_id, user_id FROM ev JOIN chosen USING (user_id)"""
+
+ORACLES["row_cap"] = f"""WITH {EV}
+SELECT event_id, user_id FROM ev ORDER BY {unit_hash('event_id')}, event_id LIMIT 3000"""
+
+ORACLES["holdout_flag"] = f"""WITH {EV}
+SELECT event_id, {unit_hash('user_id')} < 0.2 AS held_out FROM ev"""

@@ -413,7 +413,13 @@ def tpch_gtfs(spark: SparkSession, sf: str) -> dict:
                      F.when(F.col("s_suppkey") % 23 != 0, F.lit(40) + F.col("s_acctbal") / 10000)
                      .cast("string").alias("stop_lat"),
                      (F.lit(-3) - F.col("s_nationkey") / 100.0).cast("string").alias("stop_lon"))
-    return {"calendar": cal, "trips": trips, "stop_times": st, "stops": stops}
+    # Half of the route types are road transit (9, 10), one comes padded.
+    n = F.substring("route_id", 1, 1).cast("int")
+    kind = F.when(n == 1, " 9 ").when(n == 3, "10").when(n == 5, "9").otherwise("2")
+    routes = trips.select("route_id").distinct().select(
+        "route_id", F.col("route_id").alias("route_short_name"), F.lit(None).cast("string").alias("route_long_name"),
+        kind.alias("route_type"))
+    return {"calendar": cal, "trips": trips, "stop_times": st, "stops": stops, "routes": routes}
 
 
 def q_schedule_legs(spark: SparkSession, sf: str) -> DataFrame:
@@ -446,12 +452,13 @@ PRESETS = ["Clear", "Rain", "Snow"]
 
 
 def q_route_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """J13 + T13 + F10 + T10 + P19 + P20 + M9: every event asks for a trip between two stops of a
-    route's first trip; pairs of events are the known trips."""
+    """J13 + T13 + F6 + F10 + T10 + P19 + P20 + M9: every event asks for a trip between two stops of a
+    route's first trip; only road routes have one; pairs of events are the known trips."""
     from .compare import compare_requests, trip_stop_list
     gtfs = tpch_gtfs(spark, sf)
-    on_trip = trip_stop_list(gtfs["trips"], gtfs["stop_times"], gtfs["stops"])
-    by_place = sequence.keep_first(on_trip, ["route_id", "stop_sequence"], ["stop_id"], ["stop_name"])
+    every = trip_stop_list(gtfs["trips"], gtfs["stop_times"], gtfs["stops"])
+    on_trip = trip_stop_list(gtfs["trips"], gtfs["stop_times"], gtfs["stops"], gtfs["routes"])
+    by_place = sequence.keep_first(every, ["route_id", "stop_sequence"], ["stop_id"], ["stop_name"])
     pick = lambda names, c: F.element_at(F.array(*[F.lit(x) for x in names]), (c % len(names) + 1).cast("int"))
     ev = stop_events(spark, sf)
     ask = ev.select(F.col("event_id").alias("request_id"), pick(ROUTES, F.col("user_id")).alias("route_id"),
@@ -481,6 +488,16 @@ def q_sample_entities(spark: SparkSession, sf: str) -> DataFrame:
     return splits.sample_entities(stop_events(spark, sf), ENTITY, 10).select("event_id", ENTITY)
 
 
+def q_row_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Exactly 3,000 of the events, those with the smallest hashes."""
+    return splits.row_cap(stop_events(spark, sf), ["event_id"], 3000).select("event_id", ENTITY)
+
+
+def q_holdout_flag(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifth of the users that is held out, on every event."""
+    return stop_events(spark, sf).select("event_id", splits.holdout_flag([ENTITY], 20.0).alias("held_out"))
+
+
 def q_row_index(spark: SparkSession, sf: str) -> DataFrame:
     """0-based position of every event within its user."""
     d = sequence.row_index(stop_events(spark, sf), ENTITY, ORDER, "row_in_entity")
@@ -560,6 +577,8 @@ QUERIES.update({
     "schedule_expansion": q_schedule_expansion,
     "route_requests": q_route_requests,
     "stratified_sample": q_stratified_sample,
+    "row_cap": q_row_cap,
+    "holdout_flag": q_holdout_flag,
     "sample_entities": q_sample_entities,
     "row_index": q_row_index,
 })

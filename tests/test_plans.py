@@ -7,7 +7,7 @@ import __spark_entry__ as E
 
 from .conftest import SF
 
-ROWS_ONLY = {"gbt_eta", "feature_importance", "gbt_crowd_chained", "stratified_sample",
+ROWS_ONLY = {"gbt_eta", "feature_importance", "gbt_crowd_chained",
              "sample_entities"}
 
 

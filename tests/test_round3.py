@@ -252,3 +252,30 @@ def test_horizons_of_unequal_size_are_rebalanced(spark, tmp_path):
     files = {k: len([f for f in os.listdir(tmp_path / "h" / f"k={k}") if f.endswith(".parquet")]) for k in range(1, 5)}
     assert files[1] > 2 and all(files[k] <= 2 for k in (2, 3, 4))
     assert readers.read_features(spark, str(tmp_path / "h")).count() == 60_000
+
+
+# --- T7 / T9 ----------------------------------------------------------------------------
+@pytest.mark.parametrize("n", [0, 1, 77, 500, 10_000])
+def test_row_cap_is_exact_and_repeatable(spark, n):
+    from headway.operators import splits
+    df = spark.range(500).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("a"), (F.col("id") % 7).alias("b"))
+    got = sorted((str(r.a), r.b) for r in splits.row_cap(df, ["a", "b"], n).collect())
+    again = sorted((str(r.a), r.b) for r in splits.row_cap(df.repartition(3), ["a", "b"], n).collect())
+    assert len(got) == min(n, 500) and got == again
+
+
+def test_smaller_samples_are_parts_of_larger_ones(spark):
+    from headway.operators import splits
+    df = spark.range(3000).withColumn("k", F.col("id") % 3)
+    some, more = ({r.id for r in splits.stratified_sample(df, "k", ["id"], f).collect()} for f in (0.05, 0.2))
+    assert some < more and 90 < len(some) < 210 and 480 < len(more) < 720
+
+
+def test_entries_without_the_optional_packages():
+    """Only the operators that need a missing package are left out."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['tokenizers'] = None\nimport __spark_entry__ as e\n"
+            "q = e.queries(); assert 'route_requests' in q and not any(n.startswith('op') and n[2].isdigit() for n in q), list(q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
