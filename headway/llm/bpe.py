@@ -48,9 +48,9 @@ RESET = 8
 # that joins the next piece; one or two letters of a contraction to come.
 FRESH, LETTERS, NUMBERS, OTHERS, WHITES, JOINED, ONE_LEFT, TWO_LEFT = range(8)
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 BLOCK = 128
-CACHE = 600_000
+CACHE = 200_000
 _FIELDS = (StructField("n_tokens", LongType()), StructField("ids", BinaryType()))
 
 
