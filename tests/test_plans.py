@@ -7,7 +7,7 @@ import __spark_entry__ as E
 
 from .conftest import SF
 
-ROWS_ONLY = {"gbt_eta", "feature_importance", "gbt_crowd_chained"}
+ROWS_ONLY = {"gbt_eta", "feature_importance", "gbt_crowd_chained", "search_halving"}
 
 
 def test_every_query_has_an_oracle_or_is_model_based():
