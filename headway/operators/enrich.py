@@ -124,6 +124,17 @@ def every_hour(weather: DataFrame, facts: DataFrame, ts: str) -> DataFrame:
     return hours.join(weather, "hour_key", "left")
 
 
+def needed_hours(weather: DataFrame, facts: DataFrame, ts: str) -> DataFrame:
+    """The weather with a row for each hour in which ``facts.ts`` lies, too (values null in added hours).
+
+    Fills look at the neighbouring rows that have a value, so hours that nobody looks up change nothing
+    and are not made: a fact with a wrong year adds one hour, not (as ``every_hour``) all hours up to it.
+    One partial aggregation, at most a row per hour of the facts."""
+    hour = F.date_trunc("hour", F.col(ts).cast("timestamp"))
+    hours = facts.select(hour.alias("hour_key")).distinct().unionByName(weather.select("hour_key"))
+    return hours.where("hour_key IS NOT NULL").distinct().join(weather, "hour_key", "left")
+
+
 def fill_weather(weather: DataFrame, cols=("temperature_2m",)) -> DataFrame:
     """W10 re-aimed: forward- then back-fill on the hourly weather dimension before the
     join (the source fills the joined fact frame, crossing vehicles; equal whenever the

@@ -47,11 +47,12 @@ def od_pairs(visits: DataFrame, cfg: CityConfig, is_test: bool) -> DataFrame:
         d_cols = ["dest_stop_id", "seq", "dest_t_us", "dest_lat", "dest_lon"]
         lags, order_col, back = None, None, 0
     if is_test:
-        # lags (one frame), then all pairs within max_tt from one (entity, time bucket) frame
+        # lags, then all pairs within max_tt, from one frame: the positions of the lags are the pairs' too
+        rn = None
         if lags is not None:
-            v = sequence.Seq(v, ent, order).run(lags, back=back)
+            v, rn = sequence.Seq(v, ent, order).run(lags, back=back, keep_rn=True), "_rn"
         p = sequence.band_pairs(v, ent, order, "_t", cfg.max_tt_s, o_cols, d_cols, order_col=order_col,
-                                same_time=cfg.leg_input)
+                                same_time=cfg.leg_input, rn_col=rn)
         p = p.drop(*ent)
     else:
         # lags (look-back 4) and lookahead (K) share one frame: one shuffle for both
@@ -107,7 +108,7 @@ def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFram
         if cfg.temperature_fill == "zero":
             fill["temperature_2m"] = 0.0
         elif cfg.temperature_fill == "ffill":
-            weather = enrich.fill_weather(enrich.every_hour(weather, p, "_ts"), ["temperature_2m"])
+            weather = enrich.fill_weather(enrich.needed_hours(weather, p, "_ts"), ["temperature_2m"])
         # _ts is the origin instant: its UTC hour is the key (naive feeds were already
         # read as UTC wall time, which is the relabelling of P9)
         p = enrich.attach_weather_hour(p, weather, "_ts", None, cfg.naive_as_utc, fill=fill)

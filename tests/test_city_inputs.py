@@ -93,3 +93,20 @@ def test_every_hour_is_filled(spark):
     got = enrich.fill_weather(enrich.every_hour(w, facts, "ts")).orderBy("hour_key").collect()
     assert [(r["hour_key"].hour, r["temperature_2m"]) for r in got] == [(h, 5.0) for h in range(1, 6)]
     assert enrich.every_hour(w.limit(0), facts.limit(0), "ts").count() == 0
+
+
+def test_needed_hours_fill_as_the_whole_range_does(spark):
+    from pyspark.sql import functions as F
+
+    from headway.operators import enrich
+    w = spark.sql("SELECT timestamp'2024-01-01 03:00' AS hour_key, 5.0D AS temperature_2m UNION ALL "
+                  "SELECT timestamp'2024-01-01 07:00', NULL UNION ALL SELECT timestamp'2024-01-01 09:00', 7.0D")
+    facts = spark.sql("SELECT timestamp'2024-01-01 01:30' AS ts UNION ALL SELECT timestamp'2024-01-01 08:10' "
+                      "UNION ALL SELECT timestamp'2024-01-01 08:50' UNION ALL SELECT timestamp'2024-01-02 05:10' UNION ALL SELECT NULL")
+    rows = lambda d: {r["hour_key"]: r["temperature_2m"] for r in enrich.fill_weather(d).collect()}
+    few, whole = rows(enrich.needed_hours(w, facts, "ts")), rows(enrich.every_hour(w, facts, "ts"))
+    assert few.items() <= whole.items()
+    assert sorted((h.day, h.hour) for h in few) == [(1, 1), (1, 3), (1, 7), (1, 8), (1, 9), (2, 5)]
+    wrong = facts.unionByName(spark.sql("SELECT timestamp'9999-01-01 00:00' AS ts"))
+    assert enrich.needed_hours(w, wrong, "ts").count() == 7
+    assert enrich.needed_hours(w.limit(0), facts.where(F.lit(False)), "ts").count() == 0
