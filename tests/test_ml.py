@@ -58,3 +58,16 @@ def test_random_search_maps_are_seeded(spark, train):
            [sorted((p.name, v) for p, v in m.items()) for m in b.getEstimatorParamMaps()]
     fitted = models.random_search(train, pipe, "tt", trials=2, seed=1, parallelism=2).fit(train)
     assert len(fitted.validationMetrics) == 2
+
+
+def test_training_rows_keep_all_cores_busy(spark, train):
+    """A training table from one partition is dealt over the cores, whole, in an order that does not depend on the run."""
+    one = train.withColumn("unused", F.lit(1)).coalesce(1)
+    a = models.training_table(one, ["id"], ["route_id", "tt"])
+    assert a.columns == ["id", "route_id", "tt"]
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, one.select(*a.columns).collect()))
+    files = {r["f"]: r["n"] for r in a.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(files) >= spark.sparkContext.defaultParallelism and max(files.values()) < 200
+    b = models.training_table(train.repartition(3), ["id"], ["route_id", "tt"])
+    place = lambda d: {r["id"]: r["p"] for r in d.select("id", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("p")).collect()}
+    assert place(a) == place(b)
