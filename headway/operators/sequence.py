@@ -20,8 +20,8 @@ one entity holds a large share of all rows. The skew-safe path used by default:
    with an exclusive prefix over per-chunk totals.
 
 Only hot entities take that path: entities with more than ``CHUNK_ROWS`` rows are
-found by one small statistics job (a partial count per entity) and kept as a table; a
-join with it sends their rows to the chunked branch, while every other entity uses one
+found by one small statistics job (row counts of ``HOT_CELLS`` hash cells, then a count per entity
+in the cells that hold more) and kept as a table; a join with it sends their rows to the chunked branch, while every other entity uses one
 ``partitionBy(entity)`` window, i.e. a single shuffle. Nothing but "is there any" reaches
 the driver. ``skew_safe=False`` skips the statistics job.
 
@@ -42,6 +42,7 @@ from ..session import materialize
 
 SKEW_SAFE = True            # default for every operator in this module
 CHUNK_ROWS = 1 << 20        # rows per (entity, chunk) window partition
+HOT_CELLS = 1 << 16         # hash cells whose row counts rule out hot entities
 PAIR_ROWS = 4096            # rows of an entity whose pairs come from one window
 PAIR_STRETCH = 1024         # rows of a stretch of a larger entity
 
@@ -68,8 +69,21 @@ def hot_entities(df: DataFrame, entity, min_rows: int | None = None) -> DataFram
 def route_entities(df: DataFrame, entity, min_rows: int | None = None) -> DataFrame | None:
     """The hot entities as a table in the shared folder, or None when there is none (the
     usual case: one window per entity, a single shuffle). At most ``rows / min_rows`` keys
-    exist; Spark broadcasts the table when its size allows and else splits the skew."""
-    hot = materialize(hot_entities(df, entity, min_rows).withColumn("_hot", F.lit(True)), "hot")
+    exist; Spark broadcasts the table when its size allows and else splits the skew.
+
+    An entity lies in one hash cell, so it is not hot if its cell has few rows. The cells are counted
+    first (at most ``HOT_CELLS`` rows a task are shuffled, however many entities there are); entities are
+    counted only in the cells with more than ``min_rows`` rows, if any."""
+    entity = _as_list(entity)
+    min_rows = CHUNK_ROWS if min_rows is None else min_rows
+    cell = F.pmod(F.xxhash64(*entity), F.lit(HOT_CELLS)).alias("_cell")
+    keys = df.select(*entity, cell)
+    full = materialize(keys.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
+                       .select("_cell"), "cells")
+    if not full.limit(1).count():
+        return None
+    few = hot_entities(keys.join(F.broadcast(full), "_cell", "left_semi"), entity, min_rows)
+    hot = materialize(few.withColumn("_hot", F.lit(True)), "hot")
     return hot if hot.limit(1).count() else None
 
 
@@ -194,10 +208,14 @@ class Seq:
     and returns the union with halo rows and helper columns removed. In both branches
     ``_rn`` is the row's position in its entity and the window orders by it, so
     ``lag(c, j)`` (j <= back) and ``lead(c, j)`` (j <= fwd) are exact.
+
+    ``counted``: a frame with at least as many rows of each entity, cheaper to make than ``df`` (its source,
+    say), in which to look for hot entities.
     """
 
     def __init__(self, df: DataFrame, entity, order, skew_safe: bool | None = None,
-                 chunk_rows: int | None = None):
+                 chunk_rows: int | None = None, counted: DataFrame | None = None):
+        self.counted = df if counted is None else counted
         self.entity = _as_list(entity)
         self.order = _as_list(order)
         self.skew_safe = SKEW_SAFE if skew_safe is None else skew_safe
@@ -228,7 +246,7 @@ class Seq:
         return d, w
 
     def run(self, fn, back: int = 0, fwd: int = 0, keep_rn: bool = False) -> DataFrame:
-        keys = route_entities(self.df, self.entity, self.chunk_rows) if self.skew_safe else None
+        keys = route_entities(self.counted, self.entity, self.chunk_rows) if self.skew_safe else None
         if keys is None:
             d, w = self._plain(self.df)
             return self.finish(fn(d, w, Branch(self.entity, False)), keep_rn)
@@ -471,16 +489,16 @@ def collapse_islands(df: DataFrame, entity, order, change_cols, start: str, end:
 # W8 / W9
 # ---------------------------------------------------------------------------
 def next_leg(df: DataFrame, entity, order, cols, prefix: str = "next_", keep_last: bool = False,
-             skew_safe: bool | None = None) -> DataFrame:
+             skew_safe: bool | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Attach the next row's ``cols`` (lead 1); the last row of an entity is
-    dropped unless ``keep_last``."""
+    dropped unless ``keep_last``. ``counted``: see ``Seq``."""
 
     def fn(d, w, b):
         for c in _as_list(cols):
             d = d.withColumn(f"{prefix}{c}", b.null_if_no_entity(F.lead(F.col(c), 1).over(w)))
         return d.withColumn("_has_next", b.null_if_no_entity(F.lead(F.lit(1), 1).over(w)).isNotNull())
 
-    d = Seq(df, entity, order, skew_safe).run(fn, fwd=1)
+    d = Seq(df, entity, order, skew_safe, counted=counted).run(fn, fwd=1)
     if not keep_last:
         d = d.where(F.col("_has_next"))
     return d.drop("_has_next")

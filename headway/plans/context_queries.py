@@ -434,8 +434,8 @@ def q_schedule_legs(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_schedule_leg_lags(spark: SparkSession, sf: str) -> DataFrame:
     """C1 + W2: scheduled legs with the speeds of the three previous legs of the simulated trip."""
-    from .schedule import scheduled_speed_lags, unroll_gtfs_legs
-    legs = scheduled_speed_lags(unroll_gtfs_legs(tpch_gtfs(spark, sf)))
+    from .schedule import unroll_gtfs_legs
+    legs = unroll_gtfs_legs(tpch_gtfs(spark, sf), n_lags=3)
     return legs.select("trip_date_id", "stop_id_origen", "stop_id_destino",
                        F.unix_micros(F.col("cikis_zaman").cast("timestamp")).alias("dep_us"),
                        *[F.round(f"vel_lag_{j}", 2).alias(f"vel_lag_{j}") for j in (1, 2, 3)])
