@@ -8,6 +8,9 @@ ordered by ``(k, t_o, tiebreak...)``, excluding the current row.
 ``mode="strict"``: a row sees only pairs of its key that *finished* (destination time)
 strictly before its origin time, plus the carried state.
 
+A key of at most ``KEY_ROWS`` rows takes one window: one shuffle of the pairs by key, the
+state joined in the same partitioning.
+
 Skew safety: a hot key is split into blocks (``k`` and an hour bucket of the origin
 time). Per-block sums/counts are pre-aggregated; an exclusive prefix over the small
 block table plus the carried state gives each block's offset; only the in-block
@@ -20,7 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_null
+from .sequence import route_entities, split_hot
 
+KEY_ROWS = 1 << 18          # rows of a key whose running sums come from one window
 HIST_BLOCK_SECONDS = 3600
 # Fixed value: fallback speed (m/s) used for the historical time of an unseen key.
 FALLBACK_SPEED_MS = 5.0
@@ -59,13 +64,39 @@ def expanding_mean(pairs: DataFrame, keys, value: str, fallback: Column, out: st
     if mode == "strict":
         return _expanding_strict(pairs, keys, value, fallback, out, t_col, t_end_col, tiebreak, state,
                                  sum_col, n_col, divide_by)
-    d = pairs.withColumn("_hb", F.floor(F.col(t_col) / HIST_BLOCK_SECONDS).cast("long"))
     order = [F.col(c).asc_nulls_last() for c in [t_col, *tiebreak]]
-    d = _running_with_offsets(d, keys, [k_col, "_hb"], order, F.col(value), F.lit(1), value, state, sum_col, n_col)
+
+    def by_blocks(p):
+        p = p.withColumn("_hb", F.floor(F.col(t_col) / HIST_BLOCK_SECONDS).cast("long"))
+        return _running_with_offsets(p, keys, [k_col, "_hb"], order, F.col(value), F.lit(1), value, state, sum_col,
+                                     n_col).drop("_hb")
+
+    def by_key(p):
+        return _running_by_key(p, keys, [F.col(k_col).asc_nulls_last(), *order], value, state, sum_col, n_col)
+
+    hot = route_entities(pairs, keys, KEY_ROWS)
+    if hot is None:
+        d = by_key(pairs)
+    else:
+        cold, crowded = split_hot(pairs, keys, hot)
+        d = by_key(cold).unionByName(by_blocks(crowded))
     mean = F.col("_s") / F.col("_n") if divide_by is None else (F.col("_s") / F.col("_n")) / F.lit(float(divide_by))
-    res = F.when(any_null(keys), F.lit(None).cast("double")).when(F.col("_n") == 0, fallback.cast("double")) \
+    # a pair without a horizon or an origin time has no place in the order
+    res = F.when(any_null([*keys, k_col, t_col]), F.lit(None).cast("double")).when(F.col("_n") == 0, fallback.cast("double")) \
         .otherwise(mean)
-    return d.withColumn(out, res).drop("_hb", "_s", "_n")
+    return d.withColumn(out, res).drop("_s", "_n")
+
+
+def _running_by_key(d: DataFrame, keys, order, value: str, state: DataFrame | None, sum_col: str, n_col: str) -> DataFrame:
+    """Exclusive running (sum, count) per key in ``order`` by one window, plus the carried state (a row a key)."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = (d.withColumn("_s", F.coalesce(F.sum(value).over(w), F.lit(0)))
+          .withColumn("_n", F.coalesce(F.count(value).over(w), F.lit(0))))
+    if state is None:
+        return d
+    d = d.join(state.select(*keys, F.col(sum_col).alias("_cs"), F.col(n_col).alias("_cn")), keys, "left")
+    return (d.withColumn("_s", F.col("_s") + F.coalesce(F.col("_cs"), F.lit(0)))
+             .withColumn("_n", F.col("_n") + F.coalesce(F.col("_cn"), F.lit(0))).drop("_cs", "_cn"))
 
 
 def _running_with_offsets(d: DataFrame, keys, blk_cols, order, v: Column, c: Column, value: str,

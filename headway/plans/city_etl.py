@@ -11,7 +11,7 @@ config. The plan is lazy end to end:
 
 Shuffles (no hot entity): train = one by entity (lags and lookahead share the frame);
 test = one by entity (lags) + one by (entity, time bucket) for the band pairs; then one by
-(O-D key, k, hour) for the historical mean over the materialised pairs. Dimensions
+O-D key ((O-D key, k, hour) for hot keys) for the historical mean over the materialised pairs. Dimensions
 (weather hours, holidays) are broadcast only after a size check.
 """
 
@@ -87,12 +87,12 @@ def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFram
     origin instant ``t_o_us``], new carried state)."""
     keys = list(cfg.state_keys)
     # the pair table feeds the historical mean (twice) and the new state: build it once
-    p = materialize(od_pairs(visits, cfg, is_test))
-    p = history.expanding_mean(p, keys, "tt_us", history.fallback_time("distancia_proyectada"),
+    pairs = materialize(od_pairs(visits, cfg, is_test))
+    p = history.expanding_mean(pairs, keys, "tt_us", history.fallback_time("distancia_proyectada"),
                                "tiempo_promedio_historico", k_col="k", t_col="t_o",
                                tiebreak=["t_o_us", "seq_o", "stop_id_destino", *(f"o_{c}" for c in cfg.entity), "tt_us"],
                                state=state, divide_by=1e6)
-    new_state = history.build_state(p, keys, "tt_us")
+    new_state = history.build_state(pairs, keys, "tt_us")
     if state is not None:
         new_state = history.merge_state(state, new_state, keys)
     if cfg.row == "clock":
@@ -108,7 +108,7 @@ def run_split(visits: DataFrame, cfg: CityConfig, is_test: bool, state: DataFram
         if cfg.temperature_fill == "zero":
             fill["temperature_2m"] = 0.0
         elif cfg.temperature_fill == "ffill":
-            weather = enrich.fill_weather(enrich.needed_hours(weather, p, "_ts"), ["temperature_2m"])
+            weather = enrich.fill_weather(enrich.needed_hours(weather, pairs.select(F.timestamp_micros("t_o_us").alias("_ts")), "_ts"), ["temperature_2m"])
         # _ts is the origin instant: its UTC hour is the key (naive feeds were already
         # read as UTC wall time, which is the relabelling of P9)
         p = enrich.attach_weather_hour(p, weather, "_ts", None, cfg.naive_as_utc, fill=fill)
@@ -161,8 +161,12 @@ def visits_by_split(raw: DataFrame, cfg: CityConfig, to_visits: Callable[[DataFr
         if cfg.split != "rows" or not raw_order:
             raise ValueError("raw rows are split by their share in raw_order")
         d = splits.split_fraction(raw, list(raw_order), rule.get("frac", 0.8))
-        return tuple(to_visits(d.where(F.col("split") == s).drop("split")) for s in ("train", "test"))
-    v = split_visits(to_visits(raw), cfg, **rule)
+        return tuple(materialize(to_visits(d.where(F.col("split") == s).drop("split")), "visits") for s in ("train", "test"))
+    v = to_visits(raw)
+    if cfg.split in ("date", "year"):
+        # the lags, the pairs and the search for hot entities each pass over the visits; the other rules write them
+        v = materialize(v, "visits")
+    v = split_visits(v, cfg, **rule)
     return tuple(v.where(F.col("split") == s).drop("split") for s in ("train", "test"))
 
 
