@@ -52,6 +52,8 @@ def halving_search(train: DataFrame, pipeline: Pipeline, label: str, key_cols, s
     gbt = pipeline.getStages()[-1]
     maps = models.search_maps(gbt, trials, seed)
     train = train.where(F.col(label).isNotNull())
+    # the samples are nested: the table is built once, for the largest
+    train = materialize(splits.stratified_sample(train, stratum, key_cols, max(fractions), seed), "largest")
     alive, last = list(range(trials)), {}
     for number, fraction in enumerate(fractions, start=1):
         d = _sample(train, key_cols, stratum, fraction, holdout_pct, seed)
