@@ -104,7 +104,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     asked = f.select("fp", F.posexplode(F.array(probes(F.col("fp"), 0), probes(F.col("fp"), 1))).alias("s", "vs")) \
         .select("fp", "s", F.explode("vs").alias("v"))
     cool = table.join(hot, ["s", "v"], "left_anti")            # before the join, which would pair up a hot bucket
-    met = cool.join(asked.withColumnRenamed("fp", "other"), ["s", "v"])
+    # sizes are estimated from a fingerprint's file, about 35 times below what a ball holds: never broadcast it
+    met = cool.join(asked.withColumnRenamed("fp", "other").hint("merge"), ["s", "v"])
     cold = met.where((F.col("fp") != F.col("other"))
                      & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits)).select(
         F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b"))

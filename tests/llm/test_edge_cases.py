@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from headway.llm import bpe, chat, decontam, lm, queries, quality, sharding, simhash, tokenfile
+from headway.session import materialize
 from tests.llm.test_against_brute_force import plain_components, plain_features, plain_fingerprint
 
 random.seed(5)
@@ -279,6 +280,14 @@ def test_long_chain_is_one_component(spark):
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(41)}
 
 
+def test_balls_are_not_broadcast(spark):
+    """A ball holds some 35 rows of a fingerprint; the join must not trust the size of the fingerprints' file."""
+    fps = materialize(spark.range(1000).select(F.xxhash64("id").alias("fp")), "fps")
+    plan = simhash.link_fingerprints(fps)._jdf.queryExecution().sparkPlan().toString()
+    inner = [x for x in plan.splitlines() if "Join" in x and "Inner" in x]
+    assert len(inner) == 1 and "SortMergeJoin" in inner[0]
+
+
 def test_shards(spark, dirs):
     rows = queries.op10_feistel_shards(spark, dirs[0]).collect()
     assert sorted((r["size"], r.text_crc32) for r in rows) == sorted(
