@@ -1,8 +1,11 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from headway.ml import models, search
 from headway.operators import splits
+from headway.plans import model_queries
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +47,19 @@ def test_too_small_a_sample_is_refused(trips):
     pipe = models.regressor_pipeline(["hops", "hist"], [], "tt", models.ETA_PARAMS)
     with pytest.raises(ValueError, match="larger fraction"):
         search.halving_search(trips.limit(0), pipe, "tt", "id", trials=2, fractions=(0.1,))
+
+
+def test_query_searches_all_settings_on_all_rows(spark, trips, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(model_queries, "_train_features", lambda spark, sf: (trips, None))
+    monkeypatch.setattr(model_queries, "halving_search", lambda *a, **kw: asked.update(
+        inspect.signature(search.halving_search).bind(*a, **kw).arguments))
+    model_queries.q_search_halving(spark, "")
+    assert asked.get("trials", models.SEARCH_TRIALS) == 30 and asked.get("rounds", models.SEARCH_ROUNDS) == 300
+    assert asked["train"] is trips and asked["fractions"][-1] == 1.0 and list(asked["fractions"]) == sorted(asked["fractions"])
+
+
+def test_the_last_round_can_take_every_row(trips):
+    """Also rows of null keys, which hash like any others."""
+    d = trips.withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id")))
+    assert search._sample(d, ["id"], "k", 1.0, 20.0, 42).count() == d.count() == 1203
